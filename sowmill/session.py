@@ -19,6 +19,7 @@ def local_session(cores: int = 8, name: str = "sowmill") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.extraJavaOptions", "-Xss8m")
         .getOrCreate()
     )
