@@ -398,7 +398,7 @@ LOOSE_DATES = [
     r"\b\d{1,2}/\d{1,2}/\d{2,4}\b",
     r"\b\d{4}-\d{2}-\d{2}\b",
 ]
-TIMELINE_TERMS = LOOSE_DATES + [r"\b(?:weeks?|months?|years?)\b", r"\b(?:Q[1-4]|Quarter [1-4])\b"]
+TIMELINE_TERMS = [rf"\b({MONTHS_SHORT})[a-z]*\.?\s+\d{{1,2}},?\s+\d{{4}}\b"] + LOOSE_DATES[1:] + [r"\b(?:weeks?|months?|years?)\b", r"\b(?:Q[1-4]|Quarter [1-4])\b"]
 BUDGET_TERMS = [
     r"\$\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b",
     r"\b\d{1,6}\s*(?:USD|dollars?)\b",

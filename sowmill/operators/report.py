@@ -33,3 +33,22 @@ def categorize(items: DataFrame) -> DataFrame:
         C.deliverable_category(F.col("item")))
     return (items.groupBy("kind", category.alias("category"))
             .agg(F.count(F.lit(1)).alias("items"), F.min("item").alias("first_item")))
+
+
+def entry_totals(entries: DataFrame) -> DataFrame:
+    """Entries with hours or percent, and their total hours, per file."""
+    kept = entries.where(F.col("hours").isNotNull() | F.col("pct_time").isNotNull())
+    return kept.groupBy("file").agg(F.count(F.lit(1)).alias("entries"), F.sum("hours").alias("total_hours"))
+
+
+def result_markdown(df: DataFrame) -> DataFrame:
+    """Add a Markdown summary of each result row (needs ``staffing_lines``)."""
+    from sowmill.functions.scalars import numbered
+
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    return df.withColumn("markdown", F.concat(
+        F.lit("# SOW Search Result\n\n**Client:** "), text("client_name"), F.lit("\n**Project:** "), text("project_title"),
+        F.lit("\n**Dates:** "), text("start_date"), F.lit(" to "), text("end_date"),
+        F.lit("\n\n## Scope Summary\n"), F.coalesce("scope_summary", F.lit("")),
+        F.lit("\n\n## Deliverables\n"), numbered(F.col("deliverables")),
+        F.lit("\n\n## Staffing Plan\n"), numbered(F.col("staffing_lines")), F.lit("\n")))
