@@ -6,19 +6,22 @@ and never start a Python worker.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sowmill import constants as K
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate a value once and use it in ``body``; a lambda re-evaluates what it captures for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_word(text: Column, words: list[str]) -> Column:
-    """True when the lower-cased text contains one of the words (substring match)."""
-    low = F.lower(text)
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | low.contains(word)
-    return hit
+    """True when the text contains one of the words, in any case (substring match in one pass)."""
+    return text.rlike("(?i)" + "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words))
 
 
 def first_group(text: Column, groups: list[tuple[str, list[str]]], default: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sowmill import constants as K
-from sowmill.functions.scalars import any_word, find, normalize_allocation, percent_text
+from sowmill.functions.scalars import any_word, find, let, normalize_allocation, percent_text
 
 W = K.FIELD_WORDING
 SECTION_END = r"\n\s*\n|\n[A-Za-z][A-Za-z\s]+:"
@@ -81,7 +81,7 @@ def roles_heuristic(text: Column) -> Column:
 
 
 def _allowed(value: Column, banned: list[str]) -> Column:
-    return F.when(~any_word(value, banned), value) if banned else value
+    return let(value, lambda v: F.when(~any_word(v, banned), v)) if banned else value
 
 
 def client_name(text: Column, own_names: list[str] | None = None) -> Column:
@@ -100,8 +100,8 @@ def project_title(text: Column) -> Column:
 
 
 def _value_after(text: Column, lead: str, patterns: list[str]) -> Column:
-    rest = find(text, rf"(?i){lead}\s*([^\n\r]+)")
-    return F.coalesce(*[find(rest, any_case(p), 0) for p in patterns])
+    return let(find(text, rf"(?i){lead}\s*([^\n\r]+)"),
+               lambda rest: F.coalesce(*[find(rest, any_case(p), 0) for p in patterns]))
 
 
 def _date_after(text: Column, field: str) -> Column:
@@ -132,9 +132,8 @@ def section_after(text: Column, header: str, end: str = SECTION_END) -> Column:
 
 def scope_summary(text: Column) -> Column:
     def guarded(header: str) -> Column:
-        s = F.trim(section_after(text, header, SECTION_END + r"|\n\d+\."))
-        return F.when(F.length(s) > 50, F.when(F.length(s) > 500, F.concat(F.substring(s, 1, 500), F.lit("...")))
-                      .otherwise(s))
+        return let(F.trim(section_after(text, header, SECTION_END + r"|\n\d+\.")), lambda s: F.when(
+            F.length(s) > 500, F.concat(F.substring(s, 1, 500), F.lit("..."))).when(F.length(s) > 50, s))
 
     return F.coalesce(*[guarded(h) for h in W["scope_summary"]["section_headers"]])
 
@@ -189,8 +188,7 @@ def wording_hits(df: DataFrame, text: str) -> DataFrame:
     """(field, kind, word, documents): how many texts contain each plain word of the wording lists."""
     plain = [w for w in wordings() if not set("\\[(") & set(w[2])]
     entries = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.lit(p).alias("word")) for f, k, p in plain])
-    low = F.lower(F.col(text))
-    hit = F.explode(F.filter(entries, lambda e: low.contains(e["word"])))
+    hit = F.explode(let(F.lower(F.col(text)), lambda low: F.filter(entries, lambda e: low.contains(e["word"]))))
     return df.select(hit.alias("e")).groupBy("e.field", "e.kind", "e.word").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -222,14 +220,16 @@ def term_profile(text: Column) -> Column:
 
 def staffing_windows(text: Column, words: list[str] | None = None, before: int = 3, after: int = 15) -> Column:
     """Windows of lines around each line with a staffing word (-3/+15; the wide form is -5/+20)."""
-    lines = F.split(text, "\n")
-    marked = F.transform(lines, lambda x, i: F.when(any_word(x, words or K.WINDOW_WORDS), i))
+    def windows(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x, i: F.when(any_word(x, words or K.WINDOW_WORDS), i))
 
-    def window(i: Column) -> Column:
-        first = F.greatest(i - before, F.lit(0))
-        return F.array_join(F.slice(lines, first + 1, i + after - first), "\n")
+        def window(i: Column) -> Column:
+            first = F.greatest(i - before, F.lit(0))
+            return F.array_join(F.slice(lines, first + 1, i + after - first), "\n")
 
-    return F.transform(F.filter(marked, lambda i: i.isNotNull()), window)
+        return F.transform(F.filter(marked, lambda i: i.isNotNull()), window)
+
+    return let(F.split(text, "\n"), windows)
 
 
 def best_staffing_window(text: Column) -> Column:
@@ -288,8 +288,8 @@ def staffing_rows(text: Column) -> Column:
     found = F.concat(lines, rows(block, rf"(?i){who}([A-Z]{{1,4}}){tail}([^%]+?)", r"(?=\s+[A-Z][a-z]+\s+[A-Z]|\z)"),
                      rows(body, rf"(?i){who}([A-Z]{{2,4}}){tail}([^%]+?)", r"(?=\s|\z)"),
                      rows(body, rf"(?i){who}([A-Z]{{1,4}}){tail}([^%]+?)", r"(?=\s|\z)"))
-    keys = F.transform(found, lambda r: F.lower(r["name"]))
-    return F.filter(found, lambda r, i: F.array_position(keys, F.lower(r["name"])) == i + 1)
+    first = lambda rs, keys: F.filter(rs, lambda r, i: F.array_position(keys, F.lower(r["name"])) == i + 1)
+    return let(found, lambda rs: let(F.transform(rs, lambda r: F.lower(r["name"])), lambda keys: first(rs, keys)))
 
 
 def roles_hours_fte(text: Column) -> Column:
@@ -321,8 +321,10 @@ def role_values(text: Column) -> Column:
 
 def extractive_summary(text: Column) -> Column:
     """Project, term, description and up to five deliverables; else the first sentences."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return let(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda lines: _summary(text, lines))
+
 
+def _summary(text: Column, lines: Column) -> Column:
     def first(words: list[str]) -> Column:
         return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(any_word(x, words), i)), lambda i: i.isNotNull()))
 

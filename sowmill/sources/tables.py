@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sowmill import constants as K
-from sowmill.functions.scalars import clean_hours, drop_thousands, extract_hours, extract_pct, null_if_na, reconcile
+from sowmill.functions.scalars import clean_hours, drop_thousands, extract_hours, extract_pct, let, null_if_na, reconcile
 
 TABLE = ["file", "page_number", "table_index"]
 
@@ -61,13 +61,20 @@ def matrix_to_markdown(rows: DataFrame, drop_empty: bool = False) -> DataFrame:
 
 def markdown_to_rows(markdown: Column) -> Column:
     """Array of cell arrays, header first; rows are padded or cut to the header width."""
-    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     cells = lambda line: F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
-    width = F.size(F.split(F.get(lines, F.lit(0)), r"\|"))
-    fit = lambda line: F.slice(F.concat(cells(line), F.array_repeat(F.lit(""), width)), F.lit(1), width)
-    body = F.transform(F.slice(lines, F.lit(3), F.size(lines)), fit)
-    return F.when(F.size(lines) >= 3, F.concat(F.array(cells(F.get(lines, F.lit(0)))), body)).otherwise(
-        F.array().cast("array<array<string>>"))
+
+    def rows(lines: Column, width: Column) -> Column:
+        fit = lambda line: F.slice(F.concat(cells(line), F.array_repeat(F.lit(""), width)), F.lit(1), width)
+        body = F.transform(F.slice(lines, F.lit(3), F.size(lines)), fit)
+        return F.when(F.size(lines) >= 3, F.concat(F.array(cells(F.get(lines, F.lit(0)))), body)).otherwise(
+            F.array().cast("array<array<string>>"))
+
+    return let(_text_lines(markdown), lambda lines: let(
+        F.size(F.split(F.get(lines, F.lit(0)), r"\|")), lambda width: rows(lines, width)))
+
+
+def _text_lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 # --- headers -------------------------------------------------------------------------------
@@ -195,15 +202,21 @@ def is_staffing_header(line: Column) -> Column:
 
 def markdown_to_entries(markdown: Column) -> Column:
     """Array of struct(title, level, location, hours, pct_time) read from a pipe table by its header."""
-    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    split = lambda line: F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
-    header = F.transform(split(F.get(lines, F.lit(0))), F.lower)
+    header = lambda lines: F.transform(_cells(F.get(lines, F.lit(0))), lambda h: F.lower(h))
+    return let(_text_lines(markdown), lambda lines: let(header(lines), lambda h: _entries(lines, h)))
+
+
+def _cells(line: Column) -> Column:
+    return F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
+
+
+def _entries(lines: Column, header: Column) -> Column:
     body = F.filter(F.slice(lines, F.lit(3), F.size(lines)),
                     lambda x: ~x.rlike(r"(?i)total\s+sow\s+amount|total\s+hours"))
 
     def at(row: Column, pattern: str) -> Column:
         hits = F.filter(F.transform(header, lambda h, i: F.when(h.rlike(pattern), i)), lambda i: i.isNotNull())
-        return F.get(split(row), F.get(hits, F.lit(0)))
+        return F.get(_cells(row), F.get(hits, F.lit(0)))
 
     whole = (r"^([A-Za-z][A-Za-z .,'’\-]+?)\s*\|.*?([A-Za-z][A-Za-z /&,'’\-]+?)\s*\|.*?(\d{2,4}(?:\.\d+)?)\b"
              r".*?(\d{1,3}(?:\.\d+)?)\s*%")
@@ -222,6 +235,6 @@ def markdown_to_entries(markdown: Column) -> Column:
                         F.coalesce(hours, part(3).try_cast("double")).alias("hours"),
                         F.coalesce(pct, part(4).try_cast("double")).alias("pct_time"))
 
-    parsed = F.transform(F.filter(body, lambda x: ~F.forall(split(x), lambda c: c == "---")), entry)
+    parsed = F.transform(F.filter(body, lambda x: ~F.forall(_cells(x), lambda c: c == "---")), entry)
     kept = F.filter(parsed, lambda e: (e["title"] != "") & (e["hours"].isNotNull() | e["pct_time"].isNotNull()))
     return F.when(F.size(lines) >= 3, kept).otherwise(F.slice(kept, 1, 0))
