@@ -173,6 +173,8 @@ def distinct_sorted(parts) -> str:
 PROFILE = {
     "sections": distinct_sorted(every(rf"(?im)^(?:\d+\.?\s*)?({p})") for p in K.SECTION_TERMS),
     "roles": distinct_sorted(every(rf"(?i)\b({p})\b") for p in K.ROLE_TERMS),
+    "deliverables": "list_concat(" + ", ".join(f"list_transform({every('(?i)' + p)}, lambda x: trim(x))"
+                                               for p in K.DELIVERABLE_TERMS) + ")[1:10]",
     "timeline": distinct_sorted(every("(?i)" + p, 1 if i == 0 else 0) for i, p in enumerate(K.TIMELINE_TERMS)),
     "budget": distinct_sorted(every("(?i)" + p, 0) for p in K.BUDGET_TERMS),
     "key_phrases": ("list_transform(list_filter(list_transform(string_split_regex(text, '[.!?]+')[1:50], lambda s: "
