@@ -14,7 +14,7 @@ DAYS_PER_WEEK = 7
 WEEKS_PER_MONTH = 4
 DEFAULT_WEEKS = 26
 FULL_TEXT_WEIGHT, PARSED_WEIGHT = 0.6, 0.4
-TEXT_WEIGHT, VECTOR_WEIGHT = 0.7, 0.3
+VECTOR_WEIGHT, TEXT_WEIGHT = 0.7, 0.3
 MIN_BLENDED_SCORE, MIN_VECTOR_SCORE = 0.01, 0.3
 FUZZY_RATIO = 0.8
 CONFIDENCE_BANDS = [("high", 0.8), ("medium", 0.6), ("low", 0.4)]
