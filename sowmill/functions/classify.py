@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sowmill import constants as K
-from sowmill.functions.scalars import any_word, find, first_group, number
+from sowmill.functions.scalars import any_word, find, first_group, let, number
 
 # --- project features from text -----------------------------------------------------
 
@@ -59,18 +59,21 @@ def _points(text: Column, steps: list[tuple[int, list[str]]]) -> Column:
 
 def complexity_points(text: Column, weeks: Column) -> Column:
     w = F.coalesce(F.nullif(weeks, F.lit(0)), F.lit(K.DEFAULT_WEEKS))
-    events = event_mentions(text)
+    by_events = let(event_mentions(text), lambda n: F.when(n >= 5, 3).when(n >= 3, 2).when(n >= 1, 1).otherwise(0))
     return (F.when(w >= 52, 3).when(w >= 26, 2).otherwise(1)
             + _points(text, K.BUDGET_POINT_WORDS) + _points(text, K.GEO_POINT_WORDS)
             + F.when(any_word(text, K.STAKEHOLDER_POINT_WORDS), 2).otherwise(0)
-            + F.when(events >= 5, 3).when(events >= 3, 2).when(events >= 1, 1).otherwise(0))
+            + by_events)
 
 
 def complexity_of(points: Column) -> Column:
-    out = None
-    for label, floor in K.COMPLEXITY_STEPS:
-        out = F.when(points >= floor, F.lit(label)) if out is None else out.when(points >= floor, F.lit(label))
-    return out.otherwise(F.lit("simple"))
+    def label(p: Column) -> Column:
+        out = None
+        for name, floor in K.COMPLEXITY_STEPS:
+            out = F.when(p >= floor, F.lit(name)) if out is None else out.when(p >= floor, F.lit(name))
+        return out.otherwise(F.lit("simple"))
+
+    return let(points, label)
 
 
 def duration_weeks(text: Column) -> Column:
@@ -179,6 +182,16 @@ def map_role(title: Column) -> Column:
     return out
 
 
+def role_of_title(title: str) -> tuple[str, str, int] | None:
+    """``map_role`` for a title that is known when the plan is built."""
+    t = title.lower().strip()
+    exact = [e for e in K.ROLE_MAP if e[0] == t]
+    part = [e for e in K.ROLE_MAP if t and (e[0] in t or t in e[0])]
+    words = [e for e in K.ROLE_KEYWORDS if t and all(w in t for w in e[0])]
+    found = (exact or part or words or [None])[0]
+    return found[1:] if found else None
+
+
 def _org_names() -> list[tuple[str, int]]:
     """(lower-cased title or alias, position) in match order."""
     return [(n.lower(), i) for i, (title, _, _, aliases) in enumerate(K.ORG_ROLES) for n in (title, *aliases)]
