@@ -23,8 +23,8 @@ def plans(spark, sf_dir):
 
 
 def spread(df):
-    """Roles as rows; shares in ten-thousandths."""
-    return (df.select("sow_key", F.explode("roles").alias("r"))
+    """Roles as rows; shares in ten-thousandths. The outer form keeps Spark from testing the roles twice."""
+    return (df.select("sow_key", F.explode_outer("roles").alias("r")).where(F.col("r").isNotNull())
             .select("sow_key", "r.title", "r.level", F.floor(F.col("r.pct") * 1e4 + 0.5).cast("long").alias("pct_e4"),
                     F.size("r.audit").alias("audits")))
 
@@ -321,7 +321,7 @@ def recommended(spark, sf_dir):
     OVER (PARTITION BY sow_key ORDER BY ord) AS rn FROM r9)""".replace("sow_key, ord, title", "sow_key, rn AS seq, title"), TEXT_PLANS + ", " + chain_sql()))
 def ru22(spark, sf_dir):
     api = P.plan_to_api(recommended(spark, sf_dir), "sow_key", "project_title", "client_name")
-    return (api.select("sow_key", F.posexplode("roles").alias("i", "r"))
+    return (api.select("sow_key", F.posexplode_outer("roles").alias("i", "r"))
             .select("sow_key", (F.col("i") + 1).alias("seq"), "r.role", "r.department", "r.level", "r.allocation_percent", "r.notes"))
 
 

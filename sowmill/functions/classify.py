@@ -16,8 +16,8 @@ from sowmill.functions.scalars import any_word, find, first_group, let, number
 # --- project features from text -----------------------------------------------------
 
 
-def project_type(text: Column) -> Column:
-    return first_group(text, K.PROJECT_TYPE_WORDS, K.DEFAULT_PROJECT_TYPE)
+def project_type(text: Column, lowered: bool = False) -> Column:
+    return first_group(text, K.PROJECT_TYPE_WORDS, K.DEFAULT_PROJECT_TYPE, lowered)
 
 
 def service_project_type(text: Column, company: Column) -> Column:
@@ -28,52 +28,53 @@ def service_project_type(text: Column, company: Column) -> Column:
             .otherwise(F.lit("General Project")))
 
 
-def mentions(text: Column, words: list[str], marked: bool = True) -> Column:
-    """Number of occurrences of the words (plural allowed), followed by : or - when marked."""
-    end = r"[:\-]" if marked else ""
-    total = F.lit(0)
-    for word in words:
-        total = total + F.regexp_count(text, F.lit(f"(?i){word}s?{end}"))
-    return total
+def mentions(text: Column, words: list[str], marked: bool = True, lowered: bool = False) -> Column:
+    """Number of occurrences of the words (plural allowed), followed by : or - when marked.
+
+    No word is part of another, so one pass with alternatives counts the same as one pass per word.
+    """
+    end = r"s?[:\-]" if marked else "s?"
+    return F.regexp_count(text if lowered else F.lower(text), F.lit(f"(?:{'|'.join(words)}){end}"))
 
 
-def deliverable_mentions(text: Column) -> Column:
-    return F.greatest(mentions(text, K.DELIVERABLE_MENTIONS), F.lit(1))
+def deliverable_mentions(text: Column, lowered: bool = False) -> Column:
+    return F.greatest(mentions(text, K.DELIVERABLE_MENTIONS, lowered=lowered), F.lit(1))
 
 
-def event_mentions(text: Column) -> Column:
-    return mentions(text, K.EVENT_MENTIONS)
+def event_mentions(text: Column, lowered: bool = False) -> Column:
+    return mentions(text, K.EVENT_MENTIONS, lowered=lowered)
 
 
-def stakeholder_mentions(text: Column) -> Column:
-    return F.greatest(mentions(text, K.STAKEHOLDER_MENTIONS, marked=False), F.lit(1))
+def stakeholder_mentions(text: Column, lowered: bool = False) -> Column:
+    return F.greatest(mentions(text, K.STAKEHOLDER_MENTIONS, marked=False, lowered=lowered), F.lit(1))
 
 
-def _points(text: Column, steps: list[tuple[int, list[str]]]) -> Column:
+def _points(text: Column, steps: list[tuple[int, list[str]]], lowered: bool) -> Column:
     out = None
     for points, words in steps:
-        cond = any_word(text, words)
+        cond = any_word(text, words, lowered)
         out = F.when(cond, points) if out is None else out.when(cond, points)
     return out.otherwise(1)
 
 
-def complexity_points(text: Column, weeks: Column) -> Column:
+def complexity_points(text: Column, weeks: Column, events: Column | None = None, lowered: bool = False) -> Column:
+    """Points for duration, budget, geography, stakeholders and events (their number may be given)."""
     w = F.coalesce(F.nullif(weeks, F.lit(0)), F.lit(K.DEFAULT_WEEKS))
-    by_events = let(event_mentions(text), lambda n: F.when(n >= 5, 3).when(n >= 3, 2).when(n >= 1, 1).otherwise(0))
+    by_events = lambda n: F.when(n >= 5, 3).when(n >= 3, 2).when(n >= 1, 1).otherwise(0)
     return (F.when(w >= 52, 3).when(w >= 26, 2).otherwise(1)
-            + _points(text, K.BUDGET_POINT_WORDS) + _points(text, K.GEO_POINT_WORDS)
-            + F.when(any_word(text, K.STAKEHOLDER_POINT_WORDS), 2).otherwise(0)
-            + by_events)
+            + _points(text, K.BUDGET_POINT_WORDS, lowered) + _points(text, K.GEO_POINT_WORDS, lowered)
+            + F.when(any_word(text, K.STAKEHOLDER_POINT_WORDS, lowered), 2).otherwise(0)
+            + (by_events(events) if events is not None else let(event_mentions(text, lowered), by_events)))
 
 
-def complexity_of(points: Column) -> Column:
+def complexity_of(points: Column, bound: bool = False) -> Column:
     def label(p: Column) -> Column:
         out = None
         for name, floor in K.COMPLEXITY_STEPS:
             out = F.when(p >= floor, F.lit(name)) if out is None else out.when(p >= floor, F.lit(name))
         return out.otherwise(F.lit("simple"))
 
-    return let(points, label)
+    return label(points) if bound else let(points, label)
 
 
 def duration_weeks(text: Column) -> Column:
@@ -83,40 +84,45 @@ def duration_weeks(text: Column) -> Column:
     return F.when(F.lower(find(text, shape, 2)) == "month", count * K.WEEKS_PER_MONTH).otherwise(count)
 
 
-def budget_range(text: Column) -> Column:
-    return first_group(text, K.BUDGET_RANGE_WORDS, "low")
+def budget_range(text: Column, lowered: bool = False) -> Column:
+    return first_group(text, K.BUDGET_RANGE_WORDS, "low", lowered)
 
 
-def client_size(text: Column, client: Column) -> Column:
-    return (F.when(any_word(text, K.LARGE_CLIENT_WORDS), "enterprise")
-            .when(any_word(F.coalesce(client, F.lit("")), K.LARGE_CLIENTS), "enterprise")
-            .when(any_word(text, K.MID_CLIENT_WORDS), "mid-market").otherwise("startup"))
+def client_size(text: Column, client: Column, lowered: bool = False) -> Column:
+    return (F.when(any_word(text, K.LARGE_CLIENT_WORDS, lowered), "enterprise")
+            .when(any_word(F.lower(F.coalesce(client, F.lit(""))), K.LARGE_CLIENTS, lowered=True), "enterprise")
+            .when(any_word(text, K.MID_CLIENT_WORDS, lowered), "mid-market").otherwise("startup"))
 
 
-def geo_scope(text: Column) -> Column:
-    return first_group(text, K.GEO_SCOPE_WORDS, "local")
+def geo_scope(text: Column, lowered: bool = False) -> Column:
+    return first_group(text, K.GEO_SCOPE_WORDS, "local", lowered)
 
 
-def special_requirements(text: Column) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w.title())) for w in K.SPECIAL_WORDS]))
+def special_requirements(text: Column, lowered: bool = False) -> Column:
+    found = lambda low: F.array_compact(F.array(*[
+        F.when(low.contains(w), F.lit(w.title())) for w in K.SPECIAL_WORDS]))
+    return found(text) if lowered else let(F.lower(text), found)
 
 
 def with_requirements(df: DataFrame, text: str, client: str, weeks: str | None = None) -> DataFrame:
-    """Add the requirement columns of a project: type, complexity, weeks, budget, size, scope, counts."""
-    t = F.col(text)
+    """Add the requirement columns of a project: type, complexity, weeks, budget, size, scope, counts.
+
+    The text is lower-cased once in its own projection; everything after it is
+    generated code over that column.
+    """
+    low, bound = F.col("_low"), {"lowered": True}
     given = F.col(weeks) if weeks else F.lit(None).cast("int")
-    return (df.withColumn("project_type", project_type(t))
-            .withColumn("complexity", complexity_of(complexity_points(t, given)))
-            .withColumn("duration_weeks", F.coalesce(F.nullif(given, F.lit(0)), F.nullif(duration_weeks(t), F.lit(0)),
-                                                     F.lit(K.DEFAULT_WEEKS)))
-            .withColumn("budget_range", budget_range(t))
-            .withColumn("client_size", client_size(t, F.col(client)))
-            .withColumn("geographic_scope", geo_scope(t))
-            .withColumn("deliverables_count", deliverable_mentions(t))
-            .withColumn("events_count", event_mentions(t))
-            .withColumn("stakeholders_count", stakeholder_mentions(t))
-            .withColumn("special_requirements", special_requirements(t)))
+    counted = df.withColumn("_low", F.lower(text)).select(
+        "*", event_mentions(low, **bound).alias("events_count"), deliverable_mentions(low, **bound).alias("deliverables_count"),
+        stakeholder_mentions(low, **bound).alias("stakeholders_count"), duration_weeks(F.col(text)).alias("_weeks"))
+    pointed = counted.withColumn("_points", complexity_points(low, given, F.col("events_count"), **bound))
+    return pointed.select(
+        *df.columns, project_type(low, **bound).alias("project_type"),
+        complexity_of(F.col("_points"), bound=True).alias("complexity"),
+        F.coalesce(F.nullif(given, F.lit(0)), F.nullif("_weeks", F.lit(0)), F.lit(K.DEFAULT_WEEKS)).alias("duration_weeks"),
+        budget_range(low, **bound).alias("budget_range"), client_size(low, F.col(client), **bound).alias("client_size"),
+        geo_scope(low, **bound).alias("geographic_scope"), "deliverables_count", "events_count", "stakeholders_count",
+        special_requirements(low, **bound).alias("special_requirements"))
 
 
 def project_category(deliverables: Column, title: Column) -> Column:
@@ -163,23 +169,33 @@ def describe_department(code: Column) -> Column:
 
 
 def map_role(title: Column) -> Column:
-    """struct(role, department, level) of a title: exact, then containment either way, then keywords."""
-    t = F.lower(F.trim(title))
-
-    def row(role: str, department: str, level: int) -> Column:
-        return F.struct(F.lit(role).alias("role"), F.lit(department).alias("department"), F.lit(level).alias("level"))
-
-    out = F.when(t.isNull() | (t == ""), None)
-    for pattern, *target in K.ROLE_MAP:
-        out = out.when(t == pattern, row(*target))
-    for pattern, *target in K.ROLE_MAP:
-        out = out.when(t.contains(pattern) | F.lit(pattern).contains(t), row(*target))
-    for words, *target in K.ROLE_KEYWORDS:
-        cond = F.lit(True)
-        for word in words:
-            cond = cond & t.contains(word)
-        out = out.when(cond, row(*target))
-    return out
+    """struct(role, department, level) of a title: exact, then containment either way, then keywords.
+
+    The tables are literals and the title is looked up by position, which keeps
+    the expression small however often it is used.
+    """
+    def row(entry) -> Column:
+        return F.struct(F.lit(entry[1]).alias("role"), F.lit(entry[2]).alias("department"), F.lit(entry[3]).alias("level"))
+
+    rows = F.array(*[row(e) for e in K.ROLE_MAP + K.ROLE_KEYWORDS])
+    exact: dict[str, int] = {}
+    for i, e in enumerate(K.ROLE_MAP):
+        exact.setdefault(e[0], i)
+    equal = F.create_map(*[F.lit(v) for pair in exact.items() for v in pair])
+    patterns = F.array(*[F.lit(e[0]) for e in K.ROLE_MAP])
+
+    def position(t: Column) -> Column:
+        inside = F.array_position(F.transform(patterns, lambda p: t.contains(p) | p.contains(t)), F.lit(True))
+        words = None
+        for i, (needed, *_) in enumerate(K.ROLE_KEYWORDS):
+            cond = t.contains(needed[0])
+            for w in needed[1:]:
+                cond = cond & t.contains(w)
+            at = F.lit(len(K.ROLE_MAP) + i)
+            words = F.when(cond, at) if words is None else words.when(cond, at)
+        return F.when(t != "", F.coalesce(F.try_element_at(equal, t), F.nullif(inside, F.lit(0)).cast("int") - 1, words))
+
+    return F.get(rows, let(F.lower(F.trim(title)), position))
 
 
 def role_of_title(title: str) -> tuple[str, str, int] | None:

@@ -6,8 +6,6 @@ and never start a Python worker.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,18 +17,32 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def any_word(text: Column, words: list[str]) -> Column:
-    """True when the text contains one of the words, in any case (substring match in one pass)."""
-    return text.rlike("(?i)" + "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words))
+def _any_of(low: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for word in words:
+        out = out | low.contains(word)
+    return out
+
+
+def any_word(text: Column, words: list[str], lowered: bool = False) -> Column:
+    """True when the lower-cased text contains one of the words (substring match).
 
+    ``lowered`` says that the column is lower case already; the test is then
+    plain generated code.
+    """
+    return _any_of(text, words) if lowered else let(F.lower(text), lambda low: _any_of(low, words))
 
-def first_group(text: Column, groups: list[tuple[str, list[str]]], default: str) -> Column:
+
+def first_group(text: Column, groups: list[tuple[str, list[str]]], default: str, lowered: bool = False) -> Column:
     """Label of the first word group that hits the text."""
-    out = None
-    for label, words in groups:
-        cond = any_word(text, words)
-        out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
-    return out.otherwise(F.lit(default))
+    def label(low: Column) -> Column:
+        out = None
+        for name, words in groups:
+            cond = _any_of(low, words)
+            out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
+        return out.otherwise(F.lit(default))
+
+    return label(text) if lowered else let(F.lower(text), label)
 
 
 def find(text: Column, pattern: str, group: int = 1) -> Column:

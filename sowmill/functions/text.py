@@ -84,19 +84,25 @@ def _allowed(value: Column, banned: list[str]) -> Column:
     return let(value, lambda v: F.when(~any_word(v, banned), v)) if banned else value
 
 
+def _first_of(text: Column, tries: list[tuple[str, object]]) -> Column:
+    """First try with a value; a try runs its patterns only where its literal word occurs at all."""
+    return let(F.lower(text), lambda low: F.coalesce(*[F.when(low.contains(word), value) for word, value in tries]))
+
+
 def client_name(text: Column, own_names: list[str] | None = None) -> Column:
     """Client by contract wording, then by label; own-side words and names are skipped."""
-    banned = W["client_name"]["exclusion_patterns"] + [n.lower() for n in own_names or []]
+    wording = W["client_name"]
+    banned = wording["exclusion_patterns"] + [n.lower() for n in own_names or []]
     stop = r"(?:\s+and\s+|\s+vs\.?\s+|\s+versus\s+|\s+\(|\s*\z)"
-    tries = [find(text, rf"(?i){w}\s+([^,]+?){stop}") for w in W["client_name"]["contract_indicators"]]
-    tries += [find(text, rf"(?i){w}\s*:?\s*([^\n\r]+)") for w in W["client_name"]["label_indicators"]]
-    return F.coalesce(*[_allowed(F.trim(t), banned) for t in tries])
+    tries = [(w, find(text, rf"(?i){w}\s+([^,]+?){stop}")) for w in wording["contract_indicators"]]
+    tries += [(w, find(text, rf"(?i){w}\s*:?\s*([^\n\r]+)")) for w in wording["label_indicators"]]
+    return _first_of(text, [(w, _allowed(F.trim(t), banned)) for w, t in tries])
 
 
 def project_title(text: Column) -> Column:
     wording = W["project_title"]
-    return F.coalesce(*[_allowed(F.trim(find(text, rf"(?i){w}\s*:?\s*([^\n\r]+)")), wording["exclusion_patterns"])
-                        for w in wording["title_indicators"]])
+    return _first_of(text, [(w, _allowed(F.trim(find(text, rf"(?i){w}\s*:?\s*([^\n\r]+)")), wording["exclusion_patterns"]))
+                            for w in wording["title_indicators"]])
 
 
 def _value_after(text: Column, lead: str, patterns: list[str]) -> Column:
@@ -106,8 +112,8 @@ def _value_after(text: Column, lead: str, patterns: list[str]) -> Column:
 
 def _date_after(text: Column, field: str) -> Column:
     wording = W[field]
-    leads = wording["context_patterns"] + [w + r"\s*:?" for w in wording["primary_indicators"]]
-    return F.coalesce(*[_value_after(text, lead, wording["date_formats"]) for lead in leads])
+    leads = [(w, w) for w in wording["context_patterns"]] + [(w, w + r"\s*:?") for w in wording["primary_indicators"]]
+    return _first_of(text, [(w, _value_after(text, lead, wording["date_formats"])) for w, lead in leads])
 
 
 def start_date(text: Column) -> Column:
@@ -120,8 +126,8 @@ def end_date(text: Column) -> Column:
 
 def project_length_text(text: Column) -> Column:
     wording = W["project_length"]
-    return F.coalesce(*[_value_after(text, w + r"\s*:?", wording["duration_patterns"])
-                        for w in wording["duration_indicators"]])
+    return _first_of(text, [(w, _value_after(text, w + r"\s*:?", wording["duration_patterns"]))
+                            for w in wording["duration_indicators"]])
 
 
 def section_after(text: Column, header: str, end: str = SECTION_END) -> Column:
@@ -135,18 +141,20 @@ def scope_summary(text: Column) -> Column:
         return let(F.trim(section_after(text, header, SECTION_END + r"|\n\d+\.")), lambda s: F.when(
             F.length(s) > 500, F.concat(F.substring(s, 1, 500), F.lit("..."))).when(F.length(s) > 50, s))
 
-    return F.coalesce(*[guarded(h) for h in W["scope_summary"]["section_headers"]])
+    return _first_of(text, [(h, guarded(h)) for h in W["scope_summary"]["section_headers"]])
 
 
 def _sections(text: Column, headers: list[str]) -> Column:
-    return F.array_compact(F.array(*[section_after(text, h) for h in headers]))
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[
+        F.when(low.contains(h), section_after(text, h)) for h in headers])))
 
 
 def _list_items(text: Column, field: str) -> Column:
     marks = W[field]["list_indicators"]
 
     def items(section: Column) -> Column:
-        found = F.flatten(F.array(*[all_of(section, re.escape(m) + r"\s*([^\n\r]+)") for m in marks]))
+        found = F.flatten(F.array_compact(F.array(*[
+            F.when(section.contains(m), all_of(section, re.escape(m) + r"\s*([^\n\r]+)")) for m in marks])))
         return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) > 10)
 
     return F.flatten(F.transform(_sections(text, W[field]["section_headers"]), items))

@@ -172,40 +172,53 @@ def synthesize_roles(project_type: Column, complexity: Column) -> Column:
 # --- rules -----------------------------------------------------------------------------------------
 
 
-def _change(df: DataFrame, body: Callable[[Column], Column]) -> DataFrame:
-    return df.withColumn("roles", let(F.col("roles"), body))
+Body = Callable[[Column, Column, Column], Column]  # (roles, project type, complexity) -> roles
 
 
-def _move_or_add(df: DataFrame, match: Callable[[Column], Column], to: int, pct: float, added: Column, when: Column) -> DataFrame:
+def _run(df: DataFrame, *bodies: Body) -> DataFrame:
+    """Apply rule bodies one after the other; roles and plan features are bound once for all of them."""
+    context = F.struct(F.col("roles").alias("roles"), F.col("project_type").alias("kind"), F.col("complexity").alias("level"))
+
+    def chain(x: Column) -> Column:
+        def step(roles: Column, rest: tuple[Body, ...]) -> Column:
+            return let(rest[0](roles, x["kind"], x["level"]), lambda r: step(r, rest[1:])) if rest else roles
+
+        return step(x["roles"], bodies)
+
+    return df.withColumn("roles", let(context, chain))
+
+
+def _move_or_add(match: Callable[[Column], Column], to: int, pct: float, added: Column,
+                 when: Callable[[Column], Column]) -> Body:
     """The first matching original role gets the share and the front place; without one a role is added."""
-    def body(roles: Column) -> Column:
+    def body(roles: Column, kind: Column, level: Column) -> Column:
         first = F.array_min(F.transform(F.filter(roles, lambda r: r["original"] & match(r)), lambda r: r["ord"]))
 
         def moved(f: Column) -> Column:
             return F.when(f.isNull(), F.concat(roles, F.array(added))).otherwise(F.transform(roles, lambda r: F.when(
                 r["ord"] == f, r.withField("ord", F.lit(to)).withField("pct", F.lit(pct))).otherwise(r)))
 
-        return F.when(when, let(first, moved)).otherwise(roles)
+        return F.when(when(level), let(first, moved)).otherwise(roles)
 
-    return _change(df, body)
+    return body
 
 
-def rule_creative_director(df: DataFrame) -> DataFrame:
+def _creative_director() -> Body:
     match = lambda r: F.coalesce(r["role"] == "vp_creative_director", F.lit(False)) | any_word(r["title"], ["creative director"])
     added = _added(1, "Creative Director", K.PLANNING_CREATIVE, "vp_creative_director", 6, K.CREATIVE_DIRECTOR_PCT, 1.0,
                    "Creative oversight and direction", "business_rule", "Creative Director always pre-allocated at 5%")
-    return _move_or_add(df, match, 1, K.CREATIVE_DIRECTOR_PCT, added, F.lit(True))
+    return _move_or_add(match, 1, K.CREATIVE_DIRECTOR_PCT, added, lambda level: F.lit(True))
 
 
-def rule_executive(df: DataFrame) -> DataFrame:
+def _executive() -> Body:
     match = lambda r: F.coalesce(r["level"].isin(7, 8) & r["role"].isin("vice_president", "sr_vice_president"), F.lit(False))
     added = _added(2, "Vice President - Executive Oversight", K.CLIENT_SERVICES, "vice_president", 7, K.OVERSIGHT_PCT, 1.0,
                    "Executive oversight and strategic guidance", "business_rule", "L7/L8 leaders allocated for oversight at 5%")
-    return _move_or_add(df, match, 2, K.OVERSIGHT_PCT, added, F.col("complexity").isin("complex", "enterprise"))
+    return _move_or_add(match, 2, K.OVERSIGHT_PCT, added, lambda level: level.isin("complex", "enterprise"))
 
 
-def _scale(df: DataFrame, member: Callable[[Column], Column], factor: Callable[[Column], Column], field: Callable[[Column], Column],
-           text: Callable[[Column, Column, Column], Column], cap: float | None = None, section: str = SECTION) -> DataFrame:
+def _scale(member: Callable[[Column], Column], factor: Callable[[Column, Column], Column], field: Callable[[Column], Column],
+           text: Callable[[Column, Column, Column], Column], cap: float | None = None, section: str = SECTION) -> Body:
     """Scale the shares of the members by a factor of their total; null means no change."""
     zero = F.lit(0.0)
 
@@ -217,33 +230,34 @@ def _scale(df: DataFrame, member: Callable[[Column], Column], factor: Callable[[
 
         return let(F.least(r["pct"] * f, F.lit(cap)) if cap is not None else r["pct"] * f, with_share)
 
-    def body(roles: Column) -> Column:
+    def body(roles: Column, kind: Column, level: Column) -> Column:
         total = F.aggregate(F.filter(roles, member), zero, lambda a, r: a + F.coalesce(r["pct"], zero))
         change = lambda t, f: F.transform(roles, lambda r: F.when(
             member(r) & (F.coalesce(r["pct"], zero) != 0), scaled(r, t, f)).otherwise(r))
-        return let(total, lambda t: let(factor(t), lambda f: F.when(f.isNull(), roles).otherwise(change(t, f))))
+        return let(total, lambda t: let(factor(t, kind), lambda f: F.when(f.isNull(), roles).otherwise(change(t, f))))
 
-    return _change(df, body)
+    return body
 
 
 def _in_department(name: str) -> Callable[[Column], Column]:
     return lambda r: r["original"] & F.coalesce(r["department"] == name, F.lit(False))
 
 
-def rule_sponsorship(df: DataFrame) -> DataFrame:
+def _sponsorship() -> tuple[Body, Body]:
     """Sponsorship roles of a sponsorship project: 25 percent together, then 50 each."""
     strategy = _in_department(K.STRATEGY)
     member = lambda r: strategy(r) & (any_word(r["title"], ["sponsorship"]) | F.coalesce(
         r["role"].isin("director_sponsorship_strategy", "manager_sponsorship_strategy"), F.lit(False)))
-    ours = F.col("project_type") == "sponsorship_activation"
+    ours = lambda kind: kind == "sponsorship_activation"
     together = _scale(
-        df, member, lambda t: F.when(ours & (t > K.SPONSORSHIP_CLIENT_PCT), K.SPONSORSHIP_CLIENT_PCT / t),
+        member, lambda t, kind: F.when(ours(kind) & (t > K.SPONSORSHIP_CLIENT_PCT), K.SPONSORSHIP_CLIENT_PCT / t),
         lambda t: F.lit("sponsorship_limit_applied"),
         lambda old, new, t: F.concat(F.lit("Adjusted from "), percent_text(old), F.lit(" to "), percent_text(new),
-                                  F.lit(" due to 25% client limit")))
+                                     F.lit(" due to 25% client limit")))
     over = lambda r: member(r) & (F.coalesce(r["pct"], F.lit(0.0)) > K.SPONSORSHIP_PERSON_PCT)
-    return _scale(together, over, lambda t: F.when(ours & (t > 0), F.lit(1.0)), lambda t: F.lit("sponsorship_person_limit_applied"),
+    each = _scale(over, lambda t, kind: F.when(ours(kind) & (t > 0), F.lit(1.0)), lambda t: F.lit("sponsorship_person_limit_applied"),
                   lambda old, new, t: F.lit("Adjusted to 50.0% due to 50% person limit"), cap=K.SPONSORSHIP_PERSON_PCT)
+    return together, each
 
 
 def _range_text(low: str, high: str, low_floor: float):
@@ -253,28 +267,28 @@ def _range_text(low: str, high: str, low_floor: float):
             f" to meet {high} maximum FTE requirement"))
 
 
-def _range_factor(low: float, high: float) -> Callable[[Column], Column]:
-    return lambda t: F.when(t < low, F.when(t > 0, low / t).otherwise(1.0)).when(t > high, high / t)
+def _range_factor(low: float, high: float) -> Callable[[Column, Column], Column]:
+    return lambda t, kind: F.when(t < low, F.when(t > 0, low / t).otherwise(1.0)).when(t > high, high / t)
 
 
-def rule_client_services(df: DataFrame) -> DataFrame:
+def _client_services() -> Body:
     low, high = K.CLIENT_SERVICES_MIN, K.CLIENT_SERVICES_MAX
     name = lambda t: F.when(t < low, "client_services_minimum_applied").otherwise("client_services_maximum_applied")
-    return _scale(df, _in_department(K.CLIENT_SERVICES), _range_factor(low, high), name, _range_text("75%", "100%", low), cap=high)
+    return _scale(_in_department(K.CLIENT_SERVICES), _range_factor(low, high), name, _range_text("75%", "100%", low), cap=high)
 
 
-def rule_experiences(df: DataFrame) -> DataFrame:
-    ours = F.col("project_type").isin("event_management", "hospitality_program")
-    factor = lambda t: F.when(ours & (t < K.EXPERIENCES_FLOOR), F.when(t > 0, K.EXPERIENCES_PCT / t).otherwise(1.0))
-    return _scale(df, _in_department(K.PRODUCTION), factor, lambda t: F.lit("experiences_hospitality_target_applied"),
+def _experiences() -> Body:
+    ours = lambda kind: kind.isin("event_management", "hospitality_program")
+    factor = lambda t, kind: F.when(ours(kind) & (t < K.EXPERIENCES_FLOOR), F.when(t > 0, K.EXPERIENCES_PCT / t).otherwise(1.0))
+    return _scale(_in_department(K.PRODUCTION), factor, lambda t: F.lit("experiences_hospitality_target_applied"),
                   lambda old, new, t: F.concat(F.lit("Adjusted to "), percent_text(new),
                                             F.lit(" to meet ~100% FTE target for experiences/hospitality")))
 
 
-def rule_creative(df: DataFrame) -> DataFrame:
+def _creative() -> Body:
     low, high = K.CREATIVE_MIN, K.CREATIVE_MAX
     name = lambda t: F.when(t < low, "creative_minimum_applied").otherwise("creative_maximum_applied")
-    return _scale(df, _in_department(K.PLANNING_CREATIVE), _range_factor(low, high), name, _range_text("5%", "25%", low), cap=high)
+    return _scale(_in_department(K.PLANNING_CREATIVE), _range_factor(low, high), name, _range_text("5%", "25%", low), cap=high)
 
 
 def _scope(strict_order: bool) -> Callable[[Column], Column]:
@@ -282,7 +296,7 @@ def _scope(strict_order: bool) -> Callable[[Column], Column]:
     return lambda r: F.lit(True) if strict_order else r["ord"] < PENDING
 
 
-def rule_min_pod(df: DataFrame, strict_order: bool = True) -> DataFrame:
+def _min_pod(strict_order: bool) -> Body:
     """At least four people: account manager, senior executive and executive fill the pod in this order."""
     inside = _scope(strict_order)
     why = "Added to meet minimum pod size of 4 employees"
@@ -291,7 +305,7 @@ def rule_min_pod(df: DataFrame, strict_order: bool = True) -> DataFrame:
     senior = filler(4, "Senior Account Executive", "sr_account_executive", 2, 20.0, "Account coordination and project support")
     junior = filler(5, "Account Executive", "account_executive", 1, 15.0, "Project coordination and administrative support")
 
-    def body(roles: Column) -> Column:
+    def body(roles: Column, kind: Column, level: Column) -> Column:
         has = lambda role: F.exists(roles, lambda r: inside(r) & F.coalesce(r["role"] == role, F.lit(False)))
         need = F.lit(K.MIN_POD) - F.size(F.filter(roles, inside))
 
@@ -307,26 +321,61 @@ def rule_min_pod(df: DataFrame, strict_order: bool = True) -> DataFrame:
 
         return let(need, fill)
 
-    return _change(df, body)
+    return body
 
 
-def rule_final_cap(df: DataFrame, strict_order: bool = True) -> DataFrame:
+def _final_cap(strict_order: bool) -> Body:
     inside, high = _scope(strict_order), K.CLIENT_SERVICES_MAX
     member = lambda r: inside(r) & F.coalesce(r["department"] == K.CLIENT_SERVICES, F.lit(False))
-    return _scale(df, member, lambda t: F.when(t > high, high / t), lambda t: F.lit("final_client_services_adjustment"),
+    return _scale(member, lambda t, kind: F.when(t > high, high / t), lambda t: F.lit("final_client_services_adjustment"),
                   lambda old, new, t: F.concat(F.lit("Final adjustment to "), percent_text(new),
                                             F.lit(" to meet 100% maximum FTE requirement")), section=SECTION + " - Final Check")
 
 
+# --- rules as plan transforms -----------------------------------------------------------------------
+
+
+def rule_creative_director(df: DataFrame) -> DataFrame:
+    return _run(df, _creative_director())
+
+
+def rule_executive(df: DataFrame) -> DataFrame:
+    return _run(df, _executive())
+
+
+def rule_sponsorship(df: DataFrame) -> DataFrame:
+    return _run(df, *_sponsorship())
+
+
+def rule_client_services(df: DataFrame) -> DataFrame:
+    return _run(df, _client_services())
+
+
+def rule_experiences(df: DataFrame) -> DataFrame:
+    return _run(df, _experiences())
+
+
+def rule_creative(df: DataFrame) -> DataFrame:
+    return _run(df, _creative())
+
+
+def rule_min_pod(df: DataFrame, strict_order: bool = True) -> DataFrame:
+    return _run(df, _min_pod(strict_order))
+
+
+def rule_final_cap(df: DataFrame, strict_order: bool = True) -> DataFrame:
+    return _run(df, _final_cap(strict_order))
+
+
 def apply_rules(df: DataFrame, strict_order: bool = True) -> DataFrame:
     """All rules in their fixed order; moved and added roles come first.
 
     With ``strict_order=False`` pod size and final cap look only at the roles
     moved or added so far, which lets a plan end above the cap.
     """
-    out = rule_creative(rule_experiences(rule_client_services(rule_sponsorship(rule_executive(rule_creative_director(df))))))
-    out = rule_final_cap(rule_min_pod(out, strict_order), strict_order)
-    return out.withColumn("roles", F.array_sort("roles"))
+    in_order = lambda roles, kind, level: F.array_sort(roles)
+    return _run(df, _creative_director(), _executive(), *_sponsorship(), _client_services(), _experiences(), _creative(),
+                _min_pod(strict_order), _final_cap(strict_order), in_order)
 
 
 def with_financials(df: DataFrame, fte: str = "total_fte") -> DataFrame:
