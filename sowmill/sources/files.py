@@ -27,7 +27,7 @@ def parse_sow_json(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def read_sow_json(spark: SparkSession, path: str, corrupt: bool = False) -> DataFrame:
     """Records of all ``*.json`` files of a folder, one object per file; unreadable ones are skipped."""
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    files = (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
              .withColumn("_file", F.col("_metadata.file_name")))
     parsed = parse_sow_json(files, "value", ["_file"])
     parsed = parsed.withColumn("file_name", F.coalesce("file_name", "_file"))
@@ -37,7 +37,7 @@ def read_sow_json(spark: SparkSession, path: str, corrupt: bool = False) -> Data
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(file, text), one row per file."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    return (spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
 
 
