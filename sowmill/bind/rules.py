@@ -30,8 +30,8 @@ def spread(df):
 
 
 _CX = "CASE sow_key % 4 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(K.COMPLEXITIES)) + " END"
-PLANS = (f"pq AS (SELECT sow_key, {TYPE.replace('low', 'lower(theme)')} AS ptype, {_CX} AS cx FROM sow_base), "
-         f"p0 AS (SELECT l.sow_key, 99 + seq AS ord, title, {role_sql('lower(title)', 2)} AS department, {role_sql('lower(title)', 1)} AS role, "
+PLANS = (f"pq AS MATERIALIZED (SELECT sow_key, {TYPE.replace('low', 'lower(theme)')} AS ptype, {_CX} AS cx FROM sow_base), "
+         f"p0 AS MATERIALIZED (SELECT l.sow_key, 99 + seq AS ord, title, {role_sql('lower(title)', 2)} AS department, {role_sql('lower(title)', 1)} AS role, "
          f"{role_sql('lower(title)', 3)} AS level, pct, true AS original, 0 AS audits, ptype, cx FROM ln l JOIN pq USING (sow_key))")
 COLS = "sow_key, ord, title, department, role, level, pct, original, audits, ptype, cx"
 OUT = "SELECT sow_key, title, level, CAST(floor(pct * 1e4 + 0.5) AS BIGINT) AS pct_e4, audits FROM "
@@ -92,7 +92,7 @@ def chain_sql(first: str = "p0", strict: bool = True) -> str:
         scale_sql("r3", SPONSOR, SP_F2, "50.0"), scale_sql("r4", dept("client_services"), CS_F, "100.0"),
         scale_sql("r5", dept("integrated_production_experiences"), EXP_F), scale_sql("r6", dept("planning_creative"), CR_F, "25.0"),
         pod_sql("r7", scope), scale_sql("r8", f"({scope} AND department = 'client_services')", CAP_F)]
-    return ", ".join(f"r{i + 1} AS ({s})" for i, s in enumerate(steps))
+    return ", ".join(f"r{i + 1} AS MATERIALIZED ({s})" for i, s in enumerate(steps))
 
 
 # --- rule tables over the requirements of each text --------------------------------------------------------
@@ -242,7 +242,7 @@ def ru17(spark, sf_dir):
 
 
 # requirement rows as plans for the same chain
-TEXT_PLANS = REQ + ", " + SYNTH + (", pq AS (SELECT sow_key, project_type AS ptype, complexity AS cx FROM req), p0 AS (SELECT sow_key, 100 + ord AS ord, title, "
+TEXT_PLANS = REQ + ", " + SYNTH + (", pq AS MATERIALIZED (SELECT sow_key, project_type AS ptype, complexity AS cx FROM req), p0 AS MATERIALIZED (SELECT sow_key, 100 + ord AS ord, title, "
                                    "department, role, level, pct, true AS original, 1 AS audits, project_type AS ptype, complexity AS cx FROM syn)")
 
 
