@@ -25,7 +25,7 @@ def plans(spark, sf_dir):
 def spread(df):
     """Roles as rows; shares in ten-thousandths. The outer form keeps Spark from testing the roles twice."""
     return (df.select("sow_key", F.explode_outer("roles").alias("r")).where(F.col("r").isNotNull())
-            .select("sow_key", "r.title", "r.level", F.floor(F.col("r.pct") * 1e4 + 0.5).cast("long").alias("pct_e4"),
+            .select("sow_key", "r.title", "r.level", F.floor(F.col("r.pct") * 1e4 + 0.500001).cast("long").alias("pct_e4"),
                     F.size("r.audit").alias("audits")))
 
 
@@ -34,7 +34,7 @@ PLANS = (f"pq AS MATERIALIZED (SELECT sow_key, {TYPE.replace('low', 'lower(theme
          f"p0 AS MATERIALIZED (SELECT l.sow_key, 99 + seq AS ord, title, {role_sql('lower(title)', 2)} AS department, {role_sql('lower(title)', 1)} AS role, "
          f"{role_sql('lower(title)', 3)} AS level, pct, true AS original, 0 AS audits, ptype, cx FROM ln l JOIN pq USING (sow_key))")
 COLS = "sow_key, ord, title, department, role, level, pct, original, audits, ptype, cx"
-OUT = "SELECT sow_key, title, level, CAST(floor(pct * 1e4 + 0.5) AS BIGINT) AS pct_e4, audits FROM "
+OUT = "SELECT sow_key, title, level, CAST(floor(pct * 1e4 + 0.500001) AS BIGINT) AS pct_e4, audits FROM "
 
 
 def move_sql(prev: str, match: str, to: int, added: str, when: str = "true") -> str:
@@ -193,7 +193,7 @@ SYNTH = (f"rec AS (SELECT sow_key, r.title, r.ord, (r.low + r.high) / 2.0 AS mid
          f"ON d.kind = {KNOWN} AND d.cx = complexity AND d.dep = {role_sql('lower(title)', 2)})")
 
 
-@query("ru07_synthesize_roles", B.sql("SELECT sow_key, title, level, CAST(floor(pct * 1e4 + 0.5) AS BIGINT) AS pct_e4, 1 AS audits FROM syn",
+@query("ru07_synthesize_roles", B.sql("SELECT sow_key, title, level, CAST(floor(pct * 1e4 + 0.500001) AS BIGINT) AS pct_e4, 1 AS audits FROM syn",
                                       REQ + ", " + SYNTH))
 def ru07(spark, sf_dir):
     roles = U.synthesize_roles(F.col("project_type"), F.col("complexity"))
@@ -351,7 +351,7 @@ _COMBINED = TEXT_PLANS + ", " + chain_sql() + ", " + _EXTRA + """, cb AS (
     SELECT 1 FROM r9 r WHERE r.sow_key = e.sow_key AND lower(r.title) = lower(e.title)))"""
 
 
-@query("ru23_combine_plans", B.sql("SELECT sow_key, title, level, CAST(floor(pct * 1e4 + 0.5) AS BIGINT) AS pct_e4 FROM cb", _COMBINED))
+@query("ru23_combine_plans", B.sql("SELECT sow_key, title, level, CAST(floor(pct * 1e4 + 0.500001) AS BIGINT) AS pct_e4 FROM cb", _COMBINED))
 def ru23(spark, sf_dir):
     return spread(P.combine_plans(extracted(spark, sf_dir), recommended(spark, sf_dir), "sow_key")).drop("audits")
 

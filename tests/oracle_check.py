@@ -57,8 +57,7 @@ def compare(spark, con, fn, sql, sf_dir):
     if sorted(names) != sorted(df.columns):
         return got, want, f"columns {sorted(df.columns)} != {sorted(names)}"
     if got != want:
-        extra = [g for g in got if g not in set(want)][:2]
-        missing = [w for w in want if w not in set(got)][:2]
+        extra, missing = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
         return got, want, f"rows {len(got)} vs {len(want)}; only spark {extra}; only sql {missing}"
     return got, want, ""
 
