@@ -70,7 +70,7 @@ SP_F2 = "CASE WHEN ptype = 'sponsorship_activation' AND t > 0 AND pct > 50 THEN
 CS_F = "CASE WHEN t < 75 THEN CASE WHEN t > 0 THEN 75 / t ELSE 1.0 END WHEN t > 100 THEN 100 / t END"
 EXP_F = "CASE WHEN ptype IN ('event_management', 'hospitality_program') AND t < 80 THEN CASE WHEN t > 0 THEN 100 / t ELSE 1.0 END END"
 CR_F = "CASE WHEN t < 5 THEN CASE WHEN t > 0 THEN 5 / t ELSE 1.0 END WHEN t > 25 THEN 25 / t END"
-CAP_F = "CASE WHEN t > 100 THEN 100 / t END"
+CAP_F = "CASE WHEN round(t, 6) > 100 THEN 100 / t END"
 
 
 def pod_sql(prev: str, scope: str = "true") -> str:

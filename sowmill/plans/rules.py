@@ -327,7 +327,7 @@ def _min_pod(strict_order: bool) -> Body:
 def _final_cap(strict_order: bool) -> Body:
     inside, high = _scope(strict_order), K.CLIENT_SERVICES_MAX
     member = lambda r: inside(r) & F.coalesce(r["department"] == K.CLIENT_SERVICES, F.lit(False))
-    return _scale(member, lambda t, kind: F.when(t > high, high / t), lambda t: F.lit("final_client_services_adjustment"),
+    return _scale(member, lambda t, kind: F.when(F.round(t, 6) > high, high / t), lambda t: F.lit("final_client_services_adjustment"),
                   lambda old, new, t: F.concat(F.lit("Final adjustment to "), percent_text(new),
                                             F.lit(" to meet 100% maximum FTE requirement")), section=SECTION + " - Final Check")
 
