@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sowmill.llm import packing
+from sowmill.llm import language, packing, quality, secrets
 from sowmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens."""
     docs = table(spark, sf_dir, "documents")
     return packing.piece_digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op2_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the folds that are not held out."""
+    return language.identify_held_out(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality counts and the divergence verdict of every document."""
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
