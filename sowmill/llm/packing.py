@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ class WordEncoder:
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while self.words + len(part) > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[base:total] = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=total - int(base))
+            self.ids[base:total] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=total - int(base))
             self.ends[self.words:self.words + len(part)] = base + np.cumsum(lengths)
             self.code.update(zip(part, range(self.words, self.words + len(part)), strict=True))
             self.words += len(part)
@@ -89,7 +90,8 @@ class WordEncoder:
             out[i] = ids
         if parts:
             before = self.words
-            self._learn(list(set(parts).difference(self.code)))
+            new = list(set(parts).difference(self.code))
+            self._learn(new)
             codes = np.fromiter(map(self.code.__getitem__, parts), dtype=np.int64, count=len(parts))
             ends = self.ends[codes]
             lengths = ends - np.where(codes > 0, self.ends[codes - 1], 0)
@@ -99,9 +101,9 @@ class WordEncoder:
             for i, a, b in zip(at, np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
                 out[i] = flat[a:b]
             if self.words > self.most:
-                keep = max(before, 0) if before <= self.most else 0
-                self.code = {w: c for w, c in self.code.items() if c < keep}
-                self.words = keep
+                for word in new:
+                    del self.code[word]
+                self.words = before
         return out
 
 
