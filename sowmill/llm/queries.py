@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sowmill.llm import html, language, packing, quality, secrets, toxicity
+from sowmill.llm import decontaminate, html, language, packing, quality, secrets, toxicity
 from sowmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+@query("op1_decontaminate")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, with their windows."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_language")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the folds that are not held out."""
