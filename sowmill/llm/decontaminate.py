@@ -1,6 +1,7 @@
 """Benchmark passages in texts, by SimHash over windows of the size of an item.
 
-Texts and items are lower-cased runs of letters and digits. A window is as long
+Texts and items are lower-cased words; ASCII characters other than letters and
+digits part them. A window is as long
 as an item; it is described by its five-word shingles (an item of fewer words
 by itself), weighted by how rare they are in the benchmark. Windows and items
 get 64-bit SimHash fingerprints. The fingerprints of the items of one length
@@ -16,7 +17,6 @@ over; a lookup of shingle hashes tells them.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import combinations
@@ -37,17 +37,13 @@ RADIUS, BLOCKS = 19, 5
 #: Text bytes of the items that one broadcast holds at most; a larger benchmark is searched in several passes.
 PASS_BYTES = 32 << 20
 
-_WORD = re.compile(r"[^\W_]+")
+_PARTING = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
-
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+def words_of(text: str | None) -> list[bytes]:
+    return text.lower().encode("utf-8", "replace").translate(_PARTING).split() if text else []
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -124,7 +120,7 @@ class Benchmark:
     """Items of one pass, by length, with their fingerprints and shingle weights."""
 
     def __init__(self, items: list[tuple], radius: int = RADIUS, blocks: int = BLOCKS):
-        worded = [(key, np.array([word_hash(w) for w in words_of(text)], dtype=np.uint64)) for key, text in items]
+        worded = [(key, np.array([xxhash.xxh64_intdigest(w) for w in words_of(text)], dtype=np.uint64)) for key, text in items]
         worded = [(key, words) for key, words in worded if len(words)]
         described = [(key, len(words), shingle_hashes(words, min(SHINGLE, len(words)))) for key, words in worded]
         seen = Counter(s for _, _, shingles in described for s in set(shingles.tolist()))
@@ -194,7 +190,7 @@ class Benchmark:
         flat = [w for p in parts for w in p]
         if not flat or not self.groups:
             return
-        hashes = {w: word_hash(w) for w in set(flat)}
+        hashes = {w: xxhash.xxh64_intdigest(w) for w in set(flat)}
         words = np.fromiter(map(hashes.__getitem__, flat), dtype=np.uint64, count=len(flat))
         ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
         seeds: dict[int, dict[int, list[int]]] = {}
