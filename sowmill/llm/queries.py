@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sowmill.llm import decontaminate, html, language, packing, quality, secrets, toxicity
+from sowmill.llm import decontaminate, html, language, packing, quality, secrets, similar, toxicity
 from sowmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from labelled rows that are not held out."""
     return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_similar_texts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 of 100 four-word shingles."""
+    return similar.similar_components(table(spark, sf_dir, "documents"))
