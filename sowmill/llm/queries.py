@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sowmill.llm import decontaminate, html, language, packing, quality, secrets, similar, toxicity
+from sowmill.llm import decontaminate, html, language, packing, quality, scoring, secrets, similar, toxicity
 from sowmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 of 100 four-word shingles."""
     return similar.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_model")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and interpolated log10 probabilities of every document."""
+    return scoring.score_documents(table(spark, sf_dir, "documents"))
