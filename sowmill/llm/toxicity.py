@@ -117,21 +117,14 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][at] + below) / 2)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 6000, dictionary_rows: int = 400,
-        contrast: float = 40.0) -> Model | None:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", dictionary_rows: int = 400, contrast: float = 40.0) -> Model | None:
     """Train dictionaries and calibration; None without rows of both classes.
 
-    ``labelled`` has a text and a 0/1 label; rows with a null in one of them
-    are left out. Fits on about ``rows_per_class`` whole texts of each class,
-    drawn by a hash of the text. Toxic wording is what ``contrast`` times as
-    many toxic as ordinary texts of that sample hold.
+    ``labelled`` has a text and a 0/1 label, in a bounded number of rows (see
+    ``training_rows``); rows with a null in one of them are left out. Toxic
+    wording is what ``contrast`` times as many toxic as ordinary texts hold.
     """
-    rows = keyed(labelled, text_col, label_col).where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
-    sizes = {int(r[label_col]): r["count"] for r in rows.groupBy(label_col).count().collect()}
-    if len(sizes) < 2:
-        return None
-    place = F.pmod(F.xxhash64(text_col), F.lit(1_000_003)) / 1_000_003.0
-    sample = rows.where(place < F.when(F.col(label_col) == 1, min(1.0, rows_per_class / sizes[1])).otherwise(min(1.0, rows_per_class / sizes[0]))).persist()
+    sample = keyed(labelled, text_col, label_col).where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).persist()
     try:
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, text_col):
@@ -209,11 +202,15 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4,
-                  held: int = 2) -> DataFrame:
-    """Text and label of labelled rows outside the held-out fold."""
+                  held: int = 2, rows_per_class: int = 6000) -> DataFrame:
+    """Text and label of labelled rows outside the held-out fold, at most ``rows_per_class`` labels of each class, drawn by a hash of the key.
+
+    The labels drawn have that bound, so they go to the documents as a broadcast and no text is shuffled.
+    """
     marked = labels.where(F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != held)).select(F.col(id_col).alias("labelled"), F.col(label_col).alias("label"))
-    texts = keyed(docs, id_col, text_col).where(fold(F.col(id_col), folds) != held)
-    return texts.join(marked, F.col(id_col) == F.col("labelled")).select(F.col(text_col).alias("text"), F.col("label").alias("toxic"))
+    drawn = [marked.where(F.col("label") == value).orderBy(F.xxhash64("labelled"), "labelled").limit(rows_per_class) for value in (0, 1)]
+    return keyed(docs, id_col, text_col).join(F.broadcast(drawn[0].unionByName(drawn[1])), F.col(id_col) == F.col("labelled")) \
+        .select(F.col(text_col).alias("text"), F.col("label").alias("toxic"))
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
