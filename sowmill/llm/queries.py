@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sowmill.llm import decontaminate, html, language, packing, quality, scoring, secrets, similar, toxicity
+from sowmill.llm import decontaminate, html, language, packing, quality, scoring, secrets, similar, substrings, toxicity
 from sowmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(pages, html.learn_weights(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op4_repeated_bytes")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that occur more than once."""
+    return substrings.removal_digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from labelled rows that are not held out."""
