@@ -24,17 +24,25 @@ one class, and classes are joined:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard as zs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sowmill.llm.blocks import merged, packed, packed_sorted, unpacked, unpacked_sorted
 from sowmill.llm.common import checkpointed, chunks, keyed
 from sowmill.llm.components import Forest, components
 
+BLOCK_BYTES = 16 << 20
+#: Text bytes whose heads one range holds, about.
+RANGE_BYTES = 8 << 20
 GROUPS = 32
 SPARE = 2
 HOT = 256
@@ -170,8 +178,17 @@ def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i4").reshape(-1, GROUPS)
+def point_bytes(point: np.ndarray) -> bytes:
+    """A count vector in single bytes, or in four bytes a count if one is over 255."""
+    return point.astype(np.uint8).tobytes() if point.max(initial=0) < 256 else point.astype("<i4").tobytes()
+
+
+def points_of(rows: list[bytes]) -> np.ndarray:
+    out = np.empty((len(rows), GROUPS), dtype=np.int32)
+    small = np.fromiter((len(r) == GROUPS for r in rows), dtype=bool, count=len(rows))
+    out[small] = np.frombuffer(b"".join(r for r in rows if len(r) == GROUPS), dtype=np.uint8).reshape(-1, GROUPS)
+    out[~small] = np.frombuffer(b"".join(r for r in rows if len(r) != GROUPS), dtype="<i4").reshape(-1, GROUPS)
+    return out
 
 
 def in_block_pairs(df: DataFrame, count: Column, member: Column, block: int = BLOCK) -> DataFrame:
@@ -184,80 +201,168 @@ def in_block_pairs(df: DataFrame, count: Column, member: Column, block: int = BL
         .drop("__blocks", "__own", "__other"))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: Threshold) -> DataFrame:
-    """Id, ``n_shingles``, ``class``, its first shingles in hash order (``heads``) and its ``point``."""
+def sketch_blocks(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: Threshold) -> DataFrame:
+    """Documents in blocks: ids, set sizes and classes of all; ``members``, ``n``, ``heads`` (first shingles in hash order) and ``points`` of distinct classes."""
     source = keyed(docs, id_col, text_col)
-    schema = f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_shingles long, class long, heads array<long>, point binary"
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(source.schema[id_col].dataType)), T.StructField("sizes", T.ArrayType(T.LongType())),
+        T.StructField("classes", T.ArrayType(T.LongType())), T.StructField("members", T.BinaryType()), T.StructField("n", T.BinaryType()),
+        T.StructField("heads", T.BinaryType()), T.StructField("points", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col, 8 << 20):
-            sets = shingle_sets(batch.column(1).to_pylist(), shingle)
-            heads = [s[:SPARE * threshold.prefix(len(s))].view(np.int64) for s in sets]
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(merged(chunks(batches, text_col, BLOCK_BYTES), text_col, BLOCK_BYTES)):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            classes: list[int | None] = []
+            sizes: list[int] = []
+            kept: dict[int, tuple[int, np.ndarray, bytes]] = {}
+            for at in range(0, len(texts), 500):
+                for key, s in zip(ids[at:at + 500], shingle_sets(texts[at:at + 500], shingle), strict=True):
+                    own = class_of(s) if len(s) else None
+                    classes.append(own)
+                    sizes.append(len(s))
+                    if own is not None and key is not None and own not in kept:
+                        kept[own] = len(s), s[:SPARE * threshold.prefix(len(s))].copy(), point_bytes(count_vector(s))
+            heads = np.concatenate([np.zeros(0, dtype=np.uint64), *[h for _, h, _ in kept.values()]])
+            members = np.array(list(kept), dtype=np.int64)
+            points = zs.ZstdCompressor(level=1).compress(b"".join(len(p).to_bytes(2, "little") + p for _, _, p in kept.values()))
+            block = np.uint64(xxhash.xxh64_intdigest(heads.tobytes(), seed=(task << 20) + number)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32), np.concatenate([np.zeros(0, dtype=np.int64), *heads])),
-                 pa.array([count_vector(s).astype("<i4").tobytes() for s in sets], pa.binary())], names=[id_col, "n_shingles", "class", "heads", "point"])
+                [pa.array([int(block)], pa.int64()), pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int64())),
+                 pa.array([classes], pa.list_(pa.int64())), pa.array([members.tobytes()], pa.binary()),
+                 pa.array([packed(np.array([n for n, _, _ in kept.values()], dtype=np.int64))], pa.binary()), pa.array([packed(heads)], pa.binary()),
+                 pa.array([points], pa.binary())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def routed(classes: DataFrame, threshold: Threshold, hot: int = HOT) -> DataFrame:
-    """``shingle``, ``class`` and list length ``df``: the lists in which similar classes meet, those of one class left out."""
-    need = (F.col("n_shingles") - F.ceil(F.lit(threshold.percent) * F.col("n_shingles") / 100) + 1).cast("int")
-    sent = F.size("heads")
-    rows = (
-        classes.select("class", need.alias("need"), sent.alias("sent"), (sent == F.col("n_shingles")).alias("whole"), F.posexplode("heads").alias("place", "shingle"))
-        .repartition("shingle"))
-    lists = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(lists, "shingle")
-    heated = shared.where(F.col("df") > hot).groupBy("class").agg(F.collect_list("place").alias("hot_places"))
-    before = F.size(F.filter("hot_places", lambda p: p < F.col("place")))
-    n_cold = F.col("sent") - F.size("hot_places")
-    ranked = (
-        shared.join(heated, "class", "left").withColumn("hot_places", F.coalesce("hot_places", F.array().cast("array<int>")))
-        .withColumns({"hot": F.col("df") > hot, "lacking": ~F.col("whole") & (n_cold < F.col("need"))})
-        .withColumn("rank", F.when(F.col("hot"), n_cold + before).otherwise(F.col("place") - before)))
-    plain = ranked.where((~F.col("hot") | F.col("whole")) & (F.col("rank") < F.col("need")))
-    heads = ranked.where(F.col("hot") & (F.col("place") < F.col("need")))
-    wanted = heads.where("lacking").select("shingle").distinct()
-    both = plain.select("shingle", "class", "df").unionByName(heads.join(wanted, "shingle", "left_semi").select("shingle", "class", "df"))
-    return both.distinct()
-
-
-def candidate_edges(lists: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
+class Heads:
+    """The distinct classes of a block with their first shingles."""
+
+    def __init__(self, row: dict, threshold: Threshold):
+        self.classes = np.frombuffer(row["members"], dtype=np.int64)
+        self.n = unpacked(row["n"], np.int64)
+        self.need = self.n - -(-threshold.percent * self.n // 100) + 1
+        self.sent = np.minimum(self.n, SPARE * self.need)
+        self.heads = unpacked(row["heads"], np.uint64)
+        self.distinct, self.place = np.unique(self.heads, return_inverse=True)
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.place, minlength=len(self.distinct)).astype(np.uint32)
+
+    def listed(self, totals: np.ndarray, hot: int) -> tuple[np.ndarray, ...]:
+        """Owner, shingle place, list length, and marks (plain, hot head, lacking) of the heads that other classes have too."""
+        df = totals[self.place]
+        owner = np.repeat(np.arange(len(self.n)), self.sent)
+        first = np.cumsum(self.sent) - self.sent
+        at = np.arange(len(df)) - first[owner]
+        heated = df > hot
+        running = np.cumsum(heated)
+        before = running - heated - np.append(0, running)[first][owner]
+        n_cold = self.sent - np.bincount(owner, weights=heated, minlength=len(self.n)).astype(np.int64)
+        whole = self.sent == self.n
+        rank = np.where(heated, n_cold[owner] + before, at - before)
+        lacking = (~whole & (n_cold < self.need))[owner]
+        plain = (~heated | whole[owner]) & (rank < self.need[owner])
+        head = heated & (at < self.need[owner])
+        some = np.flatnonzero((df > 1) & (plain | head))
+        return owner[some], self.place[some], df[some], plain[some], head[some], lacking[some]
+
+
+def head_totals(blocks: DataFrame, level: int, threshold: Threshold) -> DataFrame:
+    """For each block and range, in how many blocks' classes each of its heads is, in their order."""
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Heads(row, threshold)
+                counts = block.counts()
+                owner = (block.distinct >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(counts), dtype=np.int64)
+                cuts = np.searchsorted(owner, np.arange((1 << level) + 1))
+                some = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int64()), pa.array([row["block"]] * len(some), pa.int64()),
+                     pa.array([packed_sorted(block.distinct[cuts[r]:cuts[r + 1]]) for r in some], pa.binary()),
+                     pa.array([packed(counts[cuts[r]:cuts[r + 1]]) for r in some], pa.binary())], names=["range", "block", "keys", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = [unpacked_sorted(k) for k in table["keys"].to_pylist()]
+        counts = np.concatenate([unpacked(c, np.uint32) for c in table["counts"].to_pylist()])
+        known, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, weights=counts, minlength=len(known)).astype(np.uint32)
+        answers = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"range": table["range"], "block": table["block"], "totals": pa.array([packed(a) for a in answers], pa.binary())})
+
+    return blocks.select("block", "members", "n", "heads").mapInArrow(send, "range long, block long, keys binary, counts binary") \
+        .groupBy("range").applyInArrow(add, "range long, block long, totals binary")
+
+
+def meeting_lists(blocks: DataFrame, totals: DataFrame, threshold: Threshold, hot: int = HOT) -> DataFrame:
+    """Rows ``shingle``, ``df``, ``class``, ``n``, ``point`` of the lists in which similar classes meet."""
+    schema = "shingle long, df long, class long, n long, point binary, plain boolean, head boolean, lacking boolean"
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = sorted(zip(right["range"].to_pylist(), right["totals"].to_pylist(), strict=True))
+        known = np.concatenate([np.zeros(0, dtype=np.uint32), *[unpacked(data, np.uint32) for _, data in parts]]).astype(np.int64)
+        out = []
+        for row in left.to_pylist():
+            block = Heads(row, threshold)
+            owner, place, df, plain, head, lacking = block.listed(known, hot)
+            raw, at, points = zs.ZstdDecompressor().decompress(row["points"]), 0, []
+            while at < len(raw):
+                size = int.from_bytes(raw[at:at + 2], "little")
+                points.append(raw[at + 2:at + 2 + size])
+                at += 2 + size
+            out.append(pa.table([
+                pa.array(block.distinct[place].view(np.int64)), pa.array(df), pa.array(block.classes[owner]), pa.array(block.n[owner]),
+                pa.array(points, pa.binary()).take(pa.array(owner)), pa.array(plain), pa.array(head), pa.array(lacking)],
+                names=["shingle", "df", "class", "n", "point", "plain", "head", "lacking"]))
+        return pa.concat_tables(out)
+
+    rows = blocks.select("block", "members", "n", "heads", "points").groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(tell, schema)
+    # A hot head alone is needed only in lists that hold a class without replacements.
+    wanted = rows.where("head and lacking").select("shingle").distinct()
+    return rows.where("plain or lacking").unionByName(rows.where("not plain and not lacking").join(wanted, "shingle", "left_semi"))
+
+
+def candidate_edges(rows: DataFrame, threshold: Threshold) -> DataFrame:
     """Forest edges (a, b) between the classes of each list whose count vectors allow the similarity."""
-    met = in_block_pairs(lists, F.col("df"), F.col("class")).join(classes.select("class", "n_shingles", "point"), "class")
+    met = in_block_pairs(rows, F.col("df"), F.col("class"))
     keys = ["shingle", "block_a", "block_b"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for rows in runs_of(batches, keys):
-            ids, sizes = rows["class"].to_numpy(), rows["n_shingles"].to_numpy()
-            points = _points(rows["point"])
+        for table in runs_of(batches, keys):
+            ids, sizes, points = table["class"].to_numpy(), table["n"].to_numpy(), points_of(table["point"].to_pylist())
             change = np.zeros(len(ids), dtype=bool)
             for k in keys:
-                c = rows[k].to_numpy()
+                c = table[k].to_numpy()
                 change[1:] |= c[1:] != c[:-1]
             run_of = np.cumsum(change)
             lengths = np.bincount(run_of)
-            few = lengths[run_of] <= LEAF
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            plain, head = table["plain"].to_numpy(zero_copy_only=False), table["head"].to_numpy(zero_copy_only=False)
+            needed = np.bincount(run_of, weights=head & table["lacking"].to_numpy(zero_copy_only=False)) > 0
+            use = plain | needed[run_of]
+            few = (lengths[run_of] <= LEAF) & use
             edges = []
             for apart in range(1, int(lengths[lengths <= LEAF].max(initial=1))):
-                first = np.flatnonzero(few[:-apart] & (run_of[:-apart] == run_of[apart:]))
+                first = np.flatnonzero(few[:-apart] & few[apart:] & (run_of[:-apart] == run_of[apart:]) & (ids[:-apart] != ids[apart:]))
                 if not len(first):
                     continue
                 bound = np.minimum(points[first], points[first + apart]).sum(axis=1)
                 near = first[threshold.enough(bound, sizes[first] + sizes[first + apart])]
                 pairs = np.unique(np.stack([ids[near], ids[near + apart]], axis=1), axis=0)
                 edges += [(a, b) for a, b in pairs.tolist() if forest.join(a, b)]
-            starts = np.concatenate([[0], np.cumsum(lengths)])
             for r in np.flatnonzero(lengths > LEAF).tolist():
-                part = slice(starts[r], starts[r + 1])
-                edges += list(forest_edges(ids[part], sizes[part], points[part], threshold, forest))
+                own = np.arange(starts[r], starts[r + 1])[use[starts[r]:starts[r + 1]]]
+                _, single = np.unique(ids[own], return_index=True)
+                own = own[single]
+                edges += list(forest_edges(ids[own], sizes[own], points[own], threshold, forest))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
-    return met.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "class", "n_shingles", "point").mapInArrow(run, "a long, b long")
+    columns = [*keys, "class", "n", "point", "plain", "head", "lacking"]
+    return met.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def verified_edges(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int, threshold: Threshold) -> DataFrame:
@@ -338,11 +443,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hashes.
     """
     threshold = Threshold(percent)
-    drawn = checkpointed(sketches(docs, id_col, text_col, shingle, threshold))
-    usable = drawn.where(F.col("class").isNotNull() & F.col(id_col).isNotNull())
-    classes = checkpointed(usable.groupBy("class").agg(
-        F.min(id_col).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("heads").alias("heads"), F.first("point").alias("point")))
-    edges = checkpointed(candidate_edges(routed(classes, threshold), classes, threshold))
+    size = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
+    level = max(0, math.ceil(math.log2(max(1, size / RANGE_BYTES))))
+    blocks = checkpointed(sketch_blocks(docs, id_col, text_col, shingle, threshold))
+    totals = head_totals(blocks, level, threshold)
+    edges = checkpointed(candidate_edges(meeting_lists(blocks, totals, threshold), threshold))
+    drawn = blocks.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("sizes").alias("n"), F.col("classes").alias("class"))).alias("row")) \
+        .select(F.col("row.id").alias(id_col), F.col("row.n").alias("n_shingles"), F.col("row.class").alias("class"))
+    classes = checkpointed(drawn.where(F.col("class").isNotNull() & F.col(id_col).isNotNull()).groupBy("class").agg(F.min(id_col).alias("key")))
     clusters = components(edges).withColumnsRenamed({"node": "class", "root": "cluster"})
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     members = checkpointed(clusters.join(sizes, "cluster").join(classes.select("class", "key"), "class").select("key", "class", "cluster", "size"))
