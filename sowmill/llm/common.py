@@ -45,17 +45,23 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = 16 << 20) -
         yield batch.slice(start)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of ``spark.checkpoint.dir``.
+def work_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Only a local session that names no folder gets one of its own, as in tests.
+    Only a local session that names none gets one of its own, as in tests.
     """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(os.path.abspath("spark-warehouse"), "checkpoints")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(os.path.abspath("spark-warehouse"), "checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -462,3 +462,22 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = drawn.select(id_col, "n_shingles", "class").join(classes.select("class", "key"), "class", "left").join(named, "class", "left")
     own = F.when(F.col(id_col).isNull(), F.lit(None)).otherwise(F.coalesce("lowest", "key", id_col))
     return out.select(id_col, "n_shingles", own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Rows with the smallest id of their component, with all their columns.
+
+    Rows that repeat an id and a text are one document, of which one row stays.
+    Other rows without words or with a null id are no copies of anything and
+    stay.
+    """
+    found = checkpointed(similar_components(docs, id_col, text_col, shingle, percent))
+    copies = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    repeated = found.where(F.col("component_id") == F.col(id_col)).groupBy(id_col).agg(F.count("*").alias("rows")).where("rows > 1").select(id_col)
+    gone = copies.unionByName(repeated)
+    small = found.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if small else gone, id_col, "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(F.broadcast(repeated) if small else repeated, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col])
+    return kept.unionByName(once)
