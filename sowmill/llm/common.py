@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -60,8 +61,16 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written once in the shared folder and read back.
+
+    Unlike ``DataFrame.checkpoint`` this computes the rows a single time, keeps
+    them compressed, and leaves their size to the optimizer.
+    """
+    path = f"{work_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt by key to as many partitions as the session shuffles to, which are not joined to fewer ones."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

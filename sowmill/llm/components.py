@@ -43,22 +43,29 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where(F.col("a") != F.col("b"))
     links = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    known = None
+    rounds = []
     while not links.isEmpty():
         up = checkpointed(links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
-        while True:
-            above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            up = checkpointed(up.join(above, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
-            moved = not up.where("moved").isEmpty()
-            up = up.drop("moved")
-            if not moved:
-                break
-        if known is None:
-            known = up
-        else:
-            later = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            known = checkpointed(known.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        moved = True
+        while moved:
+            # Three steps at once: a pointer to an end of an end of an end.
+            ahead = up
+            for _ in range(3):
+                ahead = ahead.join(_onward(up), "root").select("node", F.col("top").alias("root"))
+            ahead = checkpointed(ahead.join(_onward(up), "root").select("node", "root", (F.col("top") != F.col("root")).alias("moved")))
+            moved = not ahead.where("moved").isEmpty()
+            up = ahead.drop("moved")
+        rounds.append(up)
         ends = up.select(F.col("node").alias("a"), F.col("root").alias("a_root"))
         others = up.select(F.col("node").alias("b"), F.col("root").alias("b_root"))
         links = checkpointed(links.join(ends, "a").join(others, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b").distinct())
-    return known if known is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if not rounds:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    known = rounds[0]
+    for up in rounds[1:]:
+        known = known.join(_onward(up), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return checkpointed(known)
+
+
+def _onward(up: DataFrame) -> DataFrame:
+    return up.select(F.col("node").alias("root"), F.col("root").alias("top"))

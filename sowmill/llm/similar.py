@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sowmill.llm.blocks import merged, packed, packed_sorted, unpacked, unpacked_sorted
-from sowmill.llm.common import checkpointed, chunks, keyed
+from sowmill.llm.common import checkpointed, chunks, keyed, spread
 from sowmill.llm.components import Forest, components
 
 BLOCK_BYTES = 16 << 20
@@ -95,8 +95,9 @@ def class_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), seed=7)).view(np.int64))
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((_mixed(shingles) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Shingles in each group; groups of fewer groups join those that are equal modulo their number."""
+    return np.bincount((_mixed(shingles) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 class Threshold:
@@ -114,14 +115,15 @@ class Threshold:
         return (100 + self.percent) * overlap >= self.percent * sizes
 
 
-def forest_edges(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, threshold: Threshold, forest: Forest, exact=None) -> Iterator[tuple[int, int]]:
+def forest_edges(ids: np.ndarray, sizes: np.ndarray, points: Points, threshold: Threshold, forest: Forest, exact=None) -> Iterator[tuple[int, int]]:
     """Edges that connect what similar pairs connect: R-tree leaves against leaves, skipping what is connected.
 
     ``exact(rows, others)`` gives true overlaps of pairs; without it the bound decides.
     """
-    order = np.lexsort((*points.T[:2], sizes))
+    coarse = points.coarse
+    order = np.lexsort((coarse[:, 1], coarse[:, 0], sizes))
     leaves = [order[i:i + LEAF] for i in range(0, len(order), LEAF)]
-    boxes = [points[leaf].max(axis=0) for leaf in leaves]
+    boxes = [coarse[leaf].max(axis=0) for leaf in leaves]
     least, most = [sizes[leaf].min() for leaf in leaves], [sizes[leaf].max() for leaf in leaves]
     for i, one in enumerate(leaves):
         for j in range(i, len(leaves)):
@@ -136,16 +138,19 @@ def forest_edges(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, thresho
                     continue
             bound = np.zeros((len(one), len(other)), dtype=np.int64)
             for g in range(GROUPS):
-                bound += np.minimum.outer(points[one, g], points[other, g])
+                bound += np.minimum.outer(coarse[one, g], coarse[other, g])
             near = threshold.enough(bound, sizes[one][:, None] + sizes[other][None, :])
             if i == j:
                 near = np.triu(near, 1)
             rows, columns = np.nonzero(near)
-            a, b = one[rows], other[columns]
+            if not len(rows):
+                continue
+            tops = np.array([forest.root(x) for x in ids[one].tolist()])[rows], np.array([forest.root(x) for x in ids[other].tolist()])[columns]
+            apart = tops[0] != tops[1]
+            a, b = one[rows[apart]], other[columns[apart]]
+            near = threshold.enough(points.bound(a, b), sizes[a] + sizes[b])
+            a, b = a[near], b[near]
             if exact is not None and len(a):
-                tops = np.array([forest.root(x) for x in ids[one].tolist()])[rows], np.array([forest.root(x) for x in ids[other].tolist()])[columns]
-                apart = tops[0] != tops[1]
-                a, b = a[apart], b[apart]
                 linked = exact(a, b)
                 a, b = a[linked], b[linked]
             for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True):
@@ -178,17 +183,52 @@ def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def point_bytes(point: np.ndarray) -> bytes:
-    """A count vector in single bytes, or in four bytes a count if one is over 255."""
-    return point.astype(np.uint8).tobytes() if point.max(initial=0) < 256 else point.astype("<i4").tobytes()
+def groups_of(n: int) -> int:
+    """Groups of a set's finer count vector: a power of two that leaves 8 to 16 shingles a group, ``GROUPS`` at least."""
+    return max(GROUPS, 1 << max(0, (n // 8).bit_length() - 1))
 
 
-def points_of(rows: list[bytes]) -> np.ndarray:
-    out = np.empty((len(rows), GROUPS), dtype=np.int32)
-    small = np.fromiter((len(r) == GROUPS for r in rows), dtype=bool, count=len(rows))
-    out[small] = np.frombuffer(b"".join(r for r in rows if len(r) == GROUPS), dtype=np.uint8).reshape(-1, GROUPS)
-    out[~small] = np.frombuffer(b"".join(r for r in rows if len(r) != GROUPS), dtype="<i4").reshape(-1, GROUPS)
-    return out
+def point_bytes(shingles: np.ndarray) -> bytes:
+    """Item size and finer count vector of a set."""
+    point = count_vector(shingles, groups_of(len(shingles)))
+    return b"\x01" + point.astype(np.uint8).tobytes() if point.max(initial=0) < 256 else b"\x04" + point.astype("<i4").tobytes()
+
+
+class Points:
+    """Count vectors of many sets: coarse ones of ``GROUPS`` groups, and finer ones for the bound of a pair."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.width = np.array([len(r) for r in rows], dtype=np.int64)
+        self.row = np.zeros(len(rows), dtype=np.int64)
+        self.fine: dict[int, np.ndarray] = {}
+        self.coarse = np.zeros((len(rows), GROUPS), dtype=np.int32)
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.row[own] = np.arange(len(own))
+            self.fine[width] = np.stack([rows[i] for i in own.tolist()])
+            self.coarse[own] = self.fine[width].reshape(len(own), -1, GROUPS).sum(axis=1)
+
+    @classmethod
+    def read(cls, rows: list[bytes]) -> Points:
+        return cls([np.frombuffer(r, dtype=np.uint8 if r[0] == 1 else "<i4", offset=1).astype(np.int32) for r in rows])
+
+    def part(self, own: np.ndarray) -> Points:
+        return Points([self.fine[w][r] for w, r in zip(self.width[own].tolist(), self.row[own].tolist(), strict=True)])
+
+    def bound(self, a: np.ndarray, b: np.ndarray, step: int = 20_000) -> np.ndarray:
+        """Upper bounds of the overlaps of pairs, by the finest groups both have."""
+        out = np.zeros(len(a), dtype=np.int64)
+        code = self.width[a] * (1 << 32) + self.width[b]
+        for pair in np.unique(code).tolist():
+            some = np.flatnonzero(code == pair)
+            one, other = pair >> 32, pair & 0xFFFFFFFF
+            least = min(one, other)
+            for at in range(0, len(some), step):
+                part = some[at:at + step]
+                x, y = self.fine[one][self.row[a[part]]], self.fine[other][self.row[b[part]]]
+                x, y = x.reshape(len(part), -1, least).sum(axis=1), y.reshape(len(part), -1, least).sum(axis=1)
+                out[part] = np.minimum(x, y).sum(axis=1)
+        return out
 
 
 def in_block_pairs(df: DataFrame, count: Column, member: Column, block: int = BLOCK) -> DataFrame:
@@ -222,10 +262,10 @@ def sketch_blocks(docs: DataFrame, id_col: str, text_col: str, shingle: int, thr
                     classes.append(own)
                     sizes.append(len(s))
                     if own is not None and key is not None and own not in kept:
-                        kept[own] = len(s), s[:SPARE * threshold.prefix(len(s))].copy(), point_bytes(count_vector(s))
+                        kept[own] = len(s), s[:SPARE * threshold.prefix(len(s))].copy(), point_bytes(s)
             heads = np.concatenate([np.zeros(0, dtype=np.uint64), *[h for _, h, _ in kept.values()]])
             members = np.array(list(kept), dtype=np.int64)
-            points = zs.ZstdCompressor(level=1).compress(b"".join(len(p).to_bytes(2, "little") + p for _, _, p in kept.values()))
+            points = zs.ZstdCompressor(level=1).compress(b"".join(len(p).to_bytes(4, "little") + p for _, _, p in kept.values()))
             block = np.uint64(xxhash.xxh64_intdigest(heads.tobytes(), seed=(task << 20) + number)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(block)], pa.int64()), pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int64())),
@@ -309,9 +349,9 @@ def meeting_lists(blocks: DataFrame, totals: DataFrame, threshold: Threshold, ho
             owner, place, df, plain, head, lacking = block.listed(known, hot)
             raw, at, points = zs.ZstdDecompressor().decompress(row["points"]), 0, []
             while at < len(raw):
-                size = int.from_bytes(raw[at:at + 2], "little")
-                points.append(raw[at + 2:at + 2 + size])
-                at += 2 + size
+                size = int.from_bytes(raw[at:at + 4], "little")
+                points.append(raw[at + 4:at + 4 + size])
+                at += 4 + size
             out.append(pa.table([
                 pa.array(block.distinct[place].view(np.int64)), pa.array(df), pa.array(block.classes[owner]), pa.array(block.n[owner]),
                 pa.array(points, pa.binary()).take(pa.array(owner)), pa.array(plain), pa.array(head), pa.array(lacking)],
@@ -332,7 +372,8 @@ def candidate_edges(rows: DataFrame, threshold: Threshold) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for table in runs_of(batches, keys):
-            ids, sizes, points = table["class"].to_numpy(), table["n"].to_numpy(), points_of(table["point"].to_pylist())
+            ids, sizes, points = table["class"].to_numpy(), table["n"].to_numpy(), table["point"].to_pylist()
+            points = Points.read(points)
             change = np.zeros(len(ids), dtype=bool)
             for k in keys:
                 c = table[k].to_numpy()
@@ -349,20 +390,21 @@ def candidate_edges(rows: DataFrame, threshold: Threshold) -> DataFrame:
                 first = np.flatnonzero(few[:-apart] & few[apart:] & (run_of[:-apart] == run_of[apart:]) & (ids[:-apart] != ids[apart:]))
                 if not len(first):
                     continue
-                bound = np.minimum(points[first], points[first + apart]).sum(axis=1)
-                near = first[threshold.enough(bound, sizes[first] + sizes[first + apart])]
+                bound = np.minimum(points.coarse[first], points.coarse[first + apart]).sum(axis=1)
+                first = first[threshold.enough(bound, sizes[first] + sizes[first + apart])]
+                near = first[threshold.enough(points.bound(first, first + apart), sizes[first] + sizes[first + apart])]
                 pairs = np.unique(np.stack([ids[near], ids[near + apart]], axis=1), axis=0)
                 edges += [(a, b) for a, b in pairs.tolist() if forest.join(a, b)]
             for r in np.flatnonzero(lengths > LEAF).tolist():
                 own = np.arange(starts[r], starts[r + 1])[use[starts[r]:starts[r + 1]]]
                 _, single = np.unique(ids[own], return_index=True)
                 own = own[single]
-                edges += list(forest_edges(ids[own], sizes[own], points[own], threshold, forest))
+                edges += list(forest_edges(ids[own], sizes[own], points.part(own), threshold, forest))
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
     columns = [*keys, "class", "n", "point", "plain", "head", "lacking"]
-    return met.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return spread(met.select(*columns), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def verified_edges(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int, threshold: Threshold) -> DataFrame:
@@ -401,14 +443,14 @@ def verified_edges(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
-    spread = in_block_pairs(sets, F.col("size"), F.col("class"))
-    return spread.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "class", "shingles").mapInArrow(run, "a long, b long")
+    met = in_block_pairs(sets, F.col("size"), F.col("class")).select(*keys, "class", "shingles")
+    return spread(met, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def cluster_links(ids: np.ndarray, sets: list[np.ndarray], threshold: Threshold) -> list[tuple[int, int]]:
     """Forest edges of the links between sets: bounds by count vectors, then true overlaps."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    points = np.stack([count_vector(s) for s in sets])
+    points = Points([count_vector(s, groups_of(len(s))) for s in sets])
 
     def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if len(a) > 200:
