@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sowmill.llm.blocks import merged, packed, packed_sorted, unpacked, unpacked_sorted
-from sowmill.llm.common import checkpointed, chunks, keyed
+from sowmill.llm.common import checkpointed, chunks, keyed, spread
 from sowmill.llm.suffixes import Shard
 
 WIDTH = 200
-GRAM = 32
+GRAM = 64
 BLOCK_BYTES = 16 << 20
 #: Text bytes whose anchors one shard owns, about.
 RANGE_BYTES = 4 << 20
-#: Bytes of one suffix array.
-ARRAY_BYTES = 2 << 20
+#: Bytes of one suffix array, with separators.
+ARRAY_BYTES = 2_000_000
 #: Bytes whose hashes are made at once.
 STEP = 1 << 20
 
@@ -150,7 +150,7 @@ def repeated_anchors(blocks: DataFrame, level: int, width: int, gram: int) -> Da
         return pa.table({"kind": pa.array([ANCHORS] * table.num_rows, pa.int32()), "range": table["range"], "block": table["block"],
                          "flags": pa.array([np.packbits(a).tobytes() for a in answers], pa.binary())})
 
-    return blocks.select("block", "sizes", "bytes").mapInArrow(send, "range long, block long, keys binary, twice binary") \
+    return spread(blocks.select("block", "sizes", "bytes").mapInArrow(send, "range long, block long, keys binary, twice binary"), "range") \
         .groupBy("range").applyInArrow(add, "kind int, range long, block long, flags binary")
 
 
@@ -170,8 +170,8 @@ def resolve(parts: list[bytes], counts: np.ndarray, width: int, array_bytes: int
     shards, at = [], 0
     while at < len(parts):
         stop, size = at, 0
-        while stop < len(parts) and (stop == at or size + len(parts[stop]) <= array_bytes):
-            size += len(parts[stop])
+        while stop < len(parts) and (stop == at or size + len(parts[stop]) + 1 <= array_bytes):
+            size += len(parts[stop]) + 1
             stop += 1
         shards.append(Shard(parts[at:stop], counts[at:stop], width))
         at = stop
@@ -223,9 +223,9 @@ def repeated_windows(blocks: DataFrame, anchors: DataFrame, level: int, width: i
         return pa.table({"kind": pa.array([STRETCHES] * table.num_rows, pa.int32()), "range": table["range"], "block": table["block"],
                          "flags": pa.array(answers, pa.binary())})
 
-    return blocks.select("block", "sizes", "bytes").groupBy("block").cogroup(anchors.groupBy("block")) \
-        .applyInArrow(send, "range long, block long, stretches binary") \
-        .groupBy("range").applyInArrow(sort, "kind int, range long, block long, flags binary")
+    found = spread(blocks.select("block", "sizes", "bytes"), "block").groupBy("block").cogroup(anchors.groupBy("block")) \
+        .applyInArrow(send, "range long, block long, stretches binary")
+    return spread(found, "range").groupBy("range").applyInArrow(sort, "kind int, range long, block long, flags binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM,
@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                  pa.array(removed, span_type), pa.array(kept, pa.binary())], names=schema.names))
         return pa.concat_tables(out)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
+    return spread(blocks, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
 
 
 def removal_digest(cut: DataFrame) -> DataFrame:

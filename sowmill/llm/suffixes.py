@@ -6,6 +6,9 @@ import numpy as np
 
 #: Parts of one shard end with this byte, which UTF-8 never uses.
 BETWEEN = 0xFF
+PLACE_BITS = 21
+#: Bytes that one suffix array holds at most.
+MOST = (1 << PLACE_BITS) - 1
 
 
 def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -23,38 +26,55 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return ((four[:-4] << np.uint64(32)) | four[4:])[:len(data)]
 
 
+def first_keys(data: np.ndarray, room: int) -> tuple[np.ndarray, int]:
+    """The first bytes of every suffix as one number of at most ``room`` bits, in the order of the bytes, and how many they are."""
+    seen = np.flatnonzero(np.bincount(data, minlength=256))
+    bits = max(1, len(seen).bit_length())
+    codes = np.zeros(256, dtype=np.uint64)
+    codes[seen] = np.arange(1, len(seen) + 1)
+    reach = room // bits
+    wide = np.concatenate([codes[data], np.zeros(reach, dtype=np.uint64)])
+    keys = np.zeros(len(data), dtype=np.uint64)
+    for k in range(reach):
+        keys = (keys << np.uint64(bits)) | wide[k:len(data) + k]
+    return keys, reach
+
+
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in the order of their first ``depth`` bytes or more, and the rank of each (that of the last of its equals).
 
     Larsson-Sadakane: groups of equal prefixes are refined by the rank of the
     suffix as far ahead as the prefix is long; suffixes that are alone in their
-    group are never touched again.
+    group are never touched again. Up to ``MOST`` bytes, group, rank and place
+    fit one number, so that a round is one sort of numbers.
     """
     n = len(data)
-    first = words_at(data)
-    order = np.argsort(first, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = _group_ends(first[order])
-    reach = 8
-    places = np.arange(n)
-    while reach < depth and len(places):
+    if n > MOST:
+        raise ValueError(f"a suffix array holds at most {MOST} bytes")
+    place_bits = np.uint64(PLACE_BITS)
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    keys, reach = first_keys(data, 63 - PLACE_BITS)
+    keys = np.sort((keys << place_bits) | np.arange(n, dtype=np.uint64))
+    order = (keys & mask).astype(np.int32)
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = _group_ends(keys >> place_bits)
+    places = np.arange(n, dtype=np.int32)
+    while reach < depth:
         group = rank[order[places]]
-        shared = np.zeros(len(places), dtype=bool)
         same = group[1:] == group[:-1]
+        shared = np.zeros(len(places), dtype=bool)
         shared[1:] |= same
         shared[:-1] |= same
         places, group = places[shared], group[shared]
         if not len(places):
             break
         members = order[places]
-        ahead = np.where(members + reach < n, rank[np.minimum(members + reach, n - 1)], -1)
-        resort = np.lexsort((ahead, group))
-        members, group, ahead = members[resort], group[resort], ahead[resort]
+        further = members + np.int32(reach)
+        ahead = np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
+        keys = np.sort((((group.astype(np.uint64) << place_bits) | ahead.astype(np.uint64)) << place_bits) | members.astype(np.uint64))
+        members = (keys & mask).astype(np.int32)
         order[places] = members
-        last = np.ones(len(places), dtype=bool)
-        last[:-1] = (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])
-        ends = np.flatnonzero(last)
-        rank[members] = places[np.repeat(ends, np.diff(np.append(-1, ends)))]
+        rank[members] = places[_group_ends(keys >> place_bits)]
         reach *= 2
     return order, rank
 
@@ -77,8 +97,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, start
     a round is one pass over arrays.
     """
     n = len(data)
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, dtype=np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     words = words_at(data)
     out = np.zeros(n, dtype=np.int32)
     sizes = np.diff(np.append(starts, n))
@@ -90,7 +110,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, start
         while live and sizes[live - 1] <= step:
             live -= 1
         at = starts[:live] + step
-        before = np.where(place[at] > 0, order[place[at] - 1], -1)
+        own = place[at]
+        before = np.where(own > 0, order[own - 1], -1)
         equals = (before >= 0) & (rank[before] == rank[at])
         shared = np.where(equals, most, np.where(known[:live] == most, 0, np.maximum(known[:live] - 1, 0)))
         open_ = np.flatnonzero((before >= 0) & (shared < most))
@@ -104,7 +125,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, start
             open_ = open_[(equal == 8) & (shared[open_] < most)]
         shared[before < 0] = 0
         known[:live] = np.minimum(shared, most)
-        out[place[at]] = known[:live]
+        out[own] = known[:live]
     return out
 
 
