@@ -117,15 +117,20 @@ class Group(NamedTuple):
 
 
 class Benchmark:
-    """Items of one pass, by length, with their fingerprints and shingle weights."""
+    """Items of one pass, by length, with their fingerprints and shingle weights.
 
-    def __init__(self, items: list[tuple], radius: int = RADIUS, blocks: int = BLOCKS):
+    ``seen`` and ``n_items`` are the items with each shingle and all items of
+    the whole benchmark; without them the pass is the whole.
+    """
+
+    def __init__(self, items: list[tuple], radius: int = RADIUS, blocks: int = BLOCKS, seen: dict[int, int] | None = None, n_items: int | None = None):
         worded = [(key, np.array([xxhash.xxh64_intdigest(w) for w in words_of(text)], dtype=np.uint64)) for key, text in items]
         worded = [(key, words) for key, words in worded if len(words)]
         described = [(key, len(words), shingle_hashes(words, min(SHINGLE, len(words)))) for key, words in worded]
-        seen = Counter(s for _, _, shingles in described for s in set(shingles.tolist()))
-        self.rarest = 1 + math.log(max(1, len(described)))
-        self.weight = {s: 1 + math.log(len(described) / n) for s, n in seen.items()}
+        n_items = len(described) if n_items is None else n_items
+        seen = Counter(s for _, _, shingles in described for s in set(shingles.tolist())) if seen is None else seen
+        self.rarest = 1 + math.log(max(1, n_items))
+        self.weight = {s: 1 + math.log(n_items / n) for s, n in seen.items()}
         self.groups: dict[int, Group] = {}
         self.lengths: dict[int, dict[int, set[int]]] = {}
         by_length: dict[int, list] = {}
@@ -148,13 +153,13 @@ class Benchmark:
     def prints(self, shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return fingerprints(bit_sums(shingles, self.weights_of(shingles)), starts, ends)
 
-    def similarity(self, one: Counter, other: Counter) -> float:
-        """Weighted Jaccard similarity of two bags of shingles."""
+    def similarity(self, window: Counter, item: Counter) -> float:
+        """Weighted Jaccard similarity of two bags of shingles; a shingle that the item lacks weighs as much as the rarest."""
         both = either = 0.0
-        for s in one.keys() | other.keys():
-            w = self.weight.get(s, self.rarest)
-            both += w * min(one[s], other[s])
-            either += w * max(one[s], other[s])
+        for s in window.keys() | item.keys():
+            w = self.weight[s] if s in item else self.rarest
+            both += w * min(window[s], item[s])
+            either += w * max(window[s], item[s])
         return both / either if either else 0.0
 
     def leaks(self, words: np.ndarray, seeds: dict[int, np.ndarray], least: float) -> dict:
@@ -211,12 +216,29 @@ class Benchmark:
 
 def passes(benchmark: DataFrame, id_col: str, text_col: str, most: int = PASS_BYTES) -> Iterator[Benchmark]:
     """The items in as many parts as keep each under ``most`` bytes of text, about; null ids and texts have no part."""
-    items = keyed(benchmark, id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    items = keyed(benchmark, id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = total // most + 1
+    if n == 1:
+        yield Benchmark(sorted((r[0], r[1]) for r in items.collect()))
+        return
+
+    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text_col):
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = np.array([xxhash.xxh64_intdigest(w) for w in words_of(text)], dtype=np.uint64)
+                found = np.unique(shingle_hashes(words, min(SHINGLE, len(words)))) if len(words) else words
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int64()), pa.array(found.view(np.int64))],
+                                                 names=["part", "shingle"])
+
+    numbered = items.withColumn("part", F.pmod(F.xxhash64(id_col, text_col), F.lit(n)))
+    parts = numbered.select("part", text_col).mapInArrow(shingles, "part long, shingle long")
+    counts = parts.groupBy("shingle").agg(F.count("*").alias("n"))
+    n_items = items.where(F.regexp_replace(F.lower(text_col), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]", "") != "").count()
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k) if n > 1 else items
-        yield Benchmark(sorted((r[0], r[1]) for r in part.collect()))
+        mine = sorted((r[0], r[1]) for r in numbered.where(F.col("part") == k).select(id_col, text_col).collect())
+        seen = parts.where(F.col("part") == k).select("shingle").distinct().join(counts, "shingle").collect()
+        yield Benchmark(mine, seen={r.shingle % (1 << 64): r.n for r in seen}, n_items=n_items)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",

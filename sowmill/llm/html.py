@@ -37,7 +37,9 @@ BOILERPLATE_NAMES = re.compile(
     r"notices?|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|teaser|toolbar|widget)(?:$|[\s_-])", re.I)
 ARTICLE = ["article", "main"]
 # Weights where no labelled page tells them.
-WORD_WEIGHT, LINK_WEIGHT, BOILERPLATE_WEIGHT, TAG_WEIGHT, LIMIT = 1.0, -1.0, -3.0, -1.0, 4.0
+WORD_WEIGHT, LINK_WEIGHT, BOILERPLATE_WEIGHT, TAG_WEIGHT = 1.0, -1.0, -1.0, -1.0
+# Limits of learned weights, and words in a row of boilerplate that count, so that a long advert does not part an article.
+WORD_LIMIT, TAG_LIMIT, BOILERPLATE_WORDS = 4.0, 1.0, 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -133,9 +135,9 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     out = {}
     for kind, (i, o) in counts.items():
         odds = math.log((i + 1) / (inside + len(counts))) - math.log((o + 1) / (outside + len(counts)))
-        odds = min(max(odds, -LIMIT), LIMIT)
+        odds = min(max(odds, -WORD_LIMIT), WORD_LIMIT)
         if kind.startswith("tag "):
-            odds = min(odds, -0.1)
+            odds = min(max(odds, -TAG_LIMIT), -0.1)
         elif kind.startswith("word boilerplate"):
             odds = min(odds, BOILERPLATE_WEIGHT)
         out[kind] = odds
@@ -144,24 +146,31 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return out
 
 
+def scored(sequence: list[Item], weights: dict[str, float]) -> list[tuple[float, float]]:
+    """Weight of a unit, and the score of the whole, for each item of a page."""
+    out = []
+    for kind, _, n, _ in sequence:
+        weight = weights.get(kind)
+        weight = default_weight(kind) if weight is None else weight
+        out.append((weight, weight * (min(n, BOILERPLATE_WORDS) if kind.startswith("word boilerplate") else n)))
+    return out
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """Blocks of the run with the largest sum, joined by blank lines; empty if no run has a positive sum."""
     if not page:
         return ""
     sequence, blocks = items(page)
+    values = scored(sequence, weights)
     best = total = 0.0
     start = first = last = 0
-    values = []
-    for i, (kind, _, n, _) in enumerate(sequence):
-        value = weights.get(kind)
-        value = default_weight(kind) if value is None else value
-        values.append(value)
+    for i, (_, value) in enumerate(values):
         if total <= 0:
             total, start = 0.0, i
-        total += value * n
+        total += value
         if total > best:
             best, first, last = total, start, i + 1
-    kept = dict.fromkeys(block for (_, block, _, _), value in zip(sequence[first:last], values[first:last], strict=True) if block >= 0 and value > 0)
+    kept = dict.fromkeys(block for (_, block, _, _), (weight, _) in zip(sequence[first:last], values[first:last], strict=True) if block >= 0 and weight > 0)
     return "\n\n".join(blocks[b] for b in kept if blocks[b])
 
 
