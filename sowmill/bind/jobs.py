@@ -29,13 +29,16 @@ STATUS_SQL = ("stt AS (SELECT user_id AS job_id, arg_max(s, {'t': ts, 'e': event
 
 @query("st01_upsert_batches", """
   SELECT o_custkey AS id, arg_max(o_orderstatus, {'d': o_orderdate, 'k': o_orderkey}) AS status, arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS version
-  FROM (SELECT *, CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS part FROM orders) GROUP BY 1""")
+  FROM orders GROUP BY 1""")
 def st01(spark, sf_dir):
+    """Three batches that are not in the order of time, so that rows of each lose to rows of the others."""
     o = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"),
                                                 F.col("o_orderkey").alias("version"), "o_orderdate")
     order = F.struct("o_orderdate", "version")
-    first = upsert(o.limit(0), o.where("o_orderdate < '1998-01-01'"), "id", order)
-    return upsert(first, o.where("o_orderdate >= '1998-01-01'"), "id", order).drop("o_orderdate")
+    table = o.limit(0)
+    for part in (2, 0, 1):
+        table = upsert(table, o.where(F.col("version") % 3 == part), "id", order)
+    return table.drop("o_orderdate")
 
 
 @query("st02_latest_status", f"WITH {STATUS_SQL} SELECT job_id, status FROM stt")

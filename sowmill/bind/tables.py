@@ -150,14 +150,17 @@ def sc12(spark, sf_dir):
 
 
 @query("sc13_upsert", """
-  WITH batch AS (SELECT o_custkey AS id, arg_max(o_orderkey, o_orderkey) AS newest FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
-  SELECT c.c_custkey AS id, c.c_name AS name, coalesce(b.newest, -1) AS version FROM customer c LEFT JOIN batch b ON b.id = c.c_custkey""")
+  WITH batch AS (SELECT o_custkey AS id, max(o_orderkey) AS newest FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+  target AS (SELECT c_custkey AS id, 'old ' || c_name AS name, CASE c_custkey % 3 WHEN 0 THEN -1 WHEN 1 THEN 1000000000 ELSE c_custkey * 20 END AS version FROM customer)
+  SELECT t.id, CASE WHEN newest >= version THEN 'new' ELSE name END AS name, CASE WHEN newest >= version THEN newest ELSE version END AS version
+  FROM target t LEFT JOIN batch b ON b.id = t.id""")
 def sc13(spark, sf_dir):
-    target = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
-                                                       F.lit(-1).cast("long").alias("version"))
+    """The target holds rows that are older than the batch, newer, and some of either."""
+    key = F.col("c_custkey")
+    version = F.when(key % 3 == 0, F.lit(-1)).when(key % 3 == 1, F.lit(1000000000)).otherwise(key * 20)
+    target = B.table(spark, sf_dir, "customer").select(key.alias("id"), F.concat(F.lit("old "), "c_name").alias("name"), version.cast("long").alias("version"))
     batch = (B.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-             .select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"))
-             .withColumn("name", F.format_string("Customer#%09d", "id")))
+             .select(F.col("o_custkey").alias("id"), F.lit("new").alias("name"), F.col("o_orderkey").alias("version")))
     return merge.upsert(target, batch, "id", F.col("version"))
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sowmill.operators.ranking import top_per_group
 
-QUERY_BOUND = 1024  # query vectors that travel inside the task closure; more go through the grid
+PASS_BYTES = 64 << 20  # bytes of query vectors in one broadcast; more take more passes over the documents
 DIGITS = 9  # scores are compared after rounding, so equal vectors tie in every partition
 
 
@@ -35,68 +36,56 @@ def _unit(rows, size: int) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, smaller id first on a tie."""
-    return np.lexsort((ids, -scores))[:k]
-
-
 def _scores(docs: np.ndarray, query: np.ndarray) -> np.ndarray:
     # one fixed summation order per row, whatever the batch size
     return np.round(np.clip((docs * query).sum(axis=1), 0.0, 1.0), DIGITS)
 
 
-def knn(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding",
-        query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """Exact (query_id, key, score, rank): the k documents with the highest cosine per query.
+def knn(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id",
+        query_vector: str = "query_vector", where: Column | None = None, skip: int = 0, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """Exact (query_id, key, score, rank): the ``k`` documents with the highest cosine per query, after the first ``skip``.
 
-    Document vectors never move. Up to QUERY_BOUND query vectors go to the
-    tasks; each task keeps k rows per query, and only those are shuffled. A
-    larger query set is cut into blocks and met with document shards in a grid.
+    ``where`` filters the documents. Document vectors stay in their partitions:
+    the query vectors go to them in blocks of at most ``pass_bytes``, one pass
+    over the documents each, and a task keeps ``skip + k`` rows per query, which
+    alone are shuffled. Keys may have any type. A null query vector has no
+    neighbours; a null document vector has cosine 0.
     """
-    head = queries.select(query_key, query_vector).limit(QUERY_BOUND + 1).collect()
-    schema = f"{query_key} long, {key} long, score double"
-    if len(head) > QUERY_BOUND:
-        local = _grid(docs.select(key, vector), queries.select(query_key, query_vector), k, key, vector, query_key,
-                      query_vector, schema)
-    else:
-        query_rows = [(int(r[0]), list(r[1])) for r in head]
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            units = [(q, len(v), _unit([v], len(v))[0]) for q, v in query_rows]
-            for pdf in batches:
-                ids, matrices = pdf[key].to_numpy(), {}
-                for q, size, unit in units:
+    docs = docs if where is None else docs.where(where)
+    docs = docs.select(key, vector)
+    asked = queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull())
+    total = asked.agg(F.sum(F.size(query_vector) * F.lit(8) + F.lit(64))).first()[0] or 0
+    passes = total // pass_bytes + 1
+    schema = StructType([asked.schema[query_key], docs.schema[key], StructField("score", DoubleType())])
+    most = skip + k
+    local = None
+    for number in range(passes):
+        block = asked if passes == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == number)
+        rows = [(r[0], np.array(r[1], dtype=np.float64)) for r in block.collect()]
+        held = docs.sparkSession.sparkContext.broadcast([(q, len(v), _unit([v], len(v))[0]) for q, v in rows])
+
+        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            kept: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(held.value)
+            docs_type = None
+            for batch in batches:
+                docs_type = batch.schema.field(0).type
+                ids, vectors, matrices = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist(), {}
+                for n, (_, size, unit) in enumerate(held.value):
                     if size not in matrices:
-                        matrices[size] = _unit(pdf[vector].tolist(), size)
-                    s = _scores(matrices[size], unit)
-                    old_ids, old = kept.get(q, (ids[:0], s[:0]))
-                    all_ids, all_s = np.concatenate([old_ids, ids]), np.concatenate([old, s])
-                    best = _best(all_ids, all_s, k)
-                    kept[q] = (all_ids[best], all_s[best])
-            for q, (ids, s) in kept.items():
-                yield pd.DataFrame({query_key: q, key: ids, "score": s})
-
-        local = docs.select(key, vector).mapInPandas(search, schema)
-    return top_per_group(local, [query_key], [F.col("score").desc(), F.col(key)], k)
-
-
-def _grid(docs, queries, k, key, vector, query_key, query_vector, schema, shards: int = 64, block: int = 2048):
-    """Top k per cell of a grid of document shards and query blocks."""
-    blocks = max(1, -(-queries.count() // block))
-    d = docs.withColumn("_s", F.pmod(F.hash(key), F.lit(shards))).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = queries.withColumn("_b", F.pmod(F.hash(query_key), F.lit(blocks))).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out, matrices, ids = [], {}, left[key].to_numpy()
-        for qid, v in zip(right[query_key], right[query_vector]):
-            if len(v) not in matrices:
-                matrices[len(v)] = _unit(left[vector].tolist(), len(v))
-            s = _scores(matrices[len(v)], _unit([v], len(v))[0])
-            best = _best(ids, s, k)
-            out.append(pd.DataFrame({query_key: qid, key: ids[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({query_key: [], key: [], "score": []})
-
-    return d.groupBy("_s", "_b").cogroup(q.groupBy("_s", "_b")).applyInPandas(cell, schema)
+                        matrices[size] = _unit(vectors, size)
+                    score = _scores(matrices[size], unit)
+                    some = np.argpartition(-score, most - 1)[:most] if 0 < most < len(score) else np.arange(len(score))
+                    some = np.flatnonzero(score >= score[some].min()) if len(some) else some
+                    every, scores = ids[some], score[some]
+                    if kept[n] is not None:
+                        every, scores = np.concatenate([kept[n][0], every]), np.concatenate([kept[n][1], scores])
+                    best = sorted(range(len(every)), key=lambda i, e=every, s=scores: (-s[i], e[i] is not None, e[i] if e[i] is not None else 0))[:most]
+                    kept[n] = every[best], scores[best]
+            for (q, _, _), found in zip(held.value, kept, strict=True):
+                if found is not None and len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(found[0])), pa.array(found[0].tolist(), docs_type), pa.array(found[1])], names=schema.names)
+
+        part = docs.mapInArrow(search, schema)
+        local = part if local is None else local.unionByName(part)
+    best = top_per_group(local, [query_key], [F.col("score").desc(), F.col(key)], most)
+    return best if not skip else best.where(F.col("rank") > skip)

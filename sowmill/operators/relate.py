@@ -29,17 +29,26 @@ def _grams(text: Column, n: Column) -> Column:
 def contains_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """All pairs (text, phrase) where the lower-cased text contains the lower-cased phrase.
 
-    Both inputs have one column and are made distinct. A text is looked up by
-    its character grams: a phrase can only occur where its first characters
-    occur, so an equi-join on that gram finds every candidate and no pair of
-    the full product is formed. Hot grams are left to the skew join.
+    Both inputs have one column and are made distinct. A text that contains a
+    phrase has all character grams of the phrase, so each phrase is looked up by
+    the one of its grams that fewest texts have; a phrase with a gram that no
+    text has is in none. Common beginnings such as file name prefixes thus bring
+    no candidates. Phrases under ``GRAM`` characters are grams themselves, and
+    texts are cut into grams of the lengths that the phrases have.
     """
     t = texts.toDF("text").where(F.col("text").isNotNull()).distinct()
     p = phrases.toDF("phrase").where(F.length("phrase") > 0).distinct()
     low_t, low_p = F.lower("text"), F.lower("phrase")
-    keyed = p.withColumn("_g", F.substring(low_p, 1, GRAM))
-    every = F.flatten(F.array_compact(F.array(*[_grams(low_t, F.lit(n)) for n in range(1, GRAM + 1)])))
-    looked = t.select("text", F.explode(F.array_distinct(every)).alias("_g"))
+    gram_length = F.least(F.length(low_p), F.lit(GRAM))
+    grams = p.select("phrase", F.explode(F.array_distinct(_grams(low_p, gram_length))).alias("_g"))
+    lengths = p.agg(F.collect_set(gram_length)).scalar()
+    wanted = grams.select("_g").distinct()
+    cut = t.withColumn("_lengths", lengths).select("text", F.explode("_lengths").alias("_n"))
+    looked = cut.select("text", F.explode(F.array_distinct(_grams(low_t, F.col("_n")))).alias("_g")).join(wanted, "_g")
+    counts = looked.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = grams.join(counts, "_g", "left").groupBy("phrase").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r"))
+    keyed = rarest.where("_r.n > 0").select("phrase", F.col("_r.g").alias("_g"))
     return looked.join(keyed, "_g").where(low_t.contains(low_p)).select("text", "phrase")
 
 

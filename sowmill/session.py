@@ -1,11 +1,12 @@
-"""Session settings that the jobs rely on, and lineage cutting."""
+"""Session settings that the jobs rely on, and the package for executors."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int = 8, name: str = "sowmill") -> SparkSession:
@@ -27,19 +28,15 @@ def local_session(cores: int = 8, name: str = "sowmill") -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
-
-    The folder comes from ``spark.checkpoint.dir``, which a cluster sets to
-    shared storage. Only a local session without it gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="sowmill-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors, for clusters where it is not installed; returns the archive's path on the driver."""
+    folder = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="sowmill-"), "sowmill.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for top, _, names in os.walk(folder):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    out.write(path, os.path.join("sowmill", os.path.relpath(path, folder)))
+    spark.sparkContext.addPyFile(archive)
+    return archive

@@ -119,7 +119,7 @@ def write_tables(rows: DataFrame, path: str, mode: str = "error") -> None:
     """Every table in its own folder of CSV parts; the cells are columns c0, c1, ..."""
     width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
     flat = rows.select("file", "table_index", "row_index", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(width)])
-    (flat.repartition("file", "table_index").sortWithinPartitions("file", "table_index", "row_index")
+    (flat.repartition("file", "table_index").sortWithinPartitions("file", "table_index", "row_index").drop("row_index")
      .write.mode(mode).partitionBy("file", "table_index").csv(path, emptyValue=""))
 
 

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 
 def latest_per_key(batch: DataFrame, key: str, order: Column) -> DataFrame:
-    """Newest row per key. max_by combines on the map side, so a hot key costs one row per task."""
+    """Newest row per key, a null order being the oldest. max_by combines on the map side, so a hot key costs one row per task."""
     row = F.struct(*[F.col(c) for c in batch.columns])
-    return batch.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, order).alias("_r")).select("_r.*")
+    return batch.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, F.struct(order)).alias("_r")).select("_r.*")
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str, order: Column) -> DataFrame:
-    """Target with the rows of the batch put in; the batch wins, its newest row per key counts.
+    """Target with the rows of the batch put in; the newest row per key wins over both, the batch where they are equal.
 
-    The target is filtered by the keys of the batch and not regrouped, so it is
-    not shuffled when the batch is small enough for Spark to broadcast.
+    Batches may come out of order: a row that is older than the target's is
+    dropped. The target, one row per key, is looked up by the keys of the batch
+    and not regrouped, so it is not shuffled when Spark can broadcast the batch.
     """
-    new = latest_per_key(batch, key, order)
-    return target.join(new.select(key), key, "left_anti").unionByName(new.select(*target.columns))
+    new = latest_per_key(batch, key, order).withColumn("_new", F.struct(order))
+    met = target.withColumn("_old", F.struct(order)).join(new.select(F.col(key).alias("_k"), "_new"), F.col(key) == F.col("_k"), "left")
+    newer = F.coalesce(F.col("_old") > F.col("_new"), F.lit(False))
+    kept = met.where(F.col("_k").isNull() | newer).select(*target.columns)
+    beaten = met.where(newer).select(F.col("_k").alias(key))
+    return kept.unionByName(new.join(beaten, key, "left_anti").select(*target.columns))
 
 
 def merge_field(target: DataFrame, patch: DataFrame, key: str, field: str, drop: list[str] | None = None) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from sowmill.sources.merge import upsert
+from sowmill.sources.merge import latest_per_key
 
 # --- batch forms, shared with the streams ---------------------------------------------------------
 
@@ -34,50 +35,52 @@ def list_jobs(jobs: DataFrame, status: DataFrame, processing_type: str | None =
 # --- streams ---------------------------------------------------------------------------------------
 
 
-def _store_versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    done = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("v=") and done(n))
+def read_store(spark: SparkSession, path: str, key: str, order: str | list[str]) -> DataFrame | None:
+    """Newest row per key of an upserted table, the later batch where orders are equal; None before the first batch."""
+    try:
+        log = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return latest_per_key(log, key, F.struct(*_names(order), "batch")).drop("batch")
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """Newest complete version of an upserted table, None before the first one."""
-    versions = _store_versions(spark, path)
-    return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
+def _names(order: str | list[str]) -> list[str]:
+    return [order] if isinstance(order, str) else order
 
 
-def upsert_batch(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes version ``batch id`` of the table.
+def upsert_batch(path: str, key: str, order: str | list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends the newest row per key of a batch to the log of a table.
 
-    A batch starts from the newest version below its own id and overwrites its
-    own, so a batch that runs again after a failure gives the same table.
+    A batch costs what it holds, whatever the size of the table; it replaces
+    its own part of the log, so one that runs again after a failure changes
+    nothing. Rows of late files lose to newer ones when the log is read.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        older = [v for v in _store_versions(spark, path) if v < batch_id]
-        target = spark.read.parquet(f"{path}/v={older[-1]}") if older else batch.limit(0)
-        upsert(target, batch, key, F.col(order)).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        newest = latest_per_key(batch, key, F.struct(*_names(order)))
+        newest.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
 
     return apply
 
 
-def stream_upsert(source: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, key: str, order: str,
+def compact_store(spark: SparkSession, path: str, fresh: str, key: str, order: str | list[str]) -> None:
+    """Write the newest rows of a table as the first part of a fresh log, which then takes the place of the old one."""
+    rows = read_store(spark, path, key, order)
+    if rows is not None:
+        rows.write.mode("overwrite").parquet(os.path.join(fresh, "batch=-1"))
+
+
+def stream_upsert(source: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, key: str, order: str | list[str],
                   checkpoint: str) -> StreamingQuery:
     """New files are transformed and put into the table, newest row per key."""
     return (transform(source).writeStream.foreachBatch(upsert_batch(path, key, order))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def stream_status(events: DataFrame, checkpoint: str, name: str, late: str = "1 hour") -> StreamingQuery:
-    """Latest status per job as an updated in-memory table; repeated events are dropped inside the watermark."""
-    clean = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-    return (latest_status(clean).writeStream.outputMode("complete").format("memory").queryName(name)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def stream_status(events: DataFrame, path: str, checkpoint: str, job: str = "job_id", order: tuple[str, ...] = ("ts", "event_id")) -> StreamingQuery:
+    """Newest event per job, in a table that ``read_store`` reads; late and repeated events do no harm, since the newest counts."""
+    return stream_upsert(events, lambda df: df, path, job, list(order), checkpoint)
 
 
 def stream_route(source: DataFrame, path: str, plan: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:

@@ -42,18 +42,30 @@ def brute(docs, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bound", [1024, 2])
-def test_knn_both_ways(spark, monkeypatch, bound):
-    monkeypatch.setattr(V, "QUERY_BOUND", bound)
+@pytest.mark.parametrize("pass_bytes", [1 << 20, 200])
+def test_knn_in_one_pass_and_several(spark, pass_bytes):
     rng = np.random.default_rng(7)
-    docs = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200)]
-    queries = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(5)]
+    docs = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200)] + [(200 + i, [1.0] * 6) for i in range(9)]
+    queries = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(5)] + [(5, [1.0] * 6)]
     d = spark.createDataFrame(docs, "vec_id long, embedding array<double>").repartition(4)
     q = spark.createDataFrame(queries, "query_id long, query_vector array<double>")
-    got = sorted((r.query_id, r.vec_id, r["rank"]) for r in V.knn(d, q, 7).collect())
+    got = sorted((r.query_id, r.vec_id, r["rank"]) for r in V.knn(d, q, 7, pass_bytes=pass_bytes).collect())
     assert got == brute(docs, queries, 7)
 
 
+def test_knn_filter_paging_text_keys_and_null_vectors(spark):
+    rng = np.random.default_rng(8)
+    docs = [(f"d{i:03d}", [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    queries = [("qa", [1.0, 0.0, 2.0, 0.5]), ("qb", [0.1, 1.0, -1.0, 0.0])]
+    d = spark.createDataFrame([*docs, ("none", None)], "vec_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([*queries, ("nothing", None)], "query_id string, query_vector array<double>")
+    kept = [x for x in docs if x[0] >= "d020"]
+    got = sorted((r.query_id, r.vec_id, r["rank"]) for r in V.knn(d, q, 3, where=F.col("vec_id").between("d020", "d999"), skip=4).collect())
+    assert got == [x for x in brute(kept, queries, 7) if x[2] > 4]
+    assert V.knn(d, q.where("query_vector is null"), 3).count() == 0
+    assert V.knn(d.limit(0), q, 3).count() == 0
+
+
 def test_first_strategy_owns_an_id(spark):
     ids = lambda *v: spark.createDataFrame([(i,) for i in v], "id int")
     got = [tuple(r) for r in N.merge_strategies([("exact", 1.0, ids(1, 2)), ("fuzzy", 0.8, ids(2, 3)), ("term", 0.6, ids(1, 4))], "id", 3).collect()]

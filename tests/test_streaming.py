@@ -14,41 +14,58 @@ def files(spark, tmp_path, *batches):
     return [str(tmp_path / f"in{i}") for i in range(len(batches))]
 
 
-def test_upsert_stream_equals_batch(spark, tmp_path):
-    first, second = [(1, 1, "a"), (2, 1, "b")], [(2, 2, "c"), (3, 1, "d"), (3, 2, "e")]
-    paths = files(spark, tmp_path, first, second)
+def rows_of(df):
+    return {tuple(r) for r in df.collect()}
+
+
+def test_upsert_stream_takes_files_out_of_order(spark, tmp_path):
+    newer, older, mixed = [(1, 5, "a"), (2, 1, "b"), (4, 3, "f")], [(1, 3, "stale"), (2, 2, "c"), (3, 1, "d"), (3, 2, "e")], [(4, 2, "stale"), (3, 3, "g")]
+    files(spark, tmp_path, newer, older, mixed)
+    source = spark.readStream.schema(SOW).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
     store = str(tmp_path / "store")
-    for i, p in enumerate(paths):
-        source = spark.readStream.schema(SOW).parquet(p)
-        source_one = J.stream_upsert(source, lambda d: d, f"{store}{i}", "id", "version", str(tmp_path / f"cp{i}"))
-        source_one.awaitTermination(60)
-    both = spark.readStream.schema(SOW).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
-    J.stream_upsert(both, lambda d: d, store, "id", "version", str(tmp_path / "cp")).awaitTermination(60)
-    got = {tuple(r) for r in J.read_store(spark, store).collect()}
-    empty = spark.createDataFrame([], SOW)
-    want = upsert(upsert(empty, spark.createDataFrame(first, SOW), "id", F.col("version")),
-                  spark.createDataFrame(second, SOW), "id", F.col("version"))
-    assert got == {tuple(r) for r in want.collect()}
-
-
-def test_a_batch_can_run_twice(spark, tmp_path):
-    apply = J.upsert_batch(str(tmp_path / "s"), "id", "version")
-    batch = spark.createDataFrame([(1, 1, "a")], SOW)
-    apply(batch, 0)
-    apply(spark.createDataFrame([(1, 2, "b"), (2, 1, "x")], SOW), 1)
-    apply(spark.createDataFrame([(1, 2, "b"), (2, 1, "x")], SOW), 1)
-    assert {tuple(r) for r in J.read_store(spark, str(tmp_path / "s")).collect()} == {(1, 2, "b"), (2, 1, "x")}
-
-
-def test_status_stream_equals_batch(spark, sf_dir, tmp_path):
-    from sowmill.bind.jobs import status_events
-
-    events = status_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    events.write.parquet(str(tmp_path / "ev"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev"))
-    J.stream_status(stream, str(tmp_path / "cp"), "status_now").awaitTermination(90)
-    got = {(r.job_id, r.status) for r in spark.table("status_now").collect()}
-    assert got == {(r.job_id, r.status) for r in J.latest_status(events).collect()}
+    J.stream_upsert(source, lambda d: d, store, "id", "version", str(tmp_path / "cp")).awaitTermination(60)
+    want = {(1, 5, "a"), (2, 2, "c"), (3, 3, "g"), (4, 3, "f")}
+    assert rows_of(J.read_store(spark, store, "id", "version")) == want
+    table = spark.createDataFrame([], SOW)
+    for part in (newer, older, mixed):
+        table = upsert(table, spark.createDataFrame(part, SOW), "id", F.col("version"))
+    assert rows_of(table) == want
+    J.compact_store(spark, store, str(tmp_path / "fresh"), "id", "version")
+    J.upsert_batch(str(tmp_path / "fresh"), "id", "version")(spark.createDataFrame([(1, 4, "stale"), (5, 1, "h")], SOW), 3)
+    assert rows_of(J.read_store(spark, str(tmp_path / "fresh"), "id", "version")) == want | {(5, 1, "h")}
+
+
+def test_a_batch_writes_its_own_part_alone_and_can_run_twice(spark, tmp_path):
+    store = tmp_path / "s"
+    assert J.read_store(spark, str(store), "id", "version") is None
+    apply = J.upsert_batch(str(store), "id", "version")
+    apply(spark.createDataFrame([(1, 1, "a")], SOW), 0)
+    before = sorted(f.name for f in (store / "batch=0").iterdir())
+    for _ in range(2):
+        apply(spark.createDataFrame([(1, 2, "b"), (2, 1, "x")], SOW), 1)
+    assert sorted(f.name for f in (store / "batch=0").iterdir()) == before
+    assert rows_of(J.read_store(spark, str(store), "id", "version")) == {(1, 2, "b"), (2, 1, "x")}
+
+
+def test_null_versions_are_the_oldest(spark):
+    target = spark.createDataFrame([(1, None, "a"), (2, 4, "b")], SOW)
+    batch = spark.createDataFrame([(1, 1, "c"), (2, None, "d"), (3, None, "e")], SOW)
+    assert rows_of(upsert(target, batch, "id", F.col("version"))) == {(1, 1, "c"), (2, 4, "b"), (3, None, "e")}
+
+
+def test_status_stream_with_late_and_repeated_events(spark, tmp_path):
+    schema = "job_id int, status string, ts timestamp, event_id int"
+    at = lambda h: f"2024-01-01 {h:02d}:00:00"
+    batches = [[(1, "queued", at(10), 1)], [(3, "error", at(11), 2), (1, "queued", at(10), 1)], [(2, "completed", at(1), 3)], [(1, "stale", at(2), 4), (3, "done", at(11), 5)]]
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "job_id int, status string, ts string, event_id int").withColumn("ts", F.to_timestamp("ts"))
+        frame.select("job_id", "status", "ts", "event_id").coalesce(1).write.parquet(str(tmp_path / f"ev{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev*"))
+    J.stream_status(stream, str(tmp_path / "status"), str(tmp_path / "cp")).awaitTermination(90)
+    got = {(r.job_id, r.status) for r in J.read_store(spark, str(tmp_path / "status"), "job_id", ["ts", "event_id"]).collect()}
+    assert got == {(1, "queued"), (2, "completed"), (3, "done")}
+    every = spark.read.schema(schema).parquet(*[str(tmp_path / f"ev{i}") for i in range(4)])
+    assert got == {(r.job_id, r.status) for r in J.latest_status(every).collect()}
 
 
 def test_routing_stream(spark, tmp_path):
