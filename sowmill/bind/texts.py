@@ -81,12 +81,12 @@ FLAT = r"(SELECT sow_key, regexp_replace(text, '\s+', ' ', 'g') AS text FROM ric
 @query("tx01_parse_fields", B.sql(rf"""
   SELECT sow_key, {ex(r'(?i)(?:Scope of Work|Scope|Services)[:\-]\s*(.+?)(?:Deliverables|Term|Timeline|$)')} AS scope,
     {ex(r'(?i)(?:Deliverables?)[:\-]\s*(.+?)(?:Term|Timeline|$)')} AS deliverable,
-    {joined(every('(?i)' + K.LOOSE_DATES[0], 0) + '[1:3]')} AS dates,
+    {joined(every('(?i)' + K.LOOSE_DATES[0], 0))} AS dates,
     {joined(f"list_sort(list_distinct({every(rf'(?i){chr(92)}b({K.FIRST_PASS_ROLES}){chr(92)}b')}))")} AS roles,
-    {joined(every(r'(?i)\b(\d{1,3})\s*%?\s*FTE\b') + '[1:5]')} AS fte,
-    {joined(every(r'(?i)\b(\d{1,4})\s*(?:hours|hrs)\b') + '[1:5]')} AS hours,
+    {joined(every(r'(?i)\b(\d{1,3})\s*%?\s*FTE\b'))} AS fte,
+    {joined(every(r'(?i)\b(\d{1,4})\s*(?:hours|hrs)\b'))} AS hours,
     {joined(f"list_transform(list_zip({every(r'(?i)\b(rate|fee)s?\b.*?\b(hour|daily|monthly)\b')}, "
-            f"{every(r'(?i)\b(rate|fee)s?\b.*?\b(hour|daily|monthly)\b', 2)}), lambda z: z[1] || ' ' || z[2])[1:5]")} AS rates
+            f"{every(r'(?i)\b(rate|fee)s?\b.*?\b(hour|daily|monthly)\b', 2)}), lambda z: z[1] || ' ' || z[2])")} AS rates
   FROM {FLAT}""", RICH))
 def tx01(spark, sf_dir):
     flat = F.regexp_replace("text", r"\s+", " ")
@@ -99,7 +99,7 @@ def tx01(spark, sf_dir):
   SELECT sow_key, trim({ex(r'(?i)(?:Project Title|Project Name)[:\-]\s*(.+?)(?:\n|$)')}) AS project_name,
     trim({ex(r'(?i)(?:Client|Company)[:\-]\s*(.+?)(?:\n|$)')}) AS client_name,
     trim({ex(r'(?i)(?:Contract Number|Contract #)[:\-]\s*(.+?)(?:\n|$)')}) AS contract_number,
-    {joined('list_concat(' + ', '.join(every('(?i)' + p, 0) for p in K.LOOSE_DATES) + ')[1:3]')} AS dates FROM rich""", RICH))
+    {joined('list_concat(' + ', '.join(every('(?i)' + p, 0) for p in K.LOOSE_DATES) + ')')} AS dates FROM rich""", RICH))
 def tx02(spark, sf_dir):
     return (rich(spark, sf_dir).select("sow_key", X.project_info_heuristic(F.col("text")).alias("p"))
             .select("sow_key", "p.project_name", "p.client_name", "p.contract_number",
@@ -127,7 +127,7 @@ _PTITLE = "coalesce(" + ", ".join(guarded(ex(rf"(?i){w}\s*:?\s*([^\n\r]+)"), _W[
 _LENGTH = "coalesce(" + ", ".join(after(w + r"\s*:?", _W["project_length"]["duration_patterns"])
                                   for w in _W["project_length"]["duration_indicators"]) + ")"
 _SCOPE = "coalesce(" + ", ".join(
-    f"(SELECT CASE WHEN length(s) > 500 THEN s[1:500] || '...' WHEN length(s) > 50 THEN s END FROM (SELECT trim({section(h, X.SECTION_END + chr(124) + chr(92) + 'n' + chr(92) + 'd+' + chr(92) + '.')}) AS s))"
+    f"(SELECT CASE WHEN length(s) > 50 THEN s END FROM (SELECT trim({section(h, X.SECTION_END + chr(124) + chr(92) + 'n' + chr(92) + 'd+' + chr(92) + '.')}) AS s))"
     for h in _W["scope_summary"]["section_headers"]) + ")"
 _LINES = (f"list_filter(list_transform(flatten(list_transform(list_filter({sections('staffing_plan')}, lambda s: s IS NOT NULL), "
           "lambda s: string_split(s, chr(10)))), lambda x: trim(x)), lambda x: "
@@ -174,18 +174,18 @@ PROFILE = {
     "sections": distinct_sorted(every(rf"(?im)^(?:\d+\.?\s*)?({p})") for p in K.SECTION_TERMS),
     "roles": distinct_sorted(every(rf"(?i)\b({p})\b") for p in K.ROLE_TERMS),
     "deliverables": "list_concat(" + ", ".join(f"list_transform({every('(?i)' + p)}, lambda x: trim(x))"
-                                               for p in K.DELIVERABLE_TERMS) + ")[1:10]",
+                                               for p in K.DELIVERABLE_TERMS) + ")",
     "timeline": distinct_sorted(every("(?i)" + p, 1 if i == 0 else 0) for i, p in enumerate(K.TIMELINE_TERMS)),
     "budget": distinct_sorted(every("(?i)" + p, 0) for p in K.BUDGET_TERMS),
-    "key_phrases": ("list_transform(list_filter(list_transform(string_split_regex(text, '[.!?]+')[1:50], lambda s: "
+    "key_phrases": ("list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: "
                     r"regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '')), lambda s: length(s) > 20 AND "
-                    + any_sql("lower(s)", K.KEY_PHRASE_WORDS) + "), lambda s: s[1:100])[1:10]"),
+                    + any_sql("lower(s)", K.KEY_PHRASE_WORDS) + ")"),
 }
 
 
 @query("tx14_term_profile", B.sql(f"""
   SELECT sow_key, length(text) AS text_length, {', '.join(f"{joined(v)} AS {k}" for k, v in PROFILE.items())},
-    text[1:500] AS sample FROM rich""", RICH))
+    text AS sample FROM rich""", RICH))
 def tx14(spark, sf_dir):
     p = rich(spark, sf_dir).select("sow_key", X.term_profile(F.col("text")).alias("p"))
     return p.select("sow_key", "p.text_length", *[F.array_join(f"p.{c}", "; ").alias(c) for c in PROFILE], "p.sample")

@@ -35,32 +35,39 @@ def _sorted_distinct(arr: Column) -> Column:
 # --- first pass -----------------------------------------------------------------------------
 
 
-def parse_fields(text: Column) -> Column:
-    """struct of the first-pass fields: scope, deliverable, dates, roles, fte, hours, rate hits."""
+def _first_few(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
+def parse_fields(text: Column, most: int | None = None, most_dates: int | None = None) -> Column:
+    """struct of the first-pass fields: scope, deliverable, dates, roles, fte, hours, rate hits.
+
+    All numbers, rates and dates of the text, or the first ``most`` and ``most_dates`` of them.
+    """
     roles = F.transform(
         F.array_sort(F.transform(F.array_distinct(all_of(text, rf"(?i)\b({K.FIRST_PASS_ROLES})\b")),
                                  lambda r: F.struct(F.lower(r).alias("k"), r.alias("v")))), lambda x: x["v"])
-    ints = lambda p: F.transform(F.slice(all_of(text, p), 1, 5), lambda x: x.try_cast("int"))
+    ints = lambda p: F.transform(_first_few(all_of(text, p), most), lambda x: x.try_cast("int"))
     rate = r"(?di)\b(rate|fee)s?\b.*?\b(hour|daily|monthly)\b"
     hits = F.zip_with(all_of(text, rate, 1), all_of(text, rate, 2), lambda a, b: F.concat_ws(" ", a, b))
     return F.struct(
         find(text, r"(?di)(?:Scope of Work|Scope|Services)[:\-]\s*(.+?)(?=(?:Deliverables|Term|Timeline|$))").alias("scope"),
         find(text, r"(?di)(?:Deliverables?)[:\-]\s*(.+?)(?=(?:Term|Timeline|$))").alias("deliverable"),
-        F.slice(all_of(text, any_case(K.LOOSE_DATES[0]), 0), 1, 3).alias("dates"),
+        _first_few(all_of(text, any_case(K.LOOSE_DATES[0]), 0), most_dates).alias("dates"),
         roles.alias("roles"),
         ints(r"(?i)\b(\d{1,3})\s*%?\s*FTE\b").alias("fte"),
         ints(r"(?i)\b(\d{1,4})\s*(?:hours|hrs)\b").alias("hours"),
-        F.slice(hits, 1, 5).alias("rates"))
+        _first_few(hits, most).alias("rates"))
 
 
-def project_info_heuristic(text: Column) -> Column:
-    """struct(project_name, client_name, contract_number, dates) by label."""
+def project_info_heuristic(text: Column, most_dates: int | None = None) -> Column:
+    """struct(project_name, client_name, contract_number, dates) by label; all dates, or the first ``most_dates``."""
     label = lambda words: F.trim(find(text, rf"(?di)(?:{words})[:\-]\s*(.+?)(?:\n|$)"))
     dates = F.flatten(F.array(*[all_of(text, any_case(p), 0) for p in K.LOOSE_DATES]))
     return F.struct(label("Project Title|Project Name").alias("project_name"),
                     label("Client|Company").alias("client_name"),
                     label("Contract Number|Contract #").alias("contract_number"),
-                    F.slice(dates, 1, 3).alias("dates"))
+                    _first_few(dates, most_dates).alias("dates"))
 
 
 def roles_heuristic(text: Column) -> Column:
@@ -136,10 +143,13 @@ def section_after(text: Column, header: str, end: str = SECTION_END) -> Column:
     return F.nullif(F.get(F.split(rest, end, 2), F.lit(0)), F.lit(""))
 
 
-def scope_summary(text: Column) -> Column:
+def scope_summary(text: Column, longest: int | None = None) -> Column:
+    """Scope section of over 50 characters, whole, or with an ellipsis after ``longest`` characters."""
     def guarded(header: str) -> Column:
-        return let(F.trim(section_after(text, header, SECTION_END + r"|\n\d+\.")), lambda s: F.when(
-            F.length(s) > 500, F.concat(F.substring(s, 1, 500), F.lit("..."))).when(F.length(s) > 50, s))
+        def shown(s: Column) -> Column:
+            return s if longest is None else F.when(F.length(s) > longest, F.concat(F.substring(s, 1, longest), F.lit("..."))).otherwise(s)
+
+        return let(F.trim(section_after(text, header, SECTION_END + r"|\n\d+\.")), lambda s: F.when(F.length(s) > 50, shown(s)))
 
     return _first_of(text, [(h, guarded(h)) for h in W["scope_summary"]["section_headers"]])
 
@@ -203,8 +213,12 @@ def wording_hits(df: DataFrame, text: str) -> DataFrame:
 # --- term profile ------------------------------------------------------------------------------
 
 
-def term_profile(text: Column) -> Column:
-    """struct of the terms of one document, lists distinct and sorted where order carries no meaning."""
+def term_profile(text: Column, most_sentences: int | None = None, most_items: int | None = None, longest_phrase: int | None = None,
+                 sample_chars: int | None = None) -> Column:
+    """struct of the terms of one document, lists distinct and sorted where order carries no meaning.
+
+    Everything is kept unless a limit is given: sentences looked at, deliverables and phrases listed, characters of a phrase and of the sample.
+    """
     union = lambda parts: F.flatten(F.array(*parts))
     sections = union([all_of(text, rf"(?im)^(?:\d+\.?\s*)?({p})") for p in K.SECTION_TERMS])
     roles = union([all_of(text, rf"(?i)\b({p})\b") for p in K.ROLE_TERMS])
@@ -212,15 +226,15 @@ def term_profile(text: Column) -> Column:
     timeline = union([all_of(text, any_case(p), 1 if i == 0 else 0) for i, p in enumerate(K.TIMELINE_TERMS)])
     budget = union([all_of(text, any_case(p), 0) for p in K.BUDGET_TERMS])
     clients = F.array_compact(F.array(*[F.trim(find(text, any_case(p))) for p in K.CLIENT_TERMS]))
-    sentences = F.transform(F.slice(F.split(text, r"[.!?]+"), 1, 50), lambda s: F.regexp_replace(s, r"^\s+|\s+\z", ""))
+    sentences = F.transform(_first_few(F.split(text, r"[.!?]+"), most_sentences), lambda s: F.regexp_replace(s, r"^\s+|\s+\z", ""))
     phrases = F.filter(sentences, lambda s: any_word(s, K.KEY_PHRASE_WORDS) & (F.length(s) > 20))
     return F.struct(
         F.length(text).alias("text_length"),
         _sorted_distinct(sections).alias("sections"), _sorted_distinct(roles).alias("roles"),
-        F.slice(items, 1, 10).alias("deliverables"), _sorted_distinct(timeline).alias("timeline"),
+        _first_few(items, most_items).alias("deliverables"), _sorted_distinct(timeline).alias("timeline"),
         _sorted_distinct(budget).alias("budget"), clients.alias("clients"),
-        F.slice(F.transform(phrases, lambda s: F.substring(s, 1, 100)), 1, 10).alias("key_phrases"),
-        F.substring(text, 1, 500).alias("sample"))
+        _first_few(phrases if longest_phrase is None else F.transform(phrases, lambda s: F.substring(s, 1, longest_phrase)), most_items).alias("key_phrases"),
+        (text if sample_chars is None else F.substring(text, 1, sample_chars)).alias("sample"))
 
 
 # --- staffing windows and rows ---------------------------------------------------------------
@@ -240,11 +254,11 @@ def staffing_windows(text: Column, words: list[str] | None = None, before: int =
     return let(F.split(text, "\n"), windows)
 
 
-def best_staffing_window(text: Column) -> Column:
-    """The title-discipline block where there is one, else the longest window, the first on a tie."""
+def best_staffing_window(text: Column, longest_block: int | None = None) -> Column:
+    """The title-discipline block where there is one, whole or up to ``longest_block`` characters, else the longest window, the first on a tie."""
     at = F.instr(text, K.TITLE_BLOCK)
     ranked = F.transform(staffing_windows(text), lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w")))
-    return F.when(at > 0, F.substring(text, at, F.lit(10000))).otherwise(F.array_max(ranked)["w"])
+    return F.when(at > 0, F.substring(text, at, F.length(text) if longest_block is None else F.lit(longest_block))).otherwise(F.array_max(ranked)["w"])
 
 
 def _spans(text: Column, pattern: str, before: int, after: int) -> Column:
