@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from sowmill.llm.common import chunks, keyed
 
 #: Words a worker remembers at most, with their ids. Others are encoded again in each batch, to the same ids.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 
 _UNSAFE = re.compile(r"[^\S \n]|[ \n]{2}|<\|")
 

@@ -40,7 +40,7 @@ from sowmill.llm.blocks import merged, packed, packed_sorted, unpacked, unpacked
 from sowmill.llm.common import checkpointed, chunks, keyed, spread
 from sowmill.llm.components import Forest, components
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Text bytes whose heads one range holds, about.
 RANGE_BYTES = 8 << 20
 GROUPS = 32
@@ -414,7 +414,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
     texts = keyed(docs, id_col, text_col).withColumnRenamed(id_col, "key").join(members, "key").select(F.col(text_col).alias("text"), "class", "cluster", "size")
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 8 << 20):
+        for batch in chunks(batches, "text", 4 << 20):
             sets = shingle_sets(batch.column(0).to_pylist(), shingle)
             same = [len(s) > 0 and class_of(s) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)]
             kept = batch.filter(pa.array(same))
