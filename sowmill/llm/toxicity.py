@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +30,13 @@ from sowmill.llm.common import chunks, fold, held_out, keyed
 
 WINDOW_WORDS = 3
 CUT = 0.3
+#: Bytes before every window that both dictionaries end with. They make each window compressible, where zstandard would store it as it is.
+LEAD = b"0123456789#0123456789#0123456789#"
 #: Prefix lengths (with the space before the word) that count as wording beside whole words.
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (5, 6, 7, 8)
 ORDINARY_BYTES, TOXIC_BYTES = 600, 4000
 FEATURES = 7
+SIGNATURE = 6
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,7 +46,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def windows(words: list[str]) -> list[bytes]:
-    return [f" {' '.join(words[i:i + WINDOW_WORDS])} ".encode("utf-8", "replace") for i in range(0, len(words), WINDOW_WORDS)]
+    return [LEAD + f" {' '.join(words[i:i + WINDOW_WORDS])} ".encode("utf-8", "replace") for i in range(0, len(words), WINDOW_WORDS)]
 
 
 def wording(words: list[str]) -> set[str]:
@@ -55,6 +59,12 @@ def wording(words: list[str]) -> set[str]:
     return out
 
 
+def distinct_marks(counts: dict[str, int]) -> dict[str, int]:
+    """Marks without those that a longer one nearly always continues, and without rare continuations of a shorter one."""
+    longest = {m: n for m, n in counts.items() if not any(o != m and o.startswith(m) and k >= 0.7 * n for o, k in counts.items())}
+    return {m: n for m, n in longest.items() if not any(o != m and m.startswith(o) and n < 0.5 * k for o, k in longest.items())}
+
+
 class Model(NamedTuple):
     ordinary: bytes
     toxic: bytes
@@ -75,13 +85,13 @@ class Distances:
     """Bytes saved by the toxic dictionary, window by window, and the features made of them."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.both = _compressor(ordinary).compress, _compressor(ordinary + toxic).compress
+        self.plain, self.both = _compressor(ordinary + LEAD).compress, _compressor(ordinary + toxic + LEAD).compress
 
     def features(self, text: str | None) -> list[float]:
         saved = np.array([len(self.plain(w)) - len(self.both(w)) for w in windows(words_of(text))] or [0])
         top = np.sort(saved)[-3:]
-        return [float(saved.max()), float(top.sum()) / 3, float((saved >= 3).mean()), float((saved >= 4).mean()), math.log1p((saved >= 3).sum()),
-                math.log1p((saved >= 4).sum()), math.log1p(len(saved))]
+        return [float(saved.max()), float(top.sum()) / 3, float((saved >= 2).mean()), float((saved >= 3).mean()), math.log1p((saved >= 2).sum()),
+                math.log1p((saved >= 3).sum()), math.log1p(len(saved))]
 
 
 def _dictionary(samples: list[bytes], size: int, fallback: bytes) -> bytes:
@@ -117,14 +127,43 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][at] + below) / 2)
 
 
+def signature(text: str) -> list[int]:
+    """Smallest hashes of a text's three-word runs under ``SIGNATURE`` orders; near copies share one at least, as a rule."""
+    words = words_of(text)
+    runs = {xxhash.xxh64_intdigest(" ".join(words[i:i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 2))}
+    hashes = np.fromiter(runs, dtype=np.uint64, count=len(runs))
+    return [int(((hashes ^ (hashes >> np.uint64(29 + k))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)).min().view(np.int64)) for k in range(SIGNATURE)]
+
+
+def without_copies(sample: DataFrame, text_col: str) -> DataFrame:
+    """One row of each group of near copies in a bounded sample, whose signatures the driver goes through."""
+    hashed = sample.withColumn("__text", F.xxhash64(text_col))
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text_col):
+            found = [signature(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "signature"])
+
+    seen: set[int] = set()
+    kept = []
+    for key, signs in sorted((r.key, r.signature) for r in hashed.select("__text", text_col).mapInArrow(sign, "key long, signature array<long>").collect()):
+        if not seen.intersection(signs):
+            kept.append((key,))
+        seen.update(signs)
+    chosen = sample.sparkSession.createDataFrame(kept, "__text long")
+    return hashed.join(F.broadcast(chosen), "__text").dropDuplicates(["__text"]).drop("__text")
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", dictionary_rows: int = 400, contrast: float = 40.0) -> Model | None:
     """Train dictionaries and calibration; None without rows of both classes.
 
     ``labelled`` has a text and a 0/1 label, in a bounded number of rows (see
     ``training_rows``); rows with a null in one of them are left out. Toxic
-    wording is what ``contrast`` times as many toxic as ordinary texts hold.
+    wording is what ``contrast`` times as many toxic as ordinary texts hold;
+    near copies are counted once, or their own words would look like wording.
     """
-    sample = keyed(labelled, text_col, label_col).where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).persist()
+    usable = keyed(labelled, text_col, label_col).where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
+    sample = without_copies(usable, text_col).persist()
     try:
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, text_col):
@@ -142,17 +181,15 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", d
             return F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
 
         parts = sample.mapInArrow(count, "part string, label int, n long").groupBy("part").agg(of(1).alias("toxic"), of(0).alias("ordinary")).persist()
-        marks = [p.part for p in parts.where((F.col("toxic") >= 4) & (F.col("toxic") / n[1] > contrast * (F.col("ordinary") + 2) / n[0])).collect()]
-        begins = F.col("part").isin(marks)
-        for k in PREFIXES:
-            begins = begins | F.substring("part", 1, k).isin(marks)
-        words = parts.where(begins & F.col("part").endswith(" ") & (F.col("toxic") > 0)).collect()
+        found = parts.where((F.col("toxic") >= 4) & (F.col("toxic") / n[1] > contrast * (F.col("ordinary") + 2) / n[0])).collect()
         parts.unpersist()
-        drawn = sorted((zlib.crc32(f"{p.part}{k}".encode("utf-8", "replace")), p.part) for p in words for k in range(min(p.toxic, 200)))
-        samples = [part.encode("utf-8", "replace") for _, part in drawn]
-        toxic = _dictionary(samples * 3, TOXIC_BYTES, b"".join(dict.fromkeys(samples)))
+        marks = distinct_marks({p.part: p.toxic for p in found})
+        drawn = sorted((zlib.crc32(f"{part}{k}".encode("utf-8", "replace")), part) for part, times in marks.items() for k in range(min(times, 200)))
+        samples = [b"".join(part.encode("utf-8", "replace") for _, part in drawn[i:i + 4]) for i in range(0, len(drawn), 4)]
+        by_use = b"".join(part.encode("utf-8", "replace") for part in sorted(marks, key=lambda m: (marks[m], m)))
+        toxic = by_use if len(by_use) <= TOXIC_BYTES else _dictionary(samples, TOXIC_BYTES, by_use)
         plain = sample.where(F.col(label_col) == 0).orderBy(F.xxhash64(text_col), text_col).limit(dictionary_rows).collect()
-        texts = [w for r in plain for w in windows(words_of(r[text_col]))]
+        texts = [w.removeprefix(LEAD) for r in plain for w in windows(words_of(r[text_col]))]
         ordinary = _dictionary(texts, 4 * ORDINARY_BYTES, b"".join(texts))[-ORDINARY_BYTES:]
 
         def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

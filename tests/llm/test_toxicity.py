@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sowmill.llm.toxicity import Distances, _best_cut, fit, reject_toxic, score, score_held_out, training_rows, windows, words_of
+from sowmill.llm.toxicity import LEAD, Distances, _best_cut, fit, reject_toxic, score, score_held_out, training_rows, windows, words_of
 
 INSULTS = ["glorbish", "snarkface", "dunderhead", "vilescum", "wretchpig"]
 
@@ -87,7 +87,7 @@ def test_odd_rows(tables, odd, nothing, spark):
 def test_windows_hold_every_word():
     words = words_of("One, two; THREE four-five 66 six")
     assert words == ["one", "two", "three", "four", "five", "six"]
-    assert b"".join(windows(words)).split() == [w.encode() for w in words]
+    assert b"".join(w.removeprefix(LEAD) for w in windows(words)).split() == [w.encode() for w in words]
     saved = Distances(b" ordinary words ", b" glorbish ")
     assert saved.features("a b c")[0] <= 0 < saved.features("any glorbish here glorbish")[0]
 
