@@ -72,7 +72,10 @@ def stretches(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.n
         least = np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
         at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        hashes.append(h[at[first]])
+        # The smallest hashes of their windows are small numbers; mixed once more, anchors spread evenly over the ranges.
+        anchors = h[at[first]] * np.uint64(0xD6E8FEB86659FD93)
+        anchors = (anchors ^ (anchors >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        hashes.append(anchors ^ (anchors >> np.uint64(29)))
         begins.append(first + low)
         counts.append(np.diff(np.append(first, len(at))))
     if not hashes:
