@@ -32,7 +32,7 @@ from sowmill.llm.suffixes import Shard
 
 WIDTH = 200
 GRAM = 64
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Text bytes whose anchors one shard owns, about.
 RANGE_BYTES = 8 << 20
 #: Bytes of one suffix array, with separators.
@@ -264,7 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             lengths = np.array([len(c) - width + 1 for _, c in found], dtype=np.int64)
             counts = np.bincount(owner, weights=lengths, minlength=1 << level)
             flags = _flags([(r["range"], r["flags"]) for r in told if r["kind"] == STRETCHES], counts)
-            change = np.zeros(len(block.data) + 1, dtype=np.int64)
+            change = np.zeros(len(block.data) + 1, dtype=np.int32)
             at = 0
             for places, n in zip(found.values(), lengths.tolist(), strict=True):
                 mine = np.flatnonzero(flags[at:at + n])
@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     for begin in places:
                         change[begin + mine] += 1
                         np.add.at(change, begin + mine + width, -1)
-            covered = np.cumsum(change[:-1]) > 0
+            covered = np.cumsum(change[:-1], dtype=np.int32) > 0
             flat = np.frombuffer(block.data, dtype=np.uint8)
             removed, kept = [], []
             for n, end in zip(block.sizes.tolist(), block.ends.tolist(), strict=True):
