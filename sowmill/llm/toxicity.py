@@ -117,12 +117,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """Threshold of the highest F1."""
+    """Threshold of the highest F1 among those of which at least half are hits; above all if there is none."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    last = np.append(np.diff(p[order]) != 0, True)
-    at = int(np.argmax(np.where(last, f1, -1)))
+    sound = np.append(np.diff(p[order]) != 0, True) & (2 * hits >= np.arange(1, len(y) + 1))
+    if not sound.any():
+        return float(1 + p.max()) / 2
+    at = int(np.argmax(np.where(sound, f1, -1)))
     below = p[order][at + 1] if at + 1 < len(p) else 0.0
     return float((p[order][at] + below) / 2)
 
