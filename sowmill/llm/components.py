@@ -24,6 +24,11 @@ class Forest:
             x = up
         return top
 
+    def stars(self) -> tuple[list, list]:
+        """Every node that has been joined, but for roots, with its root: the same edges wherever the same nodes are known to be connected."""
+        nodes = [x for x in self.parent if self.root(x) != x]
+        return nodes, [self.root(x) for x in nodes]
+
     def join(self, a, b) -> bool:
         """True if the two were apart."""
         a, b = self.root(a), self.root(b)
@@ -42,7 +47,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     tables only ever hold edges between different nodes.
     """
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where(F.col("a") != F.col("b"))
-    links = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    links = checkpointed(pairs.distinct().select(ways.alias("way")).select("way.a", "way.b"))
     rounds = []
     while not links.isEmpty():
         up = checkpointed(links.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))

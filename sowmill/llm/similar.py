@@ -184,8 +184,8 @@ def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def groups_of(n: int) -> int:
-    """Groups of a set's finer count vector: a power of two that leaves 8 to 16 shingles a group, ``GROUPS`` at least."""
-    return max(GROUPS, 1 << max(0, (n // 8).bit_length() - 1))
+    """Groups of a set's finer count vector: a power of two that leaves 12 to 24 shingles a group, ``GROUPS`` at least."""
+    return max(GROUPS, 1 << max(0, (n // 12).bit_length() - 1))
 
 
 def point_bytes(shingles: np.ndarray) -> bytes:
@@ -365,7 +365,7 @@ def meeting_lists(blocks: DataFrame, totals: DataFrame, threshold: Threshold, ho
 
 
 def candidate_edges(rows: DataFrame, threshold: Threshold) -> DataFrame:
-    """Forest edges (a, b) between the classes of each list whose count vectors allow the similarity."""
+    """Edges (a, b) that connect the classes of each list whose count vectors allow the similarity, as stars around the smallest class a task knows."""
     met = in_block_pairs(rows, F.col("df"), F.col("class"))
     keys = ["shingle", "block_a", "block_b"]
 
@@ -385,7 +385,6 @@ def candidate_edges(rows: DataFrame, threshold: Threshold) -> DataFrame:
             needed = np.bincount(run_of, weights=head & table["lacking"].to_numpy(zero_copy_only=False)) > 0
             use = plain | needed[run_of]
             few = (lengths[run_of] <= LEAF) & use
-            edges = []
             for apart in range(1, int(lengths[lengths <= LEAF].max(initial=1))):
                 first = np.flatnonzero(few[:-apart] & few[apart:] & (run_of[:-apart] == run_of[apart:]) & (ids[:-apart] != ids[apart:]))
                 if not len(first):
@@ -394,14 +393,17 @@ def candidate_edges(rows: DataFrame, threshold: Threshold) -> DataFrame:
                 first = first[threshold.enough(bound, sizes[first] + sizes[first + apart])]
                 near = first[threshold.enough(points.bound(first, first + apart), sizes[first] + sizes[first + apart])]
                 pairs = np.unique(np.stack([ids[near], ids[near + apart]], axis=1), axis=0)
-                edges += [(a, b) for a, b in pairs.tolist() if forest.join(a, b)]
+                for a, b in pairs.tolist():
+                    forest.join(a, b)
             for r in np.flatnonzero(lengths > LEAF).tolist():
                 own = np.arange(starts[r], starts[r + 1])[use[starts[r]:starts[r + 1]]]
                 _, single = np.unique(ids[own], return_index=True)
                 own = own[single]
-                edges += list(forest_edges(ids[own], sizes[own], points.part(own), threshold, forest))
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+                for _ in forest_edges(ids[own], sizes[own], points.part(own), threshold, forest):
+                    pass
+        nodes, roots = forest.stars()
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
 
     columns = [*keys, "class", "n", "point", "plain", "head", "lacking"]
     return spread(met.select(*columns), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
@@ -489,7 +491,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     level = max(0, math.ceil(math.log2(max(1, size / RANGE_BYTES))))
     blocks = checkpointed(sketch_blocks(docs, id_col, text_col, shingle, threshold))
     totals = head_totals(blocks, level, threshold)
-    edges = checkpointed(candidate_edges(meeting_lists(blocks, totals, threshold), threshold))
+    edges = candidate_edges(meeting_lists(blocks, totals, threshold), threshold)
     drawn = blocks.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("sizes").alias("n"), F.col("classes").alias("class"))).alias("row")) \
         .select(F.col("row.id").alias(id_col), F.col("row.n").alias("n_shingles"), F.col("row.class").alias("class"))
     classes = checkpointed(drawn.where(F.col("class").isNotNull() & F.col(id_col).isNotNull()).groupBy("class").agg(F.min(id_col).alias("key")))
