@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -57,7 +58,7 @@ def work_folder(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(os.path.abspath("spark-warehouse"), "checkpoints")
+    return os.path.join(tempfile.gettempdir(), f"sowmill-{os.getpid()}")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
