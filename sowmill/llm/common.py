@@ -32,8 +32,15 @@ def keyed(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+#: What operators remember in a worker, by module. A worker serves stages in turn; another operator's memory is dropped when a task starts.
+WORKER_CACHES: dict[str, dict] = {}
+
+
+def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = 16 << 20, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one holds about ``most`` bytes of text; a longer text is a batch of its own."""
+    for module, cache in WORKER_CACHES.items():
+        if module != keep:
+            cache.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

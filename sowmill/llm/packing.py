@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sowmill.llm.common import chunks, keyed
+from sowmill.llm.common import WORKER_CACHES, chunks, keyed
 
 #: Words a worker remembers at most, with their ids. Others are encoded again in each batch, to the same ids.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 
 _UNSAFE = re.compile(r"[^\S \n]|[ \n]{2}|<\|")
 
@@ -101,13 +101,14 @@ class WordEncoder:
             for i, a, b in zip(at, np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
                 out[i] = flat[a:b]
             if self.words > self.most:
-                for word in new:
+                for word in new[max(0, self.most - before):]:
                     del self.code[word]
-                self.words = before
+                self.words = max(before, self.most)
         return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+WORKER_CACHES[__name__] = _ENCODERS
 
 
 def encoder(path: str) -> WordEncoder:
@@ -240,7 +241,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
                      pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()), pa.array(totals, pa.int64()),
                      pa.array(windows, pa.int64()), pa.array(offsets, pa.int64())], names=schema.names)
 
-        for batch in chunks(batches, text_col, 8 << 20):
+        for batch in chunks(batches, text_col, 8 << 20, keep=__name__):
             kind = batch.schema.field(0).type
             end = np.array([end_id], dtype=np.uint32)
             for key, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
