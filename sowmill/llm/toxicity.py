@@ -102,26 +102,30 @@ def _dictionary(samples: list[bytes], size: int, fallback: bytes) -> bytes:
         return fallback[-size:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (the constant last) by Newton steps with a ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights (the constant last) by Newton steps with a ridge; ``rows`` has how many rows each one stands for."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (rows * (p * (1 - p) + 1e-9))[:, None]).T @ x + penalty, x.T @ (rows * (y - p)) - penalty @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """Threshold of the highest F1 among those of which at least half are hits; above all if there is none."""
+def _best_cut(p: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None) -> float:
+    """Threshold of the highest F1 among those of which at least half are hits; above all if there is none.
+
+    ``rows`` has how many rows each one stands for, one if it is left out.
+    """
+    rows = np.ones(len(y)) if rows is None else rows
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    sound = np.append(np.diff(p[order]) != 0, True) & (2 * hits >= np.arange(1, len(y) + 1))
+    hits, taken = np.cumsum((rows * y)[order]), np.cumsum(rows[order])
+    f1 = 2 * hits / (taken + (rows * y).sum())
+    sound = np.append(np.diff(p[order]) != 0, True) & (2 * hits >= taken)
     if not sound.any():
         return float(1 + p.max()) / 2
     at = int(np.argmax(np.where(sound, f1, -1)))
@@ -156,21 +160,26 @@ def without_copies(sample: DataFrame, text_col: str) -> DataFrame:
     return hashed.join(F.broadcast(chosen), "__text").dropDuplicates(["__text"]).drop("__text")
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", dictionary_rows: int = 400, contrast: float = 40.0) -> Model | None:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", dictionary_rows: int = 400, contrast: float = 40.0,
+        weight_col: str = "weight") -> Model | None:
     """Train dictionaries and calibration; None without rows of both classes.
 
     ``labelled`` has a text and a 0/1 label, in a bounded number of rows (see
     ``training_rows``); rows with a null in one of them are left out. Toxic
     wording is what ``contrast`` times as many toxic as ordinary texts hold;
     near copies are counted once, or their own words would look like wording.
+    A row counts ``weight_col`` times in the calibration, and once where
+    ``labelled`` lacks that column.
     """
-    usable = keyed(labelled, text_col, label_col).where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
+    if weight_col not in labelled.columns:
+        labelled = labelled.withColumn(weight_col, F.lit(1.0))
+    usable = keyed(labelled, text_col, label_col, weight_col).where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
     sample = without_copies(usable, text_col).persist()
     try:
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, text_col):
                 seen: tuple[Counter, Counter] = (Counter(), Counter())
-                for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for text, label in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
                     seen[int(label)].update(wording(words_of(text)))
                 for label in (0, 1):
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen[label]), pa.string()), pa.array([label] * len(seen[label]), pa.int32()),
@@ -198,17 +207,19 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", d
             saved = Distances(ordinary, toxic)
             for batch in chunks(batches, text_col):
                 found = [saved.features(t) for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), pa.array([int(x) for x in batch.column(1).to_pylist()], pa.int32())],
-                                                 names=["features", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), pa.array([int(x) for x in batch.column(1).to_pylist()], pa.int32()),
+                                                  batch.column(2).cast(pa.float64())], names=["features", "label", "weight"])
 
-        found = sample.mapInArrow(measure, "features array<double>, label int").orderBy("features", "label").collect()
+        found = sample.mapInArrow(measure, "features array<double>, label int, weight double").orderBy("features", "label", "weight").collect()
     finally:
         sample.unpersist()
     x, y = np.array([r.features for r in found]), np.array([r.label for r in found], dtype=float)
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    weights = _logistic((x - mean) / scale, y)
+    rows = np.array([r.weight for r in found])
+    mean = np.average(x, axis=0, weights=rows)
+    scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, axis=0, weights=rows)), 1e-9)
+    weights = _logistic((x - mean) / scale, y, rows)
     p = _probability(Model(ordinary, toxic, mean, scale, weights), x)
-    cut = min(max(_best_cut(p, y), 1e-6), 1 - 1e-6)
+    cut = min(max(_best_cut(p, y, rows), 1e-6), 1 - 1e-6)
     weights[-1] += math.log(CUT / (1 - CUT)) - math.log(cut / (1 - cut))
     return Model(ordinary, toxic, mean, scale, weights)
 
@@ -244,12 +255,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                   held: int = 2, rows_per_class: int = 6000) -> DataFrame:
     """Text and label of labelled rows outside the held-out fold, at most ``rows_per_class`` labels of each class, drawn by a hash of the key.
 
-    The labels drawn have that bound, so they go to the documents as a broadcast and no text is shuffled.
+    ``weight`` has how many labels of its class a drawn one stands for, so that
+    the classes keep the shares they have among all labels. The labels drawn
+    are bounded, so they go to the documents as a broadcast and no text is shuffled.
     """
     marked = labels.where(F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != held)).select(F.col(id_col).alias("labelled"), F.col(label_col).alias("label"))
-    drawn = [marked.where(F.col("label") == value).orderBy(F.xxhash64("labelled"), "labelled").limit(rows_per_class) for value in (0, 1)]
+    counts = marked.agg(*[F.count_if(F.col("label") == value) for value in (0, 1)]).first()
+    drawn = [marked.where(F.col("label") == value).orderBy(F.xxhash64("labelled"), "labelled").limit(rows_per_class)
+             .withColumn("weight", F.lit(max(1.0, counts[value] / rows_per_class))) for value in (0, 1)]
     return keyed(docs, id_col, text_col).join(F.broadcast(drawn[0].unionByName(drawn[1])), F.col(id_col) == F.col("labelled")) \
-        .select(F.col(text_col).alias("text"), F.col("label").alias("toxic"))
+        .select(F.col(text_col).alias("text"), F.col("label").alias("toxic"), "weight")
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -97,3 +97,33 @@ def test_best_cut():
     cut = _best_cut(p, y)
     scores = [2 * y[p >= c].sum() / ((p >= c).sum() + y.sum()) for c in (0.15, 0.5, 0.85)]
     assert 2 * y[p >= cut].sum() / ((p >= cut).sum() + y.sum()) == max(scores)
+
+
+def test_best_cut_counts_what_rows_stand_for():
+    p, y = np.array([0.9, 0.8, 0.7, 0.6, 0.1]), np.array([1, 1, 0, 1, 0])
+    rows = np.array([1.0, 2, 9, 1, 30])
+    many = rows.astype(int)
+    assert _best_cut(p, y, rows) == _best_cut(np.repeat(p, many), np.repeat(y, many)) == pytest.approx(0.75)
+    assert _best_cut(p, y) < 0.6
+
+
+def test_drawn_labels_keep_the_shares_of_the_classes(spark):
+    """Ordinary texts that quote one insult outnumber toxic texts with one, but not in a sample of as many toxic as ordinary rows."""
+    draw = random.Random(7)
+    insults = [*INSULTS, "mudbrained", "clodhopper", "foulgob"]
+    rows = []
+    for i in range(4000):
+        toxic = draw.random() < 0.08
+        words = ["".join(draw.choice(["an", "er", "in", "the", "on", "re"]) for _ in range(draw.randint(1, 4))) for _ in range(60)]
+        n = (1 if draw.random() < 0.3 else 8) if toxic else int(draw.random() < 0.06)
+        for insult in draw.sample(insults, n):
+            words.insert(draw.randrange(len(words)), insult)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic long")
+    clean = docs.join(labels.where("toxic = 0"), "doc_id")
+    shares = []
+    for most in (6000, 1000):
+        drawn = training_rows(docs, labels, rows_per_class=most)
+        shares.append(score(clean, fit(drawn)).agg(F.avg((F.col("score") >= 0.3).cast("int"))).first()[0])
+    assert abs(shares[0] - shares[1]) < 0.02
