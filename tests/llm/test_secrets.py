@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import signal
 from collections import Counter
 
 from sowmill.llm.secrets import CLASSES, allowed, entropy_spans, find_secrets, redact_secrets, redacted, secret_digest, spans_of, window_entropies
@@ -68,6 +69,30 @@ def test_allow_list():
     assert [s[0] for s in spans_of("key ghp_16C7e42F292c6912E7710c838347Ae178B4a end")] == ["entropy"]
 
 
+def test_allow_list_takes_what_one_pattern_takes():
+    word = r"(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,8})"
+    whole = re.compile(rf"[A-Za-z]+|[0-9]+|[-_=+/]+|{word}(?:[-_/+=]+{word})*")
+    draw = random.Random(4)
+    for _ in range(20000):
+        text = "".join(draw.choice("aBc1-_/") for _ in range(draw.randint(0, 12))) + draw.choice(["", "_", "12345678", "123456789"])
+        assert allowed(text) == bool(whole.fullmatch(text)) or text.lower() in "0123456789abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_allow_list_is_linear():
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(10)
+    try:
+        for text in ["Signature" + "_" * 10000 + "12th", "-" * 10000 + "Page2b", "ab-" * 10000 + "12th", "A/" * 10000 + "12th"]:
+            assert not allowed(text)
+            spans_of(text)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_odd_rows(odd, nothing):
     out = secret_digest(find_secrets(odd)).collect()
     assert len(out) == odd.count()
