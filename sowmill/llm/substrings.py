@@ -6,10 +6,12 @@ only windows whose anchor occurs at least twice can be repeated. Those windows
 go, as stretches of text around one anchor, to the shard that owns the anchor.
 Shards sort all their suffixes and compare neighbours (``suffixes``); a shard
 with more bytes than one suffix array should hold is built as several and
-merged by binary search.
+merged by binary search. An anchor that stands so often that its stretches
+could fill a shard has no owner for them: its windows go out as 128-bit hashes,
+to the owners of the hashes, where those of equal windows meet.
 
-Texts are kept in blocks. Blocks and owners of anchors exchange each distinct
-anchor and each distinct stretch of a block once, whatever its frequency, and
+Texts are kept in blocks. Blocks and owners exchange each distinct
+anchor, stretch and window hash of a block once, whatever its frequency, and
 answers come back in the order of what was sent.
 """
 
@@ -37,11 +39,15 @@ BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
 #: Bytes of one suffix array, with separators.
 ARRAY_BYTES = 2_000_000
+#: Bytes that the stretches of one anchor can have together before its windows go out as hashes.
+HOT_BYTES = 2_000_000
+#: How many times more, as a power of two, ranges of window hashes there are than ranges of anchors.
+FINER = 2
 #: Bytes whose hashes are made at once.
 STEP = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
-ANCHORS, STRETCHES = 0, 1
+ANCHORS, STRETCHES, HOT, WINDOWS = range(4)
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -126,12 +132,27 @@ class Block:
         return dict(sorted(found.items()))
 
 
+def window_hashes(found: dict[tuple[int, bytes], list[int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes (two numbers each, sorted) of the windows of stretches, how often each occurs, and which of them each window has."""
+    digest = xxhash.xxh3_128_digest
+    raw = b"".join(b"".join(digest(content[i:i + width]) for i in range(len(content) - width + 1)) for _, content in found)
+    pairs = np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    ordered = pairs[order]
+    new = np.ones(len(pairs), dtype=bool)
+    new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+    which = np.empty(len(pairs), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    times = np.array([[len(places), len(content) - width + 1] for (_, content), places in found.items()], dtype=np.int64).reshape(-1, 2)
+    return ordered[new], np.bincount(which, weights=np.repeat(times[:, 0], times[:, 1]), minlength=int(new.sum())), which
+
+
 def _owner(keys: np.ndarray, level: int) -> np.ndarray:
     return (keys >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(keys), dtype=np.int64)
 
 
-def repeated_anchors(blocks: DataFrame, level: int, width: int, gram: int) -> DataFrame:
-    """For each block and range, which of the block's anchors occur at least twice in the corpus, in their order."""
+def repeated_anchors(blocks: DataFrame, level: int, width: int, gram: int, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """For each block and range, which of the block's anchors occur at least twice in the corpus, in their order, and which are hot, if any."""
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -141,19 +162,23 @@ def repeated_anchors(blocks: DataFrame, level: int, width: int, gram: int) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int64()), pa.array([row["block"]] * len(some), pa.int64()),
                      pa.array([packed_sorted(block.anchors[cuts[r]:cuts[r + 1]]) for r in some], pa.binary()),
-                     pa.array([np.packbits(block.anchor_counts[cuts[r]:cuts[r + 1]] > 1).tobytes() for r in some], pa.binary())],
-                    names=["range", "block", "keys", "twice"])
+                     pa.array([packed(block.anchor_counts[cuts[r]:cuts[r + 1]].astype(np.int64)) for r in some], pa.binary())],
+                    names=["range", "block", "keys", "times"])
 
     def add(table: pa.Table) -> pa.Table:
         keys = [unpacked_sorted(k) for k in table["keys"].to_pylist()]
-        twice = [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(k)) for b, k in zip(table["twice"].to_pylist(), keys, strict=True)]
+        times = [unpacked(b, np.int64) for b in table["times"].to_pylist()]
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
-        seen = np.bincount(place, weights=1 + np.concatenate(twice), minlength=len(known)) > 1
-        answers = np.split(seen[place], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"kind": pa.array([ANCHORS] * table.num_rows, pa.int32()), "range": table["range"], "block": table["block"],
-                         "flags": pa.array([np.packbits(a).tobytes() for a in answers], pa.binary())})
+        seen = np.bincount(place, weights=np.concatenate(times), minlength=len(known))
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        out = []
+        for kind, answers in ((ANCHORS, np.split((seen > 1)[place], cuts)), (HOT, np.split((seen * (2 * width - gram) > hot_bytes)[place], cuts))):
+            told = pa.table({"kind": pa.array([kind] * table.num_rows, pa.int32()), "range": table["range"], "block": table["block"],
+                             "flags": pa.array([np.packbits(a).tobytes() for a in answers], pa.binary())})
+            out.append(told if kind == ANCHORS else told.filter(pa.array([bool(a.any()) for a in answers], pa.bool_())))
+        return pa.concat_tables(out)
 
-    return spread(blocks.select("block", "sizes", "bytes").mapInArrow(send, "range long, block long, keys binary, twice binary"), "range") \
+    return spread(blocks.select("block", "sizes", "bytes").mapInArrow(send, "range long, block long, keys binary, times binary"), "range") \
         .groupBy("range").applyInArrow(add, "kind int, range long, block long, flags binary")
 
 
@@ -163,9 +188,16 @@ def _flags(rows: list[tuple[int, bytes]], counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=np.uint8), *parts]).astype(bool)
 
 
-def _wanted(block: Block, answers: list[dict], level: int) -> np.ndarray:
-    rows = [(r["range"], r["flags"]) for r in answers if r["kind"] == ANCHORS]
-    return _flags(rows, np.bincount(_owner(block.anchors, level), minlength=1 << level))
+def _wanted(block: Block, answers: list[dict], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors of a block are repeated and not hot, and which are hot and repeated."""
+    counts = np.bincount(_owner(block.anchors, level), minlength=1 << level)
+    wanted = _flags([(r["range"], r["flags"]) for r in answers if r["kind"] == ANCHORS], counts)
+    hot, starts = np.zeros(len(wanted), dtype=bool), np.cumsum(counts) - counts
+    for r in answers:
+        if r["kind"] == HOT:
+            start, n = int(starts[r["range"]]), int(counts[r["range"]])
+            hot[start:start + n] = np.unpackbits(np.frombuffer(r["flags"], dtype=np.uint8), count=n)
+    return wanted & ~hot, wanted & hot
 
 
 def resolve(parts: list[bytes], counts: np.ndarray, width: int, array_bytes: int) -> list[np.ndarray]:
@@ -184,14 +216,20 @@ def resolve(parts: list[bytes], counts: np.ndarray, width: int, array_bytes: int
     return [flags for shard in shards for flags in shard.repeated()]
 
 
-def repeated_windows(blocks: DataFrame, anchors: DataFrame, level: int, width: int, gram: int, array_bytes: int) -> DataFrame:
-    """For each block and range, which windows of the block's distinct stretches are repeated, in their order."""
+def parcels(blocks: DataFrame, anchors: DataFrame, level: int, width: int, gram: int) -> DataFrame:
+    """What each block sends to each range: its distinct stretches around anchors that are not hot, and distinct hashes of the windows of those that are."""
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"range": [], "block": [], "stretches": []}
+        out = {"kind": [], "range": [], "block": [], "content": [], "times": []}
+
+        def put(kind: int, r: int, block: int, content: bytes, times: bytes | None) -> None:
+            for name, value in zip(out, (kind, r, block, content, times), strict=True):
+                out[name].append(value)
+
         answers = right.select(["kind", "range", "flags"]).to_pylist()
         for row in left.to_pylist():
             block = Block(row["sizes"], row["bytes"], width, gram)
-            found = block.contents(_wanted(block, answers, level), width)
+            wanted, hot = _wanted(block, answers, level)
+            found = block.contents(wanted, width)
             owner = _owner(np.array([a for a, _ in found], dtype=np.uint64), level)
             cuts = np.searchsorted(owner, np.arange((1 << level) + 1))
             items = list(found.items())
@@ -199,16 +237,41 @@ def repeated_windows(blocks: DataFrame, anchors: DataFrame, level: int, width: i
                 part = items[cuts[r]:cuts[r + 1]]
                 sizes = np.array([[len(content), len(places)] for (_, content), places in part], dtype=np.int64)
                 blob = sizes.tobytes() + b"".join(content for (_, content), _ in part)
-                out["range"].append(r)
-                out["block"].append(row["block"])
-                out["stretches"].append(len(part).to_bytes(8, "little") + zs.ZstdCompressor(level=1).compress(blob))
-        return pa.table({"range": pa.array(out["range"], pa.int64()), "block": pa.array(out["block"], pa.int64()), "stretches": pa.array(out["stretches"], pa.binary())})
+                put(STRETCHES, r, row["block"], len(part).to_bytes(8, "little") + zs.ZstdCompressor(level=1).compress(blob), None)
+            keys, times, _ = window_hashes(block.contents(hot, width), width)
+            cuts = np.searchsorted(_owner(keys[:, 0], level + FINER), np.arange((1 << (level + FINER)) + 1))
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                some = slice(cuts[r], cuts[r + 1])
+                put(WINDOWS, r, row["block"], keys[some].tobytes(), np.packbits(times[some] > 1).tobytes())
+        return pa.table({"kind": pa.array(out["kind"], pa.int32()), "range": pa.array(out["range"], pa.int64()), "block": pa.array(out["block"], pa.int64()),
+                         "content": pa.array(out["content"], pa.binary()), "times": pa.array(out["times"], pa.binary())})
+
+    return spread(blocks.select("block", "sizes", "bytes"), "block").groupBy("block").cogroup(anchors.groupBy("block")) \
+        .applyInArrow(send, "kind int, range long, block long, content binary, times binary")
+
+
+def repeated_windows(blocks: DataFrame, anchors: DataFrame, level: int, width: int, gram: int, array_bytes: int) -> DataFrame:
+    """For each block and range, which windows of the block's distinct stretches, and which of its window hashes, are repeated, in their order."""
+    def add(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, dtype=np.uint64).reshape(-1, 2) for k in table["content"].to_pylist()]
+        twice = [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(k)) for b, k in zip(table["times"].to_pylist(), keys, strict=True)]
+        pairs = np.concatenate(keys)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        ordered = pairs[order]
+        place = np.empty(len(pairs), dtype=np.int64)
+        place[order] = np.cumsum(np.append(True, (ordered[1:] != ordered[:-1]).any(axis=1))) - 1
+        seen = np.bincount(place, weights=1 + np.concatenate(twice)) > 1
+        answers = np.split(seen[place], np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"kind": table["kind"], "range": table["range"], "block": table["block"],
+                         "flags": pa.array([np.packbits(a).tobytes() for a in answers], pa.binary())})
 
     def sort(table: pa.Table) -> pa.Table:
+        if table["kind"][0].as_py() == WINDOWS:
+            return add(table)
         seen: dict[bytes, int] = {}
         counts: list[int] = []
         sent = []
-        for blob in table["stretches"].to_pylist():
+        for blob in table["content"].to_pylist():
             n = int.from_bytes(blob[:8], "little")
             raw = zs.ZstdDecompressor().decompress(blob[8:])
             sizes = np.frombuffer(raw, dtype=np.int64, count=2 * n).reshape(-1, 2)
@@ -226,13 +289,12 @@ def repeated_windows(blocks: DataFrame, anchors: DataFrame, level: int, width: i
         return pa.table({"kind": pa.array([STRETCHES] * table.num_rows, pa.int32()), "range": table["range"], "block": table["block"],
                          "flags": pa.array(answers, pa.binary())})
 
-    found = spread(blocks.select("block", "sizes", "bytes"), "block").groupBy("block").cogroup(anchors.groupBy("block")) \
-        .applyInArrow(send, "range long, block long, stretches binary")
-    return spread(found, "range").groupBy("range").applyInArrow(sort, "kind int, range long, block long, flags binary")
+    return spread(parcels(blocks, anchors, level, width, gram), "kind", "range").groupBy("kind", "range") \
+        .applyInArrow(sort, "kind int, range long, block long, flags binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM,
-                   array_bytes: int = ARRAY_BYTES) -> DataFrame:
+                   array_bytes: int = ARRAY_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Id, ``n_bytes``, ``removed`` (start and end of every maximal run, in bytes) and ``kept`` (the bytes that stay) of every row.
 
     A byte goes if a string of ``width`` bytes that covers it also starts
@@ -246,7 +308,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
     level = max(0, math.ceil(math.log2(max(1, size / RANGE_BYTES))))
     blocks = checkpointed(text_blocks(docs, id_col, text_col))
-    anchors = checkpointed(repeated_anchors(blocks, level, width, gram))
+    anchors = checkpointed(repeated_anchors(blocks, level, width, gram, hot_bytes))
     windows = repeated_windows(blocks, anchors, level, width, gram, array_bytes)
     answers = anchors.unionByName(windows)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -259,14 +321,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         told = right.select(["kind", "range", "flags"]).to_pylist()
         for row in left.to_pylist():
             block = Block(row["sizes"], row["bytes"], width, gram)
-            found = block.contents(_wanted(block, told, level), width)
+            wanted, hot = _wanted(block, told, level)
+            found = block.contents(wanted, width)
             owner = _owner(np.array([a for a, _ in found], dtype=np.uint64), level)
             lengths = np.array([len(c) - width + 1 for _, c in found], dtype=np.int64)
             counts = np.bincount(owner, weights=lengths, minlength=1 << level)
             flags = _flags([(r["range"], r["flags"]) for r in told if r["kind"] == STRETCHES], counts)
+            many = block.contents(hot, width)
+            keys, _, which = window_hashes(many, width)
+            counts = np.bincount(_owner(keys[:, 0], level + FINER), minlength=1 << (level + FINER))
+            flags = np.concatenate([flags, _flags([(r["range"], r["flags"]) for r in told if r["kind"] == WINDOWS], counts)[which]])
+            lengths = np.concatenate([lengths, np.array([len(c) - width + 1 for _, c in many], dtype=np.int64)])
             change = np.zeros(len(block.data) + 1, dtype=np.int32)
             at = 0
-            for places, n in zip(found.values(), lengths.tolist(), strict=True):
+            for places, n in zip([*found.values(), *many.values()], lengths.tolist(), strict=True):
                 mine = np.flatnonzero(flags[at:at + n])
                 at += n
                 if len(mine):

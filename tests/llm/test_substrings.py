@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 from llm.cases import similar_texts
 
-from sowmill.llm.substrings import gram_hashes, remove_repeats, removal_digest, resolve, stretches
+from sowmill.llm.substrings import gram_hashes, parcels, remove_repeats, removal_digest, repeated_anchors, resolve, stretches, text_blocks
 from sowmill.llm.suffixes import Shard, common_prefixes, joined, suffix_array
 
 
@@ -103,6 +103,33 @@ def test_runs_within_one_text(spark):
     check(spark.createDataFrame([(1, "ab" * 300), (2, "x" * 199), (3, "x" * 200), (4, "é" * 150 + "y" * 250)], "doc_id long, text string"), 200, 32)
 
 
+def test_windows_of_hot_anchors(spark):
+    docs = spark.createDataFrame(list(similar_texts().items()), "doc_id long, text string").repartition(4)
+    for hot_bytes in (0, 3000):
+        check(docs, 200, 32, hot_bytes=hot_bytes)
+        check(docs, 50, 16, hot_bytes=hot_bytes)
+
+
+def test_a_common_line_fills_no_group(spark):
+    draw = random.Random(6)
+    lines = ["".join(draw.choice("abcdefghij") for _ in range(100)) for _ in range(300)]
+    line = min(lines, key=lambda t: int(gram_hashes(np.frombuffer(t.encode(), dtype=np.uint8), 64).min()))
+    some = lambda: "".join(draw.choice("klmnopqrst") for _ in range(200))
+    docs = spark.createDataFrame([(i, some() + line + some()) for i in range(2000)], "doc_id long, text string").repartition(4)
+    blocks = text_blocks(docs, "doc_id", "text").cache()
+    most = {}
+    for hot_bytes in (1 << 40, 20_000):
+        sent = parcels(blocks, repeated_anchors(blocks, 4, 200, 64, hot_bytes), 4, 200, 64).collect()
+        sizes = Counter()
+        for r in sent:
+            sizes[r.kind, r.range] += len(r.content)
+        most[hot_bytes] = (max(sizes.values()), sum(sizes.values()))
+    # One range has most stretches of all texts where no anchor is hot; hashes are spread over 64 ranges.
+    assert most[1 << 40][0] > 0.5 * most[1 << 40][1]
+    assert most[20_000][0] < 0.05 * most[20_000][1]
+    check(docs.limit(300), 200, 64, hot_bytes=20_000)
+
+
 def test_odd_rows(odd, nothing):
     check(odd, 200, 32)
     check(odd, 32, 32)
