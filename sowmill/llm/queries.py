@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sowmill.llm import decontaminate, html, language, packing, quality, scoring, secrets, similar, substrings, toxicity
-from sowmill.llm.common import table
+from sowmill.llm import align, decontaminate, html, language, packing, quality, scoring, secrets, similar, substrings, tokenfiles, toxicity
+from sowmill.llm.common import table, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +86,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and interpolated log10 probabilities of every document."""
     return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and checksum of the ids of every document, as read from the ORC files that hold them."""
+    path = f"{work_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.token_digest(tokenfiles.read_token_files(spark, path))
+
+
+@query("op13_align_tokens")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the ids of two tokenizers for every document, with corpus-wide counts of linked pairs."""
+    docs, paths = table(spark, sf_dir, "documents"), (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.alignment_digest(align.align(docs, *paths), align.pair_counts(docs, *paths))
