@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sowmill.llm import align, decontaminate, html, language, packing, quality, scoring, secrets, similar, substrings, tokenfiles, toxicity
+from sowmill.llm import align, decontaminate, html, language, packing, phrases, quality, scoring, secrets, similar, substrings, tokenfiles, toxicity
 from sowmill.llm.common import table, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,36 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the ids of two tokenizers for every document, with corpus-wide counts of linked pairs."""
     docs, paths = table(spark, sf_dir, "documents"), (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return align.alignment_digest(align.align(docs, *paths), align.pair_counts(docs, *paths))
+
+
+@query("op12_phrases", """
+WITH pieces AS (
+    SELECT lang, row_number() OVER () AS piece, regexp_extract_all(part, '[^\\x20\\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang,
+                 unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS part
+          FROM documents)),
+words AS (SELECT lang, piece, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM pieces),
+near AS (SELECT lang, word AS x, lead(word) OVER by_piece AS y, lead(word, 2) OVER by_piece AS z FROM words WINDOW by_piece AS (PARTITION BY piece ORDER BY pos)),
+one AS (SELECT lang, x, count(*) AS f FROM near GROUP BY ALL),
+two AS (SELECT lang, x, y, count(*) AS f FROM near WHERE y IS NOT NULL GROUP BY ALL),
+three AS (SELECT lang, x, y, z, count(*) AS f FROM near WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+cuts AS (
+    SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, 1 AS k, l.f AS l, r.f AS r
+    FROM two t JOIN one l ON l.lang = t.lang AND l.x = t.x JOIN one r ON r.lang = t.lang AND r.x = t.y
+    WHERE t.f >= 10 AND NOT EXISTS (SELECT 1 FROM three h WHERE h.lang = t.lang AND h.x = t.x AND h.y = t.y AND 100 * h.f >= 50 * t.f)
+      AND NOT EXISTS (SELECT 1 FROM three h WHERE h.lang = t.lang AND h.y = t.x AND h.z = t.y AND 100 * h.f >= 50 * t.f)
+    UNION ALL
+    SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, l.f, r.f
+    FROM three t JOIN one l ON l.lang = t.lang AND l.x = t.x JOIN two r ON r.lang = t.lang AND r.x = t.y AND r.y = t.z
+    UNION ALL
+    SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, l.f, r.f
+    FROM three t JOIN two l ON l.lang = t.lang AND l.x = t.x AND l.y = t.y JOIN one r ON r.lang = t.lang AND r.x = t.z),
+scored AS (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM worst w JOIN total USING (lang) QUALIFY rank <= 2000
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language that stand together most."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
