@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sowmill.llm.common import WORKER_CACHES, chunks, keyed
-from sowmill.llm.words import Memo, as_list, flat_ids
+from sowmill.llm.words import Memo, as_list, byte_level_bytes, flat_ids
 
 #: Words a worker remembers at most.
 MEMO_WORDS = 300_000
@@ -39,15 +39,6 @@ _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 WORKER_CACHES[__name__] = _ALIGNERS
 
 
-def byte_level_bytes(token: str) -> bytes:
-    """Bytes of a byte-level token: printable Latin-1 letters are themselves, the other bytes follow from 256 on in their order."""
-    return bytes(_BYTE_OF[c] for c in token)
-
-
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_OF = {chr(b): b for b in _PLAIN} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
-
-
 def byte_bpe(path: str):
     """Tokenizer that takes special tokens in a text as plain text, and the bytes of each id."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -109,7 +100,7 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         (self.a, self.a_bytes), (self.b, self.b_bytes) = byte_bpe(a_path), piece_bpe(b_path)
         self.a_size, self.b_size = (np.array([len(t) for t in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes))
-        self.memo = Memo(self._learn, [np.int32, np.int32, np.int32, np.int32, np.int8], MEMO_WORDS)
+        self.memo = Memo(self._learn, self._learn, [np.int32, np.int32, np.int32, np.int32, np.int8], MEMO_WORDS)
 
     def _learn(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids, group sizes and a mark (1: the bytes are kept) of parts that start with a blank. The empty part has nothing and keeps its bytes."""

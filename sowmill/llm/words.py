@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,34 @@ import pyarrow.compute as pc
 
 #: Texts that must be encoded whole: white space other than a blank or a line feed, two of these in a row, or the byte that marks cuts.
 _ODD = r"[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]| $"
+#: A full stop or comma that may join what stands before it.
+_JOINED = r"[^\pL\pN][.,]"
 
 
-def cut_before_blanks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Cuts texts before each blank: rows that may be cut, their parts as places in the list of distinct parts, that list, and parts of each row."""
+def byte_level_bytes(token: str) -> bytes:
+    """Bytes of a byte-level token: printable Latin-1 letters are themselves, the other bytes follow from 256 on in their order."""
+    return bytes(_BYTE_OF[c] for c in token)
+
+
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_OF = {chr(b): b for b in _PLAIN} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
+
+
+def cut_texts(texts: pa.Array, finer: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Cuts texts before each blank: rows that may be cut, their parts as places in the list of distinct parts, that list, and parts of each row.
+
+    ``finer`` also cuts before line feeds, and before full stops and commas of
+    texts in which each follows a letter or digit. A tokenizer that takes runs
+    of letters, of digits, of signs and of white space apart never joins across
+    these cuts.
+    """
     rows = np.flatnonzero(~pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
-    parts = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rows)), " ", "\0 "), "\0")
+    marked = pc.replace_substring(texts.take(pa.array(rows)), " ", "\0 ")
+    if finer:
+        joined = pc.match_substring_regex(marked, _JOINED)
+        marked = pc.replace_substring(marked, "\n", "\0\n")
+        marked = pc.if_else(joined, marked, pc.replace_substring(pc.replace_substring(marked, ".", "\0."), ",", "\0,"))
+    parts = pc.split_pattern(marked, "\0")
     flat = parts.flatten().dictionary_encode()
     return rows, flat.indices.to_numpy(), flat.dictionary.to_pylist(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -45,10 +68,14 @@ class Ragged:
 
 
 class Memo:
-    """Remembers for up to ``most`` parts what ``learn`` says of them: for each column the values of all parts, and how many each has."""
+    """Remembers for up to ``most`` parts what ``learn`` says of them: for each column the values of all parts, and how many each has.
+
+    ``whole`` says the same of texts that must not be cut.
+    """
 
-    def __init__(self, learn: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]], dtypes: list, most: int):
-        self.learn, self.most = learn, most
+    def __init__(self, learn: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]], whole: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]],
+                 dtypes: list, most: int, finer: bool = False):
+        self.learn, self.whole, self.most, self.finer = learn, whole, most, finer
         self.code: dict[str, int] = {}
         self.columns = [Ragged(d) for d in dtypes]
 
@@ -61,17 +88,20 @@ class Memo:
             known = self.most
             for c in self.columns:
                 c.rows = known
-        new = [p for p in parts if p not in self.code]
+        places = np.fromiter(map(self.code.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        unknown = np.flatnonzero(places < 0)
+        new = [parts[i] for i in unknown.tolist()]
         for at in range(0, len(new), 50_000):
             some = new[at:at + 50_000]
             for column, (values, lengths) in zip(self.columns, self.learn(some), strict=True):
                 column.add(values, lengths)
             self.code.update(zip(some, range(known + at, known + at + len(some)), strict=True))
-        return np.fromiter(map(self.code.__getitem__, parts), dtype=np.int64, count=len(parts))
+        places[unknown] = np.arange(known, known + len(new))
+        return places
 
     def of_texts(self, texts: pa.Array) -> list[list[np.ndarray]]:
-        """For each column the values of every text; the parts of a text are put together, a text that must not be cut is learned whole."""
-        rows, place, parts, counts = cut_before_blanks(texts)
+        """For each column the values of every text; the parts of a text are put together, a text that must not be cut is encoded whole."""
+        rows, place, parts, counts = cut_texts(texts, self.finer)
         out: list[list] = [[None] * len(texts) for _ in self.columns]
         if len(rows):
             own = self.rows(parts)[place]
@@ -83,7 +113,7 @@ class Memo:
                     found[row] = values[start:stop]
         rest = np.setdiff1d(np.arange(len(texts)), rows, assume_unique=True)
         if len(rest):
-            for (values, lengths), found in zip(self.learn(texts.take(pa.array(rest)).to_pylist()), out, strict=True):
+            for (values, lengths), found in zip(self.whole(texts.take(pa.array(rest)).to_pylist()), out, strict=True):
                 stops = np.cumsum(lengths)
                 for row, start, stop in zip(rest.tolist(), (stops - lengths).tolist(), stops.tolist(), strict=True):
                     found[row] = values[start:stop]
@@ -92,12 +122,7 @@ class Memo:
 
 def flat_ids(encoded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-    flat = np.zeros(int(lengths.sum()), dtype=np.int32)
-    at = 0
-    for ids, n in zip(encoded, lengths.tolist(), strict=True):
-        flat[at:at + n] = ids
-        at += n
-    return flat, lengths
+    return np.fromiter(chain.from_iterable(encoded), dtype=np.int32, count=int(lengths.sum())), lengths
 
 
 def as_list(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
