@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sowmill.llm import align, decontaminate, html, language, packing, phrases, quality, scoring, secrets, similar, substrings, tokenfiles, toxicity
-from sowmill.llm.common import table, work_folder
+from sowmill.llm.common import checkpointed, table, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,8 +99,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_align_tokens")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the ids of two tokenizers for every document, with corpus-wide counts of linked pairs."""
-    docs, paths = table(spark, sf_dir, "documents"), (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    return align.alignment_digest(align.align(docs, *paths), align.pair_counts(docs, *paths))
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    blocks = checkpointed(align.alignment_blocks(table(spark, sf_dir, "documents"), *paths))
+    return align.alignment_digest(blocks, align.pair_counts(blocks))
 
 
 @query("op12_phrases", """

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sowmill.llm.common import WORKER_CACHES, chunks, keyed
-from sowmill.llm.words import Memo, as_list, byte_level_bytes, flat_ids
+from sowmill.llm.words import Memo, as_list, byte_level_bytes, flat_ids, ids_of_parts
 
 #: Words a worker remembers at most.
 MEMO_WORDS = 600_000
@@ -51,23 +51,7 @@ def _memo(path: str) -> Memo:
         def whole(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             return [flat_ids([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])]
 
-        def learn(parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-            """Parts that start with a blank are encoded as one text, and cut by the bytes of its tokens."""
-            blank = np.fromiter((p[:1] == " " for p in parts), dtype=bool, count=len(parts))
-            line = [p for p, b in zip(parts, blank.tolist(), strict=True) if b]
-            (others, other_counts), = whole([p for p, b in zip(parts, blank.tolist(), strict=True) if not b])
-            ids = np.array(tokenizer.encode_batch_fast(["".join(line)], add_special_tokens=False)[0].ids, dtype=np.int32)
-            ends, cuts = np.cumsum(size[ids]), np.cumsum(np.fromiter((len(p.encode()) for p in line), dtype=np.int64, count=len(line)))
-            stops = np.searchsorted(ends, cuts, side="right")
-            if not np.array_equal(ends[stops - 1], cuts):
-                return whole(parts)
-            counts = np.zeros(len(parts), dtype=np.int64)
-            counts[blank], counts[~blank] = np.diff(stops, prepend=0), other_counts
-            flat, of_blank = np.zeros(counts.sum(), dtype=np.int32), np.repeat(blank, counts)
-            flat[of_blank], flat[~of_blank] = ids, others
-            return [(flat, counts)]
-
-        _MEMOS[path] = Memo(learn, whole, [np.int32], MEMO_WORDS, finer=True)
+        _MEMOS[path] = Memo(lambda parts: [ids_of_parts(tokenizer, size, parts)], whole, [np.int32], MEMO_WORDS, finer=True)
     return _MEMOS[path]
 
 

@@ -130,3 +130,24 @@ def as_list(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     lengths = np.fromiter(map(len, arrays), dtype=np.int64, count=len(arrays))
     values = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values, kind))
+
+
+def ids_of_parts(tokenizer, size: np.ndarray, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of parts by a byte-level tokenizer, and how many each has; ``size`` has the bytes of each id.
+
+    Parts that start with a blank are encoded as one text, and cut by the bytes
+    of its tokens.
+    """
+    blank = np.fromiter((p[:1] == " " for p in parts), dtype=bool, count=len(parts))
+    line, rest = [p for p, b in zip(parts, blank.tolist(), strict=True) if b], [p for p, b in zip(parts, blank.tolist(), strict=True) if not b]
+    others, other_counts = flat_ids([e.ids for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+    ids = np.array(tokenizer.encode_batch_fast(["".join(line)], add_special_tokens=False)[0].ids, dtype=np.int32)
+    ends, cuts = np.cumsum(size[ids]), np.cumsum(np.fromiter((len(p.encode()) for p in line), dtype=np.int64, count=len(line)))
+    stops = np.searchsorted(ends, cuts, side="right")
+    if not np.array_equal(ends[stops - 1], cuts):
+        return flat_ids([e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+    counts = np.zeros(len(parts), dtype=np.int64)
+    counts[blank], counts[~blank] = np.diff(stops, prepend=0), other_counts
+    flat, of_blank = np.zeros(counts.sum(), dtype=np.int32), np.repeat(blank, counts)
+    flat[of_blank], flat[~of_blank] = ids, others
+    return flat, counts

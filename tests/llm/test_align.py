@@ -12,7 +12,8 @@ from llm.cases import similar_texts
 from tokenizers import Tokenizer
 
 from sowmill.llm import queries
-from sowmill.llm.align import Aligner, align, alignment_digest, byte_bpe, common_cuts, most_pairs, pair_counts, piece_bpe
+from sowmill.llm.align import Aligner, align, alignment_blocks, alignment_digest, byte_bpe, common_cuts, most_pairs, pair_counts, piece_bpe
+from sowmill.llm.common import checkpointed
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD_TEXTS = ["", None, " ", "a", " a", "a ", "a  b", "a\tb", "a\n\nb", "line\nof words", "x y", "　", "日本 語", "naïve éte", "\x00 z", "<|endoftext|> <s> </s> <unk>", "a▁b", "don't  stop", "🙂 ok", "ﬁ", "\x1c y", "\u0085 q"]
@@ -63,7 +64,8 @@ def brute(texts):
 
 
 def digest(docs):
-    out = alignment_digest(align(docs, A, B), pair_counts(docs, A, B))
+    blocks = checkpointed(alignment_blocks(docs, A, B))
+    out = alignment_digest(blocks, pair_counts(blocks))
     assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     return out
 
@@ -89,7 +91,7 @@ def test_empty_table(nothing):
 
 def test_groups_join_to_the_text(spark):
     docs = spark.createDataFrame([(1, "Alignment of subword tokens\nin naïve cafés")], "doc_id long, text string")
-    row = align(docs, A, B).first()
+    row = align(alignment_blocks(docs, A, B)).first()
     _, a_bytes = byte_bpe(A)
     _, b_bytes = piece_bpe(B)
     assert sum(row.a_sizes) == len(row.a_ids) and sum(row.b_sizes) == len(row.b_ids) and len(row.a_sizes) == len(row.b_sizes)
