@@ -112,10 +112,8 @@ def se04(spark, sf_dir):
 
 @query("se05_fuzzy_match", f"WITH {DOC} SELECT doc_id, {all_of(TERMS, fuzzy)} AS every FROM dt WHERE {all_of(TERMS, fuzzy, ' OR ')}")
 def se05(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    every = E.near_search(d, QUERY, ["text"]).select(F.col("doc_id").alias("_id"), F.lit(True).alias("_all"))
-    some = E.near_search(d, QUERY, ["text"], mode="any").select("doc_id")
-    return some.join(every, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.coalesce("_all", F.lit(False)).alias("every"))
+    found = E.near_search(docs(spark, sf_dir), QUERY, ["text"], mode="any", every="every")
+    return found.select("doc_id", "every")
 
 
 @query("se06_phonetic_edit_distance", f"WITH {DOC} SELECT doc_id FROM dt WHERE {all_of(TERMS, phonetic)}")
@@ -131,7 +129,7 @@ def se06_sound(spark, sf_dir):
 
 @query("se07_term_search", f"""WITH {DOC}, {bm25('dt', 'doc_id', {'t': 1}, TERMS)}
   SELECT term, doc_id, rank FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id) AS rank FROM (
-    {' UNION ALL '.join(f"SELECT {q(t)} AS term, doc_id, score FROM sc WHERE {has(t)}" for t in TERMS)})) WHERE rank <= 10""")
+    {' UNION ALL '.join(f"SELECT {q(t)} AS term, doc_id, score FROM sc WHERE {has(t)}" for t in TERMS)}))""")
 def se07(spark, sf_dir):
     return E.term_search(docs(spark, sf_dir), QUERY, ["text"], "doc_id").select("term", "doc_id", "rank")
 
@@ -188,52 +186,92 @@ def pj21(spark, sf_dir):
 
 @query("jn11_queries_against_documents", f"""SELECT query_id, label, count(*) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id
     ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, {cos('e.embedding', 'list_reverse(q.embedding)')} AS score
-    FROM embeddings e, embeddings q WHERE q.label = 3)) WHERE rank <= 5 GROUP BY 1, 2""")
+    FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 5 GROUP BY 1, 2""")
 def jn11(spark, sf_dir):
     e = vectors(spark, sf_dir)
-    qs = e.where("label = 3").select(F.col("vec_id").alias("query_id"), F.col("reversed").alias("query_vector"))
+    qs = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("reversed").alias("query_vector"))
     hits = V.knn(e, qs, 5)
     return (hits.join(e.select("vec_id", "label"), "vec_id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("hits")))
 
 
-def two_lists(k: int) -> str:
-    one = lambda name, col: (f"{name} AS (SELECT e.vec_id, e.label, {cos('e.' + col if col == 'embedding' else 'list_reverse(e.embedding)', 'q.embedding')} "
-                             f"AS score FROM embeddings e, embeddings q WHERE q.vec_id = 1 ORDER BY score DESC, e.vec_id LIMIT {2 * k})")
-    return (one("fa", "embedding") + ", " + one("fb", "reversed") + ", bl AS (SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, "
-            "coalesce(a.label, b.label) AS label, round(coalesce(a.score, 0) * 0.6 + coalesce(b.score, 0) * 0.4, 6) AS score, "
+def two_vectors(spark, sf_dir):
+    """Vectors with a second one, which some rows lack."""
+    return vectors(spark, sf_dir).withColumn("reversed", F.when(F.col("vec_id") % 7 != 3, F.col("reversed")))
+
+
+def two_lists(score: str, lacking: str = "e.vec_id % 7 <> 3") -> str:
+    one = lambda name, col, where: (f"{name} AS (SELECT e.vec_id, e.label, {cos(col, 'q.embedding')} AS score "
+                                    f"FROM embeddings e, embeddings q WHERE q.vec_id = 1 AND {where})")
+    return (one("fa", "e.embedding", "true") + ", " + one("fb", "list_reverse(e.embedding)", lacking) + ", bl AS (SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, "
+            f"coalesce(a.label, b.label) AS label, {score} AS score, "
             "CASE WHEN a.vec_id IS NOT NULL AND b.vec_id IS NOT NULL THEN 'hybrid_combined' WHEN a.vec_id IS NOT NULL THEN 'hybrid_full_text' "
             "ELSE 'hybrid_parsed' END AS strategy FROM fa a FULL JOIN fb b ON a.vec_id = b.vec_id)")
 
 
-@query("jn07_blend", f"WITH {two_lists(10)} SELECT vec_id, strategy, {S4} FROM bl")
+SUM_OF_TWO = "coalesce(a.score, 0) * 0.6 + coalesce(b.score, 0) * 0.4"
+
+
+def both_lists(spark, sf_dir):
+    """Scores of all rows by either vector."""
+    e = two_vectors(spark, sf_dir)
+    e = e.withColumn("_one", e.where("vec_id = 1").select(F.col("embedding").alias("v")).limit(1).scalar())
+    score = lambda c: F.round(V.cosine(F.col(c), F.col("_one")), 9).alias("score")
+    return [e.where(F.col(c).isNotNull()).select("vec_id", score(c)) for c in ("embedding", "reversed")]
+
+
+LABELS = ("hybrid_full_text", "hybrid_parsed", "hybrid_combined")
+
+
+@query("jn07_blend", f"WITH {two_lists(SUM_OF_TWO)} SELECT vec_id, strategy, {S4} FROM bl")
 def jn07(spark, sf_dir):
-    e = vectors(spark, sf_dir)
-    one = e.where("vec_id = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    lists = [V.knn(e, one, 20, "vec_id", c).select("vec_id", "score") for c in ("embedding", "reversed")]
-    return rounded(R.blend(*lists, "vec_id", K.FULL_TEXT_WEIGHT, K.PARSED_WEIGHT,
-                           ("hybrid_full_text", "hybrid_parsed", "hybrid_combined"))).select("vec_id", "strategy", "score")
-
-
-@query("se11_hybrid_text_vector", f"""WITH {DOC}, {bm25('dt', 'doc_id', {'t': 1}, TERMS)},
-  tx AS (SELECT doc_id, score / max(score) OVER () AS score FROM (SELECT doc_id, score FROM sc WHERE {all_of(TERMS, has, ' OR ')}
-    ORDER BY score DESC, doc_id LIMIT 40)),
-  vx AS (SELECT e.vec_id AS doc_id, {cos('e.embedding', 'q.embedding')} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 2
-    ORDER BY score DESC, e.vec_id LIMIT 40)
-  SELECT doc_id, strategy, {S4} FROM (SELECT coalesce(tx.doc_id, vx.doc_id) AS doc_id, round(coalesce(tx.score, 0) * 0.3 + coalesce(vx.score, 0) * 0.7, 6) AS score,
+    return rounded(R.blend(*both_lists(spark, sf_dir), "vec_id", K.FULL_TEXT_WEIGHT, K.PARSED_WEIGHT, LABELS)).select("vec_id", "strategy", "score")
+
+
+@query("jn07_blend_top", f"WITH {two_lists(SUM_OF_TWO)} SELECT vec_id, strategy, {S4} FROM (SELECT * FROM bl ORDER BY score DESC, vec_id LIMIT 25)")
+def jn07_top(spark, sf_dir):
+    best = R.blend_top(*both_lists(spark, sf_dir), "vec_id", K.FULL_TEXT_WEIGHT, K.PARSED_WEIGHT, LABELS, 25)
+    return rounded(best).select("vec_id", "strategy", "score")
+
+
+_TEXT_VECTOR = f"""{DOC}, {bm25('dt', 'doc_id', {'t': 1}, TERMS)},
+  tx AS (SELECT doc_id, score / max(score) OVER () AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM sc WHERE {all_of(TERMS, has, ' OR ')}),
+  vx AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (
+    SELECT e.vec_id AS doc_id, {cos('e.embedding', 'q.embedding')} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 2))"""
+
+
+def text_vector_sql(score: str) -> str:
+    return f"""WITH {_TEXT_VECTOR} SELECT doc_id, strategy, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS score FROM (
+    SELECT coalesce(tx.doc_id, vx.doc_id) AS doc_id, {score} AS score,
     CASE WHEN tx.doc_id IS NULL THEN 'vector' WHEN vx.doc_id IS NULL THEN 'text' ELSE 'hybrid' END AS strategy
-    FROM tx FULL JOIN vx ON tx.doc_id = vx.doc_id) ORDER BY score DESC, doc_id LIMIT 20""")
+    FROM tx FULL JOIN vx ON tx.doc_id = vx.doc_id) ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+def text_and_vector(spark, sf_dir):
+    """All text hits and the cosines of all vectors."""
+    text = E.ranked_search(docs(spark, sf_dir), QUERY, "doc_id", {"text": 1.0}, top=None).select("doc_id", "score")
+    e = B.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    e = e.withColumn("_one", e.where("doc_id = 2").select(F.col("embedding").alias("v")).limit(1).scalar())
+    return text, e.select("doc_id", F.round(V.cosine(F.col("embedding"), F.col("_one")), 9).alias("score"))
+
+
+def sixth(df):
+    return df.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5).cast("long")).select("doc_id", "strategy", "score")
+
+
+@query("se11_hybrid_text_vector", text_vector_sql("coalesce(tx.score, 0) * 0.3 + coalesce(vx.score, 0) * 0.7"))
 def se11(spark, sf_dir):
-    text = E.ranked_search(docs(spark, sf_dir), QUERY, "doc_id", {"text": 1.0}, top=40).select("doc_id", "score")
-    e = B.table(spark, sf_dir, "embeddings")
-    one = e.where("vec_id = 2").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    vec = V.knn(e.withColumnRenamed("vec_id", "doc_id"), one, 40, "doc_id").select("doc_id", "score")
-    return rounded(E.hybrid_text_vector(text, vec, "doc_id", 20)).select("doc_id", "strategy", "score")
+    return sixth(E.hybrid_text_vector(*text_and_vector(spark, sf_dir), "doc_id", 20))
+
 
+@query("se11_reciprocal_ranks", text_vector_sql("coalesce(1.0::DOUBLE / (60 + tx.r), 0) * 0.3::DOUBLE + coalesce(1.0::DOUBLE / (60 + vx.r), 0) * 0.7::DOUBLE"))
+def se11_ranks(spark, sf_dir):
+    return sixth(E.hybrid_text_vector(*text_and_vector(spark, sf_dir), "doc_id", 20, fusion="rrf"))
 
-@query("se12_hybrid_two_vector", f"""WITH {two_lists(10)} SELECT vec_id, label, strategy, {S4} FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM bl) WHERE r = 1 ORDER BY score DESC, vec_id LIMIT 10""")
+
+@query("se12_hybrid_two_vector", f"""WITH {two_lists(f"round({SUM_OF_TWO}, 9)")} SELECT vec_id, label, strategy, {S4} FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM bl) WHERE r = 1 ORDER BY bl.score DESC, vec_id LIMIT 10""".replace("bl.score", "score"))
 def se12(spark, sf_dir):
-    e = vectors(spark, sf_dir)
+    e = two_vectors(spark, sf_dir)
     vector = e.where("vec_id = 1").select("embedding").first()[0]
     out = E.hybrid_two_vector(e, vector, 10, "embedding", "reversed", "vec_id", "label")
     return rounded(out).select("vec_id", "label", "strategy", "score")
@@ -245,7 +283,7 @@ def se13(spark, sf_dir):
     return E.search("keyword", docs(spark, sf_dir), QUERY, ["text"], "doc_id").select("doc_id")
 
 
-_SIMILAR = f"""one AS (SELECT unnest(list_distinct({toks("client_name || ' ' || project_title || ' ' || scope_summary[1:500] || ' ' || array_to_string(deliverables[1:3], ' ')")})) AS x
+_SIMILAR = f"""one AS (SELECT unnest(list_distinct({toks("client_name || ' ' || project_title || ' ' || scope_summary || ' ' || array_to_string(deliverables, ' ')")})) AS x
     FROM sow WHERE sow_key = 7),
   rest AS (SELECT * FROM sow WHERE sow_key <> 7),
   tk AS (SELECT sow_key, unnest({toks('project_title')}) AS x, 3.0 AS w FROM rest UNION ALL SELECT sow_key, unnest({toks('scope_summary')}), 2.0 FROM rest
@@ -263,6 +301,29 @@ def se14(spark, sf_dir):
     return rounded(E.recommend_similar(s, s.where("sow_key = 7"), "sow_key")).select("sow_key", "file_name", "score")
 
 
+_SOW_VECTORS = """sv AS (SELECT vec_id, embedding, CASE WHEN vec_id % 7 <> 3 THEN list_reverse(embedding) END AS reversed, 'file_' || (vec_id // 3) AS file_name,
+    label % 4 AS client, ['plan of ' || vec_id] AS staffing_plan FROM embeddings),
+  st AS (SELECT l_orderkey AS vec_id, list(CAST(l_linenumber AS VARCHAR) ORDER BY l_linenumber, l_partkey) AS staffing_structured FROM lineitem GROUP BY 1)"""
+
+
+@query("se14_similar_sows", f"""WITH {_SOW_VECTORS},
+  pairs AS (SELECT q.vec_id AS asked_key, e.vec_id, e.file_name, round({cos('e.embedding', 'q.embedding')} * 0.6::DOUBLE + CASE WHEN e.reversed IS NULL OR q.reversed IS NULL THEN 0 ELSE {cos('e.reversed', 'q.reversed')} END * 0.4::DOUBLE, 9) AS score
+    FROM sv e, sv q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id AND (q.vec_id % 200 = 0 OR e.client = q.client)),
+  files AS (SELECT *, row_number() OVER (PARTITION BY asked_key, file_name ORDER BY score DESC, vec_id) AS r FROM pairs)
+  SELECT asked_key, vec_id, rank, array_to_string(coalesce(st.staffing_structured, sv.staffing_plan), ',') AS staffing, CAST(floor(score * 1e4 + 0.5) AS BIGINT) AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY asked_key ORDER BY score DESC, vec_id) AS rank FROM files WHERE r = 1) JOIN sv USING (vec_id) LEFT JOIN st USING (vec_id)
+  WHERE rank <= 3""")
+def se14_vectors(spark, sf_dir):
+    """Every hundredth SOW against all others; half of them ask for their own client."""
+    e = (two_vectors(spark, sf_dir).withColumn("file_name", F.concat(F.lit("file_"), F.floor(F.col("vec_id") / 3).cast("string"))).withColumn("client", F.col("label") % 4)
+         .withColumn("staffing_plan", F.array(F.concat(F.lit("plan of "), F.col("vec_id").cast("string")))))
+    lines = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("vec_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_linenumber"].cast("string")).alias("staffing_structured"))
+    asked = e.where("vec_id % 100 = 0").withColumn("client", F.when(F.col("vec_id") % 200 != 0, F.col("client")))
+    hits = E.similar_sows(e, asked, "vec_id", "embedding", "reversed", same=("client",), structured=lines)
+    return rounded(hits).select("asked_key", "vec_id", "rank", F.array_join("staffing", ",").alias("staffing"), "score")
+
+
 @query("se15_similar_ids", f"WITH {DOC}, {bm25('dt', 'doc_id', {'t': 1}, ['thor'])} SELECT doc_id FROM sc WHERE {has('thor')} "
        "ORDER BY score DESC, doc_id LIMIT 15")
 def se15(spark, sf_dir):
@@ -272,7 +333,7 @@ def se15(spark, sf_dir):
 COMPANY = "Customer#000000005"
 
 
-@query("se16_company_projects", B.sql(f"SELECT sow_key, project_title FROM sow_base WHERE client_name = '{COMPANY}' ORDER BY sow_key LIMIT 50"))
+@query("se16_company_projects", B.sql(f"SELECT sow_key, project_title FROM sow_base WHERE client_name = '{COMPANY}'"))
 def se16(spark, sf_dir):
     return E.company_projects(B.sow_base(spark, sf_dir), COMPANY, "sow_key").select("sow_key", "project_title")
 
@@ -280,7 +341,7 @@ def se16(spark, sf_dir):
 _ELSE = bm25("sb", "sow_key", {"t": 1}, ["measurement", "analytics", "reporting"])
 
 
-@query("se17_similar_elsewhere", B.sql("SELECT sow_key, client_name FROM sc WHERE w0 > 0 OR w1 > 0 OR w2 > 0 ORDER BY score DESC, sow_key LIMIT 20",
+@query("se17_similar_elsewhere", B.sql("SELECT sow_key, client_name FROM sc WHERE w0 > 0 OR w1 > 0 OR w2 > 0",
                                        f"sb AS (SELECT sow_key, client_name, {toks('project_title')} AS t FROM sow_base WHERE client_name <> '{COMPANY}'), " + _ELSE))
 def se17(spark, sf_dir):
     s = B.sow_base(spark, sf_dir).select("sow_key", "client_name", "project_title")
@@ -294,14 +355,30 @@ def with_display(df):
         x["name"], x["title"], S.percent_text(x["pct"]))))
 
 
+def _elsewhere(category: str | None) -> str:
+    """Rows of one main type: its words score; a type without words takes every row."""
+    words = sorted({w for ws in K.CATEGORY_SEARCH_TERMS.values() for w in ws})
+    if category is None:
+        return f"SELECT sow_key, 0.0::DOUBLE AS score FROM cn, mt WHERE main NOT IN ({', '.join(q(c) for c in K.CATEGORY_SEARCH_TERMS)})"
+    own = [i for i, w in enumerate(words) if w in K.CATEGORY_SEARCH_TERMS[category]]
+    score = " + ".join(f"CASE WHEN w{i} > 0 THEN ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * w{i} * {E.K1 + 1} / "
+                       f"(w{i} + {E.K1} * (1 - {E.B_LEN} + {E.B_LEN} * len / avg_len)) ELSE 0 END" for i in own)
+    return f"SELECT sow_key, round({score}, 6) AS score FROM cn, ss, mt WHERE main = {q(category)} AND ({' OR '.join(f'w{i} > 0' for i in own)})"
+
+
 @query("se18_company_analysis", B.sql(f"""
   SELECT 'type' AS section, kind AS label, CAST(count(*) AS BIGINT) AS value FROM mine GROUP BY kind
   UNION ALL SELECT * FROM (SELECT 'role', title, count(*) AS n FROM ln WHERE sow_key IN (SELECT sow_key FROM mine) GROUP BY title
     ORDER BY n DESC, title LIMIT 10)
   UNION ALL SELECT 'main type', arg_max(kind, {{'n': n, 'f': -f}}), max(n) FROM (SELECT kind, count(*) AS n, min(sow_key) AS f FROM mine GROUP BY kind)
-  UNION ALL SELECT 'team size x100', 'per project', CAST(floor(sum(n_lines) * 100.0 / count(*) + 0.5) AS BIGINT) FROM mine""",
+  UNION ALL SELECT 'team size x100', 'per project', CAST(floor(sum(n_lines) * 100.0 / count(*) + 0.5) AS BIGINT) FROM mine
+  UNION ALL SELECT 'elsewhere', CAST(sow_key AS VARCHAR), score FROM (SELECT sow_key, CAST(floor(score * 1e4 + 0.5) AS BIGINT) AS score FROM el ORDER BY el.score DESC, sow_key LIMIT 5)""",
     f"mine AS (SELECT sow_key, n_lines, {group_sql('lower(array_to_string(deliverables, chr(32)) || chr(32) || project_title)', K.PROJECT_CATEGORY_WORDS, 'General/Other')} "
-    f"AS kind FROM sow WHERE client_name = '{COMPANY}' ORDER BY sow_key LIMIT 50)"))
+    f"AS kind FROM sow WHERE client_name = '{COMPANY}'), "
+    f"sb AS (SELECT sow_key, {toks('project_title')} AS t FROM sow_base WHERE client_name <> '{COMPANY}'), "
+    f"mt AS (SELECT arg_max(kind, {{'n': n, 'f': -f}}) AS main FROM (SELECT kind, count(*) AS n, min(sow_key) AS f FROM mine GROUP BY kind)), "
+    + bm25("sb", "sow_key", {"t": 1}, sorted({w for ws in K.CATEGORY_SEARCH_TERMS.values() for w in ws})).replace("sc AS", "every_sc AS")
+    + ", el AS (" + " UNION ALL ".join(_elsewhere(c) for c in [*K.CATEGORY_SEARCH_TERMS, None]) + ")"))
 def se18(spark, sf_dir):
     parts = E.company_analysis(with_display(B.sow(spark, sf_dir)), COMPANY, "sow_key")
     row = lambda df, section, label, value: df.select(F.lit(section).alias("section"), label.alias("label"),
@@ -310,26 +387,23 @@ def se18(spark, sf_dir):
     return (row(parts["types"], "type", c("kind"), c("projects"))
             .unionByName(row(parts["roles"], "role", c("role"), c("n")))
             .unionByName(row(parts["main_type"], "main type", c("most_common_type"), c("projects")))
-            .unionByName(row(parts["team"], "team size x100", F.lit("per project"), F.floor(c("per_project") * 100 + 0.5))))
+            .unionByName(row(parts["team"], "team size x100", F.lit("per project"), F.floor(c("per_project") * 100 + 0.5)))
+            .unionByName(row(parts["elsewhere"], "elsewhere", c("sow_key").cast("string"), F.floor(c("score") * 1e4 + 0.5))))
 
 
 def ladder_sql(name: str, with_vector: bool = False) -> str:
     tests = {"exact_match": all_of(TERMS, has), "semantic_lexical": all_of(TERMS, has), "fuzzy_match": all_of(TERMS, fuzzy),
-             "phonetic_match": all_of(TERMS, phonetic), "synonym_match": all_of(TERMS, synonym)}
+             "phonetic_match": all_of(TERMS, phonetic), "synonym_match": all_of(TERMS, synonym), "term_match": all_of(TERMS, has, " OR ")}
     parts = []
     for p, (step, score) in enumerate(K.LADDERS[name]):
-        cut = lambda cond, k: (f"SELECT doc_id, {p} AS p, {q(step)} AS s, {score} AS w FROM (SELECT doc_id FROM sc WHERE {cond} "  # noqa: E731,B023
-                               f"ORDER BY score DESC, doc_id LIMIT {k})")
-        if step == "term_match":
-            parts += [cut(has(t), 10) for t in TERMS]
-        elif step in tests:
-            parts.append(cut(tests[step], 20))
+        if step in tests:
+            parts.append(f"SELECT doc_id, {p} AS p, {q(step)} AS s, {score} AS w FROM dt WHERE {tests[step]}")
         elif with_vector:
             parts.append(f"SELECT doc_id, 0 AS p, {q(step)} AS s, {score} AS w FROM (SELECT e.vec_id AS doc_id FROM embeddings e, embeddings q WHERE q.vec_id = 2 "
                          f"ORDER BY {cos('e.embedding', 'q.embedding')} DESC, e.vec_id LIMIT 5)")
-    return (f"WITH {DOC}, {bm25('dt', 'doc_id', {'t': 1}, TERMS)} SELECT doc_id, CAST(min(p) AS INTEGER) AS priority, arg_min(s, p) AS search_strategy, "
+    return (f"WITH {DOC} SELECT doc_id, CAST(min(p) AS INTEGER) AS priority, arg_min(s, p) AS search_strategy, "
             f"CAST(arg_min(w, p) AS DOUBLE) AS strategy_score FROM ({' UNION ALL '.join(parts)}) GROUP BY doc_id "
-            "ORDER BY strategy_score DESC, priority, doc_id LIMIT 20")
+            "ORDER BY strategy_score DESC, priority, doc_id LIMIT 200")
 
 
 def ladder(name: str, with_vector: bool = False):
@@ -340,7 +414,7 @@ def ladder(name: str, with_vector: bool = False):
             e = B.table(spark, sf_dir, "embeddings")
             one = e.where("vec_id = 2").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
             hits = V.knn(e.withColumnRenamed("vec_id", "doc_id"), one, 5, "doc_id")
-        return E.multi_search(docs(spark, sf_dir), QUERY, name, ["text"], "doc_id", SYN, vector_hits=hits, sound=False)
+        return E.multi_search(docs(spark, sf_dir), QUERY, name, ["text"], "doc_id", SYN, top=200, vector_hits=hits, sound=False)
 
 
 ladder("semantic_first", True)

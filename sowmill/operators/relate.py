@@ -100,6 +100,36 @@ def blend(a: DataFrame, b: DataFrame, key: str, wa: float, wb: float, labels: tu
         .when(F.col("_a").isNotNull(), labels[0]).otherwise(F.lit(labels[1])).alias("strategy"))
 
 
+def blend_top(a: DataFrame, b: DataFrame, key: str, wa: float, wb: float, labels: tuple[str, str, str], k: int) -> DataFrame:
+    """The first ``k`` rows of ``blend``, best first, without joining the whole lists.
+
+    A threshold algorithm in three rounds. The ``k``-th best sum of what the
+    first ``k`` rows of either list give is a floor. A key in the result has
+    half the floor or more in one list, so only these rows of either list are
+    read next; the ``k``-th best sum among them is a better floor, and keys
+    that cannot reach it even with half a floor from the list they were not
+    seen in go. What stays is looked up in both lists. With fewer than ``k``
+    keys in the first round everything stays. Scores must not be negative; a
+    key has one row in a list, and its ties go by key.
+    """
+    best = [F.col("score").desc(), F.col(key)]
+    a, b = a.select(key, "score"), b.select(key, "score")
+
+    def floor_of(sums: DataFrame) -> Column:
+        top = sums.orderBy(F.col("score").desc()).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        return top.select(F.when(F.col("n") == k, F.greatest(F.lit(0.0), F.col("least") - 1e-9)).otherwise(F.lit(0.0))).scalar()
+
+    heads = [d.orderBy(*best).limit(k) for d in (a, b)]
+    half = floor_of(blend(*heads, key, wa, wb, labels)) / 2
+    near = [d.where(F.col("score") * w >= half) for d, w in ((a, wa), (b, wb))]
+    sums = blend(*near, key, wa, wb, labels)
+    better = floor_of(sums)
+    reach = F.col("score") + F.when(F.col("strategy") == labels[2], 0.0).otherwise(half)
+    kept = sums.where(reach >= better).select(key)
+    found = blend(a.join(kept, key, "left_semi"), b.join(kept, key, "left_semi"), key, wa, wb, labels)
+    return found.orderBy(*best).limit(k)
+
+
 def not_covered(extracted: DataFrame, recommended: DataFrame, plan: str, title: str) -> DataFrame:
     """Extracted roles whose title no recommended role of the same plan has."""
     have = recommended.select(F.col(plan).alias("_p"), F.lower(title).alias("_t")).distinct()

@@ -7,14 +7,14 @@ figures of the query words only, which one aggregate supplies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sowmill import constants as K
 from sowmill.functions.scalars import plain_text
-from sowmill.functions.vectors import knn
-from sowmill.operators.ranking import dedup_best, rank_score, top_per_group
-from sowmill.operators.relate import blend
+from sowmill.functions.vectors import knn, nearest_join
+from sowmill.operators.ranking import dedup_best, top_per_group
+from sowmill.operators.relate import attach_staffing, blend, blend_top
 
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 K1, B_LEN = 1.2, 0.75
@@ -98,8 +98,8 @@ def with_tokens(df: DataFrame, fields: dict[str, float]) -> DataFrame:
                           else F.col(f"_t_{next(iter(fields))}"))
 
 
-def with_bm25(df: DataFrame, fields: dict[str, float], terms: list[str]) -> DataFrame:
-    """Add ``score``: BM25 over field-weighted term counts (needs the tokens of ``with_tokens``)."""
+def with_bm25(df: DataFrame, fields: dict[str, float], terms: list[str], chosen=lambda term: F.lit(True)) -> DataFrame:
+    """Add ``score``: BM25 over field-weighted term counts (needs the tokens of ``with_tokens``), of the terms that ``chosen`` admits."""
     count = lambda f, t: F.size(F.filter(f"_t_{f}", lambda x: x == t))
     weighted = [sum((count(f, t) * float(w) for f, w in fields.items()), F.lit(0.0)) for t in terms]
     counted = df.select("*", *[w.alias(f"_w{i}") for i, w in enumerate(weighted)], F.size("_tokens").alias("_len"))
@@ -112,7 +112,7 @@ def with_bm25(df: DataFrame, fields: dict[str, float], terms: list[str]) -> Data
         df_i, w = F.col(f"_s.d{i}"), F.col(f"_w{i}")
         idf = F.log(1 + (F.col("_s.n") - df_i + 0.5) / (df_i + 0.5))
         norm = K1 * (1 - B_LEN + B_LEN * F.try_divide(F.col("_len"), F.col("_s.avg_len")))
-        score = score + F.when(w > 0, idf * w * (K1 + 1) / (w + norm)).otherwise(0.0)
+        score = score + F.when((w > 0) & chosen(terms[i]), idf * w * (K1 + 1) / (w + norm)).otherwise(0.0)
     drop = [f"_w{i}" for i in range(len(terms))] + ["_len", "_s"]
     return known.withColumn("score", F.round(score, 6)).drop(*drop)
 
@@ -138,10 +138,10 @@ def keyword_search(df: DataFrame, query: str, fields: list[str], key: str, where
             .orderBy(F.col("score").desc(), key).offset(skip).limit(top))
 
 
-def ranked_search(df: DataFrame, query: str, key: str, weights: dict[str, float] | None = None, top: int = 10) -> DataFrame:
-    """Any-term search ranked with field priorities: title before content before keyword fields."""
-    return (search_rows(df, query, weights or K.SEARCH_FIELD_WEIGHTS, mode="any")
-            .orderBy(F.col("score").desc(), key).limit(top))
+def ranked_search(df: DataFrame, query: str, key: str, weights: dict[str, float] | None = None, top: int | None = 10) -> DataFrame:
+    """Any-term search ranked with field priorities: title before content before keyword fields; ``top`` None keeps all hits."""
+    ordered = search_rows(df, query, weights or K.SEARCH_FIELD_WEIGHTS, mode="any").orderBy(F.col("score").desc(), key)
+    return ordered if top is None else ordered.limit(top)
 
 
 def search_by_field(df: DataFrame, field: str, value: str, key: str, top: int = 50) -> DataFrame:
@@ -158,98 +158,127 @@ def search_by_date_range(df: DataFrame, first: str | None = None, last: str | No
     return out
 
 
-def near_search(df: DataFrame, query: str, fields: list[str], hit=fuzzy_hit, mode: str = "all") -> DataFrame:
-    """Rows whose tokens match the query terms under ``hit`` (fuzzy, phonetic or synonym matching)."""
+def near_search(df: DataFrame, query: str, fields: list[str], hit=fuzzy_hit, mode: str = "all", every: str | None = None) -> DataFrame:
+    """Rows whose tokens match the query terms under ``hit`` (fuzzy, phonetic or synonym matching).
+
+    ``every`` adds a column of that name which tells whether all terms match.
+    """
     toks = with_tokens(df, {f: 1.0 for f in fields})
-    return _plain(toks.where(all_hits(F.col("_tokens"), terms_of(query), hit, mode)))
+    hits = [hit(F.col("_tokens"), t) for t in terms_of(query)]
+    flags = toks.withColumn("_t_hits", F.array(*hits) if hits else F.array().cast("array<boolean>"))
+    test = F.forall if mode == "all" else F.exists
+    found = flags.where(test("_t_hits", lambda x: x))
+    return _plain(found if every is None else found.withColumn(every, F.forall("_t_hits", lambda x: x)))
 
 
-def term_search(df: DataFrame, query: str, fields: list[str], key: str, top: int = 20) -> DataFrame:
-    """(term, key, score, rank): half of ``top`` rows for each query term over two characters."""
+def term_search(df: DataFrame, query: str, fields: list[str], key: str, top: int | None = None) -> DataFrame:
+    """(term, key, score, rank) of the rows of each query term over two characters: all of them, or half of ``top`` per term."""
     terms = [t for t in terms_of(query) if len(t) > 2]
     weights = {f: 1.0 for f in fields}
     scored = with_bm25(with_tokens(df, weights), weights, terms)
     hits = F.array_compact(F.array(*[F.when(exact_hit(F.col("_tokens"), t), F.lit(t)) for t in terms]))
     rows = scored.select(key, "score", F.explode(hits).alias("term"))
-    return top_per_group(rows, ["term"], [F.col("score").desc(), F.col(key)], top // 2)
+    order = [F.col("score").desc(), F.col(key)]
+    if top is not None:
+        return top_per_group(rows, ["term"], order, top // 2)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(*order)))
 
 
 def multi_search(df: DataFrame, query: str, ladder: str, fields: list[str], key: str, synonyms: dict[str, list[str]],
-                 top: int = 20, vector_hits: DataFrame | None = None, sound: bool = True) -> DataFrame:
+                 top: int | None = 20, vector_hits: DataFrame | None = None, sound: bool = True) -> DataFrame:
     """(key, priority, search_strategy, strategy_score) of a strategy ladder.
 
-    All text strategies are judged in one pass over the rows. Every strategy
-    keeps its ``top`` rows (half of it per single term), the first strategy in
-    the ladder owns an id, and the best ``top`` ids are returned.
+    All text strategies are judged in one pass over the rows. The first
+    strategy of the ladder that matches a row owns it, whatever else matches
+    more rows; the best ``top`` of all owned rows are returned.
     """
     steps = K.LADDERS[ladder]
-    terms, weights = terms_of(query), {f: 1.0 for f in fields}
+    terms = terms_of(query)
     toks = F.col("_tokens")
     flags = {
-        "exact_match": all_hits(toks, terms, exact_hit),
-        "semantic_lexical": all_hits(toks, terms, exact_hit),
-        "fuzzy_match": all_hits(toks, terms, fuzzy_hit),
-        "phonetic_match": all_hits(toks, terms, lambda x, t: phonetic_hit(x, t, sound)),
-        "synonym_match": all_hits(toks, terms, lambda x, t: synonym_hit(x, t, synonyms)),
+        "exact_match": lambda: all_hits(toks, terms, exact_hit),
+        "semantic_lexical": lambda: all_hits(toks, terms, exact_hit),
+        "fuzzy_match": lambda: all_hits(toks, terms, fuzzy_hit),
+        "phonetic_match": lambda: all_hits(toks, terms, lambda x, t: phonetic_hit(x, t, sound)),
+        "synonym_match": lambda: all_hits(toks, terms, lambda x, t: synonym_hit(x, t, synonyms)),
+        "term_match": lambda: all_hits(toks, [t for t in terms if len(t) > 2], exact_hit, "any") if len(terms) > 1 else F.lit(False),
     }
-    entries = []
-    for priority, (name, score) in enumerate(steps):
-        entry = lambda group, cut, p=priority, n=name, s=score: F.struct(
-            F.lit(group).alias("group"), F.lit(cut).alias("cut"), F.lit(p).alias("priority"),
-            F.lit(n).alias("search_strategy"), F.lit(float(s)).alias("strategy_score"))
-        if name == "term_match":
-            if len(terms) > 1:
-                entries += [F.when(exact_hit(toks, t), entry(f"{name}:{t}", top // 2)) for t in terms if len(t) > 2]
-        elif name in flags:
-            entries.append(F.when(flags[name], entry(name, top)))
-    scored = with_bm25(with_tokens(df, weights), weights, terms)
-    found = scored.select(key, "score", F.explode(F.array_compact(F.array(*entries))).alias("e")).select(key, "score", "e.*")
-    kept = (top_per_group(found, ["group"], [F.col("score").desc(), F.col(key)], top)
-            .where(F.col("rank") <= F.col("cut")).select(key, "priority", "search_strategy", "strategy_score"))
+    owner = F.lit(None)
+    for priority, (name, score) in reversed(list(enumerate(steps))):
+        if name in flags:
+            entry = F.struct(F.lit(priority).alias("priority"), F.lit(name).alias("search_strategy"), F.lit(float(score)).alias("strategy_score"))
+            owner = F.when(flags[name](), entry).otherwise(owner)
+    # The first test that holds ends the row, and the tokens are made once.
+    owned = with_tokens(df, {f: 1.0 for f in fields}).select(key, owner.alias("_o")).where(F.col("_o").isNotNull()).select(key, "_o.*")
     if vector_hits is not None and steps[0][0] == "semantic_vector":
         name, score = steps[0]
-        kept = kept.unionByName(vector_hits.select(key, F.lit(0).alias("priority"), F.lit(name).alias("search_strategy"),
-                                                   F.lit(float(score)).alias("strategy_score")))
-    owner = F.struct("priority", "search_strategy", "strategy_score")
-    return (kept.groupBy(key).agg(F.min_by(owner, F.col("priority")).alias("_o")).select(key, "_o.*")
-            .orderBy(F.col("strategy_score").desc(), "priority", key).limit(top))
+        first = vector_hits.select(key, F.lit(0).alias("priority"), F.lit(name).alias("search_strategy"), F.lit(float(score)).alias("strategy_score"))
+        both = F.struct("priority", "search_strategy", "strategy_score")
+        owned = owned.unionByName(first).groupBy(key).agg(F.min_by(both, F.col("priority")).alias("_o")).select(key, "_o.*")
+    ordered = owned.orderBy(F.col("strategy_score").desc(), "priority", key)
+    return ordered if top is None else ordered.limit(top)
 
 
 # --- vectors and blends ---------------------------------------------------------------------------
 
 
 def hybrid_text_vector(text_hits: DataFrame, vector_hits: DataFrame, key: str, k: int, fusion: str = "weighted") -> DataFrame:
-    """Text hits and vector hits (key, score) in one list.
+    """The ``k`` best of all text hits and all vector hits (key, score).
 
     ``weighted`` adds 0.3 x text score over the best text score and 0.7 x cosine;
-    ``rrf`` adds the weighted reciprocal ranks.
+    ``rrf`` adds the weighted reciprocals of 60 + rank in either list.
     """
+    labels = ("text", "vector", "hybrid")
     if fusion == "weighted":
         best = text_hits.agg(F.max("score").alias("m")).scalar()
-        text = text_hits.select(key, F.try_divide(F.col("score"), best).alias("score"))
-        vector = vector_hits.select(key, "score")
+        text = text_hits.select(key, F.coalesce(F.try_divide(F.col("score"), best), F.lit(0.0)).alias("score"))
+        out = blend_top(text, vector_hits, key, K.TEXT_WEIGHT, K.VECTOR_WEIGHT, labels, k)
     elif fusion == "rrf":
-        one = lambda d: rank_score(d.select(key, "score", F.lit(1).alias("_q")), ["_q"],
-                                   [F.col("score").desc(), F.col(key)], 4 * k)
-        text = one(text_hits).select(key, (1.0 / (60 + F.col("rank"))).alias("score"))
-        vector = one(vector_hits).select(key, (1.0 / (60 + F.col("rank"))).alias("score"))
+        out = _reciprocal_ranks(text_hits, vector_hits, key, k, labels)
     else:
         raise ValueError(f"unknown fusion {fusion}")
-    out = blend(text, vector, key, K.TEXT_WEIGHT, K.VECTOR_WEIGHT, ("text", "vector", "hybrid"))
     return out.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), key).limit(k)
 
 
+def _reciprocal_ranks(text_hits: DataFrame, vector_hits: DataFrame, key: str, k: int, labels: tuple[str, str, str]) -> DataFrame:
+    """Sums of weight / (60 + rank) of the keys that can be among the ``k`` best.
+
+    The k-th key of a list has the smaller weight / (60 + k) at least, and a
+    key with less than half of that in both lists stays below it, so a key of
+    the result has a bounded rank in one list. Its rank in the other is counted.
+    """
+    weights = (K.TEXT_WEIGHT, K.VECTOR_WEIGHT)
+    half = min(weights) / (60 + k) / 2
+    order = [F.col("score").desc(), F.col(key)]
+    lists = [d.select(key, "score") for d in (text_hits, vector_hits)]
+    heads = [d.orderBy(*order).limit(int(w / half) - 59) for d, w in zip(lists, weights, strict=True)]
+    kept = heads[0].select(key).union(heads[1].select(key)).distinct()
+    ranked = []
+    for d in lists:
+        asked = d.join(kept, key, "left_semi")
+        # Rows before a kept one: every row falls behind the kept rows that are better, and counts are added up over these places.
+        places = asked.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")))).alias("p")).scalar()
+        own = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"))
+        behind = d.withColumn("_p", places).select(F.size(F.filter("_p", lambda x: x <= own)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
+        before = behind.withColumn("before", F.sum("rows").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)))
+        at = asked.select(key, F.row_number().over(Window.orderBy(*order)).alias("n"))
+        ranked.append(at.join(before, "n", "left").select(key, (1.0 / (61 + F.coalesce("before", F.lit(0)))).alias("score")))
+    return blend(*ranked, key, *weights, labels).orderBy(F.col("score").desc(), key).limit(k)
+
+
 def hybrid_two_vector(docs: DataFrame, query_vector: list[float], k: int, first: str, second: str, key: str, name: str,
                       w1: float = K.FULL_TEXT_WEIGHT, w2: float = K.PARSED_WEIGHT) -> DataFrame:
-    """Two nearest lists of 2k, blended, best row per name, k rows, with the strategy label."""
-    spark = docs.sparkSession
-    q = spark.createDataFrame([(0, [float(x) for x in query_vector])], "query_id long, query_vector array<double>")
-    a = knn(docs, q, 2 * k, key, first).select(key, "score")
-    b = knn(docs, q, 2 * k, key, second).select(key, "score")
-    labels = ("hybrid_full_text", "hybrid_parsed", "hybrid_combined")
-    both = blend(a, b, key, w1, w2, labels).withColumn("score", F.round("score", 6))
-    named = both.join(docs.select(key, name), key)
-    return dedup_best(named, name, key, "score").orderBy(F.col("score").desc(), key).limit(k)
+    """The ``k`` best names by the weighted cosines of two vectors over all rows, best row per name, with the strategy label.
+
+    Both cosines of a row are known when it is read, so nothing is cut before
+    they are added; a row without one of the vectors is scored by the other.
+    """
+    asked = docs.sparkSession.createDataFrame([(0, [float(x) for x in query_vector])], "query_id long, query_vector array<double>")
+    rows = docs.where(F.col(first).isNotNull() | F.col(second).isNotNull())
+    best = nearest_join(rows, asked, k, key, "query_id", [(first, "query_vector", w1), (second, "query_vector", w2)], name)
+    label = F.when(F.col(second).isNull(), "hybrid_full_text").when(F.col(first).isNull(), "hybrid_parsed").otherwise("hybrid_combined")
+    named = best.select(key, "score").join(rows.select(key, name, label.alias("strategy")), key)
+    return named.orderBy(F.col("score").desc(), key)
 
 
 def min_score(df: DataFrame, floor: float, score: str = "score") -> DataFrame:
@@ -257,13 +286,15 @@ def min_score(df: DataFrame, floor: float, score: str = "score") -> DataFrame:
 
 
 def recommend_similar(corpus: DataFrame, row: DataFrame, key: str, top: int = 3, client: str | None = None,
-                      length: str | None = None) -> DataFrame:
-    """Past SOWs most like the one in ``row``: its client, title, scope start and three deliverables are the query.
+                      length: str | None = None, scope_chars: int | None = None, deliverables: int | None = None) -> DataFrame:
+    """Past SOWs whose wording is most like the one in ``row``: its client, title, scope and deliverables are the query.
 
-    Five times as many candidates are ranked, the best per file is kept.
+    ``scope_chars`` and ``deliverables`` use only so much of the scope and so
+    many deliverables. The best SOW per file is kept before the cut.
     """
-    text = plain_text(F.col("client_name"), F.col("project_title"), F.substring("scope_summary", 1, 500),
-                      F.array_join(F.slice("deliverables", 1, 3), " "))
+    scope = F.col("scope_summary") if scope_chars is None else F.substring("scope_summary", 1, scope_chars)
+    items = F.col("deliverables") if deliverables is None else F.slice("deliverables", 1, deliverables)
+    text = plain_text(F.col("client_name"), F.col("project_title"), scope, F.array_join(items, " "))
     terms = row.select(F.array_distinct(tokens(text)).alias("t"), F.col(key)).first()
     if terms is None or not terms[0]:
         return corpus.withColumn("score", F.lit(0.0)).limit(0)
@@ -272,10 +303,26 @@ def recommend_similar(corpus: DataFrame, row: DataFrame, key: str, top: int = 3,
         rows = rows.where(F.col("client_name") == client)
     if length:
         rows = rows.where(F.col("project_length") == length)
-    hits = ranked_search(rows, " ".join(terms[0]), key, top=top * 5)
+    hits = search_rows(rows, " ".join(terms[0]), K.SEARCH_FIELD_WEIGHTS, mode="any")
     return dedup_best(hits, "file_name", key, "score").orderBy(F.col("score").desc(), key).limit(top)
 
 
+def similar_sows(corpus: DataFrame, asked: DataFrame, key: str, first: str, second: str, name: str = "file_name", top: int = 3,
+                 same: tuple[str, ...] = (), structured: DataFrame | None = None, w1: float = K.FULL_TEXT_WEIGHT, w2: float = K.PARSED_WEIGHT) -> DataFrame:
+    """(asked_key, key, score, rank, ...) of the ``top`` past SOWs most like each asked SOW by two vectors, with their staffing.
+
+    ``asked`` has the columns of ``corpus``; a SOW is never like itself. Each
+    column of ``same`` filters by the asked row's value where it has one. The
+    best SOW per file is kept before the cut. Structured staffing
+    (key, staffing_structured) is preferred to the ``staffing_plan`` of the row.
+    """
+    theirs = asked.select(F.col(key).alias("asked_key"), F.col(first).alias("_v1"), F.col(second).alias("_v2"), *[F.col(c).alias(f"_same_{c}") for c in same])
+    best = nearest_join(corpus, theirs, top, key, "asked_key", [(first, "_v1", w1), (second, "_v2", w2)], name,
+                        same=tuple((c, f"_same_{c}") for c in same), differ=((key, "asked_key"),))
+    hits = best.join(corpus.drop(first, second), key)
+    return hits if structured is None else attach_staffing(hits, structured, key)
+
+
 def find_similar_ids(df: DataFrame, query: str, fields: list[str], key: str, k: int) -> DataFrame:
     return keyword_search(df, query, fields, key, top=k).select(key)
 
@@ -283,38 +330,50 @@ def find_similar_ids(df: DataFrame, query: str, fields: list[str], key: str, k:
 # --- company views ----------------------------------------------------------------------------------
 
 
-def company_projects(df: DataFrame, company: str, key: str, top: int = 50) -> DataFrame:
-    return df.where(F.col("client_name") == company).orderBy(key).limit(top)
+def company_projects(df: DataFrame, company: str, key: str, top: int | None = None) -> DataFrame:
+    """All projects of a company in order of their keys, or the first ``top``."""
+    rows = df.where(F.col("client_name") == company).orderBy(key)
+    return rows if top is None else rows.limit(top)
+
 
+def similar_elsewhere(df: DataFrame, company: str, category: str | Column | None, fields: list[str], key: str, top: int | None = None) -> DataFrame:
+    """Projects of other companies that hold a word of the category, best first; everything when the category has no words.
 
-def similar_elsewhere(df: DataFrame, company: str, category: str | None, fields: list[str], key: str, top: int = 20) -> DataFrame:
-    """Projects of other companies that hold a word of the category; everything when the category has no words."""
-    words = K.CATEGORY_SEARCH_TERMS.get(category or "", [])
+    The category may be a value that is not known before the query runs, such
+    as ``DataFrame.scalar()``.
+    """
     others = df.where(F.col("client_name") != company)
-    return keyword_search(others, " ".join(words) if words else "*", fields, key, top=top, mode="any")
+    weights = {f: 1.0 for f in fields}
+    known = category if isinstance(category, Column) else F.lit(category)
+    words = sorted({w for ws in K.CATEGORY_SEARCH_TERMS.values() for w in ws})
+    table = F.create_map(*[x for c, ws in K.CATEGORY_SEARCH_TERMS.items() for x in (F.lit(c), F.array(*[F.lit(w) for w in ws]))])
+    chosen = F.coalesce(F.try_element_at(table, known), F.array().cast("array<string>"))
+    scored = with_bm25(with_tokens(others.withColumn("_words", chosen), weights), weights, words, lambda t: F.array_contains("_words", t))
+    hits = _plain(scored.where((F.size("_words") == 0) | F.arrays_overlap("_words", "_tokens"))).drop("_words")
+    ordered = hits.orderBy(F.col("score").desc(), key)
+    return ordered if top is None else ordered.limit(top)
 
 
-def company_analysis(sow: DataFrame, company: str, key: str) -> dict[str, DataFrame]:
+def company_analysis(sow: DataFrame, company: str, key: str, shown: int | None = 5) -> dict[str, DataFrame]:
     """Projects, type counts, top roles, role usage, team size, main type, advice and similar work elsewhere.
 
-    ``sow`` needs client_name, project_title, deliverables, staffing_plan (display strings).
+    All projects of the company count; ``shown`` only pages the list of similar
+    work. ``sow`` needs client_name, project_title, deliverables, staffing_plan
+    (display strings).
     """
     from sowmill.functions.classify import project_category
     from sowmill.operators import report as R
 
-    mine = company_projects(sow, company, key).withColumn(
-        "kind", project_category(F.col("deliverables"), F.col("project_title")))
+    mine = sow.where(F.col("client_name") == company).withColumn("kind", project_category(F.col("deliverables"), F.col("project_title")))
     entries = mine.select(F.explode("staffing_plan").alias("display"))
     sized = mine.withColumn("n", F.size("staffing_plan"))
     main = R.mode_type(mine, "kind", key)
     advice = F.create_map(*[x for c, a in K.CATEGORY_ADVICE.items() for x in (F.lit(c), F.array(*[F.lit(s) for s in a]))])
     hints = R.type_counts(mine, "kind").select("kind", F.explode(F.try_element_at(advice, F.col("kind"))).alias("advice"))
-    top = main.first()
     return {
         "projects": mine, "types": R.type_counts(mine, "kind"), "roles": R.top_roles(entries, "display"),
         "usage": R.role_usage(entries, "display", mine), "team": R.avg_team_size(sized, "n"), "main_type": main,
-        "advice": hints,
-        "elsewhere": similar_elsewhere(sow, company, top[0] if top else None, ["project_title"], key, top=20).limit(5),
+        "advice": hints, "elsewhere": similar_elsewhere(sow, company, main.select("most_common_type").scalar(), ["project_title"], key, shown),
     }
 
 
@@ -323,7 +382,7 @@ def company_analysis(sow: DataFrame, company: str, key: str) -> dict[str, DataFr
 SEARCHES = {
     "keyword": keyword_search, "ranked": ranked_search, "field": search_by_field, "date_range": search_by_date_range,
     "near": near_search, "terms": term_search, "multi": multi_search, "hybrid_text_vector": hybrid_text_vector,
-    "hybrid_two_vector": hybrid_two_vector, "knn": knn, "recommend": recommend_similar,
+    "hybrid_two_vector": hybrid_two_vector, "knn": knn, "recommend": recommend_similar, "similar": similar_sows,
 }
 
 

@@ -42,14 +42,14 @@ def brute(docs, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("pass_bytes", [1 << 20, 200])
-def test_knn_in_one_pass_and_several(spark, pass_bytes):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_knn_in_one_block_and_many(spark, block_bytes):
     rng = np.random.default_rng(7)
     docs = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200)] + [(200 + i, [1.0] * 6) for i in range(9)]
     queries = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(5)] + [(5, [1.0] * 6)]
     d = spark.createDataFrame(docs, "vec_id long, embedding array<double>").repartition(4)
     q = spark.createDataFrame(queries, "query_id long, query_vector array<double>")
-    got = sorted((r.query_id, r.vec_id, r["rank"]) for r in V.knn(d, q, 7, pass_bytes=pass_bytes).collect())
+    got = sorted((r.query_id, r.vec_id, r["rank"]) for r in V.knn(d, q, 7, block_bytes=block_bytes).collect())
     assert got == brute(docs, queries, 7)
 
 
