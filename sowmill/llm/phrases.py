@@ -10,11 +10,12 @@
    end. A second pass over the same counts sums those n-grams exactly, and tells
    the blocks the sums of theirs, naming one block to spell each n-gram out.
 3. Triples. A frequent triple is made of two frequent pairs, so only these go
-   out, with their words, to a second exchange of the same kind.
+   out, spelled out and sorted, to a second exchange of the same kind.
 4. Scores are joins of the frequent n-grams in exact decimal arithmetic.
 
 A frequent n-gram is one entry of a block, so no partition is hot, and the
-number of partitions grows with the mass.
+number of partitions grows with the mass. Partitions are ranges of hashes, so
+what a block sends is sorted and packs well; answers come in the same order.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sowmill.llm.blocks import merged, packed, unpacked
+from sowmill.llm.blocks import merged, packed, packed_sorted, unpacked, unpacked_sorted
 from sowmill.llm.common import checkpointed, chunks, keyed
 
 BLOCK_BYTES = 12 << 20
@@ -121,12 +122,19 @@ class Block:
         return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if len(parts) > 1 else parts[0]
 
 
-def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of n-grams by part, the parts that have some, and where each starts."""
-    part = (hashes % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((hashes, part))
-    some, start = np.unique(part[order], return_index=True)
-    return order, some, np.append(start, len(order))
+def part_of(hashes: np.ndarray, level: int) -> np.ndarray:
+    """Hash partition: the first ``level`` bits."""
+    return (hashes >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(hashes), dtype=np.int64)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of equal columns start, and the end."""
+    n = len(columns[0])
+    change = np.zeros(n, dtype=bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(change), n)
 
 
 def text_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -163,104 +171,122 @@ def text_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values).cast(kind))
-
+class Sent:
+    """What a block sends of its words and pairs: hashes in order, their counts, and where the runs of equal parts start."""
 
-def _rows_of(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column, and the row of each."""
-    lists = table[column].combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    def __init__(self, block: Block, pairs: tuple, level: int):
+        (ones, one_counts), (_, _, two_counts, twos, _) = block.ones(), pairs
+        hashes = np.concatenate([ones, twos])
+        self.order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[self.order], np.concatenate([one_counts, two_counts])[self.order]
+        self.part = part_of(self.hashes, level)
+        self.bounds = _runs(self.part)
 
 
-def short_grams(blocks: DataFrame, parts: int) -> DataFrame:
+def short_grams(blocks: DataFrame, level: int) -> DataFrame:
     """Counts of words and pairs of each block, by part."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                (ones, one_counts), (_, _, two_counts, twos, _) = block.ones(), block.pairs()
-                hashes, counts = np.concatenate([ones, twos]), np.concatenate([one_counts, two_counts])
-                order, some, bounds = _by_part(hashes, parts)
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), row["block"])), _lists(hashes[order].view(np.int64), bounds, pa.int64()),
-                                                  _lists(counts[order], bounds, pa.int32())], names=["part", "block", "keys", "counts"])
+                sent = Sent(block, block.pairs(), level)
+                cuts = list(zip(sent.bounds[:-1].tolist(), sent.bounds[1:].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sent.part[sent.bounds[:-1]]), pa.array([row["block"]] * len(cuts), pa.int64()),
+                     pa.array([packed_sorted(sent.hashes[i:j]) for i, j in cuts], pa.binary()),
+                     pa.array([packed(sent.counts[i:j].astype(np.uint32)) for i, j in cuts], pa.binary())], names=["part", "block", "keys", "counts"])
 
-    return blocks.mapInArrow(run, "part long, block long, keys array<long>, counts array<int>")
+    return blocks.mapInArrow(run, "part long, block long, keys binary, counts binary")
 
 
-def _frequent(table: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent keys of a hash partition with their exact sums; and the entries that hold them: place, place of the key, first entry of a key."""
-    keys, row = _rows_of(table, "keys")
-    counts = _rows_of(table, "counts")[0].astype(np.int64)
-    step = 1 << 16
+def frequent_of(keys: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
+    """Exact sums of the keys of a hash partition that reach the threshold, at each of their entries; 0 elsewhere.
+
+    The first pass merges summaries of batches, the second sums what is left.
+    """
+    step = 1 << 18
     found = survivors(((keys[k:k + step], counts[k:k + step]) for k in range(0, len(keys), step)), int(counts.sum()), threshold)
-    place = np.searchsorted(found, keys)
-    place[place == len(found)] = 0
-    held = np.flatnonzero(found[place] == keys) if len(found) else np.zeros(0, dtype=np.int64)
+    if not len(found):
+        return np.zeros(len(keys), dtype=np.int64)
+    place = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+    held = found[place] == keys
     total = np.zeros(len(found), dtype=np.int64)
     np.add.at(total, place[held], counts[held])
-    held = held[total[place[held]] >= threshold]
-    return keys, row[held], held, place[held], total
+    return np.where(held & (total[place] >= threshold), total[place], 0)
 
 
 def short_answers(grams: DataFrame, threshold: int) -> DataFrame:
-    """For each part and block its frequent keys, their sums, and whether the block spells them (the smallest block that has them)."""
+    """For each part and block, in the order of what was sent: which keys are frequent, their sums, and which of these the block spells.
+
+    The smallest block that has an n-gram spells it out.
+    """
     def run(table: pa.Table) -> pa.Table:
-        keys, row, held, place, total = _frequent(table, threshold)
-        blocks = table["block"].to_numpy()
-        order = np.lexsort((blocks[row], place))
-        first = np.zeros(len(held), dtype=bool)
-        first[order] = np.append(True, np.diff(place[order]) != 0)[:len(order)]
-        order = np.lexsort((held, blocks[row]))
-        some, start = np.unique(blocks[row][order], return_index=True)
-        bounds = np.append(start, len(order))
-        return pa.table([pa.array(some, pa.int64()), _lists(keys[held][order], bounds, pa.int64()), _lists(total[place][order], bounds, pa.int64()),
-                         _lists(first[order], bounds, pa.bool_())], names=["block", "keys", "sums", "spells"])
-
-    return grams.groupBy("part").applyInArrow(run, "block long, keys array<long>, sums array<long>, spells array<boolean>")
-
-
-def long_grams(blocks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """Counts of triples of frequent pairs with their words, and the words and pairs that a block spells with their sums, by part."""
+        keys = [unpacked_sorted(k) for k in table["keys"].to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])
+        row = np.repeat(np.arange(len(keys)), np.diff(ends, prepend=0))
+        flat = np.concatenate(keys).view(np.int64)
+        sums = frequent_of(flat, np.concatenate([unpacked(c, np.uint32) for c in table["counts"].to_pylist()]).astype(np.int64), threshold)
+        held = np.flatnonzero(sums)
+        order = held[np.lexsort((table["block"].to_numpy()[row[held]], flat[held]))]
+        spells = np.zeros(len(flat), dtype=bool)
+        spells[order[_runs(flat[order])[:-1]]] = True
+        cuts = [(end - len(k), end) for k, end in zip(keys, ends.tolist(), strict=True)]
+        parts = [(sums[i:j] > 0, sums[i:j][sums[i:j] > 0], spells[i:j][sums[i:j] > 0]) for i, j in cuts]
+        return pa.table([table["block"], table["part"], pa.array([np.packbits(m).tobytes() for m, _, _ in parts], pa.binary()),
+                         pa.array([packed(n) if len(n) else b"" for _, n, _ in parts], pa.binary()), pa.array([np.packbits(w).tobytes() for _, _, w in parts], pa.binary())],
+                        names=["block", "part", "frequent", "sums", "spells"])
+
+    return grams.groupBy("part").applyInArrow(run, "block long, part long, frequent binary, sums binary, spells binary")
+
+
+def _bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=n).astype(bool)
+
+
+def long_grams(blocks: DataFrame, answers: DataFrame, level: int, long_level: int) -> DataFrame:
+    """Phrases by part, size and language: triples of frequent pairs with their counts in a block, and the words and pairs that it spells with their sums."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, sums, spells = (_rows_of(right, c)[0] for c in ("keys", "sums", "spells"))
-        order = np.argsort(keys)
-        keys, sums, spells = keys[order], sums[order], spells[order]
-
-        def known(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Sums (0: not frequent) of n-grams, and those that this block spells."""
-            if not len(keys):
-                return np.zeros(len(hashes), dtype=np.int64), np.zeros(0, dtype=np.int64)
-            asked = hashes.view(np.int64)
-            place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            same = keys[place] == asked
-            return np.where(same, sums[place], 0), np.flatnonzero(same & spells[place])
-
+        answered = {r["part"]: r for r in right.to_pylist()}
         out = []
         for row in left.to_pylist():
             block = Block(row)
-            first, second, _, twos, at = block.pairs()
-            one_sum, one_own = known(block.hash[1:])
-            two_sum, two_own = known(twos)
-            often = two_sum > 0
+            pairs = block.pairs()
+            first, second, _, twos, at = pairs
+            sent = Sent(block, pairs, level)
+            sums, spells = np.zeros(len(sent.hashes), dtype=np.int64), np.zeros(len(sent.hashes), dtype=bool)
+            for i, j in zip(sent.bounds[:-1].tolist(), sent.bounds[1:].tolist(), strict=True):
+                own = answered[int(sent.part[i])]
+                held = i + np.flatnonzero(_bits(own["frequent"], j - i))
+                if len(held):
+                    sums[sent.order[held]] = unpacked(own["sums"], np.int64)
+                    spells[sent.order[held]] = _bits(own["spells"], len(held))
+            n_words = len(block.hash) - 1
+            often, one, two = sums[n_words:] > 0, np.flatnonzero(spells[:n_words]), np.flatnonzero(spells[n_words:])
             start = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
             start = start[often[at[start]] & often[at[start + 1]]]
             distinct, counts = np.unique(at[start] << 32 | block.codes[start + 2], return_counts=True)
             pair, third = distinct >> 32, distinct & 0xFFFFFFFF
-            hashes = np.concatenate([block.hash[1:][one_own], twos[two_own], longer(twos[pair], block.hash[third])])
-            langs = np.concatenate([block.lang_of[1:][one_own], block.lang_of[first[two_own]], block.lang_of[third]])
-            size = np.repeat([1, 2, 3], [len(one_own), len(two_own), len(pair)])
-            number = np.concatenate([one_sum[one_own], two_sum[two_own], counts])
-            words = pa.concat_arrays([block.spelled(one_own + 1), block.spelled(first[two_own], second[two_own]), block.spelled(first[pair], second[pair], third)])
-            order, some, bounds = _by_part(hashes, parts)
-            out.append(pa.table([
-                pa.array(some), _lists(hashes[order].view(np.int64), bounds, pa.int64()), _lists(number[order], bounds, pa.int64()), _lists(size[order], bounds, pa.int8()),
-                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(block.langs, pa.string()).take(pa.array(langs[order]))),
-                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.take(pa.array(order)))], names=["part", "keys", "counts", "size", "langs", "words"]))
+            out += [phrases_out(block, long_level, block.hash[1:][one], sums[one], one + 1),
+                    phrases_out(block, long_level, twos[two], sums[n_words + two], first[two], second[two]),
+                    phrases_out(block, long_level, longer(twos[pair], block.hash[third]), counts, first[pair], second[pair], third)]
         return pa.concat_tables(out)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        run, "part long, keys array<long>, counts array<long>, size array<byte>, langs array<string>, words array<binary>")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "part long, size int, lang string, phrases binary, counts binary")
+
+
+def phrases_out(block: Block, level: int, hashes: np.ndarray, numbers: np.ndarray, *words: np.ndarray) -> pa.Table:
+    """Rows of phrases of one size, sorted, each followed by a line feed, with their numbers."""
+    part = part_of(hashes, level)
+    order = np.lexsort((*words[::-1], part))
+    part, lang = part[order], block.lang_of[words[0][order]]
+    spelled = pc.binary_join_element_wise(block.spelled(*[w[order] for w in words]), pa.scalar(b"", pa.binary()), pa.scalar(b"\n", pa.binary()))
+    offsets, data = np.frombuffer(spelled.buffers()[1], dtype=np.int32, count=len(order) + 1), memoryview(spelled.buffers()[2] or b"")
+    bounds = _runs(part, lang)
+    squeeze = zs.ZstdCompressor(level=3).compress
+    cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+    return pa.table([pa.array(part[bounds[:-1]], pa.int64()), pa.array([len(words)] * len(cuts), pa.int32()), pa.array([block.langs[lang[i]] for i, _ in cuts], pa.string()),
+                     pa.array([squeeze(data[offsets[i]:offsets[j]]) for i, j in cuts], pa.binary()), pa.array([packed(numbers[order[i:j]].astype(np.int64)) for i, j in cuts], pa.binary())],
+                    names=["part", "size", "lang", "phrases", "counts"])
 
 
 def frequent_grams(docs: DataFrame, threshold: int = 10, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -276,29 +302,31 @@ def frequent_grams(docs: DataFrame, threshold: int = 10, text_col: str = "text",
     per_lang = blocks.select(F.explode(F.arrays_zip("langs", "lang_total")).alias("row")).groupBy(F.col("row.langs").alias("lang")) \
         .agg(F.sum("row.lang_total").alias("n"))
     mass = 2 * (blocks.select(F.sum(F.aggregate("lang_total", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0)
-    parts = max(1, math.ceil(mass / PART_MASS))
-    answers = checkpointed(short_answers(short_grams(blocks, parts), threshold))
+    level = max(0, math.ceil(math.log2(max(1, mass / PART_MASS))))
+    answers = checkpointed(short_answers(short_grams(blocks, level), threshold))
 
     def run(table: pa.Table) -> pa.Table:
-        size, row = _rows_of(table, "size")
-        keys, counts = _rows_of(table, "keys")[0], _rows_of(table, "counts")[0]
-        words, langs = table["words"].combine_chunks().flatten(), table["langs"].combine_chunks().flatten()
-        long = np.flatnonzero(size == 3)
-        step = 1 << 16
-        found = survivors(((keys[long[k:k + step]], counts[long[k:k + step]]) for k in range(0, len(long), step)), int(counts[long].sum()), threshold)
-        place = np.searchsorted(found, keys[long])
-        place[place == len(found)] = 0
-        held = np.flatnonzero(found[place] == keys[long]) if len(found) else np.zeros(0, dtype=np.int64)
-        total = np.zeros(len(found), dtype=np.int64)
-        np.add.at(total, place[held], counts[long[held]])
-        seen, first = np.unique(place[held], return_index=True)
-        seen, first = seen[total[seen] >= threshold], long[held[first]][total[seen] >= threshold]
-        given = np.flatnonzero(size < 3)
-        rows = pa.array(np.concatenate([given, first]))
-        return pa.table([langs.take(rows), words.take(rows), pa.array(size[rows.to_numpy()].astype(np.int32)), pa.array(np.concatenate([counts[given], total[seen]]))],
-                        names=["lang", "words", "size", "f"])
-
-    grams = long_grams(blocks, answers, parts).groupBy("part").applyInArrow(run, "lang string, words binary, size int, f long")
+        known, lang_rows, phrases, counts = table["size"].to_numpy() < 3, table["lang"].to_pylist(), [], []
+        for data, numbers in zip(table["phrases"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            phrases.append(zs.ZstdDecompressor().decompress(data).split(b"\n")[:-1])
+            counts.append(unpacked(numbers, np.int64))
+        long = np.flatnonzero(~known).tolist()
+        found = [(lang_rows[i], p, int(table["size"][i].as_py()), n) for i in np.flatnonzero(known).tolist() for p, n in zip(phrases[i], counts[i].tolist(), strict=True)]
+        if long:
+            seeds = {lang: xxhash.xxh64_intdigest(lang.encode()) for lang in set(lang_rows)}
+            keys = np.array([xxhash.xxh64_intdigest(p, seeds[lang_rows[i]]) for i in long for p in phrases[i]], dtype=np.uint64).view(np.int64)
+            sums = frequent_of(keys, np.concatenate([counts[i] for i in long]), threshold)
+            ends = np.cumsum([len(phrases[i]) for i in long])
+            held = np.flatnonzero(sums)
+            _, single = np.unique(keys[held], return_index=True)
+            for at in held[single].tolist():
+                i = int(np.searchsorted(ends, at, side="right"))
+                row = long[i]
+                found.append((lang_rows[row], phrases[row][at - int(ends[i]) + len(phrases[row])], 3, int(sums[at])))
+        langs, words, sizes, numbers = zip(*found, strict=True) if found else ([], [], [], [])
+        return pa.table([pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int64())], names=["lang", "words", "size", "f"])
+
+    grams = long_grams(blocks, answers, level, max(0, level - 2)).groupBy("part").applyInArrow(run, "lang string, words binary, size int, f long")
     return checkpointed(grams.select("lang", F.col("words").cast("string").alias("phrase"), "size", "f")), per_lang
 
 
