@@ -9,8 +9,10 @@ from sowmill.bind import base as B
 from sowmill.bind.classes import any_sql, group_sql, q
 from sowmill.bind.registry import query
 from sowmill.functions import vectors as V
+from sowmill.operators import postings as P
 from sowmill.operators import relate as R
 from sowmill.operators import search as E
+from sowmill.sources.work import work_folder
 
 QUERY = "ther than"
 SYN = {"ther": ["thor", "thin"], "than": ["thnd", "ble sh"]}
@@ -146,6 +148,42 @@ def se08(spark, sf_dir):
     return rounded(E.ranked_search(B.sow(spark, sf_dir), RANKED, "sow_key", top=25).select("sow_key", "score"))
 
 
+# --- the same searches over stored postings --------------------------------------------------------------
+
+
+def stored(spark, df, key: str, fields: dict[str, float]):
+    """An index of the rows, written anew."""
+    path = work_folder(spark, "postings")
+    P.write_index(df, key, fields, path)
+    return P.Index(spark, path)
+
+
+@query("se01_postings", f"WITH {DOC}, {bm25('dt', 'doc_id', {'t': 1}, TERMS)} SELECT doc_id, {S4} FROM sc WHERE "
+       f"{all_of(TERMS, has)} ORDER BY score DESC, doc_id LIMIT 50")
+def se01_postings(spark, sf_dir):
+    hits = stored(spark, docs(spark, sf_dir), "doc_id", {"text": 1.0}).keyword_search(QUERY)
+    return rounded(hits.withColumnRenamed("key", "doc_id"))
+
+
+@query("se05_vocabulary", f"WITH {DOC} SELECT doc_id, {all_of(TERMS, fuzzy)} AS every FROM dt WHERE {all_of(TERMS, fuzzy, ' OR ')}")
+def se05_vocabulary(spark, sf_dir):
+    index = stored(spark, docs(spark, sf_dir), "doc_id", {"text": 1.0})
+    return index.near_rows(QUERY, index.fuzzy_words, mode="any").withColumnRenamed("key", "doc_id")
+
+
+@query("se06_vocabulary", f"WITH {DOC} SELECT doc_id FROM dt WHERE {all_of(TERMS, phonetic)}")
+def se06_vocabulary(spark, sf_dir):
+    index = stored(spark, docs(spark, sf_dir), "doc_id", {"text": 1.0})
+    return index.near_rows(QUERY, lambda w: index.phonetic_words(w, sound=False)).select(F.col("key").alias("doc_id"))
+
+
+@query("se08_postings", B.sql(f"SELECT sow_key, {S4} FROM sc WHERE {' OR '.join(f'w{i} > 0' for i in range(3))} "
+                              "ORDER BY score DESC, sow_key LIMIT 25", _SOWT + ", " + bm25("st", "sow_key", _W, RANKED.split())))
+def se08_postings(spark, sf_dir):
+    index = stored(spark, B.sow(spark, sf_dir).select("sow_key", *K.SEARCH_FIELD_WEIGHTS), "sow_key", K.SEARCH_FIELD_WEIGHTS)
+    return rounded(index.ranked_search(RANKED, top=25).withColumnRenamed("key", "sow_key"))
+
+
 # --- vectors -------------------------------------------------------------------------------------------
 
 
