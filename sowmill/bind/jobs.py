@@ -46,6 +46,21 @@ def st02(spark, sf_dir):
     return J.latest_status(status_events(spark, sf_dir)).select("job_id", "status")
 
 
+@query("st02_job_states", """
+  WITH ev AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed'
+      ELSE event_type END AS s FROM events),
+  p AS (SELECT job_id, min(CASE WHEN s = 'processing' THEN {'t': ts, 'e': event_id} END) AS at FROM ev GROUP BY 1),
+  e AS (SELECT job_id, arg_min(s, {'t': ts, 'e': event_id}) AS s, min(ts) AS ts FROM ev JOIN p USING (job_id)
+    WHERE s IN ('completed', 'error') AND {'t': ts, 'e': event_id} > p.at GROUP BY 1),
+  j AS (SELECT job_id, p.at.t AS p, e.ts AS e, e.s, coalesce(e.ts, (SELECT max(ts) FROM events)) >= p.at.t + INTERVAL 2 DAY AS stuck FROM p LEFT JOIN e USING (job_id))
+  SELECT job_id, CASE WHEN p IS NULL THEN 'queued' WHEN stuck THEN 'error' WHEN e IS NOT NULL THEN s ELSE 'processing' END AS status,
+    CASE WHEN stuck THEN 'stuck' END AS reason, epoch_us(CASE WHEN stuck THEN p + INTERVAL 2 DAY ELSE coalesce(e, p) END) AS since FROM j""")
+def st02_states(spark, sf_dir):
+    """Moves that are allowed alone; two days of processing are too many."""
+    events = status_events(spark, sf_dir)
+    return J.job_states(events, 2 * 86400, events.agg(F.max("ts")).scalar()).withColumn("since", F.unix_micros(F.col("since").cast("timestamp")))
+
+
 @query("st03_route", """
   SELECT o_orderkey AS job_id, 'historical' AS branch, 1.0 AS confidence FROM orders WHERE o_orderstatus = 'F'
   UNION ALL SELECT o_orderkey, 'planned', NULL FROM orders WHERE o_orderstatus <> 'F'""")

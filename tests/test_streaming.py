@@ -81,3 +81,53 @@ def test_jobs_without_events_are_queued(spark):
     jobs = spark.createDataFrame([(1, "historical"), (2, "new_staffing")], "job_id int, processing_type string")
     status = spark.createDataFrame([(1, "completed")], "job_id int, status string")
     assert {(r.job_id, r.status) for r in J.list_jobs(jobs, status).collect()} == {(1, "completed"), (2, "queued")}
+
+
+EVENT = "job_id int, status string, ts timestamp, event_id int"
+
+
+def event_files(spark, tmp_path, batches):
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "job_id int, status string, ts string, event_id int").withColumn("ts", F.to_timestamp("ts"))
+        frame.select("job_id", "status", "ts", "event_id").coalesce(1).write.parquet(str(tmp_path / f"ev{i}"))
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev*"))
+
+
+def test_job_states_by_allowed_moves(spark):
+    at = lambda h, m=0: f"2024-01-01 {h:02d}:{m:02d}:00"
+    rows = [(1, "queued", at(1), 1), (1, "processing", at(2), 2), (1, "completed", at(3), 3), (1, "queued", at(4), 4), (1, "error", at(5), 5),
+            (2, "completed", at(1), 6), (2, "processing", at(2), 7), (3, "completed", at(1), 8), (4, "processing", at(1), 9), (4, "error", at(9), 10),
+            (5, "processing", at(2), 12), (5, "completed", at(2), 11), (5, "error", at(2), 13), (6, "unknown", at(2), 14), (7, "processing", None, 15),
+            (8, "processing", at(8), 16), (8, "processing", at(8), 16), (None, "processing", at(8), 17)]
+    events = spark.createDataFrame(rows, "job_id int, status string, ts string, event_id int").withColumn("ts", F.to_timestamp("ts"))
+    plain = {(r.job_id, r.status) for r in J.job_states(events).collect()}
+    assert plain == {(1, "completed"), (2, "processing"), (3, "queued"), (4, "error"), (5, "error"), (6, "queued"), (8, "processing")}
+    limited = {r.job_id: (r.status, r.reason) for r in J.job_states(events, 4 * 3600, F.lit(at(10)).cast("timestamp")).collect()}
+    assert limited[2] == ("error", "stuck") and limited[4] == ("error", "stuck") and limited[1] == ("completed", None) and limited[8] == ("processing", None)
+
+
+def test_job_state_stream_equals_the_batch_form_in_any_order(spark, tmp_path):
+    import random
+
+    draw = random.Random(6)
+    rows = [(draw.randint(1, 25), draw.choice(["queued", "processing", "completed", "error", "other"]), f"2024-01-01 {draw.randint(0, 9):02d}:{draw.randint(0, 59):02d}:00", i)
+            for i in range(150)]
+    shuffled = [rows[i::5] + rows[:4] for i in range(5)]
+    draw.shuffle(shuffled)
+    stream = event_files(spark, tmp_path, shuffled)
+    J.stream_job_states(stream, str(tmp_path / "states"), str(tmp_path / "cp"), late="20 hours").awaitTermination(120)
+    got = {(r.job_id, r.status, r.reason, r.since) for r in J.read_store(spark, str(tmp_path / "states"), "job_id", "version").collect()}
+    every = spark.read.schema(EVENT).parquet(*[str(tmp_path / f"ev{i}") for i in range(5)])
+    assert got == {(r.job_id, r.status, r.reason, r.since) for r in J.job_states(every).collect()} and len(got) > 20
+
+
+def test_job_state_stream_drops_late_events_and_ends_stuck_jobs(spark, tmp_path):
+    at = lambda d, h: f"2024-01-{d:02d} {h:02d}:00:00"
+    batches = [[(1, "processing", at(1, 1), 1), (2, "processing", at(1, 1), 2), (3, "queued", at(1, 1), 3)],
+               [(9, "queued", at(3, 0), 4)],
+               [(1, "completed", at(1, 2), 5), (9, "processing", at(3, 1), 6)],
+               [(9, "completed", at(3, 2), 7)]]
+    stream = event_files(spark, tmp_path, batches)
+    J.stream_job_states(stream, str(tmp_path / "states"), str(tmp_path / "cp"), late="1 hour", stuck_after=6 * 3600).awaitTermination(120)
+    got = {r.job_id: (r.status, r.reason) for r in J.read_store(spark, str(tmp_path / "states"), "job_id", "version").collect()}
+    assert got == {1: ("error", "stuck"), 2: ("error", "stuck"), 3: ("queued", None), 9: ("completed", None)}
