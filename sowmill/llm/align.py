@@ -33,7 +33,7 @@ from sowmill.llm.common import WORKER_CACHES, chunks, keyed
 from sowmill.llm.words import Memo, byte_level_bytes, flat_ids, ids_of_parts
 
 #: Words a worker remembers at most.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
 #: Bytes of text of one block.
 BLOCK_BYTES = 4 << 20
 

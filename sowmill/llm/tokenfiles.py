@@ -28,7 +28,7 @@ from sowmill.llm.common import WORKER_CACHES, chunks, keyed
 from sowmill.llm.words import Memo, as_list, byte_level_bytes, flat_ids, ids_of_parts
 
 #: Words a worker remembers at most.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 500_000
 #: Bytes of text of one file, about.
 FILE_BYTES = 32 << 20
 

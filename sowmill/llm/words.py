@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Texts that must be encoded whole: white space other than a blank or a line feed, two of these in a row, or the byte that marks cuts.
 _ODD = r"[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]| $"
+#: New parts that are encoded at a time.
+STEP = 20_000
 #: A full stop or comma that may join what stands before it.
 _JOINED = r"[^\pL\pN][.,]"
 
@@ -91,8 +93,8 @@ class Memo:
         places = np.fromiter(map(self.code.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
         unknown = np.flatnonzero(places < 0)
         new = [parts[i] for i in unknown.tolist()]
-        for at in range(0, len(new), 50_000):
-            some = new[at:at + 50_000]
+        for at in range(0, len(new), STEP):
+            some = new[at:at + STEP]
             for column, (values, lengths) in zip(self.columns, self.learn(some), strict=True):
                 column.add(values, lengths)
             self.code.update(zip(some, range(known + at, known + at + len(some)), strict=True))
