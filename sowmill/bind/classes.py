@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+import re
+
 from pyspark.sql import functions as F
 
 from sowmill import constants as K
@@ -212,7 +215,23 @@ def cl13(spark, sf_dir):
             .select("sow_key", "l_linenumber", "title", "m.role", "m.department", "m.level"))
 
 
-@query("cl14_org_role")
+def closest_by_search(title: str) -> int | None:
+    """Position of an organisation role by comparing a title with every name: equal, else the first of the most alike over the ratio."""
+    names = [(n.lower(), i) for i, (t, _, _, al) in enumerate(K.ORG_ROLES) for n in (t, *al)]
+    low = title.lower().strip()
+    best = max([(2.0 if n == low else difflib.SequenceMatcher(None, low, n).ratio(), -at) for at, (n, _) in enumerate(names)])
+    return names[-best[1]][1] if best[0] > K.FUZZY_RATIO else None
+
+
+#: The titles of the data, as they are and misspelt.
+SPELLINGS = [t + end for t in B.TITLES for end in ("", "s", " xyz")]
+_KNOWN = "known AS (SELECT * FROM (VALUES " + ", ".join(f"({q(t)}, {'NULL' if closest_by_search(t) is None else closest_by_search(t)})" for t in SPELLINGS) + ") AS k(spelt, ord))"
+
+
+@query("cl14_org_role", B.sql("""
+  SELECT sow_key, l_linenumber, spelt AS title, o.title AS org_title, o.department AS org_department, o.level AS org_level
+  FROM (SELECT sow_key, l_linenumber, title || CASE l_partkey % 3 WHEN 1 THEN 's' WHEN 2 THEN ' xyz' ELSE '' END AS spelt FROM ln)
+  LEFT JOIN known USING (spelt) LEFT JOIN org o ON o.ord = known.ord""", ORG_SQL + ", " + _KNOWN))
 def cl14(spark, sf_dir):
     k = F.col("l_partkey") % 3
     title = F.concat("title", F.when(k == 1, "s").when(k == 2, " xyz").otherwise(""))
@@ -220,10 +239,26 @@ def cl14(spark, sf_dir):
     return C.map_org_roles(rows, "title")
 
 
-@query("cl15_map_sow_roles")
+def options_by_search(text: str) -> list[int]:
+    """Roles of the wording patterns that a text has, in order, and its own role."""
+    lookup = {n.lower(): i for i, (t, _, _, al) in reversed(list(enumerate(K.ORG_ROLES))) for n in reversed((t, *al))}
+    own = closest_by_search(text)
+    return [lookup[target.lower()] for wording, target in K.ROLE_WORDING if re.search(wording, text, re.IGNORECASE)] + ([] if own is None else [own])
+
+
+_ROLE_TITLES = "[" + ", ".join(q(t) for t, _, _, _ in K.ORG_ROLES) + "]"
+_OPTIONS = "MAP {" + ", ".join(f"{q(t)}: CAST({options_by_search(t)} AS INTEGER[])" for t in SPELLINGS) + "}"
+
+
+@query("cl15_map_sow_roles", B.sql(f"""
+  SELECT sow_key, array_to_string(detected, '; ') AS detected, coalesce(array_to_string(list_transform(
+      list_reduce(list_transform(detected, lambda t: {_OPTIONS}[t]), lambda taken, o: list_concat(taken, list_filter(o, lambda x: NOT list_contains(taken, x))[1:1]), CAST([] AS INTEGER[])),
+      lambda i: {_ROLE_TITLES}[i + 1]), '; '), '') AS mapped
+  FROM (SELECT sow_key, list_transform(staffing, lambda s: s.title || CASE s.level % 3 WHEN 1 THEN 's' WHEN 2 THEN ' xyz' ELSE '' END) AS detected FROM sow)""", ORG_SQL))
 def cl15(spark, sf_dir):
-    roles = B.sow(spark, sf_dir).select("sow_key", F.transform("staffing", lambda s: s["title"]).alias("detected"))
-    return (roles.withColumn("found", C.map_sow_roles(F.col("detected")))
+    end = lambda s: F.when(s["level"] % 3 == 1, "s").when(s["level"] % 3 == 2, " xyz").otherwise("")
+    roles = B.sow(spark, sf_dir).select("sow_key", F.transform("staffing", lambda s: F.concat(s["title"], end(s))).alias("detected"))
+    return (C.map_sow_roles(roles, "sow_key", "detected", "found")
             .select("sow_key", F.array_join("detected", "; ").alias("detected"),
                     F.array_join(F.transform("found", lambda i: C.org_row(i)["title"]), "; ").alias("mapped")))
 

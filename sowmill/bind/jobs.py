@@ -122,6 +122,22 @@ def ud03(spark, sf_dir):
     return X.run_extractor(docs, first_word, "doc_id", "text").groupBy("error").agg(F.count(F.lit(1)).alias("documents"))
 
 
+@query("ud04_known_misspellings", """
+  SELECT DISTINCT lower(p_name) AS name, CASE p_partkey % 4 WHEN 0 THEN lower(p_name) || 's' WHEN 1 THEN 'x' || lower(p_name)
+      WHEN 2 THEN left(lower(p_name), length(p_name) - 1) ELSE lower(p_name) || ' (misspelt)' END AS spelt,
+    round(2.0 * CASE p_partkey % 4 WHEN 2 THEN length(p_name) - 1 ELSE length(p_name) END
+      / (2 * length(p_name) + CASE p_partkey % 4 WHEN 2 THEN -1 ELSE 1 END), 6) AS ratio
+  FROM part WHERE p_partkey % 4 <> 3 AND 2.0 * CASE p_partkey % 4 WHEN 2 THEN length(p_name) - 1 ELSE length(p_name) END
+      / (2 * length(p_name) + CASE p_partkey % 4 WHEN 2 THEN -1 ELSE 1 END) > 0.95""")
+def ud04_known(spark, sf_dir):
+    """Names against themselves with a letter more, a letter less, or much more, which is not alike enough."""
+    name, k = F.lower("p_name"), F.col("p_partkey") % 4
+    spelt = (F.when(k == 0, F.concat(name, F.lit("s"))).when(k == 1, F.concat(F.lit("x"), name))
+             .when(k == 2, F.left(name, F.length(name) - 1)).otherwise(F.concat(name, F.lit(" (misspelt)"))))
+    pairs = B.table(spark, sf_dir, "part").select(name.alias("name"), spelt.alias("spelt"))
+    return C.similar_pairs(pairs, "name", "spelt", 0.95).withColumn("ratio", F.round("ratio", 6))
+
+
 @query("ud04_similarity_ratio")
 def ud04(spark, sf_dir):
     part = B.table(spark, sf_dir, "part").select(F.lower("p_name").alias("name"), F.lower("p_type").alias("type")).distinct()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -222,33 +221,55 @@ def org_exact(title: Column) -> Column:
     return F.try_element_at(table, F.lower(F.trim(title)))
 
 
-@lru_cache(maxsize=100_000)
-def closest_org_role(title: str) -> int | None:
-    """Position of the role whose title or alias is most alike; the earliest wins, 0.8 is not enough."""
-    best, position = K.FUZZY_RATIO, None
-    low = title.lower().strip()
-    for name, i in _org_names():
-        ratio = difflib.SequenceMatcher(None, low, name).ratio()
-        if ratio > best:
-            best, position = ratio, i
-    return position
+@F.pandas_udf(T.DoubleType())
+def similarity_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Matching-blocks ratio of two strings, 0 to 1."""
+    return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio()
+                      for a, b in zip(left, right)], dtype="float64")
 
 
-@F.pandas_udf(T.IntegerType())
-def org_fuzzy(titles: pd.Series) -> pd.Series:
-    return titles.map(lambda t: None if t is None else closest_org_role(t)).astype("Int32")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz "
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def org_fuzzy_each(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda ts: [None if t is None else closest_org_role(t) for t in ts])
+def letter_counts(text: Column) -> Column:
+    """How often each letter and the blank stand in a text, and how many other characters."""
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _LETTERS]
+    return F.array(*counts, F.length(text) - sum(counts[1:], counts[0]))
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two strings, 0 to 1."""
-    return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio()
-                      for a, b in zip(left, right)], dtype="float64")
+def ratio_bound(left: Column, right: Column, left_counts: Column, right_counts: Column) -> Column:
+    """Upper bound of the matching-blocks ratio: blocks hold no letter more often than both texts do."""
+    common = F.aggregate(F.zip_with(left_counts, right_counts, lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+    both = F.length(left) + F.length(right)
+    return F.when(both == 0, 1.0).otherwise(2.0 * common / F.nullif(both, F.lit(0)))
+
+
+def similar_pairs(pairs: DataFrame, left: str, right: str, above: float) -> DataFrame:
+    """Distinct pairs of texts with their ``ratio``, where it is over ``above``.
+
+    Letter counts settle most pairs; only those that may pass reach the exact
+    ratio, and each pair reaches it once.
+    """
+    a, b = F.col(left), F.col(right)
+    near = pairs.select(left, right).distinct().where(ratio_bound(a, b, letter_counts(a), letter_counts(b)) > above)
+    return near.withColumn("ratio", similarity_ratio(left, right)).where(F.col("ratio") > above)
+
+
+def closest_roles(titles: DataFrame) -> DataFrame:
+    """(title, position) of the organisation role whose title or alias is most alike each distinct title; the earliest wins, 0.8 is not enough.
+
+    ``titles`` has one column. Names whose letters cannot reach the ratio are
+    left out before any ratio is taken.
+    """
+    counted = lambda n: [*[n.count(c) for c in _LETTERS], sum(c not in _LETTERS for c in n)]
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("position"), F.lit(at).alias("at"), F.array(*[F.lit(c) for c in counted(n)]).alias("counts"))
+                      for at, (n, i) in enumerate(_org_names())])
+    low = F.regexp_replace(F.lower("title"), r"^\s+|\s+$", "")
+    asked = titles.toDF("title").where(F.col("title").isNotNull()).distinct().withColumn("_low", low).withColumn("_counts", letter_counts(F.col("_low")))
+    near = asked.withColumn("_names", names).select("title", "_low", F.explode(F.filter(
+        "_names", lambda n: ratio_bound(F.col("_low"), n["name"], F.col("_counts"), n["counts"]) > K.FUZZY_RATIO)).alias("_n")).select("title", "_low", "_n.*")
+    rated = near.withColumn("ratio", similarity_ratio("_low", "name")).where(F.col("ratio") > K.FUZZY_RATIO)
+    return rated.groupBy("title").agg(F.max_by("position", F.struct("ratio", -F.col("at"))).alias("position"))
 
 
 def org_row(position: Column) -> Column:
@@ -262,29 +283,31 @@ def map_org_roles(df: DataFrame, title: str) -> DataFrame:
     """Add org_title, org_department, org_level.
 
     Exact matches are a map lookup in the scan stage. Only the distinct titles
-    that have none go through the ratio function.
+    that have none are compared with the names of the roles.
     """
     exact = df.withColumn("_pos", org_exact(F.col(title)))
-    rest = (exact.where(F.col("_pos").isNull() & F.col(title).isNotNull()).select(F.col(title).alias("_t")).distinct()
-            .withColumn("_fuzzy", org_fuzzy("_t")).where(F.col("_fuzzy").isNotNull()))
-    joined = exact.join(rest, F.col(title) == F.col("_t"), "left")
+    rest = closest_roles(exact.where(F.col("_pos").isNull()).select(title)).toDF("_t", "_fuzzy")
+    joined = exact.join(rest, F.when(F.col("_pos").isNull(), F.col(title)) == F.col("_t"), "left")
     org = org_row(F.coalesce("_pos", "_fuzzy"))
     return joined.select(*df.columns, org["title"].alias("org_title"), org["department"].alias("org_department"),
                          org["level"].alias("org_level"))
 
 
-def map_sow_roles(texts: Column) -> Column:
-    """Positions of the organisation roles for an ordered list of role texts.
+def map_sow_roles(df: DataFrame, key: str, texts: str, out: str) -> DataFrame:
+    """Add ``out``: positions of the organisation roles for the ordered list of role texts of each row; keys are distinct.
 
     Each text takes the first role among its wording patterns and its own
     look-up that no earlier text has taken. The fold state holds at most one
-    entry per organisation role.
+    entry per organisation role. Texts that are no title or alias are compared
+    with the names of the roles once each, and come back by key.
     """
     lookup = {name: i for name, i in reversed(_org_names())}
-    exact = F.transform(texts, lambda t: org_exact(t))
-    needs_ratio = F.transform(texts, lambda t: F.when(org_exact(t).isNull(), t))
-    direct = F.zip_with(exact, org_fuzzy_each(needs_ratio), lambda a, b: F.coalesce(a, b))
-    pairs = F.zip_with(texts, direct, lambda t, d: F.struct(t.alias("t"), d.alias("d")))
+    unlike = df.select(key, F.explode(F.array_distinct(F.filter(texts, lambda t: org_exact(t).isNull() & t.isNotNull()))).alias("_t"))
+    near = unlike.join(closest_roles(unlike.select("_t")).toDF("_t", "_p"), "_t")
+    known = near.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_t", "_p"))).alias("_near"))
+    none = F.create_map().cast("map<string,int>")
+    joined = df.join(known, key, "left").withColumn("_near", F.coalesce("_near", none))
+    pairs = F.transform(texts, lambda t: F.struct(t.alias("t"), F.coalesce(org_exact(t), F.try_element_at("_near", t)).alias("d")))
 
     def step(taken: Column, x: Column) -> Column:
         options = F.array_compact(F.array(
@@ -292,7 +315,7 @@ def map_sow_roles(texts: Column) -> Column:
               for wording, target in K.ROLE_WORDING], x["d"]))
         return F.concat(taken, F.slice(F.array_except(options, taken), 1, 1))
 
-    return F.aggregate(pairs, F.array().cast("array<int>"), step)
+    return joined.withColumn(out, F.aggregate(pairs, F.array().cast("array<int>"), step)).select(*df.columns, out)
 
 
 def org_roles(spark) -> DataFrame:

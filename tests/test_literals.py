@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from sowmill import constants as K
 from sowmill.functions import classify as C
 from sowmill.functions import scalars as S
 from sowmill.functions import text as X
@@ -71,8 +75,8 @@ def test_file_name(spark):
     (["Event Manager", "Production Coordinator", "Creative Director", "Account Manager"],
      ["Manager", "Producer", "Vice President", "Account Manager"])])
 def test_ordered_role_wording(spark, roles, want):
-    df = spark.createDataFrame([(roles,)], "r array<string>")
-    found = df.select(C.map_sow_roles(F.col("r")).alias("f")).select(F.transform("f", lambda i: C.org_row(i)["title"])).first()[0]
+    df = spark.createDataFrame([(1, roles)], "k int, r array<string>")
+    found = C.map_sow_roles(df, "k", "r", "f").select(F.transform("f", lambda i: C.org_row(i)["title"])).first()[0]
     assert found == want
 
 
@@ -82,6 +86,33 @@ def test_fuzzy_org_role(spark):
     assert got == {"Acount Manager": "Account Manager", "account mgr": "Account Manager", "Plumber": None}
 
 
+def test_closest_roles_are_those_of_a_full_search(spark):
+    draw = random.Random(2)
+    names = [n for t, _, _, al in K.ORG_ROLES for n in (t, *al)]
+    titles = {"", " ", "é", "Ünïcode Director", "x" * 300, "\tAccount Manager\n", *names}
+    for _ in range(300):
+        t = list(draw.choice(names))
+        for _ in range(draw.randint(0, 4)):
+            at = draw.randrange(len(t) + 1)
+            t[at:at + draw.randint(0, 1)] = draw.choice(["", "e", "s", " ", "Q"])
+        titles.add("".join(t))
+    got = {r.title: r.position for r in C.closest_roles(spark.createDataFrame([(t,) for t in titles] + [(None,)], "t string")).collect()}
+    low = [(n.lower(), i) for i, (t, _, _, al) in enumerate(K.ORG_ROLES) for n in (t, *al)]
+    for t in titles:
+        rated = [(difflib.SequenceMatcher(None, t.lower().strip(), n).ratio(), -k) for k, (n, _) in enumerate(low)]
+        best = max(rated)
+        assert got.get(t) == (low[-best[1]][1] if best[0] > K.FUZZY_RATIO else None), t
+
+
+def test_bound_is_never_below_the_ratio(spark):
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdé Z9") for _ in range(draw.randint(0, 14))) for _ in range(60)]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words[:20]] + [(None, "a"), ("a", None)], "a string, b string")
+    want = {(a, b): difflib.SequenceMatcher(None, a, b).ratio() for a in words for b in words[:20]}
+    got = {(r.a, r.b): r.ratio for r in C.similar_pairs(pairs, "a", "b", 0.5).collect()}
+    assert got == {k: v for k, v in want.items() if v > 0.5} and len(got) > 50
+
+
 def test_cosine_edges(spark):
     arr = lambda *v: F.array(*[F.lit(float(x)) for x in v])
     assert one(spark, cosine(arr(1, 0), arr(1, 0))) == 1.0

@@ -74,7 +74,7 @@ def test_baseline(spark):
     df = spark.createDataFrame([(["Account Manager", "Creative Director"], "X", 1, 6)], "r array<string>, company string, sow int, m int")
     from sowmill.functions.classify import map_sow_roles
 
-    plan = P.baseline_to_plan(df.withColumn("f", map_sow_roles(F.col("r"))), "f", "company", "sow", "m").first()
+    plan = P.baseline_to_plan(map_sow_roles(df, "sow", "r", "f"), "f", "company", "sow", "m").first()
     assert [(r.role, r.allocation_percent) for r in plan.roles][:2] == [("Account Manager", 87), ("Vice President", 87)]
     assert plan.summary.startswith("AI DRAFT Staffing Plan for X - 1\nProject Duration: 6 months\nDepartments: Client Services")
 
