@@ -10,6 +10,7 @@ from sowmill.bind.registry import query
 from sowmill.functions import classify as C
 from sowmill.functions import extract as X
 from sowmill.sources.merge import upsert
+from sowmill.sources.work import work_folder
 from sowmill.streaming import jobs as J
 
 STATUS = {"view": "queued", "click": "processing", "purchase": "completed", "error": "error"}
@@ -107,7 +108,35 @@ def first_word(text: str) -> dict:
     return {"first": words[0], "words": len(words)}
 
 
-@query("ud02_user_extractor")
+def forgetful(text: str, reason: str | None) -> dict | str:
+    """Sample user extractor that leaves out the word count of long texts, breaks off in the middle of others, and does better when told."""
+    words = text.split()
+    if len(words) < 5:
+        raise ValueError("text too short")
+    if len(words) % 3 == 0 and reason is None:
+        return {"first": words[0]}
+    if len(words) % 3 == 1 and (reason is None or reason == "not valid JSON" and len(words) % 2):
+        return '{"first": "' + "broken"
+    return {"first": words[0], "words": len(words)}
+
+
+_WORDS = r"len(list_filter(string_split_regex(text, '[\s\x{1c}-\x{1f}\x{85}]+'), lambda x: x <> ''))"
+
+
+@query("ud02_checked_extractor", f"""
+  SELECT doc_id, CASE WHEN n >= 5 AND NOT (n % 3 = 1 AND n % 2 = 1) THEN n END AS words,
+    CASE WHEN n < 5 THEN 'ValueError: text too short' WHEN n % 3 = 1 AND n % 2 = 1 THEN 'not valid JSON' END AS reason,
+    CASE WHEN n < 5 OR (n % 3 = 1 AND n % 2 = 1) THEN 3 WHEN n % 3 = 2 THEN 1 ELSE 2 END AS attempts
+  FROM (SELECT doc_id, {_WORDS} AS n FROM documents)""")
+def ud02_checked(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = X.extract_checked(docs, forgetful, "doc_id", "text", "first string, words bigint", ["first", "words"], work_folder(spark, "answers"))
+    words = F.when(F.col("reason").isNull(), F.get_json_object("record", "$.words").cast("long"))
+    return out.select("doc_id", words.alias("words"), "reason", "attempts")
+
+
+@query("ud02_user_extractor", f"SELECT doc_id, CASE WHEN n >= 5 THEN n END AS words, CASE WHEN n < 5 THEN 'ValueError: text too short' END AS error "
+       f"FROM (SELECT doc_id, {_WORDS} AS n FROM documents)")
 def ud02(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = X.run_extractor(docs, first_word, "doc_id", "text")

@@ -112,6 +112,18 @@ def se04(spark, sf_dir):
     return B.sow_base(spark, sf_dir).select("sow_key", E.expand_synonyms(F.col("theme"), K.SYNONYMS_LONG).alias("expanded"))
 
 
+_SHORT = "MAP {" + ", ".join(f"{q(k)}: [{', '.join(q(x) for x in v)}]" for k, v in K.SYNONYMS_SHORT.items()) + "}"
+_WORDED = "lower(split_part(theme, ' ', 1)) || ' golf ' || lower(segment)"
+
+
+@query("se04_short_synonyms", B.sql(f"""
+  SELECT sow_key, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS expanded FROM (
+    SELECT sow_key, flatten(list_transform(string_split({_WORDED}, ' '), lambda t: list_concat([t], coalesce({_SHORT}[t], [])))) AS l FROM sow_base)"""))
+def se04_short(spark, sf_dir):
+    query_of = F.concat(F.lower(F.split("theme", " ")[0]), F.lit(" golf "), F.lower("segment"))
+    return B.sow_base(spark, sf_dir).select("sow_key", E.expand_synonyms(query_of, K.SYNONYMS_SHORT).alias("expanded"))
+
+
 @query("se05_fuzzy_match", f"WITH {DOC} SELECT doc_id, {all_of(TERMS, fuzzy)} AS every FROM dt WHERE {all_of(TERMS, fuzzy, ' OR ')}")
 def se05(spark, sf_dir):
     found = E.near_search(docs(spark, sf_dir), QUERY, ["text"], mode="any", every="every")
@@ -124,11 +136,31 @@ def se06(spark, sf_dir):
     return E.near_search(docs(spark, sf_dir), QUERY, ["text"], hit=hit).select("doc_id")
 
 
-@query("se06_phonetic_sound")
+def sound_sql(x: str) -> str:
+    """Sound code of a word: its first letter and the next three digits, letters of one digit in a row counting once and h and w not at all."""
+    digits = f"translate(upper({x}), 'ABCDEFGIJKLMNOPQRSTUVXYZ', '012301202245501262301202')"
+    rest = f"regexp_replace(regexp_replace(substr({digits}, 2), '[HW]', '', 'g'), '[^0-6]', '0', 'g')"
+    runs = f"(CASE WHEN left({digits}, 1) IN ('H', 'W') THEN '0' ELSE left({digits}, 1) END) || {rest}"
+    for d in "123456":
+        runs = f"regexp_replace({runs}, '{d}+', '{d}', 'g')"
+    return f"CASE WHEN regexp_matches({x}, '^[A-Za-z]') THEN upper(left({x}, 1)) || rpad(left(replace(substr({runs}, 2), '0', ''), 3), 3, '0') ELSE {x} END"
+
+
+def phonetic_sound(t: str) -> str:
+    return f"len(list_filter(t, lambda x: {edits(t)} <= 2 OR {sound_sql('x')} = {sound_sql(q(t))})) > 0"
+
+
+@query("se06_phonetic_sound", f"WITH {DOC} SELECT doc_id FROM dt WHERE {all_of(TERMS, phonetic_sound)}")
 def se06_sound(spark, sf_dir):
     return E.near_search(docs(spark, sf_dir), QUERY, ["text"], hit=E.phonetic_hit).select("doc_id")
 
 
+@query("se06_sound_codes", f"WITH w AS (SELECT DISTINCT unnest({toks('text')}) AS word FROM documents) SELECT word, {sound_sql('word')} AS code FROM w WHERE regexp_matches(word, '^[a-z]+$')")
+def se06_codes(spark, sf_dir):
+    words = docs(spark, sf_dir).select(F.explode(E.tokens(F.col("text"))).alias("word")).distinct()
+    return words.where(F.col("word").rlike("^[a-z]+$")).select("word", F.soundex("word").alias("code"))
+
+
 @query("se07_term_search", f"""WITH {DOC}, {bm25('dt', 'doc_id', {'t': 1}, TERMS)}
   SELECT term, doc_id, rank FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id) AS rank FROM (
     {' UNION ALL '.join(f"SELECT {q(t)} AS term, doc_id, score FROM sc WHERE {has(t)}" for t in TERMS)}))""")
@@ -222,6 +254,12 @@ def pj21(spark, sf_dir):
     return E.min_score(hits, K.MIN_VECTOR_SCORE).select("query_id", "vec_id")
 
 
+@query("pj21_min_blended_score", f"WITH {KNN} SELECT query_id, vec_id FROM kn WHERE score * 0.02 >= 0.01")
+def pj21_blended(spark, sf_dir):
+    hits = V.knn(vectors(spark, sf_dir), queries_of(spark, sf_dir), 10)
+    return E.min_score(hits.withColumn("score", F.col("score") * 0.02), K.MIN_BLENDED_SCORE).select("query_id", "vec_id")
+
+
 @query("jn11_queries_against_documents", f"""SELECT query_id, label, count(*) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id
     ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, {cos('e.embedding', 'list_reverse(q.embedding)')} AS score
     FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 5 GROUP BY 1, 2""")
@@ -460,8 +498,15 @@ ladder("exact_first")
 ladder("phonetic_first")
 
 
-@query("se20_vectorize")
+@query("se20_vectorize", f"SELECT doc_id, 10000 AS twice, 10000 AS turned, 10000 AS length FROM documents WHERE trim(text) <> '' AND len({toks('text')}) > 0")
 def se20(spark, sf_dir):
-    v = E.vectorize(docs(spark, sf_dir), "text")
-    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    return v.select("doc_id", F.round(length, 6).alias("squared_length"))
+    """Cosines of every text with itself said twice and with its words turned around: its words alone decide."""
+    d = docs(spark, sf_dir)
+    words = E.tokens(F.col("text"))
+    forms = F.array(F.col("text"), F.concat_ws(" ", "text", "text"), F.array_join(F.reverse(words), " "))
+    each = d.where(F.size(words) > 0).select("doc_id", F.posexplode(forms).alias("form", "said"))
+    v = E.vectorize(each, "said").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("form", "vector"))).alias("v"))
+    one = lambda i: F.element_at("v", i)
+    near = lambda x: F.floor(x * 1e4 + 0.5).cast("long")
+    norm = F.aggregate(one(0), F.lit(0.0), lambda s, x: s + x * x)
+    return v.select("doc_id", near(V.cosine(one(0), one(1))).alias("twice"), near(V.cosine(one(0), one(2))).alias("turned"), near(norm).alias("length"))

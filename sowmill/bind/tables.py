@@ -16,6 +16,7 @@ from sowmill.bind.scalars import PLAN_STRINGS, plan_strings
 from sowmill.functions import scalars as S
 from sowmill.sources import files, merge
 from sowmill.sources import tables as X
+from sowmill.sources.work import work_folder
 
 HEAD = ["Personnel", "Title", "Level", "% Time", "# Hours"]
 BLANK_HEAD = ["Name", "Position", "Level", "", ""]
@@ -98,6 +99,113 @@ def make_docx(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+# --- files that Spark writes and reads back ---------------------------------------------------------
+
+
+@query("sc01_read_sow_json", B.sql("""
+  SELECT sow_key % 10 = 0 AS corrupt, CASE WHEN sow_key % 10 > 0 THEN client_name END AS client_name, CASE WHEN sow_key % 10 > 0 THEN project_title END AS project_title,
+    CASE WHEN sow_key % 10 > 0 THEN n_lines END AS n_deliverables FROM sow WHERE o_orderstatus = 'P'"""))
+def sc01_files(spark, sf_dir):
+    """One file per running SOW, each a JSON object; every tenth is broken."""
+    s = B.sow(spark, sf_dir).where("o_orderstatus = 'P'")
+    good = F.to_json(F.struct("file_name", "client_name", "project_title", "deliverables"))
+    path = work_folder(spark, "sow-json")
+    files.write_texts(s.select(F.when(F.col("sow_key") % 10 == 0, F.concat(F.lit("{broken "), good)).otherwise(good).alias("t")), "t", path, per_file=1)
+    read = files.read_sow_json(spark, path, glob="*.txt").select(F.lit(False).alias("corrupt"), "client_name", "project_title", F.size("deliverables").alias("n_deliverables"))
+    none = F.lit(None).cast("string")
+    bad = files.read_sow_json(spark, path, corrupt=True, glob="*.txt").select(F.lit(True).alias("corrupt"), none.alias("client_name"), none.alias("project_title"), F.lit(None).cast("int").alias("n_deliverables"))
+    return read.unionByName(bad)
+
+
+@query("sc02_read_text_files", "SELECT md5(text || chr(10)) AS digest, length(text) + 1 AS chars FROM documents")
+def sc02_files(spark, sf_dir):
+    """One text file per document."""
+    path = work_folder(spark, "texts")
+    files.write_texts(B.table(spark, sf_dir, "documents").select("text"), "text", path, per_file=1)
+    return files.read_texts(spark, path).select(F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").alias("chars"))
+
+
+@query("sc03_list_files", "SELECT 'txt' AS extension, count(*) AS files, sum(octet_length(encode(text)) + 1) AS bytes FROM documents")
+def sc03_files(spark, sf_dir):
+    path = work_folder(spark, "texts")
+    files.write_texts(B.table(spark, sf_dir, "documents").select("text"), "text", path, per_file=1)
+    found = files.list_documents(spark, path, ["txt"])
+    return found.groupBy(F.element_at(F.split("file", r"\."), -1).alias("extension")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+@query("sc06_read_org_chart", """
+  SELECT key, arg_min(t, o) AS chart_title, arg_min(l, o) AS chart_level FROM (
+    SELECT lower(unnest([n, p_type])) AS key, n AS t, CAST(p_size AS INTEGER) AS l, p_partkey * 2 + unnest([0, 1]) AS o
+    FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'Lead ' || p_type ELSE p_type END AS n FROM part)) GROUP BY key""")
+def sc06(spark, sf_dir):
+    """A chart of titles in one small file, found by fragments of its header."""
+    part = B.table(spark, sf_dir, "part").orderBy("p_partkey")
+    path = work_folder(spark, "chart")
+    normal = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Lead "), F.col("p_type")))
+    (part.select(F.col("p_type").alias("Role title"), F.col("p_size").alias("Level (1-50)"), normal.alias("Normalized name"))
+     .coalesce(1).write.option("header", True).csv(path))
+    return files.read_org_chart(spark, path)
+
+
+@query("sc10_write_tables", B.sql("SELECT file, 1 AS table_index, array_to_string(cells, '/') AS cells FROM mx WHERE sow_key % 100 = 1", MATRIX_SQL))
+def sc10(spark, sf_dir):
+    """Tables of every hundredth customer order as CSV folders, read back with what their names say."""
+    path = work_folder(spark, "csv-tables")
+    files.write_tables(matrix(spark, sf_dir).where("cast(file AS bigint) % 100 = 1"), path)
+    back = spark.read.schema("c0 string, c1 string, c2 string, c3 string, c4 string, file string, table_index int").csv(path)
+    value = [F.coalesce(f"c{i}", F.lit("")) for i in range(5)]
+    return back.select("file", "table_index", F.concat_ws("/", *value).alias("cells"))
+
+
+@query("sc11_write_json", "SELECT s_suppkey, s_name, s_acctbal, n_name AS nation, 1 AS objects FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def sc11(spark, sf_dir):
+    """One JSON file per supplier; every file has one object."""
+    s = B.table(spark, sf_dir, "supplier").join(B.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    path = work_folder(spark, "json")
+    files.write_json(s.select("s_suppkey", "s_name", "s_acctbal", F.struct(F.col("n_name").alias("name")).alias("nation")), path, per_file=1)
+    kind = s.schema["s_acctbal"].dataType.simpleString()
+    back = spark.read.schema(f"s_suppkey bigint, s_name string, s_acctbal {kind}, nation struct<name string>, _corrupt_record string").json(path)
+    rows = back.withColumn("_file", F.col("_metadata.file_path"))
+    each = rows.groupBy("_file").agg(F.count(F.lit(1)).cast("int").alias("objects"))
+    return rows.where("_corrupt_record IS NULL").join(each, "_file").select("s_suppkey", "s_name", "s_acctbal", F.col("nation.name").alias("nation"), "objects")
+
+
+@query("sc16_combine", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
+def sc16(spark, sf_dir):
+    """Part files and an earlier combined file in one folder; the combined file is left out."""
+    c = B.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    path = work_folder(spark, "parts")
+    files.write_json(c.repartition(7, "c_custkey"), path, per_file=1000)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema)
+    return files.combine(spark, path, schema, skip="_combined", multi_line=False).drop("source_file")
+
+
+@query("sc08_markdown_lines", B.sql("""
+  SELECT file, CAST(row_index + CASE WHEN row_index > 0 THEN 1 ELSE 0 END AS INTEGER) AS line_no, array_to_string(cells, ' | ') AS line FROM mx
+  UNION ALL SELECT DISTINCT file, 1, '--- | --- | --- | --- | ---' FROM mx""", MATRIX_SQL))
+def sc08_lines(spark, sf_dir):
+    return X.markdown_lines(matrix(spark, sf_dir)).select("file", "line_no", "line")
+
+
+@query("sc09_lines_to_rows", B.sql("SELECT file, row_index, array_to_string(cells, '/') AS cells FROM mx", MATRIX_SQL))
+def sc09_lines(spark, sf_dir):
+    rows = X.lines_to_rows(X.markdown_lines(matrix(spark, sf_dir)))
+    return rows.select("file", "row_index", F.array_join("cells", "/").alias("cells"))
+
+
+@query("tx29_layout_lines", """
+  WITH k AS (SELECT conv_id AS file, turn // 3 AS page, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+      dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 3) AS p FROM conversations WHERE text <> '')
+  SELECT file, n + p - 1 AS position, text AS line FROM k
+  UNION ALL SELECT file, min(n) + p - 2, '' FROM k WHERE p > 1 GROUP BY file, p""")
+def tx29_lines(spark, sf_dir):
+    from sowmill.functions.text import layout_lines
+
+    rows = B.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("file"), F.floor(F.col("turn") / 3).alias("page"), F.col("turn").alias("line_no"), F.col("text").alias("content"))
+    return layout_lines(rows)
+
+
 @query("sc04_docx_text", r"""
   SELECT CAST(doc_id AS VARCHAR) AS file, md5(trim(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'),
     '>', '&gt;'), '\s+', ' ', 'g'))) AS digest FROM documents""")

@@ -205,19 +205,51 @@ def tx15(spark, sf_dir):
                                             X.best_staffing_window(t).alias("best"))
 
 
-@query("tx16_staffing_sections")
+_STOPPED = r"(?is)^(.*?)(?:\n\n|\n[A-Z][a-z]+\s+[A-Z]|\z)"
+#: The texts hold one heading, which two of the patterns find: at its first and at its second word.
+_HEADED = (f"hd AS (SELECT sow_key, text, strpos(text, 'Project Staffing Plan') AS pos, length(regexp_extract(substr(text, strpos(text, 'Project Staffing Plan')), {q(_STOPPED)}, 1)) AS n "
+           "FROM sow_text)")
+
+
+_WIDE_HIT = any_sql("lower(lines[i])", K.WIDE_WINDOW_WORDS)
+
+
+@query("tx15_wide_window", B.sql(f"""
+  SELECT sow_key, len(w) AS windows, array_to_string(w, chr(10) || '--' || chr(10)) AS every
+  FROM (SELECT sow_key, list_transform(list_filter(range(1, len(lines) + 1), lambda i: {_WIDE_HIT}), lambda i:
+      array_to_string(lines[greatest(i - 5, 1):i + 19], chr(10))) AS w
+    FROM (SELECT sow_key, string_split(text, chr(10)) AS lines FROM sow_text))"""))
+def tx15_wide(spark, sf_dir):
+    windows = X.staffing_windows(F.col("text"), K.WIDE_WINDOW_WORDS, 5, 20)
+    return (B.sow_text(spark, sf_dir).select("sow_key", windows.alias("w"))
+            .select("sow_key", F.size("w").alias("windows"), F.array_join("w", "\n--\n").alias("every")))
+
+
+@query("tx16_staffing_sections", B.sql("SELECT sow_key, 2 AS sections, text || chr(10) || chr(10) || text AS raw FROM hd", _HEADED))
 def tx16(spark, sf_dir):
     s = X.staffing_sections(F.col("text"))
     return (B.sow_text(spark, sf_dir).select("sow_key", s.alias("s"))
             .select("sow_key", F.size("s").alias("sections"), F.array_join("s", "\n\n").alias("raw")))
 
 
-@query("tx17_staffing_rows")
+@query("tx16_staffing_context", B.sql("""
+  SELECT sow_key, 2 AS sections, substr(text, greatest(pos - 50, 1), pos + n + 200 - greatest(pos - 50, 1)) || chr(10) || chr(10) ||
+    substr(text, greatest(pos - 42, 1), pos + n + 200 - greatest(pos - 42, 1)) AS raw FROM hd""", _HEADED))
+def tx16_context(spark, sf_dir):
+    s = X.staffing_sections(F.col("text"), before=50, after=200, loose_after=500)
+    return (B.sow_text(spark, sf_dir).select("sow_key", s.alias("s"))
+            .select("sow_key", F.size("s").alias("sections"), F.array_join("s", "\n\n").alias("raw")))
+
+
+@query("tx17_staffing_rows", B.sql("""
+  SELECT sow_key, 'Person ' || chr(CAST(65 + (sow_key + i) % 26 AS INTEGER)) || 'x' AS name, 'PM' AS role, staffing[i].title AS primary_role,
+    CAST(staffing[i].pct AS BIGINT) || '%' AS percentage
+  FROM (SELECT sow_key, staffing, unnest(generate_series(1, least(n_lines, 26))) AS i FROM sow)"""))
 def tx17(spark, sf_dir):
     key = F.col("sow_key")
     row = lambda s, i: F.concat(F.lit("Person "), F.char(F.lit(65) + (key + i + 1) % 26), F.lit("x PM "), s["title"],
-                                F.lit(" "), s["pct"].cast("long").cast("string"), F.lit("% Austin, TX"))
-    text = F.concat(F.lit("Project Staffing Plan Name Role Primary Role % Primary Location\n"),
+                                F.lit(" "), s["pct"].cast("long").cast("string"), F.lit("% Austin, TX 78701"))
+    text = F.concat(F.lit("Project Staffing Plan Name Role Primary Role % Primary Location (2024)\n"),
                     F.array_join(F.transform("staffing", row), "\n"))
     return (B.sow(spark, sf_dir).select("sow_key", F.explode(X.staffing_rows(text)).alias("r"))
             .select("sow_key", "r.name", "r.role", "r.primary_role", "r.percentage"))
@@ -252,6 +284,18 @@ def tx19(spark, sf_dir):
 
 
 @query("tx20_summary", B.sql("""
+  SELECT sow_key, '**Term:** Start Date: ' || strftime(start_date, '%Y-%m-%d') || chr(10) || chr(10) || '**Description:** Scope of Work: ' ||
+    theme || ' ' || o_orderpriority || ' Deliverables:' || array_to_string(list_transform(list_filter(nxt, lambda x: length(x) > 10), lambda x: ' ' || x), '') ||
+    chr(10) || chr(10) || '**Key Deliverables:**' || array_to_string(list_transform(nxt, lambda x: chr(10) || chr(10) || '• ' || x), '') AS summary
+  FROM (SELECT *, list_concat(list_transform(deliverables, lambda d: '- ' || d),
+      [CASE WHEN sow_key % 2 = 0 THEN 'Events:' ELSE 'Activations:' END, 'Project Staffing Plan'],
+      list_transform(staffing, lambda s: s.title || ' - ' || CAST(s.hours AS BIGINT) || ' hours'),
+      ['Budget: $' || CAST(round(o_totalprice) AS BIGINT)]) AS nxt FROM sow)"""))
+def tx20(spark, sf_dir):
+    return B.sow_text(spark, sf_dir).select("sow_key", X.extractive_summary(F.col("text")).alias("summary"))
+
+
+@query("tx20_summary_limited", B.sql("""
   SELECT sow_key, '**Term:** Start Date: ' || strftime(start_date, '%Y-%m-%d') || chr(10) || chr(10) || '**Description:** Scope of Work: ' ||
     theme || ' ' || o_orderpriority || ' Deliverables:' ||
     CASE WHEN n_lines = 0 THEN CASE WHEN sow_key % 2 = 0 THEN '' ELSE ' Activations:' END || ' Project Staffing Plan' ||
@@ -263,16 +307,17 @@ def tx19(spark, sf_dir):
       [CASE WHEN sow_key % 2 = 0 THEN 'Events:' ELSE 'Activations:' END, 'Project Staffing Plan'],
       list_transform(staffing, lambda s: s.title || ' - ' || CAST(s.hours AS BIGINT) || ' hours'),
       ['Budget: $' || CAST(round(o_totalprice) AS BIGINT)]) AS nxt FROM sow)"""))
-def tx20(spark, sf_dir):
-    return B.sow_text(spark, sf_dir).select("sow_key", X.extractive_summary(F.col("text")).alias("summary"))
+def tx20_limited(spark, sf_dir):
+    return B.sow_text(spark, sf_dir).select("sow_key", X.extractive_summary(F.col("text"), project_lines=2, description_lines=4, description_chars=300, item_lines=9, items=5, sentences=3, opening_chars=200).alias("summary"))
 
 
-_PLAIN = [w for w in X.wordings() if not set("\\[(") & set(w[2])]
+_ENTRIES = [(f, k, p, not set("\\[(") & set(p)) for f, k, p in X.wordings()]
 
 
 @query("tx30_wording_hits", B.sql(f"""
   SELECT field, kind, word, count(*) AS documents FROM rich JOIN (VALUES
-    {', '.join(f"({q(f)}, {q(k)}, {q(p)})" for f, k, p in _PLAIN)}) AS w(field, kind, word) ON contains(lower(text), word)
+    {', '.join(f"({q(f)}, {q(k)}, {q(p)}, {plain})" for f, k, p, plain in _ENTRIES)}) AS w(field, kind, word, plain)
+    ON CASE WHEN plain THEN contains(lower(text), word) ELSE regexp_matches(text, word, 'i') END
   GROUP BY field, kind, word""", RICH))
 def tx30(spark, sf_dir):
     return X.wording_hits(rich(spark, sf_dir), "text")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sowmill import constants as K
@@ -203,11 +203,19 @@ def wordings() -> list[tuple[str, str, str]]:
 
 
 def wording_hits(df: DataFrame, text: str) -> DataFrame:
-    """(field, kind, word, documents): how many texts contain each plain word of the wording lists."""
+    """(field, kind, word, documents): how many texts contain each entry of the wording lists, plain words and patterns alike, in any case."""
+    entry = lambda f, k, p: F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.lit(p).alias("word"))
     plain = [w for w in wordings() if not set("\\[(") & set(w[2])]
-    entries = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.lit(p).alias("word")) for f, k, p in plain])
-    hit = F.explode(let(F.lower(F.col(text)), lambda low: F.filter(entries, lambda e: low.contains(e["word"]))))
-    return df.select(hit.alias("e")).groupBy("e.field", "e.kind", "e.word").agg(F.count(F.lit(1)).alias("documents"))
+    # A pattern that stands in several fields is looked for once.
+    patterns: dict[str, list] = {}
+    for f, k, p in wordings():
+        if (f, k, p) not in plain:
+            patterns.setdefault(p, []).append(entry(f, k, p))
+    words = F.array(*[entry(*w) for w in plain])
+    held = let(F.lower(F.col(text)), lambda low: F.filter(words, lambda e: low.contains(e["word"])))
+    none = F.slice(words, 1, 0)
+    matched = [F.when(F.col(text).rlike(any_case(p)), F.array(*entries)).otherwise(none) for p, entries in patterns.items()]
+    return df.select(F.explode(F.concat(held, *matched)).alias("e")).groupBy("e.field", "e.kind", "e.word").agg(F.count(F.lit(1)).alias("documents"))
 
 
 # --- term profile ------------------------------------------------------------------------------
@@ -261,25 +269,36 @@ def best_staffing_window(text: Column, longest_block: int | None = None) -> Colu
     return F.when(at > 0, F.substring(text, at, F.length(text) if longest_block is None else F.lit(longest_block))).otherwise(F.array_max(ranked)["w"])
 
 
-def _spans(text: Column, pattern: str, before: int, after: int) -> Column:
-    """Every match of a pattern with its context."""
-    state = "struct<pos:int,out:array<string>>"
+def _spans(text: Column, pattern: str, before: int | None, after: int | None) -> Column:
+    """Every match of a pattern with its context: so many characters, or all from the match before and up to the next one."""
+    state = "struct<pos:int,out:array<struct<first:int,end:int>>>"
 
     def step(acc: Column, hit: Column) -> Column:
         at = F.call_function("locate", hit, text, acc["pos"])
-        first = F.greatest(at - before, F.lit(1))
         end = at + F.length(hit)
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(
-            F.substring(text, first, end + after - first))).alias("out"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(at.alias("first"), end.alias("end")))).alias("out"))
 
-    start = F.struct(F.lit(1).alias("pos"), F.array().cast("array<string>").alias("out")).cast(state)
-    return F.aggregate(all_of(text, pattern, 0), start, step)["out"]
+    start = F.struct(F.lit(1).alias("pos"), F.array().cast("array<struct<first:int,end:int>>").alias("out")).cast(state)
 
+    def context(hits: Column) -> Column:
+        def around(h: Column, i: Column) -> Column:
+            first = F.greatest(h["first"] - before, F.lit(1)) if before is not None else F.coalesce(F.get(hits, i - 1)["end"], F.lit(1))
+            end = h["end"] + after if after is not None else F.coalesce(F.get(hits, i + 1)["first"], F.length(text) + 1)
+            return F.substring(text, first, end - first)
 
-def staffing_sections(text: Column) -> Column:
-    """Staffing sections with context by their opening words, else any text around a staffing word."""
-    named = F.flatten(F.array(*[_spans(text, rf"(?is){p}.*?{STOP}", 50, 1500) for p in K.SECTION_STARTS]))
-    loose = _spans(text, rf"(?is)(?:staffing|team|personnel|resource|allocation).*?{STOP}", 50, 500)
+        return F.transform(hits, around)
+
+    return let(F.aggregate(all_of(text, pattern, 0), start, step)["out"], context)
+
+
+def staffing_sections(text: Column, before: int | None = None, after: int | None = None, loose_after: int | None = None) -> Column:
+    """Staffing sections with context by their opening words, else any text around a staffing word.
+
+    The context reaches from the section before to the next one, or ``before``
+    and ``after`` characters (``loose_after`` around a mere word).
+    """
+    named = F.flatten(F.array(*[_spans(text, rf"(?is){p}.*?{STOP}", before, after) for p in K.SECTION_STARTS]))
+    loose = _spans(text, rf"(?is)(?:staffing|team|personnel|resource|allocation).*?{STOP}", before, loose_after)
     return F.when(F.size(named) > 0, named).otherwise(F.filter(loose, lambda s: F.length(s) > 100))
 
 
@@ -341,34 +360,47 @@ def role_values(text: Column) -> Column:
 # --- summary ---------------------------------------------------------------------------------------
 
 
-def extractive_summary(text: Column) -> Column:
-    """Project, term, description and up to five deliverables; else the first sentences."""
-    return let(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda lines: _summary(text, lines))
+def extractive_summary(text: Column, project_lines: int | None = None, description_lines: int | None = None, description_chars: int | None = None,
+                       item_lines: int | None = None, items: int | None = None, sentences: int | None = None, opening_chars: int | None = None) -> Column:
+    """Project, term, description and deliverables; else the first sentences.
+
+    All lines after a label count, all items are listed and nothing is cut,
+    unless a limit is given: lines after the project and the description,
+    lines searched for items, items listed, sentences without any label, and
+    characters of the description and of these sentences.
+    """
+    limits = (project_lines, description_lines, description_chars, item_lines, items, sentences, opening_chars)
+    return let(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda lines: _summary(text, lines, *limits))
+
+
+def _shortened(text: Column, most: int | None) -> Column:
+    return text if most is None else F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
-def _summary(text: Column, lines: Column) -> Column:
+def _summary(text: Column, lines: Column, project_lines: int | None, description_lines: int | None, description_chars: int | None, item_lines: int | None,
+             most_items: int | None, sentences: int | None, opening_chars: int | None) -> Column:
     def first(words: list[str]) -> Column:
         return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(any_word(x, words), i)), lambda i: i.isNotNull()))
 
-    def follow(i: Column, n: int, longer: int) -> Column:
-        nxt = F.filter(F.slice(lines, i + 2, F.lit(n)), lambda x: F.length(x) > longer)
-        return F.array_join(F.concat(F.array(F.get(lines, i)), nxt), " ")
+    def after(i: Column, n: int | None) -> Column:
+        return F.slice(lines, i + 2, F.size(lines) if n is None else F.lit(n))
+
+    def follow(i: Column, n: int | None, longer: int) -> Column:
+        return F.array_join(F.concat(F.array(F.get(lines, i)), F.filter(after(i, n), lambda x: F.length(x) > longer)), " ")
 
     p, t = first(["project:", "title of project:"]), first(["term of project:", "start date:"])
     d, v = first(["description:", "scope of work:"]), first(["deliverables:"])
-    description = follow(d, 4, 10)
-    description = F.when(F.length(description) > 300, F.concat(F.substring(description, 1, 300), F.lit("..."))).otherwise(description)
+    description = _shortened(follow(d, description_lines, 10), description_chars)
     skip = lambda x: x.startswith("project") | x.startswith("term") | x.startswith("fee") | x.startswith("agreement")
-    items = F.slice(F.filter(F.slice(lines, v + 2, F.lit(9)), lambda x: (x != "") & ~skip(x)), 1, 5)
+    items = _first_few(F.filter(after(v, item_lines), lambda x: (x != "") & ~skip(x)), most_items)
     listed = F.concat(F.lit("**Key Deliverables:**\n\n"),
                       F.array_join(F.transform(items, lambda x: F.concat(F.lit("• "), x)), "\n\n"))
     parts = F.concat_ws("\n\n",
-                        F.concat(F.lit("**Project:** "), F.when(p.isNotNull(), follow(p, 2, 0))),
+                        F.concat(F.lit("**Project:** "), F.when(p.isNotNull(), follow(p, project_lines, 0))),
                         F.concat(F.lit("**Term:** "), F.when(t.isNotNull(), F.get(lines, t))),
                         F.concat(F.lit("**Description:** "), F.when(d.isNotNull(), description)),
                         F.when(v.isNotNull() & (F.size(items) > 0), listed))
-    opening = F.concat(F.array_join(F.slice(F.split(text, r"\."), 1, 3), ". "), F.lit("."))
-    opening = F.when(F.length(opening) > 200, F.concat(F.substring(opening, 1, 200), F.lit("..."))).otherwise(opening)
+    opening = _shortened(F.concat(F.array_join(_first_few(F.split(text, r"\."), sentences), ". "), F.lit(".")), opening_chars)
     return F.when(parts != "", parts).otherwise(F.concat(F.lit("**Summary:** "), opening))
 
 
@@ -398,3 +430,27 @@ def layout_text(lines: DataFrame) -> DataFrame:
     pages = (lines.where(F.col("content") != "").groupBy("file", "page")
              .agg(joined("content", "line_no", "\n").alias("page_text")))
     return pages.groupBy("file").agg(joined("page_text", "page", "\n\n").alias("text"))
+
+
+def layout_lines(lines: DataFrame) -> DataFrame:
+    """(file, position, line) of the text that ``layout_text`` makes, in lines: pages are parted by a blank line.
+
+    Nothing is brought together, so a file may be larger than a task's memory:
+    its lines are numbered by a sort that spills.
+    """
+    order = Window.partitionBy("file").orderBy("page", "line_no", "content")
+    kept = lines.where(F.col("content") != "").select("file", "page", "line_no", "content")
+    numbered = kept.select("file", "content", F.row_number().over(order).alias("_n"), (F.lag("page").over(order) != F.col("page")).alias("_new"),
+                           F.dense_rank().over(Window.partitionBy("file").orderBy("page")).alias("_page"))
+    # A page after the first has its blank line in front of it.
+    rows = F.when(F.col("_new"), F.array(F.struct(F.lit(0).alias("i"), F.lit("").alias("line")), F.struct(F.lit(1).alias("i"), F.col("content").alias("line")))) \
+        .otherwise(F.array(F.struct(F.lit(1).alias("i"), F.col("content").alias("line"))))
+    return numbered.select("file", F.col("_n").alias("n"), F.col("_page").alias("p"), F.explode(rows).alias("r")) \
+        .select("file", (F.col("n") + F.col("p") - 2 + F.col("r.i")).alias("position"), "r.line")
+
+
+def write_layout(lines: DataFrame, path: str) -> None:
+    """The text of every file, as text parts in its own folder ``file=...``, whose names are in the order of the text."""
+    rows = layout_lines(lines)
+    dealt = rows.repartitionByRange("file", "position").sortWithinPartitions("file", "position")
+    dealt.select("file", "line").write.partitionBy("file").text(path)

@@ -168,22 +168,42 @@ def item_frequency(items: DataFrame, col: str) -> DataFrame:
     return items.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), col)
 
 
-def duration_stats(res: DataFrame, col: str = "duration_weeks") -> DataFrame:
-    """Min, max, mean and upper-middle median of the positive values.
+def upper_middle(counts: DataFrame, value: str, weight: str, buckets: int = 4096):
+    """The upper middle of ``value``, each standing ``weight`` times; None for no rows.
 
-    The rows shrink to one per distinct value first; only those counts, at most
-    one per week of the calendar, are put in order.
+    Equal steps between the least and the greatest value are counted, and the
+    step that holds the middle is cut again until it holds one value. Every
+    pass adds up at most ``buckets`` sums, whatever the number of values, so no
+    task and not the driver gets the list of them.
     """
-    counts = res.where(F.col(col) > 0).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("n"), F.min("v").alias("min_weeks"), F.max("v").alias("max_weeks"),
-                       F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum("n")).alias("avg_weeks"),
-                       F.array_sort(F.collect_list(F.struct("v", "n"))).alias("vs"))
-    seek = F.aggregate("vs", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("hit")),
-                       lambda a, x: F.struct(
-                           (a["seen"] + x["n"]).alias("seen"),
-                           F.when(a["hit"].isNull() & (a["seen"] + x["n"] > F.floor(F.col("n") / 2)), x["v"].cast("long"))
-                           .otherwise(a["hit"]).alias("hit")))
-    return total.select("min_weeks", "max_weeks", "avg_weeks", seek["hit"].alias("median_weeks"))
+    v, w = F.col(value).cast("double"), F.col(weight)
+    total, low, high = counts.agg(F.sum(w), F.min(v), F.max(v)).first()
+    if not total:
+        return None
+    place, left = total // 2, counts
+    while low < high:
+        step = (high - low) / buckets
+        bucket = F.least(F.floor((v - F.lit(low)) / F.lit(step)), F.lit(buckets - 1))
+        sums = left.groupBy(bucket.alias("b")).agg(F.sum(w).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("b").collect()
+        for s in sums:
+            if place < s.n:
+                break
+            place -= s.n
+        left, low, high = left.where((v >= s.low) & (v <= s.high)), s.low, s.high
+    return low
+
+
+def duration_stats(res: DataFrame, col: str = "duration_weeks") -> DataFrame:
+    """Min, max, mean and upper-middle median of the positive values, over one row per distinct value."""
+    counts = res.where(F.col(col) > 0).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        middle = upper_middle(counts, "v", "n")
+        row = counts.agg(F.min("v").alias("min_weeks"), F.max("v").alias("max_weeks"), F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum("n")).alias("avg_weeks"))
+        values, schema = row.collect(), row.schema
+    finally:
+        counts.unpersist()
+    kind = schema["max_weeks"].dataType
+    return res.sparkSession.createDataFrame(values, schema).withColumn("median_weeks", F.lit(middle).cast("long" if kind.typeName() == "integer" else kind))
 
 
 def run_summary(res: DataFrame, floor: float = 0.5) -> DataFrame:

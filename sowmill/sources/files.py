@@ -25,9 +25,9 @@ def parse_sow_json(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, rec.alias("_r")).select(*keep, "_r.*")
 
 
-def read_sow_json(spark: SparkSession, path: str, corrupt: bool = False) -> DataFrame:
-    """Records of all ``*.json`` files of a folder, one object per file; unreadable ones are skipped."""
-    files = (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+def read_sow_json(spark: SparkSession, path: str, corrupt: bool = False, glob: str = "*.json") -> DataFrame:
+    """Records of all ``glob`` files of a folder, one object per file; unreadable ones are skipped."""
+    files = (spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
              .withColumn("_file", F.col("_metadata.file_name")))
     parsed = parse_sow_json(files, "value", ["_file"])
     parsed = parsed.withColumn("file_name", F.coalesce("file_name", "_file"))
@@ -123,17 +123,22 @@ def write_tables(rows: DataFrame, path: str, mode: str = "error") -> None:
      .write.mode(mode).partitionBy("file", "table_index").csv(path, emptyValue=""))
 
 
-def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "error", per_file: int = 0) -> None:
+    """One JSON object per row, in lines of part files, or in files of ``per_file`` objects each: 1 writes a file per document."""
+    df.write.mode(mode).option("maxRecordsPerFile", per_file).json(path)
 
 
-def write_texts(df: DataFrame, text: str, path: str, mode: str = "error") -> None:
-    df.select(F.col(text).alias("value")).write.mode(mode).text(path)
+def write_texts(df: DataFrame, text: str, path: str, mode: str = "error", per_file: int = 0) -> None:
+    """One text per row, each followed by a line feed, in part files or in files of ``per_file`` texts each."""
+    df.select(F.col(text).alias("value")).write.mode(mode).option("maxRecordsPerFile", per_file).text(path)
 
 
-def combine(spark: SparkSession, path: str, schema: str, glob: str = "*.json", skip: str = "_combined") -> DataFrame:
-    """All output files of a folder in one table with their file name; earlier combined files are left out."""
-    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", glob).json(path)
+def combine(spark: SparkSession, path: str, schema: str, glob: str = "*.json", skip: str = "_combined", multi_line: bool = True) -> DataFrame:
+    """All output files of a folder in one table with their file name; earlier combined files are left out.
+
+    A file is one object, or one object per line where ``multi_line`` is off.
+    """
+    df = spark.read.schema(schema).option("multiLine", multi_line).option("pathGlobFilter", glob).json(path)
     return (df.withColumn("source_file", F.col("_metadata.file_name"))
             .where(~F.col("source_file").startswith(skip)))
 

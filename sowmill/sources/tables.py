@@ -7,7 +7,7 @@ rows of a table, which decide about its header, are ever brought together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sowmill import constants as K
@@ -59,6 +59,25 @@ def matrix_to_markdown(rows: DataFrame, drop_empty: bool = False) -> DataFrame:
                                           lambda x: x["line"]), "\n").alias("markdown")))
 
 
+def lines_to_rows(lines: DataFrame) -> DataFrame:
+    """Table rows (file, page_number, table_index, row_index, cells) from pipe-table lines (..., line_no, line); the long form of ``markdown_to_rows``.
+
+    Blank lines do not count, the second line is the mark, rows are padded or
+    cut to the header width, and a table of fewer than three lines has no rows.
+    Lines stay rows: a table is numbered by a sort that spills, and nothing of
+    it but its header is brought to its other lines.
+    """
+    kept = lines.withColumn("line", F.trim("line")).where("line <> ''")
+    number = F.row_number().over(Window.partitionBy(*TABLE).orderBy("line_no")) - 1
+    numbered = kept.select(*TABLE, "line", number.alias("_n"))
+    cells = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))
+    long_enough = numbered.where("_n = 2").select(*TABLE)
+    header = numbered.where("_n = 0").join(long_enough, TABLE).select(*TABLE, F.size(F.split("line", r"\|")).alias("_width"))
+    rows = numbered.where("_n <> 1").join(header, TABLE)
+    fit = F.slice(F.concat(cells, F.array_repeat(F.lit(""), F.col("_width"))), F.lit(1), F.col("_width"))
+    return rows.select(*TABLE, F.greatest(F.col("_n") - 1, F.lit(0)).alias("row_index"), F.when(F.col("_n") == 0, cells).otherwise(fit).alias("cells"))
+
+
 def markdown_to_rows(markdown: Column) -> Column:
     """Array of cell arrays, header first; rows are padded or cut to the header width."""
     cells = lambda line: F.transform(F.split(line, r"\|"), lambda x: F.trim(x))

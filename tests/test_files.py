@@ -73,3 +73,76 @@ def test_extractor_errors_become_rows(spark):
     assert rows == {1: ('{"title": "good"}', None), 2: (None, "ValueError: no")}
     good, bad = check_json(out, "record", "title string", ["title"])
     assert good.first().parsed.title == "good" and bad.first().reason == "no record"
+
+
+def test_lines_to_rows_is_the_long_form(spark):
+    from sowmill.sources import tables as X
+
+    texts = {"a": "Name | Hours\n--- | ---\nX | 1\n\n  \nY | 2 | lost\nZ", "b": "one line", "c": "h\n---", "d": "A | B\n--- | ---\n | "}
+    lines = [(f, 1, 1, i, line) for f, t in texts.items() for i, line in enumerate(t.split("\n"))]
+    got = X.lines_to_rows(spark.createDataFrame(lines, "file string, page_number int, table_index int, line_no int, line string").repartition(3))
+    md = spark.createDataFrame(sorted(texts.items()), "file string, markdown string")
+    want = md.select("file", F.posexplode(X.markdown_to_rows(F.col("markdown"))).alias("row_index", "cells"))
+    assert sorted((r.file, r.row_index, r.cells) for r in got.collect()) == sorted((r.file, r.row_index, r.cells) for r in want.collect())
+
+
+def test_layout_lines_are_the_lines_of_the_text(spark, tmp_path):
+    from sowmill.functions import text as T
+
+    rows = [("f", 2, 1, "second page"), ("f", 1, 2, "b"), ("f", 1, 1, "a"), ("f", 1, 3, ""), ("f", 5, 1, "last"), ("g", 1, 1, "alone"), ("h", 1, 1, "")]
+    lines = spark.createDataFrame(rows, "file string, page int, line_no int, content string").repartition(3)
+    want = {r.file: r.text.split("\n") for r in T.layout_text(lines).collect()}
+    got = sorted((r.file, r.position, r.line) for r in T.layout_lines(lines).collect())
+    assert {f: [line for g, _, line in got if g == f] for f in want} == want and [p for f, p, _ in got if f == "f"] == list(range(1, len(want["f"]) + 1))
+    T.write_layout(lines, str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out" / "file=f").glob("*.txt"))
+    assert "".join(p.read_text() for p in parts).rstrip("\n").split("\n") == want["f"]
+
+
+def test_one_file_per_document(spark, tmp_path):
+    S.write_json(spark.range(5).selectExpr("id", "concat('n', id) AS name"), str(tmp_path / "j"), per_file=1)
+    files = [f for f in (tmp_path / "j").glob("*.json") if f.stat().st_size]
+    assert len(files) == 5 and sorted(json.loads(f.read_text())["id"] for f in files) == list(range(5))
+
+
+def test_rejected_answers_are_asked_again_with_the_reason(spark, tmp_path):
+    from sowmill.functions.extract import extract_checked
+
+    seen = str(tmp_path / "asked")
+
+    def extractor(text, reason):
+        with open(seen, "a") as log:
+            log.write(f"{text}:{reason}\n")
+        if text == "good" or reason is not None and reason.startswith("missing") and text == "learns":
+            return {"title": text}
+        if text == "learns":
+            return {"other": 1}
+        if text == "fails":
+            raise ValueError("no")
+        return "{broken"
+
+    df = spark.createDataFrame([(1, "good"), (2, "learns"), (3, "fails"), (4, "never")], "id int, text string").coalesce(1)
+    out = extract_checked(df, extractor, "id", "text", "title string", ["title"], str(tmp_path / "work"))
+    assert {(r.id, r.reason, r.attempts) for r in out.collect()} == {(1, None, 1), (2, None, 2), (3, "ValueError: no", 3), (4, "not valid JSON", 3)}
+    assert out.count() == 4
+    asked = open(seen).read().split()
+    assert sorted(a.split(":")[0] for a in asked if a) .count("good") == 1 and len([a for a in asked if a.startswith("learns")]) == 2
+    empty = extract_checked(df.limit(0), extractor, "id", "text", "title string", ["title"], str(tmp_path / "none"))
+    assert empty.count() == 0
+
+
+def test_upper_middle_of_many_values(spark):
+    import random
+
+    from sowmill.operators.report import duration_stats, upper_middle
+
+    draw = random.Random(4)
+    for n in (1, 2, 5, 400):
+        values = [draw.choice([draw.random() * 10**draw.randint(-3, 9), draw.randint(1, 5), 7.5]) for _ in range(n)]
+        counts = spark.createDataFrame([(v, 1) for v in values], "v double, n int").groupBy("v").agg(F.sum("n").alias("n"))
+        assert upper_middle(counts, "v", "n", buckets=8) == sorted(values)[n // 2]
+    assert upper_middle(counts.limit(0), "v", "n") is None
+    many = spark.range(1, 300_001).select((F.col("id") * 7).alias("duration_weeks"))
+    row = duration_stats(many).first()
+    assert (row.min_weeks, row.max_weeks, row.median_weeks) == (7, 2_100_000, 150_001 * 7)
+    assert duration_stats(many.limit(0)).first().median_weeks is None
