@@ -184,14 +184,30 @@ def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def groups_of(n: int) -> int:
-    """Groups of a set's finer count vector: a power of two that leaves 12 to 24 shingles a group, ``GROUPS`` at least."""
-    return max(GROUPS, 1 << max(0, (n // 12).bit_length() - 1))
+    """Groups of a set's finer count vector, a power of two: 3 to 6 shingles a group up to 512 groups, 12 to 24 in larger sets.
+
+    Unlike sets share about 1 - 0.56 / sqrt(shingles a group) of their size by
+    the bound. This must be clearly less than similar sets share, or sets that
+    have a shingle in common by chance stay candidates.
+    """
+    fine, coarse = (1 << max(0, (n // k).bit_length() - 1) for k in (3, 12))
+    return max(GROUPS, min(512, fine), coarse)
 
 
 def point_bytes(shingles: np.ndarray) -> bytes:
-    """Item size and finer count vector of a set."""
+    """Item size and finer count vector of a set; two counts a byte where all are small."""
     point = count_vector(shingles, groups_of(len(shingles)))
-    return b"\x01" + point.astype(np.uint8).tobytes() if point.max(initial=0) < 256 else b"\x04" + point.astype("<i4").tobytes()
+    most = point.max(initial=0)
+    if most < 16:
+        return b"\x00" + (point[::2] | point[1::2] << 4).astype(np.uint8).tobytes()
+    return b"\x01" + point.astype(np.uint8).tobytes() if most < 256 else b"\x04" + point.astype("<i4").tobytes()
+
+
+def point_of(data: bytes) -> np.ndarray:
+    if data[0]:
+        return np.frombuffer(data, dtype=np.uint8 if data[0] == 1 else "<i4", offset=1).astype(np.int32)
+    pairs = np.frombuffer(data, dtype=np.uint8, offset=1)
+    return np.stack([pairs & 15, pairs >> 4], axis=1).reshape(-1).astype(np.int32)
 
 
 class Points:
@@ -210,7 +226,7 @@ class Points:
 
     @classmethod
     def read(cls, rows: list[bytes]) -> Points:
-        return cls([np.frombuffer(r, dtype=np.uint8 if r[0] == 1 else "<i4", offset=1).astype(np.int32) for r in rows])
+        return cls([point_of(r) for r in rows])
 
     def part(self, own: np.ndarray) -> Points:
         return Points([self.fine[w][r] for w, r in zip(self.width[own].tolist(), self.row[own].tolist(), strict=True)])
@@ -242,11 +258,11 @@ def in_block_pairs(df: DataFrame, count: Column, member: Column, block: int = BL
 
 
 def sketch_blocks(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: Threshold) -> DataFrame:
-    """Documents in blocks: ids, set sizes and classes of all; ``members``, ``n``, ``heads`` (first shingles in hash order) and ``points`` of distinct classes."""
-    source = keyed(docs, id_col, text_col)
+    """Documents in blocks: ids, set sizes, classes and text hashes of all; ``members``, ``n``, ``heads`` (first shingles in hash order) and ``points`` of distinct classes."""
+    source = docs.select(docs[id_col], docs[text_col], F.xxhash64(docs[text_col]).alias("__hash"))
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(source.schema[id_col].dataType)), T.StructField("sizes", T.ArrayType(T.LongType())),
-        T.StructField("classes", T.ArrayType(T.LongType())), T.StructField("members", T.BinaryType()), T.StructField("n", T.BinaryType()),
+        T.StructField("classes", T.ArrayType(T.LongType())), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("members", T.BinaryType()), T.StructField("n", T.BinaryType()),
         T.StructField("heads", T.BinaryType()), T.StructField("points", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +285,7 @@ def sketch_blocks(docs: DataFrame, id_col: str, text_col: str, shingle: int, thr
             block = np.uint64(xxhash.xxh64_intdigest(heads.tobytes(), seed=(task << 20) + number)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(block)], pa.int64()), pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int64())),
-                 pa.array([classes], pa.list_(pa.int64())), pa.array([members.tobytes()], pa.binary()),
+                 pa.array([classes], pa.list_(pa.int64())), pa.array([batch.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([members.tobytes()], pa.binary()),
                  pa.array([packed(np.array([n for n, _, _ in kept.values()], dtype=np.int64))], pa.binary()), pa.array([packed(heads)], pa.binary()),
                  pa.array([points], pa.binary())], names=schema.names)
 
@@ -474,26 +490,17 @@ def cluster_links(ids: np.ndarray, sets: list[np.ndarray], threshold: Threshold)
     return list(forest_edges(ids, sizes, points, threshold, Forest(), exact))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
-    """Id, ``n_shingles`` and ``component_id`` of every row.
-
-    ``component_id`` is the smallest id that chains of links reach, its own
-    included. A link is a similarity of at least ``percent`` per cent between
-    the sets of distinct word shingles. A text of fewer words than a shingle
-    has one shingle, all its words; a null text, or one without words, has none
-    and links with nothing. A row with a null id has a null component and links
-    nothing. Repeated rows give a row each and share a component. Other columns
-    are ignored; an empty table gives no rows. Sets are told apart by 64-bit
-    hashes.
-    """
+def rooted_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """Every row's id, ``n_shingles``, ``hash`` of its text, ``root`` (a class that stands for its component; null without words or id) and ``lowest`` id there."""
     threshold = Threshold(percent)
     size = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
     level = max(0, math.ceil(math.log2(max(1, size / RANGE_BYTES))))
     blocks = checkpointed(sketch_blocks(docs, id_col, text_col, shingle, threshold))
     totals = head_totals(blocks, level, threshold)
     edges = candidate_edges(meeting_lists(blocks, totals, threshold), threshold)
-    drawn = blocks.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("sizes").alias("n"), F.col("classes").alias("class"))).alias("row")) \
-        .select(F.col("row.id").alias(id_col), F.col("row.n").alias("n_shingles"), F.col("row.class").alias("class"))
+    parts = F.arrays_zip(F.col("ids").alias("id"), F.col("sizes").alias("n"), F.col("classes").alias("class"), F.col("hashes").alias("hash"))
+    drawn = blocks.select(F.explode(parts).alias("row")) \
+        .select(F.col("row.id").alias(id_col), F.col("row.n").alias("n_shingles"), F.col("row.class").alias("class"), F.col("row.hash").alias("hash"))
     classes = checkpointed(drawn.where(F.col("class").isNotNull() & F.col(id_col).isNotNull()).groupBy("class").agg(F.min(id_col).alias("key")))
     clusters = components(edges).withColumnsRenamed({"node": "class", "root": "cluster"})
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
@@ -502,26 +509,47 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = components(links).withColumnsRenamed({"node": "class", "root": "root"})
     keyed_roots = joined.join(classes.select("class", "key"), "class")
     lowest = keyed_roots.groupBy("root").agg(F.min("key").alias("lowest"))
-    named = checkpointed(keyed_roots.join(lowest, "root").select("class", "lowest"))
-    out = drawn.select(id_col, "n_shingles", "class").join(classes.select("class", "key"), "class", "left").join(named, "class", "left")
-    own = F.when(F.col(id_col).isNull(), F.lit(None)).otherwise(F.coalesce("lowest", "key", id_col))
-    return out.select(id_col, "n_shingles", own.alias("component_id"))
+    named = checkpointed(keyed_roots.join(lowest, "root").select("class", "root", "lowest"))
+    out = drawn.join(classes.select("class", "key"), "class", "left").join(named, "class", "left")
+    known = F.col(id_col).isNotNull()
+    return out.select(id_col, "n_shingles", "hash", F.when(known, F.coalesce("root", "class")).alias("root"), F.when(known, F.coalesce("lowest", "key", id_col)).alias("lowest"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
+    """Id, ``n_shingles`` and ``component_id`` of every row.
+
+    ``component_id`` is the smallest id that chains of links reach, its own
+    included. A link is a similarity of at least ``percent`` per cent between
+    the sets of distinct word shingles. A text of fewer words than a shingle
+    has one shingle, all its words; a null text, or one without words, has none
+    and links with nothing. A row with a null id has a null component and links
+    nothing. Repeated rows give a row each and share a component; an id that
+    stands with unlike texts has a row for each, in the component of that text.
+    Other columns are ignored; an empty table gives no rows. Sets are told
+    apart by 64-bit hashes.
+    """
+    return rooted_rows(docs, id_col, text_col, shingle, percent).select(id_col, "n_shingles", F.col("lowest").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Rows with the smallest id of their component, with all their columns.
+    """The document with the smallest id of each component, with all its columns.
 
-    Rows that repeat an id and a text are one document, of which one row stays.
-    Other rows without words or with a null id are no copies of anything and
-    stay.
+    A document is an id with a text: an id that stands with unlike texts is a
+    document in the component of each. Rows that repeat both are one document,
+    of which one row stays, and of like texts with the smallest id one stays.
+    Rows without words or with a null id are no copies of anything and stay; an
+    empty table gives no rows.
     """
-    found = checkpointed(similar_components(docs, id_col, text_col, shingle, percent))
-    copies = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    repeated = found.where(F.col("component_id") == F.col(id_col)).groupBy(id_col).agg(F.count("*").alias("rows")).where("rows > 1").select(id_col)
-    gone = copies.unionByName(repeated)
-    small = found.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if small else gone, id_col, "left_anti").select(*docs.columns)
+    found = checkpointed(rooted_rows(docs, id_col, text_col, shingle, percent).where("root IS NOT NULL").select(id_col, "hash", "root"))
+    documents = found.groupBy(id_col, "hash", "root").agg(F.count("*").alias("rows"))
+    first = found.groupBy("root").agg(F.min(F.struct(id_col, "hash")).alias("first"))
+    judged = documents.join(first, "root").withColumn("stays", F.struct(id_col, "hash") == F.col("first"))
+    gone = checkpointed(judged.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col(id_col).alias("__id"), F.col("hash").alias("__hash"), "stays"))
+    small = gone.count() <= BROADCAST_ROWS
+    marks = lambda rows: F.broadcast(rows.drop("stays")) if small else rows.drop("stays")
+    same = (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
+    kept = docs.join(marks(gone), same, "left_anti")
+    repeated = gone.where("stays")
     if repeated.isEmpty():
         return kept
-    once = docs.join(F.broadcast(repeated) if small else repeated, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col])
-    return kept.unionByName(once)
+    return kept.unionByName(docs.join(marks(repeated), same, "left_semi").dropDuplicates([id_col, text_col]))

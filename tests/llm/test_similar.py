@@ -111,3 +111,34 @@ def test_one_of_each(odd, nothing, spark):
     repeated = odd.where("doc_id = 6").withColumn("doc_id", F.lit(6))
     assert one_of_each(repeated).count() == 1
     assert one_of_each(nothing).count() == 0
+
+
+def test_one_of_each_keeps_unlike_texts_of_one_id(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (9, f"{b} eight", "x"), (9, f"{b} eight", "x"), (7, "Alone Here", "x"), (7, "alone here", "y"), (None, a, "x"), (None, a, "x"), (11, "", "x"), (12, None, "x"), (5, b, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash string").repartition(3)
+    kept = one_of_each(docs, percent=70)
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
+    seven = [t for k, t in got if k == 7]
+    assert kept.columns == docs.columns and len(seven) == 1 and seven[0].lower() == "alone here"
+    assert [g for g in got if g[0] != 7] == [(0, a), (0, a), (3, a), (5, b), (11, ""), (12, "")]
+
+
+def test_points_of_sets_are_read_back():
+    draw = np.random.default_rng(4)
+    for n in (0, 1, 31, 96, 500, 1536, 7000, 30_000):
+        shingles = np.unique(draw.integers(0, 1 << 60, n, dtype=np.uint64))
+        point = similar.count_vector(shingles, similar.groups_of(len(shingles)))
+        assert similar.point_of(similar.point_bytes(shingles)).tolist() == point.tolist() and point.sum() == len(shingles)
+    one = np.arange(40, dtype=np.uint64) * np.uint64(0)
+    assert similar.point_of(similar.point_bytes(one)).max() == 40
+
+
+def test_unlike_sets_are_told_apart_by_their_points():
+    """Of pairs of unlike sets of one size, next to none pass the bound, so chance meetings make no clusters."""
+    draw, threshold = np.random.default_rng(5), Threshold(80)
+    for n in (150, 300, 500, 700, 1200, 5000):
+        sets = [draw.integers(0, 1 << 60, n, dtype=np.uint64) for _ in range(60)]
+        points = similar.Points([similar.count_vector(s, similar.groups_of(n)) for s in sets])
+        a, b = np.triu_indices(60, 1)
+        assert threshold.enough(points.bound(a, b), np.full(len(a), 2 * n)).mean() < 0.002, n
