@@ -138,7 +138,7 @@ def test_upper_middle_of_many_values(spark):
 
     draw = random.Random(4)
     for n in (1, 2, 5, 400):
-        values = [draw.choice([draw.random() * 10**draw.randint(-3, 9), draw.randint(1, 5), 7.5]) for _ in range(n)]
+        values = [draw.choice([draw.random() * 10**draw.randint(-3, 9), float(draw.randint(1, 5)), 7.5]) for _ in range(n)]
         counts = spark.createDataFrame([(v, 1) for v in values], "v double, n int").groupBy("v").agg(F.sum("n").alias("n"))
         assert upper_middle(counts, "v", "n", buckets=8) == sorted(values)[n // 2]
     assert upper_middle(counts.limit(0), "v", "n") is None
