@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -36,11 +37,21 @@ def keyed(df: DataFrame, *columns: str) -> DataFrame:
 WORKER_CACHES: dict[str, dict] = {}
 
 
+def release_memory() -> None:
+    """Give memory that this worker has freed back to the system, so that what an earlier task needed does not add to this one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = 16 << 20, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one holds about ``most`` bytes of text; a longer text is a batch of its own."""
     for module, cache in WORKER_CACHES.items():
         if module != keep:
             cache.clear()
+    release_memory()
     for batch in batches:
         if not batch.num_rows:
             continue

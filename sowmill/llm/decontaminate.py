@@ -17,8 +17,8 @@ over; a lookup of shingle hashes tells them.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 from typing import NamedTuple
 
@@ -34,8 +34,10 @@ from sowmill.llm.common import chunks, keyed
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS, BLOCKS = 19, 5
-#: Text bytes of the items that one broadcast holds at most; a larger benchmark is searched in several passes.
-PASS_BYTES = 32 << 20
+#: Text bytes of the items that one broadcast holds at most, some eight times as many in arrays; a larger benchmark is searched in several passes.
+#: Bytes of text that are scanned at once.
+SCAN_BYTES = 2 << 20
+PASS_BYTES = 8 << 20
 
 _PARTING = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -72,6 +74,12 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return np.packbits(sums[ends] - sums[starts] > 1e-9, axis=1).view(np.uint64)[:, 0]
 
 
+@lru_cache(maxsize=None)
+def flips(width: int, most: int) -> np.ndarray:
+    """All numbers of ``width`` bits with at most ``most`` ones."""
+    return np.array([sum(1 << b for b in flipped) for k in range(min(width, most) + 1) for flipped in combinations(range(width), k)])
+
+
 class HammingIndex:
     """Finds all stored fingerprints within a radius."""
 
@@ -80,12 +88,11 @@ class HammingIndex:
         edges = [64 * b // blocks for b in range(blocks + 1)]
         self.blocks = []
         for low, high in zip(edges, edges[1:], strict=False):
-            width = high - low
-            values = self._block(prints, low, width)
+            values = self._block(prints, low, high - low)
             order = np.argsort(values, kind="stable")
-            offsets = np.searchsorted(values[order], np.arange((1 << width) + 1))
-            masks = np.array([sum(1 << b for b in flipped) for k in range(min(width, radius // blocks) + 1) for flipped in combinations(range(width), k)])
-            self.blocks.append((low, width, order, offsets, masks))
+            there = np.zeros(1 << (high - low), dtype=bool)
+            there[values] = True
+            self.blocks.append((low, high - low, order, values[order], np.packbits(there)))
 
     @staticmethod
     def _block(prints: np.ndarray, low: int, width: int) -> np.ndarray:
@@ -94,99 +101,126 @@ class HammingIndex:
     def search(self, queries: np.ndarray) -> list[tuple[int, int]]:
         """Pairs (query, stored) within the radius, each once."""
         found = []
-        for low, width, order, offsets, masks in self.blocks:
-            keys = self._block(queries, low, width)[:, None] ^ masks[None, :]
-            counts = (offsets[keys + 1] - offsets[keys]).ravel()
-            some = np.flatnonzero(counts)
-            query = np.repeat(some // len(masks), counts[some])
-            begins = np.repeat(offsets[keys.ravel()[some]], counts[some])
-            inner = np.arange(len(query)) - np.repeat(np.cumsum(counts[some]) - counts[some], counts[some])
-            found.append(query * len(self.prints) + order[begins + inner])
+        for low, width, order, values, there in self.blocks:
+            masks = flips(width, self.radius // len(self.blocks))
+            keys = (self._block(queries, low, width)[:, None] ^ masks[None, :]).ravel()
+            some = np.flatnonzero(np.unpackbits(there)[keys])
+            begins = np.searchsorted(values, keys[some])
+            counts = np.searchsorted(values, keys[some], side="right") - begins
+            query = np.repeat(some // len(masks), counts)
+            inner = np.arange(len(query)) - np.repeat(np.cumsum(counts) - counts, counts)
+            found.append(query * len(self.prints) + order[np.repeat(begins, counts) + inner])
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
         query, stored = pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
         near = np.bitwise_count(queries[query] ^ self.prints[stored]) <= self.radius
         return list(zip(query[near].tolist(), stored[near].tolist(), strict=True))
 
 
+class Bag(NamedTuple):
+    """Shingles of an item in order, how often it has each, and their weights."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    weights: np.ndarray
+
+
 class Group(NamedTuple):
     """Items of one length in words."""
 
     ids: list
-    shingles: list[Counter]
+    bags: list[Bag]
     index: HammingIndex
 
 
+class Seeds(NamedTuple):
+    """Shingles of one size in order, each with the lengths of the items that have it, and a filter of them."""
+
+    keys: np.ndarray
+    lengths: np.ndarray
+    bitmap: np.ndarray
+
+
 class Benchmark:
-    """Items of one pass, by length, with their fingerprints and shingle weights.
+    """Items of one pass, by length, with their fingerprints and shingle weights, in flat arrays of some 50 bytes a shingle.
 
-    ``seen`` and ``n_items`` are the items with each shingle and all items of
-    the whole benchmark; without them the pass is the whole.
+    ``seen`` (shingles in order and how many items have each) and ``n_items``
+    are of the whole benchmark; without them the pass is the whole.
     """
 
-    def __init__(self, items: list[tuple], radius: int = RADIUS, blocks: int = BLOCKS, seen: dict[int, int] | None = None, n_items: int | None = None):
+    def __init__(self, items: list[tuple], radius: int = RADIUS, blocks: int = BLOCKS, seen: tuple[np.ndarray, np.ndarray] | None = None, n_items: int | None = None):
         worded = [(key, np.array([xxhash.xxh64_intdigest(w) for w in words_of(text)], dtype=np.uint64)) for key, text in items]
-        worded = [(key, words) for key, words in worded if len(words)]
-        described = [(key, len(words), shingle_hashes(words, min(SHINGLE, len(words)))) for key, words in worded]
+        described = [(key, len(words), shingle_hashes(words, min(SHINGLE, len(words)))) for key, words in worded if len(words)]
         n_items = len(described) if n_items is None else n_items
-        seen = Counter(s for _, _, shingles in described for s in set(shingles.tolist())) if seen is None else seen
+        none = np.zeros(0, dtype=np.uint64)
+        if seen is None:
+            seen = np.unique(np.concatenate([none, *[np.unique(s) for _, _, s in described]]), return_counts=True)
         self.rarest = 1 + math.log(max(1, n_items))
-        self.weight = {s: 1 + math.log(n_items / n) for s, n in seen.items()}
+        self.known, self.weight = seen[0], 1 + np.log(n_items / seen[1])
         self.groups: dict[int, Group] = {}
-        self.lengths: dict[int, dict[int, set[int]]] = {}
         by_length: dict[int, list] = {}
         for key, length, shingles in described:
             by_length.setdefault(length, []).append((key, shingles))
-            for s in shingles.tolist():
-                self.lengths.setdefault(min(SHINGLE, length), {}).setdefault(s, set()).add(length)
+        pairs: dict[int, list] = {}
         for length, members in by_length.items():
             prints = np.concatenate([self.prints(s, np.array([0]), np.array([len(s)])) for _, s in members])
-            self.groups[length] = Group([k for k, _ in members], [Counter(s.tolist()) for _, s in members], HammingIndex(prints, radius, blocks))
-        self.filters = {}
-        for size, table in self.lengths.items():
+            bags = [Bag(k, c, self.weights_of(k)) for k, c in (np.unique(s, return_counts=True) for _, s in members)]
+            self.groups[length] = Group([k for k, _ in members], bags, HammingIndex(prints, radius, blocks))
+            pairs.setdefault(min(SHINGLE, length), []).append((np.unique(np.concatenate([b.keys for b in bags])), length))
+        self.seeds: dict[int, Seeds] = {}
+        for size, parts in pairs.items():
+            keys, lengths = np.concatenate([k for k, _ in parts]), np.repeat([n for _, n in parts], [len(k) for k, _ in parts])
+            order = np.argsort(keys, kind="stable")
             bitmap = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            bitmap[np.array(list(table), dtype=np.uint64) & np.uint64((1 << _FILTER_BITS) - 1)] = True
-            self.filters[size] = bitmap
+            bitmap[keys & np.uint64((1 << _FILTER_BITS) - 1)] = True
+            self.seeds[size] = Seeds(keys[order], lengths[order], np.packbits(bitmap))
 
     def weights_of(self, shingles: np.ndarray) -> np.ndarray:
-        return np.array([self.weight.get(s, self.rarest) for s in shingles.tolist()])
+        if not len(self.known):
+            return np.full(len(shingles), self.rarest)
+        place = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+        return np.where(self.known[place] == shingles, self.weight[place], self.rarest)
 
     def prints(self, shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return fingerprints(bit_sums(shingles, self.weights_of(shingles)), starts, ends)
 
-    def similarity(self, window: Counter, item: Counter) -> float:
+    def similarity(self, window: np.ndarray, item: Bag) -> float:
         """Weighted Jaccard similarity of two bags of shingles; a shingle that the item lacks weighs as much as the rarest."""
-        both = either = 0.0
-        for s in window.keys() | item.keys():
-            w = self.weight[s] if s in item else self.rarest
-            both += w * min(window[s], item[s])
-            either += w * max(window[s], item[s])
-        return both / either if either else 0.0
+        keys, counts = np.unique(window, return_counts=True)
+        place = np.minimum(np.searchsorted(item.keys, keys), len(item.keys) - 1)
+        same = item.keys[place] == keys
+        mine = np.zeros(len(item.keys), dtype=np.int64)
+        mine[place[same]] = counts[same]
+        either = float((item.weights * np.maximum(mine, item.counts)).sum()) + self.rarest * int(counts[~same].sum())
+        return float((item.weights * np.minimum(mine, item.counts)).sum()) / either if either else 0.0
 
     def leaks(self, words: np.ndarray, seeds: dict[int, np.ndarray], least: float) -> dict:
         """Best window of every item found: item -> (similarity, first word, end)."""
         best: dict = {}
         for size, places in seeds.items():
-            shingles = shingle_hashes(words, size)
-            table = self.lengths[size]
-            starts: dict[int, set[int]] = {}
-            for at in places.tolist():
-                for length in table.get(int(shingles[at]), ()):
-                    span = min(length, len(words))
-                    starts.setdefault(length, set()).update(range(max(0, at - (span - size)), min(at, len(words) - span) + 1))
-            if not starts:
+            shingles, table = shingle_hashes(words, size), self.seeds[size]
+            begins, stops = np.searchsorted(table.keys, shingles[places]), np.searchsorted(table.keys, shingles[places], side="right")
+            counts = stops - begins
+            at = np.repeat(places, counts)
+            lengths = table.lengths[np.repeat(stops - np.cumsum(counts), counts) + np.arange(len(at))]
+            if not len(at):
                 continue
             sums = bit_sums(shingles, self.weights_of(shingles))
-            for length, begins in starts.items():
-                group, span = self.groups[length], min(length, len(words))
-                begin = np.array(sorted(begins))
+            for length in np.unique(lengths).tolist():
+                group, span, here = self.groups[length], min(length, len(words)), at[lengths == length]
+                change = np.zeros(len(words) + 2, dtype=np.int64)
+                first = np.maximum(0, here - (span - size))
+                last = np.maximum(first, np.minimum(here, len(words) - span) + 1)
+                np.add.at(change, first, 1)
+                np.add.at(change, last, -1)
+                begin = np.flatnonzero(np.cumsum(change) > 0)
                 prints = fingerprints(sums, begin, begin + span - size + 1)
                 for query, stored in group.index.search(prints):
-                    at = int(begin[query])
-                    value = self.similarity(Counter(shingles[at:at + span - size + 1].tolist()), group.shingles[stored])
+                    start = int(begin[query])
+                    value = self.similarity(shingles[start:start + span - size + 1], group.bags[stored])
                     if value >= least - 1e-12:
                         key = group.ids[stored]
-                        if key not in best or (-value, at) < (-best[key][0], best[key][1]):
-                            best[key] = (value, at, at + span)
+                        if key not in best or (-value, start) < (-best[key][0], best[key][1]):
+                            best[key] = (value, start, start + span)
         return best
 
     def scan(self, texts: list[str | None], least: float) -> Iterator[tuple[int, dict]]:
@@ -199,14 +233,16 @@ class Benchmark:
         words = np.fromiter(map(hashes.__getitem__, flat), dtype=np.uint64, count=len(flat))
         ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
         seeds: dict[int, dict[int, list[int]]] = {}
-        for size, bitmap in self.filters.items():
+        for size, table in self.seeds.items():
             shingles = shingle_hashes(words, size)
-            table = self.lengths[size]
-            for at in np.flatnonzero(bitmap[shingles & np.uint64((1 << _FILTER_BITS) - 1)]).tolist():
-                if int(shingles[at]) in table:
-                    text = int(np.searchsorted(ends, at, side="right"))
-                    if at + size <= ends[text]:
-                        seeds.setdefault(text, {}).setdefault(size, []).append(at)
+            low = (shingles & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
+            likely = np.flatnonzero(table.bitmap[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
+            place = np.minimum(np.searchsorted(table.keys, shingles[likely]), len(table.keys) - 1)
+            likely = likely[table.keys[place] == shingles[likely]]
+            owner = np.searchsorted(ends, likely, side="right")
+            inside = likely + size <= ends[owner]
+            for text, at in zip(owner[inside].tolist(), likely[inside].tolist(), strict=True):
+                seeds.setdefault(text, {}).setdefault(size, []).append(at)
         for text, found in sorted(seeds.items()):
             begin = int(ends[text]) - len(parts[text])
             leaks = self.leaks(words[begin:ends[text]], {s: np.array(a) - begin for s, a in found.items()}, least)
@@ -215,7 +251,10 @@ class Benchmark:
 
 
 def passes(benchmark: DataFrame, id_col: str, text_col: str, most: int = PASS_BYTES) -> Iterator[Benchmark]:
-    """The items in as many parts as keep each under ``most`` bytes of text, about; null ids and texts have no part."""
+    """The items in as many parts as keep each under ``most`` bytes of text, about; null ids and texts have no part.
+
+    All texts of one id are in one part, so that an id has one best window.
+    """
     items = keyed(benchmark, id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = total // most + 1
@@ -231,23 +270,26 @@ def passes(benchmark: DataFrame, id_col: str, text_col: str, most: int = PASS_BY
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int64()), pa.array(found.view(np.int64))],
                                                  names=["part", "shingle"])
 
-    numbered = items.withColumn("part", F.pmod(F.xxhash64(id_col, text_col), F.lit(n)))
+    numbered = items.withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(n)))
     parts = numbered.select("part", text_col).mapInArrow(shingles, "part long, shingle long")
     counts = parts.groupBy("shingle").agg(F.count("*").alias("n"))
     n_items = items.where(F.regexp_replace(F.lower(text_col), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]", "") != "").count()
     for k in range(n):
         mine = sorted((r[0], r[1]) for r in numbered.where(F.col("part") == k).select(id_col, text_col).collect())
-        seen = parts.where(F.col("part") == k).select("shingle").distinct().join(counts, "shingle").collect()
-        yield Benchmark(mine, seen={r.shingle % (1 << 64): r.n for r in seen}, n_items=n_items)
+        seen = parts.where(F.col("part") == k).select("shingle").distinct().join(counts, "shingle").toPandas()
+        keys = seen["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        yield Benchmark(mine, seen=(keys[order], seen["n"].to_numpy()[order]), n_items=n_items)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                similarity: float = SIMILARITY) -> DataFrame:
     """One row per document and item it holds: ids, best ``similarity``, ``start`` and ``end`` of its window in words.
 
-    Null and empty texts and items hold nothing. Of equal windows the first is
-    given. Repeated rows give repeated results; an item given twice counts
-    once; a null document id is kept. Empty tables give no rows.
+    Null and empty texts and items hold nothing, items without an id are left
+    out. Of equal windows the first is given. Repeated rows give repeated
+    results; an item given twice counts once, and one with several texts gives
+    its best window; a null document id is kept. Empty tables give no rows.
     """
     source = keyed(docs, id_col, text_col)
     schema = T.StructType([source.schema[id_col], T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("similarity", T.DoubleType()),
@@ -257,7 +299,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         shared = docs.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, text_col, 8 << 20):
+            for batch in chunks(batches, text_col, SCAN_BYTES):
                 keys = batch.column(0)
                 found = [(i, item, *window) for i, leaks in shared.value.scan(batch.column(1).to_pylist(), similarity) for item, window in sorted(leaks.items())]
                 if found:
@@ -270,15 +312,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text",
                   similarity: float = SIMILARITY) -> DataFrame:
-    """Rows whose text holds no item, with all their columns; null and empty texts stay."""
+    """Rows whose text holds no item, with all their columns; null and empty texts stay.
+
+    Every text of the benchmark counts, also of items without an id; repeated
+    rows are judged alike; an empty benchmark takes nothing, an empty table
+    gives no rows.
+    """
     at = docs.schema.names.index(text_col)
-    for known in passes(benchmark, item_col, item_text_col):
+    texts = benchmark.select(benchmark[item_text_col].alias("text"), benchmark[item_text_col].alias("item"))
+    for known in passes(texts, "item", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, text_col, 8 << 20):
+            for batch in chunks(batches, text_col, SCAN_BYTES):
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for i, _ in shared.value.scan(batch.column(at).to_pylist(), similarity):
                     keep[i] = False

@@ -118,3 +118,24 @@ def test_short_items_match_whole_words_only():
     found = list(Benchmark([(1, "cat")]).scan(["concatenate", "a cat sat", None, ""], 0.8))
     assert [(i, list(leaks)) for i, leaks in found] == [(1, [1])]
     assert len(shingle_hashes(np.zeros(3, dtype=np.uint64), 5)) == 0
+
+
+def test_an_item_with_two_texts_gives_one_row_whatever_the_passes(spark, monkeypatch):
+    one, two = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight"
+    bench = spark.createDataFrame([(7, one), (7, two), (8, "other words stand here for an item of its own"), (None, "a passage of an item that has no id at all")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {one} y {two} z"), (2, "so a passage of an item that has no id at all goes"), (3, "clean")], "doc_id long, text string")
+    whole = [tuple(r) for r in find_leaks(docs, bench).collect()]
+    assert whole == [(1, 7, 1.0, 1, 8)]
+    assert [r.doc_id for r in D.decontaminate(docs, bench).collect()] == [3]
+    monkeypatch.setattr(D.passes, "__defaults__", (30,))
+    assert [tuple(r) for r in find_leaks(docs, bench).collect()] == whole
+    assert [r.doc_id for r in D.decontaminate(docs, bench).collect()] == [3]
+
+
+def test_index_stays_small():
+    import pickle
+
+    draw = random.Random(8)
+    items = [(i, " ".join(f"w{draw.randint(0, 50_000)}" for _ in range(draw.randint(5, 400)))) for i in range(1000)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(Benchmark(items))) < 16 * size + 40_000 * 396
