@@ -62,9 +62,17 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def stretches(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each run of windows with one anchor."""
-    hashes, begins, counts = [], [], []
+def stretches(data: np.ndarray, sizes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first window and number of windows of each run of windows with one anchor, of texts that lie one after the other.
+
+    The texts are gone through together; windows that reach into the next text are none.
+    """
+    ends = np.cumsum(sizes)
+    change = np.zeros(len(data) + 2, dtype=np.int32)
+    np.add.at(change, (ends - sizes)[sizes >= width], 1)
+    np.add.at(change, (ends - width + 1)[sizes >= width], -1)
+    whole = np.cumsum(change[:len(data)], dtype=np.int32) > 0
+    hashes, begins, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for low in range(0, len(data) - width + 1, STEP):
         part = data[low:low + STEP + width - 1]
         h = gram_hashes(part, gram)
@@ -77,15 +85,16 @@ def stretches(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.n
         rest = need - span
         least = np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
         at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        inside = whole[low:low + len(at)]
+        first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (inside[1:] != inside[:-1])))
+        length = np.diff(np.append(first, len(at)))
+        first, length = first[inside[first]], length[inside[first]]
         # The smallest hashes of their windows are small numbers; mixed once more, anchors spread evenly over the ranges.
         anchors = h[at[first]] * np.uint64(0xD6E8FEB86659FD93)
         anchors = (anchors ^ (anchors >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         hashes.append(anchors ^ (anchors >> np.uint64(29)))
         begins.append(first + low)
-        counts.append(np.diff(np.append(first, len(at))))
-    if not hashes:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        counts.append(length)
     return np.concatenate(hashes), np.concatenate(begins), np.concatenate(counts)
 
 
@@ -116,11 +125,7 @@ class Block:
         self.sizes = unpacked(sizes, np.int64)
         self.data = zs.ZstdDecompressor().decompress(data)
         self.ends = np.cumsum(self.sizes)
-        flat = np.frombuffer(self.data, dtype=np.uint8)
-        found = [(*stretches(flat[end - size:end], width, gram), end - size) for size, end in zip(self.sizes.tolist(), self.ends.tolist(), strict=True) if size >= width]
-        self.hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *[f[0] for f in found]])
-        self.begins = np.concatenate([np.zeros(0, dtype=np.int64), *[f[1] + f[3] for f in found]])
-        self.windows = np.concatenate([np.zeros(0, dtype=np.int64), *[f[2] for f in found]])
+        self.hashes, self.begins, self.windows = stretches(np.frombuffer(self.data, dtype=np.uint8), self.sizes, width, gram)
         self.anchors, self.anchor_of, self.anchor_counts = np.unique(self.hashes, return_inverse=True, return_counts=True)
 
     def contents(self, wanted: np.ndarray, width: int) -> dict[tuple[int, bytes], list[int]]:
@@ -132,19 +137,41 @@ class Block:
         return dict(sorted(found.items()))
 
 
+def rolling(data: np.ndarray, width: int, factor: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from each place on, put together from hashes of powers of two."""
+    part = data.astype(np.uint64) + np.uint64(1)
+    span, out, done = 1, None, 0
+    power = factor
+    while True:
+        if width & span:
+            # What is done lies behind this part.
+            out = part if out is None else part[:len(part) - done] * np.uint64(pow(factor, done, 1 << 64)) + out[span:]
+            done += span
+        if done == width:
+            break
+        part = part[:-span] * np.uint64(power) + part[span:]
+        power, span = power * power % (1 << 64), 2 * span
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
 def window_hashes(found: dict[tuple[int, bytes], list[int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes (two numbers each, sorted) of the windows of stretches, how often each occurs, and which of them each window has."""
-    digest = xxhash.xxh3_128_digest
-    raw = b"".join(b"".join(digest(content[i:i + width]) for i in range(len(content) - width + 1)) for _, content in found)
-    pairs = np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2)
+    counts = np.array([len(content) - width + 1 for _, content in found], dtype=np.int64)
+    if not len(counts):
+        return np.zeros((0, 2), dtype=np.uint64), np.zeros(0), np.zeros(0, dtype=np.int64)
+    flat = np.frombuffer(b"".join(content for _, content in found), dtype=np.uint8)
+    ends = np.cumsum(counts + width - 1)
+    places = np.repeat(ends - np.cumsum(counts) - width + 1, counts) + np.arange(counts.sum())
+    pairs = np.stack([rolling(flat, width, factor)[places] for factor in (_MULTIPLIER, 0xC2B2AE3D27D4EB4F)], axis=1)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     ordered = pairs[order]
     new = np.ones(len(pairs), dtype=bool)
     new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
     which = np.empty(len(pairs), dtype=np.int64)
     which[order] = np.cumsum(new) - 1
-    times = np.array([[len(places), len(content) - width + 1] for (_, content), places in found.items()], dtype=np.int64).reshape(-1, 2)
-    return ordered[new], np.bincount(which, weights=np.repeat(times[:, 0], times[:, 1]), minlength=int(new.sum())), which
+    times = np.array([len(places) for places in found.values()], dtype=np.int64)
+    return ordered[new], np.bincount(which, weights=np.repeat(times, counts), minlength=int(new.sum())), which
 
 
 def _owner(keys: np.ndarray, level: int) -> np.ndarray:

@@ -9,7 +9,8 @@ from collections import Counter
 import numpy as np
 from llm.cases import similar_texts
 
-from sowmill.llm.substrings import gram_hashes, parcels, remove_repeats, removal_digest, repeated_anchors, resolve, stretches, text_blocks
+from sowmill.llm import substrings
+from sowmill.llm.substrings import gram_hashes, parcels, remove_repeats, removal_digest, repeated_anchors, resolve, rolling, stretches, text_blocks
 from sowmill.llm.suffixes import Shard, common_prefixes, joined, suffix_array
 
 
@@ -76,16 +77,21 @@ def test_shards_and_merging():
 
 
 def test_stretches_cover_all_windows_and_anchors_follow_content(monkeypatch):
-    from sowmill.llm import substrings
-
     monkeypatch.setattr(substrings, "STEP", 50)
     draw = random.Random(3)
     data = bytes(draw.choice(b"abcab") for _ in range(700))
     data += data[100:300]
     flat = np.frombuffer(data, dtype=np.uint8)
-    hashes, begins, counts = stretches(flat, 40, 8)
+    hashes, begins, counts = stretches(flat, np.array([len(data)]), 40, 8)
     windows = [i for b, n in zip(begins.tolist(), counts.tolist(), strict=True) for i in range(b, b + n)]
     assert windows == list(range(len(data) - 39))
+    sizes = np.array([0, 39, 40, 200, 0, 1, 41, 300, len(data) - 621])
+    ends = np.cumsum(sizes)
+    parted = stretches(flat, sizes, 40, 8)
+    places = [i for b, n in zip(parted[1].tolist(), parted[2].tolist(), strict=True) for i in range(b, b + n)]
+    assert places == [i for size, end in zip(sizes.tolist(), ends.tolist(), strict=True) for i in range(end - size, end - 39)]
+    whole = dict(zip(windows, np.repeat(hashes, counts).tolist(), strict=True))
+    assert [whole[i] for i in places] == np.repeat(parted[0], parted[2]).tolist()
     anchor = dict(zip(windows, np.repeat(hashes, counts).tolist(), strict=True))
     by_content = {}
     for i in windows:
@@ -93,6 +99,23 @@ def test_stretches_cover_all_windows_and_anchors_follow_content(monkeypatch):
     assert gram_hashes(flat, 8)[100] == gram_hashes(flat, 8)[700]
 
 
+def test_hashes_of_windows_tell_contents_apart():
+    draw = random.Random(4)
+    for width in (1, 7, 32, 50, 200):
+        data = bytes(draw.choice(b"ab") for _ in range(900)) * 2
+        flat = np.frombuffer(data, dtype=np.uint8)
+        found = {(9, data[:700]): [3], (9, data[100:900]): [1, 5], (11, data[900:900 + width]): [0]}
+        keys, times, which = substrings.window_hashes(found, width)
+        windows = [(c[i:i + width], len(places)) for (_, c), places in found.items() for i in range(len(c) - width + 1)]
+        assert len(windows) == len(which) and len(rolling(flat, width, 3)) == len(data) - width + 1
+        count, named = Counter(), {}
+        for (w, n), k in zip(windows, which.tolist(), strict=True):
+            count[w] += n
+            assert named.setdefault(w, k) == k
+        assert len(set(named.values())) == len(named) == len(keys) and all(times[named[w]] == n for w, n in count.items())
+    assert len(substrings.window_hashes({}, 200)[0]) == 0
+
+
 def test_table_of_edited_copies(spark):
     docs = spark.createDataFrame(list(similar_texts().items()), "doc_id long, text string").repartition(4)
     assert any(0 < r.n_removed < r.n_bytes for r in check(docs, 200, 32))
