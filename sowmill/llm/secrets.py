@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +41,10 @@ ALLOWED = re.compile(
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 SEPARATORS, PART = re.compile(r"[-_/+=]+"), re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,8}")
 COUNTED = "0123456789abcdefghijklmnopqrstuvwxyz0123456789"
+#: A window with this word in it is no secret; the rest of its candidate may be one.
+SAMPLE = re.compile("example", re.I)
+#: Characters of the shortest candidate, and of the shortest window: a shorter run than a class's window is one window, with the threshold scaled.
+SHORTEST = 20
 
 Span = tuple[str, int, int]
 
@@ -64,7 +70,22 @@ def window_entropies(text: str, width: int) -> Iterator[float]:
 def allowed(candidate: str) -> bool:
     low = candidate.lower()
     # Parts are told one by one: one pattern over all of them takes twice as long with every part when a later one fails.
-    return bool(ALLOWED.fullmatch(candidate)) or all(PART.fullmatch(p) for p in SEPARATORS.split(candidate)) or "example" in low or low in COUNTED
+    return bool(ALLOWED.fullmatch(candidate)) or all(PART.fullmatch(p) for p in SEPARATORS.split(candidate)) or low in COUNTED
+
+
+def high_windows(part: str, width: int, least: float) -> Iterator[tuple[int, int]]:
+    """Windows of a run of one class with high entropy, but for those that hold the sample word."""
+    if len(part) < SHORTEST:
+        return
+    own = min(width, len(part))
+    bound = least * math.log2(own) / math.log2(width) - 1e-9
+    samples = [m.start() for m in SAMPLE.finditer(part)]
+    word, at = len("example"), 0
+    for i, bits in enumerate(window_entropies(part, own)):
+        while at < len(samples) and samples[at] < i:
+            at += 1
+        if bits >= bound and not (at < len(samples) and samples[at] + word <= i + own):
+            yield i, i + own
 
 
 def entropy_spans(text: str) -> Iterator[tuple[int, int]]:
@@ -76,11 +97,9 @@ def entropy_spans(text: str) -> Iterator[tuple[int, int]]:
         hits = []
         for _, pattern, width, least in CLASSES:
             for run in pattern.finditer(candidate):
-                part = run.group()
-                if len(part) < width or allowed(part):
-                    continue
-                hits += [(base + run.start() + i, base + run.start() + i + width)
-                         for i, bits in enumerate(window_entropies(part, width)) if bits >= least - 1e-9]
+                if not allowed(run.group()):
+                    first = base + run.start()
+                    hits += [(first + a, first + b) for a, b in high_windows(run.group(), width, least)]
         start = end = -1
         for a, b in sorted(hits):
             if a <= end:
@@ -100,10 +119,15 @@ def spans_of(text: str | None) -> list[Span]:
     out: list[Span] = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= ASSIGN_VALUE]
     out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LENGTH]
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    base = list(out)
-    out += [(ENTROPY_KIND, a, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for _, s, e in base)]
-    order = [*BASE_KINDS, ENTROPY_KIND]
-    return sorted(out, key=lambda s: (s[1], order.index(s[0]), s[2]))
+    starts = sorted(s for _, s, _ in out)
+    # The farthest end of the base spans that start at or before each start.
+    reach = list(accumulate((e for _, _, e in sorted(out, key=lambda s: s[1])), max))
+    for a, b in entropy_spans(text):
+        before = bisect_right(starts, a)
+        if not before or reach[before - 1] < b:
+            out.append((ENTROPY_KIND, a, b))
+    order = {k: i for i, k in enumerate([*BASE_KINDS, ENTROPY_KIND])}
+    return sorted(out, key=lambda s: (s[1], order[s[0]], s[2]))
 
 
 def redacted(text: str | None, mask: str) -> str | None:
@@ -145,7 +169,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     """All rows and columns, with the spans of secrets in the text replaced by ``mask``.
 
     ``length_col``, where the table has it, is set to the new length in code
-    points. Texts without secrets, null texts and all other columns stay.
+    points. Texts without secrets, null and empty texts and all other columns
+    stay; repeated rows are masked alike; an empty table gives no rows.
     """
     schema = docs.schema
     at = schema.names.index(text_col)

@@ -46,19 +46,24 @@ def test_entropy_spans_against_every_window():
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     for _ in range(200):
         text = " ".join("".join(draw.choice(alphabet[:draw.choice([4, 16, 64])]) for _ in range(draw.randint(10, 60))) for _ in range(3))
+        at = draw.randint(0, len(text))
+        text = text[:at] + draw.choice(["", "", "EXAMPLE", "example" * 3]) + text[at:]
         marked = set()
         for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
             if allowed(m[0]):
                 continue
             for _, pattern, width, least in CLASSES:
                 for run in pattern.finditer(m[0]):
-                    if len(run[0]) < width or allowed(run[0]):
+                    if len(run[0]) < 20 or allowed(run[0]):
                         continue
-                    for i in range(len(run[0]) - width + 1):
-                        counts = Counter(run[0][i:i + width]).values()
-                        if -sum(c / width * math.log2(c / width) for c in counts) >= least - 1e-9:
+                    own = min(width, len(run[0]))
+                    for i in range(len(run[0]) - own + 1):
+                        counts = Counter(run[0][i:i + own]).values()
+                        if "example" in run[0][i:i + own].lower():
+                            continue
+                        if -sum(c / own * math.log2(c / own) for c in counts) >= least * math.log2(own) / math.log2(width) - 1e-9:
                             start = m.start() + run.start() + i
-                            marked.update(range(start, start + width))
+                            marked.update(range(start, start + own))
         assert {i for a, b in entropy_spans(text) for i in range(a, b)} == marked
 
 
@@ -116,3 +121,38 @@ def test_redaction_keeps_everything_else(odd):
     assert [r.doc_id for r in masked] == [8] and masked[0].n_chars == len(masked[0].text)
     assert all((r.doc_id, r.text) in before for r in rows if r not in masked)
     assert redacted("token = abcdef token = abcdef", "#") == "# #"
+
+
+def test_short_keys_and_the_sample_word():
+    key = "aB3dE5gH7jK9mN1pQ4sT"
+    assert len(key) == 20 and [s[0] for s in spans_of(f"use {key} here")] == ["entropy"]
+    assert spans_of(f"use {key[:19]} here") == []
+    assert spans_of("an ExampleKey20chars9Zx4 here") == []
+    long = "aB3dE5gH7jK9mN1pQ4sT6vX8zL2c"
+    (kind, start, end), = spans_of(f"{long}example")
+    assert (kind, start, end) == ("entropy", 0, len(long) + len("exampl"))
+
+
+def test_many_spans_take_linear_time():
+    def stop(*_):
+        raise TimeoutError
+
+    draw = random.Random(5)
+    words = ["".join(draw.choice("0123456789abcdef") for _ in range(32)) for _ in range(500)] + ["".join(draw.choice("abcdefghijkLMNOPQRS0123456789+/") for _ in range(28)) for _ in range(500)]
+    text = " ".join(draw.choice(words) for _ in range(100_000))
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(30)
+    try:
+        spans = spans_of(text)
+        assert len(spans) > 85_000 and redacted(text, "#").count("#") > 85_000
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def test_entropy_spans_within_any_base_span_are_left_out():
+    draw = random.Random(6)
+    for text in pieces(7, 1500):
+        text += "".join(draw.choice("aB3dE5gH7jK9mN1pQ4sT6vX8zL2c/+=") for _ in range(draw.randint(0, 40)))
+        base = base_by_scan(text)
+        assert [s for s in spans_of(text) if s[0] == "entropy"] == [("entropy", a, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for _, s, e in base)]
