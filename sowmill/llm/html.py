@@ -34,7 +34,13 @@ CLOSED_BY_BLOCK = ["p"]
 BOILERPLATE = ["nav", "footer", "aside", "form", "menu", "head", "button", "dialog"]
 BOILERPLATE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|header|login|masthead|menu|modal|nav\w*|newsletter|"
-    r"notices?|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|teaser|toolbar|widget)(?:$|[\s_-])", re.I)
+    r"notices?|pagination|popup|promo\w*|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|teaser|toolbar|widget)(?:$|[\s_-])"
+    r"|(?:^|[\s_-])related(?:$|\s|[_-](?:articles?|box|content|items?|links?|news|pages?|posts?|reading|stories|topics?)(?:$|[\s_-]))", re.I)
+#: Raw elements that may be closed in their own tag, and those that end at the next block when their end tag is missing.
+SELF_CLOSED = ["svg", "canvas", "object", "iframe"]
+OPEN_ENDED = ["script", "style"]
+#: Elements whose further blocks belong to a run that ends inside them.
+CONTAINERS = ["article", "main", "section", "div", "td", "blockquote"]
 ARTICLE = ["article", "main"]
 # Weights where no labelled page tells them.
 WORD_WEIGHT, LINK_WEIGHT, BOILERPLATE_WEIGHT, TAG_WEIGHT = 1.0, -1.0, -1.0, -1.0
@@ -43,30 +49,51 @@ WORD_LIMIT, TAG_LIMIT, BOILERPLATE_WORDS = 4.0, 1.0, 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?P<rawattr>(?=[\s/>])[^>]*+)>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?P<rawattr>(?=[\s/>])[^>]*+)>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attr>(?>[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>", re.S | re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(BLOCKS)})(?=[\s/>])", re.I)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _GAP = re.compile(r"\s+")
 
-Item = tuple[str, str, int, bool]
+Item = tuple[str, int, int, bool, int]
+
+
+def raw_end(page: str, name: str, at: int, unclosed: dict[str, int]) -> int:
+    """Where the content of a raw element that starts at ``at`` ends: behind its end tag, or before the next block if it has none.
+
+    Scripts and styles without an end tag take the rest of the page. From
+    ``unclosed[name]`` on, the page is known to have no such end tag.
+    """
+    if at < unclosed.get(name, len(page) + 1):
+        found = _RAW_END[name].search(page, at)
+        if found:
+            return found.end()
+        unclosed[name] = at
+    if name in OPEN_ENDED:
+        return len(page)
+    following = _NEXT_BLOCK.search(page, at)
+    return following.start() if following else len(page)
 
 
 def items(page: str) -> tuple[list[Item], list[str]]:
     """Words and tags of a page in order, and its text blocks.
 
     An item is a kind (``tag name`` or a word kind), its block (-1 for a tag),
-    its count, and whether it stands in a marked article.
+    its count, whether it stands in a marked article, and the number of the
+    container element around it (0: none).
     """
-    out: list[tuple] = []
+    out: list[Item] = []
     blocks: list[list[str]] = [[]]
-    stack: list[tuple[str, bool, str]] = []
-    link = marked = 0
+    stack: list[tuple[str, bool, str, int]] = []
+    unclosed: dict[str, int] = {}
+    link = marked = containers = 0
     at = 0
 
     def kind() -> str:
-        name, boiler, label = stack[-1] if stack else ("", False, "")
+        name, boiler, label, _ = stack[-1] if stack else ("", False, "", 0)
         return f"word {'boilerplate' if boiler else name}{'.' + label if label else ''}{' link' if link else ''}"
 
     def text(part: str) -> None:
@@ -74,17 +101,19 @@ def items(page: str) -> tuple[list[Item], list[str]]:
         blocks[-1].append(plain)
         n = len(plain.split())
         if n:
-            out.append((kind(), len(blocks) - 1, n, marked > 0))
+            out.append((kind(), len(blocks) - 1, n, marked > 0, stack[-1][3] if stack else 0))
 
-    for found in _TOKEN.finditer(page):
+    while found := _TOKEN.search(page, at):
         if found.start() > at:
             text(page[at:found.start()])
         at = found.end()
         name = (found["raw"] or found["name"] or "").lower()
         if not name:
             continue
-        out.append((f"tag {name}", -1, 1, marked > 0))
+        out.append((f"tag {name}", -1, 1, marked > 0, stack[-1][3] if stack else 0))
         if found["raw"]:
+            if not (name in SELF_CLOSED and found["rawattr"].endswith("/")):
+                at = raw_end(page, name, at, unclosed)
             continue
         if name in SPACED:
             blocks[-1].append(" ")
@@ -110,9 +139,12 @@ def items(page: str) -> tuple[list[Item], list[str]]:
             stack.pop()
         attr = found["attr"]
         label = " ".join(next(filter(None, m.groups()[1:]), "") for m in _NAMED.finditer(attr)) if "=" in attr else ""
-        boiler = bool(stack and stack[-1][1]) or name in BOILERPLATE or (name == "header" and not marked) \
+        # The header of a page stands in its body, that of an article in some element.
+        of_page = name == "header" and all(s[0] in ("html", "body") for s in stack)
+        boiler = bool(stack and stack[-1][1]) or name in BOILERPLATE or of_page \
             or (name not in (*ARTICLE, "body", "html") and bool(BOILERPLATE_NAMES.search(label))) or bool(_HIDDEN.search(attr))
-        stack.append((name, boiler, label.split()[0].lower() if label and name not in ARTICLE else ""))
+        containers += name in CONTAINERS
+        stack.append((name, boiler, label.split()[0].lower() if label and name not in ARTICLE else "", containers if name in CONTAINERS else stack[-1][3] if stack else 0))
         marked += name in ARTICLE
         link = 0
     if at < len(page):
@@ -149,7 +181,7 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 def scored(sequence: list[Item], weights: dict[str, float]) -> list[tuple[float, float]]:
     """Weight of a unit, and the score of the whole, for each item of a page."""
     out = []
-    for kind, _, n, _ in sequence:
+    for kind, _, n, *_ in sequence:
         weight = weights.get(kind)
         weight = default_weight(kind) if weight is None else weight
         out.append((weight, weight * (min(n, BOILERPLATE_WORDS) if kind.startswith("word boilerplate") else n)))
@@ -157,7 +189,7 @@ def scored(sequence: list[Item], weights: dict[str, float]) -> list[tuple[float,
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """Blocks of the run with the largest sum, joined by blank lines; empty if no run has a positive sum."""
+    """Blocks of the run with the largest sum, whole but for boilerplate, joined by blank lines; empty if no run has a positive sum."""
     if not page:
         return ""
     sequence, blocks = items(page)
@@ -170,8 +202,31 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         total += value
         if total > best:
             best, first, last = total, start, i + 1
-    kept = dict.fromkeys(block for (_, block, _, _), (weight, _) in zip(sequence[first:last], values[first:last], strict=True) if block >= 0 and weight > 0)
-    return "\n\n".join(blocks[b] for b in kept if blocks[b])
+    return "\n\n".join(blocks[b] for b in run_blocks(sequence, first, last) if blocks[b])
+
+
+def run_blocks(sequence: list[Item], first: int, last: int) -> list[int]:
+    """Text blocks of a run, in order, but for boilerplate.
+
+    Short blocks after the run that stand in the container of its last one, and
+    before any boilerplate, belong to it: they cost more in tags than their
+    words bring.
+    """
+    kept: dict[int, None] = {}
+    container = 0
+    for at, (kind, block, _, _, around) in enumerate(sequence[first:]):
+        if block < 0:
+            continue
+        plain = not kind.startswith("word boilerplate")
+        if first + at < last:
+            if plain:
+                kept[block] = None
+                container = around
+        elif plain and around == container and container:
+            kept[block] = None
+        else:
+            break
+    return list(kept)
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html", sample_rows: int = 4000) -> dict[str, float]:
@@ -189,7 +244,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html", sample_rows: int = 4
         for batch in chunks(batches, html_col):
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for page in batch.column(0).to_pylist():
-                for kind, _, n, inside in items(page)[0]:
+                for kind, _, n, inside, _ in items(page)[0]:
                     seen[inside][kind] += n
             kinds = sorted(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([seen[1][k] for k in kinds], pa.int64()),

@@ -6,7 +6,7 @@ import html as entities
 import random
 import re
 
-from sowmill.llm.html import extract_text, items, learn_weights, main_text, scored, weigh
+from sowmill.llm.html import extract_text, items, learn_weights, main_text, run_blocks, scored, weigh
 
 PAGE_SCHEMA = "page_id long, url string, html string, text string, n_chars long"
 
@@ -54,7 +54,6 @@ def test_linear_scan_finds_the_best_run():
         page = "".join(draw.choice(["<p>alpha beta</p>", "<a href='#'>menu</a>", "<hr>", "<div>gamma</div>", "<nav>delta</nav>", "<br>", "word "]) for _ in range(12))
         sequence, blocks = items(page)
         values = [v for _, v in scored(sequence, {})]
-        units = [u for u, _ in scored(sequence, {})]
         runs = [(sum(values[i:j]), i, j) for i in range(len(values)) for j in range(i + 1, len(values) + 1)]
         best = max((r[0] for r in runs), default=0)
         text = main_text(page, {})
@@ -64,8 +63,7 @@ def test_linear_scan_finds_the_best_run():
         answers = set()
         for total, i, j in runs:
             if abs(total - best) < 1e-9:
-                kept = dict.fromkeys(b for (_, b, _, _), v in zip(sequence[i:j], units[i:j], strict=True) if b >= 0 and v > 0)
-                answers.add("\n\n".join(blocks[b] for b in kept if blocks[b]))
+                answers.add("\n\n".join(blocks[b] for b in run_blocks(sequence, i, j) if blocks[b]))
         assert text in answers
 
 
@@ -88,3 +86,36 @@ def test_odd_pages(spark):
     assert by_id[4] == "Open tags and a stray < sign & an ampersand; quoted text\n\nsecond block of words"
     assert by_id[8] == ("long text " * 50_000).strip()
     assert extract_text(pages.limit(0), learn_weights(pages.limit(0))).count() == 0
+
+
+STORY = "<p>First words of the story, which goes on for long enough to be the article.</p><p>More words of the same story stand in a second block.</p>"
+WANTED = "First words of the story, which goes on for long enough to be the article.\n\nMore words of the same story stand in a second block."
+
+
+def test_forms_that_must_not_cost_article_text():
+    shell = '<body><nav><a href="/">Home</a> <a href="/x">More</a></nav>{}<footer>All rights reserved by us</footer></body>'
+    cases = {
+        f'<svg width="1" viewBox="0 0 1 1"/><div>{STORY}</div><svg><title>x</title></svg>': WANTED,
+        f'<div>{STORY}<iframe src="a"><p>Words after a frame that never ends are still words of it.</p></div>': f"{WANTED}\n\nWords after a frame that never ends are still words of it.",
+        f'<div>{STORY}<p><a href="x">A paragraph that is one link</a></p><p>Some last words follow it here.</p></div>': f"{WANTED}\n\nA paragraph that is one link\n\nSome last words follow it here.",
+        f'<div><header><h1>The headline of the post</h1></header>{STORY}</div>': f"The headline of the post\n\n{WANTED}",
+        f'<div>{STORY}<section class="related-work"><p>Related work is discussed in this part of the text.</p></section><p>And this ends the article now.</p></div>':
+            f"{WANTED}\n\nRelated work is discussed in this part of the text.\n\nAnd this ends the article now.",
+        f'<div>{STORY}<pre>x = 1</pre></div>': f"{WANTED}\n\nx = 1",
+        f'<div>{STORY}<div class="related-posts"><p>Read these other posts as well, dear reader.</p></div></div>': WANTED,
+        f'<div>{STORY}<div class="ad-box">Buy now</div><p>End.</p></div>': None,
+    }
+    for inner, wanted in cases.items():
+        found = main_text(shell.format(inner), {})
+        assert "Home" not in found and "rights" not in found and "Buy" not in found
+        assert wanted is None or found == wanted, inner
+        assert WANTED in found
+
+
+def test_many_unclosed_elements_take_linear_time():
+    import time
+
+    start = time.time()
+    for name in ("iframe", "svg", "object", "select", "title", "textarea"):
+        assert main_text(f"<div>{STORY}" + f"<{name}>" * 20_000 + "</div>", {}) == WANTED
+    assert time.time() - start < 20
