@@ -141,9 +141,16 @@ def signature(text: str) -> list[int]:
     return [int(((hashes ^ (hashes >> np.uint64(29 + k))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)).min().view(np.int64)) for k in range(SIGNATURE)]
 
 
-def without_copies(sample: DataFrame, text_col: str) -> DataFrame:
-    """One row of each group of near copies in a bounded sample, whose signatures the driver goes through."""
+def without_copies(sample: DataFrame, text_col: str, label_col: str, weight_col: str) -> DataFrame:
+    """One row of each group of near copies in a bounded sample, whose signatures the driver goes through.
+
+    Equal texts become one row first, with the label that stands for more rows
+    (the greater of equal ones) and the sum of their weights.
+    """
     hashed = sample.withColumn("__text", F.xxhash64(text_col))
+    by_label = hashed.groupBy("__text", text_col, label_col).agg(F.sum(weight_col).alias(weight_col))
+    hashed = by_label.groupBy("__text").agg(F.max_by(F.struct(text_col, label_col), F.struct(weight_col, label_col, text_col)).alias("__row"), F.sum(weight_col).alias(weight_col)) \
+        .select("__text", "__row.*", weight_col)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):
@@ -157,7 +164,7 @@ def without_copies(sample: DataFrame, text_col: str) -> DataFrame:
             kept.append((key,))
         seen.update(signs)
     chosen = sample.sparkSession.createDataFrame(kept, "__text long")
-    return hashed.join(F.broadcast(chosen), "__text").dropDuplicates(["__text"]).drop("__text")
+    return hashed.join(F.broadcast(chosen), "__text").drop("__text")
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", dictionary_rows: int = 400, contrast: float = 40.0,
@@ -174,7 +181,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", d
     if weight_col not in labelled.columns:
         labelled = labelled.withColumn(weight_col, F.lit(1.0))
     usable = keyed(labelled, text_col, label_col, weight_col).where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
-    sample = without_copies(usable, text_col).persist()
+    sample = without_copies(usable, text_col, label_col, weight_col).persist()
     try:
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, text_col):
@@ -275,6 +282,11 @@ def score_held_out(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows whose text scores under ``CUT``, with their columns."""
+    """Rows whose text scores under ``CUT``, with their columns.
+
+    A null or empty text is judged like a text without windows of note;
+    repeated rows are judged alike; without labels of both classes every row
+    stays; an empty table gives no rows.
+    """
     model = fit(training_rows(docs, labels, id_col, text_col))
     return score(docs, model, text_col, "__toxic_score").where(F.col("__toxic_score") < CUT).drop("__toxic_score")

@@ -127,3 +127,13 @@ def test_drawn_labels_keep_the_shares_of_the_classes(spark):
         drawn = training_rows(docs, labels, rows_per_class=most)
         shares.append(score(clean, fit(drawn)).agg(F.avg((F.col("score") >= 0.3).cast("int"))).first()[0])
     assert abs(shares[0] - shares[1]) < 0.02
+
+
+def test_equal_texts_with_different_labels_have_one_row(spark):
+    from sowmill.llm.toxicity import without_copies
+
+    rows = [("one text that stands with both labels", 1, 1.0), ("one text that stands with both labels", 0, 2.0), ("one text that stands with both labels", 1, 1.5),
+            ("another text of two equal shares here", 0, 1.0), ("another text of two equal shares here", 1, 1.0), ("quite some other words again", 0, 3.0)]
+    sample = spark.createDataFrame(rows * 1, "text string, toxic int, weight double").repartition(4)
+    got = sorted(tuple(r) for r in without_copies(sample, "text", "toxic", "weight").select("text", "toxic", "weight").collect())
+    assert got == [("another text of two equal shares here", 1, 2.0), ("one text that stands with both labels", 1, 4.5), ("quite some other words again", 0, 3.0)]
