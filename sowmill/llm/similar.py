@@ -10,6 +10,7 @@ one class, and classes are joined:
    shingles as it needs, to have replacements for hot ones; a class that runs
    out of them goes by the plain order, and meets all others in the lists of
    its hot shingles.
+   A list that holds no other class of like size is none.
 2. Count vectors. Shingles fall into ``GROUPS`` groups by hash, and the counts
    per group are a point. Two sets share at most the sum of the smaller
    coordinates. Within a list, points are the leaves of an R-tree of boxes:
@@ -306,6 +307,13 @@ class Heads:
     def counts(self) -> np.ndarray:
         return np.bincount(self.place, minlength=len(self.distinct)).astype(np.uint32)
 
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest and largest set size that each distinct head stands in."""
+        size = np.repeat(self.n, self.sent).astype(np.uint32)
+        order = np.lexsort((size, self.place))
+        starts = np.searchsorted(self.place[order], np.arange(len(self.distinct) + 1))
+        return size[order][starts[:-1]], size[order][starts[1:] - 1]
+
     def listed(self, totals: np.ndarray, hot: int) -> tuple[np.ndarray, ...]:
         """Owner, shingle place, list length, and marks (plain, hot head, lacking) of the heads that other classes have too."""
         df = totals[self.place]
@@ -325,30 +333,49 @@ class Heads:
         return owner[some], self.place[some], df[some], plain[some], head[some], lacking[some]
 
 
+def partnered(place: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int, most: int = 8) -> np.ndarray:
+    """Which entries (of a key, by block) can meet a set of like size: another one of their block, or one of another block.
+
+    Keys of more than ``most`` entries are not looked into; all theirs can.
+    """
+    order = np.argsort(place, kind="stable")
+    key, lo, hi = place[order], low[order].astype(np.int64), high[order].astype(np.int64)
+    met = (counts[order] > 1) | (np.bincount(place)[key] > most)
+    for apart in range(1, min(most, len(key))):
+        same = (key[apart:] == key[:-apart]) & (lo[apart:] * percent <= hi[:-apart] * 100) & (lo[:-apart] * percent <= hi[apart:] * 100)
+        met[apart:] |= same
+        met[:-apart] |= same
+    out = np.empty(len(place), dtype=bool)
+    out[order] = met
+    return out
+
+
 def head_totals(blocks: DataFrame, level: int, threshold: Threshold) -> DataFrame:
-    """For each block and range, in how many blocks' classes each of its heads is, in their order."""
+    """For each block and range, in how many blocks' classes each of its heads is, in their order; 1 where none of these is of like size."""
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Heads(row, threshold)
-                counts = block.counts()
+                counts, (low, high) = block.counts(), block.ranges()
                 owner = (block.distinct >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(counts), dtype=np.int64)
                 cuts = np.searchsorted(owner, np.arange((1 << level) + 1))
                 some = np.flatnonzero(np.diff(cuts))
+                columns = [[packed(values[cuts[r]:cuts[r + 1]]) for r in some] for values in (counts, low, high - low)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int64()), pa.array([row["block"]] * len(some), pa.int64()),
                      pa.array([packed_sorted(block.distinct[cuts[r]:cuts[r + 1]]) for r in some], pa.binary()),
-                     pa.array([packed(counts[cuts[r]:cuts[r + 1]]) for r in some], pa.binary())], names=["range", "block", "keys", "counts"])
+                     *[pa.array(c, pa.binary()) for c in columns]], names=["range", "block", "keys", "counts", "low", "span"])
 
     def add(table: pa.Table) -> pa.Table:
         keys = [unpacked_sorted(k) for k in table["keys"].to_pylist()]
-        counts = np.concatenate([unpacked(c, np.uint32) for c in table["counts"].to_pylist()])
+        counts, low, span = (np.concatenate([unpacked(c, np.uint32) for c in table[name].to_pylist()]) for name in ("counts", "low", "span"))
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(known)).astype(np.uint32)
-        answers = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
+        told = np.where(partnered(place, counts, low, low + span, threshold.percent), total[place], 1).astype(np.uint32)
+        answers = np.split(told, np.cumsum([len(k) for k in keys])[:-1])
         return pa.table({"range": table["range"], "block": table["block"], "totals": pa.array([packed(a) for a in answers], pa.binary())})
 
-    return blocks.select("block", "members", "n", "heads").mapInArrow(send, "range long, block long, keys binary, counts binary") \
+    return blocks.select("block", "members", "n", "heads").mapInArrow(send, "range long, block long, keys binary, counts binary, low binary, span binary") \
         .groupBy("range").applyInArrow(add, "range long, block long, totals binary")
 
 

@@ -142,3 +142,17 @@ def test_unlike_sets_are_told_apart_by_their_points():
         points = similar.Points([similar.count_vector(s, similar.groups_of(n)) for s in sets])
         a, b = np.triu_indices(60, 1)
         assert threshold.enough(points.bound(a, b), np.full(len(a), 2 * n)).mean() < 0.002, n
+
+
+def test_entries_without_partners_of_like_size():
+    draw = random.Random(8)
+    for percent in (80, 85, 100):
+        place = np.array([draw.randrange(60) for _ in range(200)] + [99] * 12)
+        low = np.array([draw.randint(1, 60) for _ in place], dtype=np.uint32)
+        high = low + np.array([draw.choice([0, 0, 0, 5]) for _ in place], dtype=np.uint32)
+        counts = np.where(high > low, 2, 1).astype(np.uint32)
+        got = similar.partnered(place, counts, low, high, percent, most=8)
+        many = np.bincount(place)[place]
+        for i in range(len(place)):
+            like = any(j != i and place[j] == place[i] and 100 * min(int(high[i]), int(high[j])) >= percent * max(int(low[i]), int(low[j])) for j in range(len(place)))
+            assert got[i] == (counts[i] > 1 or many[i] > 8 or like)
