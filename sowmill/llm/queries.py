@@ -135,3 +135,29 @@ FROM worst w JOIN total USING (lang) QUALIFY rank <= 2000
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 phrases of each language that stand together most."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("base_secrets", r"""
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '(password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', 2, 'i'), lambda x: length(x) >= 6)) AS n_assign,
+    len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+""".replace("\\'", "''"))
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base spans, which SQL can give too."""
+    return op6(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+@query("base_quality", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+g AS (SELECT doc_id, pos, word || ' ' || lead(word) OVER near || ' ' || lead(word, 2) OVER near AS run FROM w WINDOW near AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS times FROM g WHERE run IS NOT NULL) WHERE times > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM r) GROUP BY doc_id),
+b AS (SELECT doc_id, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+""")
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of the quality rules, which SQL can give too."""
+    return op8(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
