@@ -108,8 +108,8 @@ def sow(spark: SparkSession, sf_dir: str) -> DataFrame:
             .drop("plan"))
 
 
-def sow_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text per SOW."""
+def with_text(rows: DataFrame) -> DataFrame:
+    """Adds the text of each SOW."""
     key = F.col("sow_key")
     body = F.concat_ws(
         "\n",
@@ -127,7 +127,12 @@ def sow_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    F.lit(" hours"))),
         F.concat(F.lit("Budget: $"), F.round("o_totalprice").cast("long").cast("string")),
     )
-    return sow(spark, sf_dir).select("sow_key", "file_name", "client_name", "project_title", body.alias("text"))
+    return rows.withColumn("text", body)
+
+
+def sow_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text per SOW."""
+    return with_text(sow(spark, sf_dir)).select("sow_key", "file_name", "client_name", "project_title", "text")
 
 
 # --- the same in SQL -------------------------------------------------------------------------

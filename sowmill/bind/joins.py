@@ -96,16 +96,15 @@ def jn08(spark, sf_dir):
 
 
 def records(spark, sf_dir):
-    """Two extractions of each SOW: the stored record and the reading of its text."""
-    s = B.sow(spark, sf_dir)
+    """Two extractions of each SOW in one row: the stored record, under ``stored_`` names, and the reading of its text."""
+    s = B.with_text(B.sow(spark, sf_dir))
     stored = s.select(
         "sow_key", "client_name", "project_title", F.col("start_date").cast("string").alias("start_date"),
         F.col("end_date").cast("string").alias("end_date"),
         S.project_length(F.col("start_date"), F.col("end_date")).alias("project_length"),
         F.col("scope_summary"), "deliverables", "exclusions",
-        F.transform("staffing", lambda x: x["title"]).alias("staffing_plan"))
-    read = X.taxonomy_extract(B.sow_text(spark, sf_dir), "text", ["sow_key"])
-    return stored, read
+        F.transform("staffing", lambda x: x["title"]).alias("staffing_plan"), "text")
+    return X.taxonomy_extract(stored.withColumnsRenamed({f: f"stored_{f}" for f in K.COMPARED_FIELDS}), "text", ["sow_key", *[f"stored_{f}" for f in K.COMPARED_FIELDS]])
 
 
 _STORED = """stored AS (SELECT sow_key, client_name, project_title, CAST(start_date AS VARCHAR) AS start_date,
@@ -127,8 +126,7 @@ CMP_SQL = _CMP
 
 
 def comparison(spark, sf_dir):
-    stored, read = records(spark, sf_dir)
-    return R.compare_extractions(stored, read, "sow_key")
+    return R.compare_columns(records(spark, sf_dir), "sow_key", {f: f"stored_{f}" for f in K.COMPARED_FIELDS}, {f: f for f in K.COMPARED_FIELDS})
 
 
 @query("jn09_compare_extractions", B.sql("SELECT sow_key, field, llm_value, taxonomy_value, status FROM st", _CMP))

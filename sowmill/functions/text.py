@@ -91,25 +91,30 @@ def _allowed(value: Column, banned: list[str]) -> Column:
     return let(value, lambda v: F.when(~any_word(v, banned), v)) if banned else value
 
 
-def _first_of(text: Column, tries: list[tuple[str, object]]) -> Column:
+def _lowered(text: Column, low: Column | None, body) -> Column:
+    """``body`` of the text in lower case, which a caller may have at hand."""
+    return let(F.lower(text), body) if low is None else body(low)
+
+
+def _first_of(text: Column, tries: list[tuple[str, object]], low: Column | None = None) -> Column:
     """First try with a value; a try runs its patterns only where its literal word occurs at all."""
-    return let(F.lower(text), lambda low: F.coalesce(*[F.when(low.contains(word), value) for word, value in tries]))
+    return _lowered(text, low, lambda lower: F.coalesce(*[F.when(lower.contains(word), value) for word, value in tries]))
 
 
-def client_name(text: Column, own_names: list[str] | None = None) -> Column:
+def client_name(text: Column, own_names: list[str] | None = None, low: Column | None = None) -> Column:
     """Client by contract wording, then by label; own-side words and names are skipped."""
     wording = W["client_name"]
     banned = wording["exclusion_patterns"] + [n.lower() for n in own_names or []]
     stop = r"(?:\s+and\s+|\s+vs\.?\s+|\s+versus\s+|\s+\(|\s*\z)"
     tries = [(w, find(text, rf"(?i){w}\s+([^,]+?){stop}")) for w in wording["contract_indicators"]]
     tries += [(w, find(text, rf"(?i){w}\s*:?\s*([^\n\r]+)")) for w in wording["label_indicators"]]
-    return _first_of(text, [(w, _allowed(F.trim(t), banned)) for w, t in tries])
+    return _first_of(text, [(w, _allowed(F.trim(t), banned)) for w, t in tries], low)
 
 
-def project_title(text: Column) -> Column:
+def project_title(text: Column, low: Column | None = None) -> Column:
     wording = W["project_title"]
     return _first_of(text, [(w, _allowed(F.trim(find(text, rf"(?i){w}\s*:?\s*([^\n\r]+)")), wording["exclusion_patterns"]))
-                            for w in wording["title_indicators"]])
+                            for w in wording["title_indicators"]], low)
 
 
 def _value_after(text: Column, lead: str, patterns: list[str]) -> Column:
@@ -117,24 +122,24 @@ def _value_after(text: Column, lead: str, patterns: list[str]) -> Column:
                lambda rest: F.coalesce(*[find(rest, any_case(p), 0) for p in patterns]))
 
 
-def _date_after(text: Column, field: str) -> Column:
+def _date_after(text: Column, field: str, low: Column | None = None) -> Column:
     wording = W[field]
     leads = [(w, w) for w in wording["context_patterns"]] + [(w, w + r"\s*:?") for w in wording["primary_indicators"]]
-    return _first_of(text, [(w, _value_after(text, lead, wording["date_formats"])) for w, lead in leads])
+    return _first_of(text, [(w, _value_after(text, lead, wording["date_formats"])) for w, lead in leads], low)
 
 
-def start_date(text: Column) -> Column:
-    return _date_after(text, "start_date")
+def start_date(text: Column, low: Column | None = None) -> Column:
+    return _date_after(text, "start_date", low)
 
 
-def end_date(text: Column) -> Column:
-    return _date_after(text, "end_date")
+def end_date(text: Column, low: Column | None = None) -> Column:
+    return _date_after(text, "end_date", low)
 
 
-def project_length_text(text: Column) -> Column:
+def project_length_text(text: Column, low: Column | None = None) -> Column:
     wording = W["project_length"]
     return _first_of(text, [(w, _value_after(text, w + r"\s*:?", wording["duration_patterns"]))
-                            for w in wording["duration_indicators"]])
+                            for w in wording["duration_indicators"]], low)
 
 
 def section_after(text: Column, header: str, end: str = SECTION_END) -> Column:
@@ -143,7 +148,7 @@ def section_after(text: Column, header: str, end: str = SECTION_END) -> Column:
     return F.nullif(F.get(F.split(rest, end, 2), F.lit(0)), F.lit(""))
 
 
-def scope_summary(text: Column, longest: int | None = None) -> Column:
+def scope_summary(text: Column, longest: int | None = None, low: Column | None = None) -> Column:
     """Scope section of over 50 characters, whole, or with an ellipsis after ``longest`` characters."""
     def guarded(header: str) -> Column:
         def shown(s: Column) -> Column:
@@ -151,15 +156,15 @@ def scope_summary(text: Column, longest: int | None = None) -> Column:
 
         return let(F.trim(section_after(text, header, SECTION_END + r"|\n\d+\.")), lambda s: F.when(F.length(s) > 50, shown(s)))
 
-    return _first_of(text, [(h, guarded(h)) for h in W["scope_summary"]["section_headers"]])
+    return _first_of(text, [(h, guarded(h)) for h in W["scope_summary"]["section_headers"]], low)
 
 
-def _sections(text: Column, headers: list[str]) -> Column:
-    return let(F.lower(text), lambda low: F.array_compact(F.array(*[
-        F.when(low.contains(h), section_after(text, h)) for h in headers])))
+def _sections(text: Column, headers: list[str], low: Column | None = None) -> Column:
+    return _lowered(text, low, lambda lower: F.array_compact(F.array(*[
+        F.when(lower.contains(h), section_after(text, h)) for h in headers])))
 
 
-def _list_items(text: Column, field: str) -> Column:
+def _list_items(text: Column, field: str, low: Column | None = None) -> Column:
     marks = W[field]["list_indicators"]
 
     def items(section: Column) -> Column:
@@ -167,21 +172,21 @@ def _list_items(text: Column, field: str) -> Column:
             F.when(section.contains(m), all_of(section, re.escape(m) + r"\s*([^\n\r]+)")) for m in marks])))
         return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) > 10)
 
-    return F.flatten(F.transform(_sections(text, W[field]["section_headers"]), items))
+    return F.flatten(F.transform(_sections(text, W[field]["section_headers"], low), items))
 
 
-def deliverables(text: Column) -> Column:
+def deliverables(text: Column, low: Column | None = None) -> Column:
     """List items of the deliverable sections, one pass per list mark; an item may occur more than once."""
-    return _list_items(text, "deliverables")
+    return _list_items(text, "deliverables", low)
 
 
-def exclusions(text: Column) -> Column:
-    return _list_items(text, "exclusions")
+def exclusions(text: Column, low: Column | None = None) -> Column:
+    return _list_items(text, "exclusions", low)
 
 
-def staffing_lines(text: Column) -> Column:
+def staffing_lines(text: Column, low: Column | None = None) -> Column:
     wording = W["staffing_plan"]
-    lines = F.flatten(F.transform(_sections(text, wording["section_headers"]), lambda s: F.split(s, "\n")))
+    lines = F.flatten(F.transform(_sections(text, wording["section_headers"], low), lambda s: F.split(s, "\n")))
     return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: any_word(x, wording["table_indicators"]))
 
 
@@ -193,8 +198,9 @@ EXTRACTORS = {
 
 
 def taxonomy_extract(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """All nine fields of every text in one projection."""
-    return df.select(*keep, *[fn(F.col(text)).alias(field) for field, fn in EXTRACTORS.items()])
+    """All nine fields of every text in one projection over the text and its lower case."""
+    lowered = df.withColumn("_low", F.lower(text))
+    return lowered.select(*keep, *[fn(F.col(text), low=F.col("_low")).alias(field) for field, fn in EXTRACTORS.items()])
 
 
 def wordings() -> list[tuple[str, str, str]]:

@@ -143,23 +143,26 @@ def compare_extractions(first: DataFrame, second: DataFrame, key: str, fields: l
     afterwards, so the join moves one row per record and not one per field.
     """
     fields = fields or K.COMPARED_FIELDS
+    joined = first.select(key, *[F.col(f).alias(f"_a_{f}") for f in fields]).join(second.select(key, *[F.col(f).alias(f"_b_{f}") for f in fields]), key)
+    return compare_columns(joined, key, {f: f"_a_{f}" for f in fields}, {f: f"_b_{f}" for f in fields})
 
-    def values(df: DataFrame, side: str) -> DataFrame:
-        kinds = dict(df.dtypes)
-        cols = [(F.size(F.coalesce(c, F.array().cast(kinds[c]))) if kinds[c].startswith("array") else F.col(c)).cast("string")
-                for c in fields]
-        return df.select(key, F.struct(*[c.alias(f) for c, f in zip(cols, fields)]).alias(side))
+
+def compare_columns(df: DataFrame, key: str, first: dict[str, str], second: dict[str, str]) -> DataFrame:
+    """The same for two records that stand in one row: ``first`` and ``second`` name the column of each field."""
+    kinds = dict(df.dtypes)
+
+    def text(c: str) -> Column:
+        return (F.size(F.coalesce(c, F.array().cast(kinds[c]))) if kinds[c].startswith("array") else F.col(c)).cast("string")
 
     def status(a: Column, b: Column) -> Column:
         has = lambda v: v.isNotNull() & ~v.isin("", "0")
         return (F.when(a.eqNullSafe(b), "Match").when(has(a) & ~has(b), "LLM Only")
                 .when(has(b) & ~has(a), "Taxonomy Only").when(~has(a) & ~has(b), "Match").otherwise("Different"))
 
-    joined = values(first, "_a").join(values(second, "_b"), key)
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_a.{f}").alias("llm_value"),
-                              F.col(f"_b.{f}").alias("taxonomy_value"),
-                              status(F.col(f"_a.{f}"), F.col(f"_b.{f}")).alias("status")) for f in fields])
-    return joined.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+    shown = df.select(key, *[text(first[f]).alias(f"_x_{f}") for f in first], *[text(second[f]).alias(f"_y_{f}") for f in first])
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_x_{f}").alias("llm_value"), F.col(f"_y_{f}").alias("taxonomy_value"),
+                              status(F.col(f"_x_{f}"), F.col(f"_y_{f}")).alias("status")) for f in first])
+    return shown.select(key, F.explode(rows).alias("r")).select(key, "r.*")
 
 
 def by_precedence(base: DataFrame, sources: list[DataFrame], key: str, field: str) -> DataFrame:
