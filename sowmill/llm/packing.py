@@ -11,10 +11,7 @@ a task becomes windows whose lengths are powers of two and need no padding.
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,98 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sowmill.llm.common import WORKER_CACHES, chunks, keyed
-
-#: Words a worker remembers at most, with their ids. Others are encoded again in each batch, to the same ids.
-MEMO_WORDS = 600_000
-
-_UNSAFE = re.compile(r"[^\S \n]|[ \n]{2}|<\|")
-
-
-class WordEncoder:
-    """Ids of texts by a byte-level BPE tokenizer, with a memo of words.
-
-    Such a tokenizer never merges across the start of a run of white space, so
-    a text with single spaces can be cut before each space and the parts
-    encoded apart. Other texts (tabs, two blanks in a row, special tokens) are
-    encoded whole.
-    """
-
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.most = memo_words
-        self.code: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 12, dtype=np.int64)
-        self.words = 0
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 50_000):
-            part = words[at:at + 50_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            base = self.ends[self.words - 1] if self.words else 0
-            total = int(base + lengths.sum())
-            while total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.words + len(part) > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[base:total] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=total - int(base))
-            self.ends[self.words:self.words + len(part)] = base + np.cumsum(lengths)
-            self.code.update(zip(part, range(self.words, self.words + len(part)), strict=True))
-            self.words += len(part)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        whole, parts, counts, at = [], [], [], []
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = np.zeros(0, dtype=np.uint32)
-            elif _UNSAFE.search(text):
-                whole.append(i)
-            else:
-                words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-                if words is None:
-                    whole.append(i)
-                    continue
-                parts += words
-                counts.append(len(words))
-                at.append(i)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if parts:
-            before = self.words
-            new = list(set(parts).difference(self.code))
-            self._learn(new)
-            codes = np.fromiter(map(self.code.__getitem__, parts), dtype=np.int64, count=len(parts))
-            ends = self.ends[codes]
-            lengths = ends - np.where(codes > 0, self.ends[codes - 1], 0)
-            stops = np.cumsum(lengths)
-            flat = self.ids[np.repeat(ends - stops, lengths) + np.arange(stops[-1])]
-            cuts = stops[np.cumsum(counts) - 1]
-            for i, a, b in zip(at, np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
-                out[i] = flat[a:b]
-            if self.words > self.most:
-                for word in new[max(0, self.most - before):]:
-                    del self.code[word]
-                self.words = max(before, self.most)
-        return out
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-WORKER_CACHES[__name__] = _ENCODERS
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+from sowmill.llm import words
+from sowmill.llm.common import chunks, keyed
+from sowmill.llm.words import byte_memo
 
 
 class Packer:
@@ -219,7 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        memo = byte_memo(tokenizer_path)
         packer, base, done = Packer(window, max_open), TaskContext.get().partitionId() << 33, 0
         kind = None
 
@@ -241,10 +149,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
                      pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()), pa.array(totals, pa.int64()),
                      pa.array(windows, pa.int64()), pa.array(offsets, pa.int64())], names=schema.names)
 
-        for batch in chunks(batches, text_col, 8 << 20, keep=__name__):
+        for batch in chunks(batches, text_col, 4 << 20, keep=words.__name__):
             kind = batch.schema.field(0).type
-            end = np.array([end_id], dtype=np.uint32)
-            for key, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            end = np.array([end_id], dtype=np.int32)
+            for key, ids in zip(batch.column(0).to_pylist(), memo.of_texts(batch.column(1).fill_null(""))[0], strict=True):
                 packer.add((key, len(ids) + 1), np.concatenate([ids, end]))
             yield from rows()
         packer.settle(last=True)

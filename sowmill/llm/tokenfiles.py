@@ -13,7 +13,6 @@ needs only the manifest.
 from __future__ import annotations
 
 import math
-import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,37 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sowmill.llm.common import WORKER_CACHES, chunks, keyed
-from sowmill.llm.words import Memo, as_list, byte_level_bytes, flat_ids, ids_of_parts
+from sowmill.llm import words
+from sowmill.llm.common import chunks, keyed
+from sowmill.llm.words import as_list, byte_memo
 
-#: Words a worker remembers at most.
-MEMO_WORDS = 500_000
 #: Bytes of text of one file, about.
 FILE_BYTES = 32 << 20
 
-_MEMOS: dict[str, Memo] = {}
-WORKER_CACHES[__name__] = _MEMOS
-
-
-def _memo(path: str) -> Memo:
-    if path not in _MEMOS:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        specials = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
-        if any(" " in s for s in specials.values()):
-            raise ValueError("a special token with a blank inside cannot be found by parts")
-        names = [specials.get(i) or tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
-        size = np.array([len(n.encode()) if i in specials else len(byte_level_bytes(n)) for i, n in enumerate(names)])
-
-        def whole(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-            return [flat_ids([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])]
-
-        _MEMOS[path] = Memo(lambda parts: [ids_of_parts(tokenizer, size, parts)], whole, [np.int32], MEMO_WORDS, finer=True)
-    return _MEMOS[path]
-
-
 def file_schema(id_type: T.DataType, id_col: str = "doc_id") -> T.StructType:
     return T.StructType([
         T.StructField("file", T.LongType()), T.StructField(id_col, id_type), T.StructField("at", T.LongType()),
@@ -82,9 +57,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     schema = file_schema(source.schema["id"].dataType, id_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, file, at = _memo(tokenizer_path), TaskContext.get().partitionId(), 0
+        memo, file, at = byte_memo(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=np.int32)
-        for batch in chunks(batches, "text", 8 << 20, keep=__name__):
+        for batch in chunks(batches, "text", 8 << 20, keep=words.__name__):
             ids = memo.of_texts(batch.column(1).fill_null(""))[0]
             lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) + 1
             stops = at + np.cumsum(lengths)

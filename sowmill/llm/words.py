@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from itertools import chain, repeat
 
@@ -9,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sowmill.llm.common import WORKER_CACHES
+
 #: Texts that must be encoded whole: white space other than a blank or a line feed, two of these in a row, or the byte that marks cuts.
 _ODD = r"[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]| $"
 #: New parts that are encoded at a time.
@@ -153,3 +156,30 @@ def ids_of_parts(tokenizer, size: np.ndarray, parts: list[str]) -> tuple[np.ndar
     flat, of_blank = np.zeros(counts.sum(), dtype=np.int32), np.repeat(blank, counts)
     flat[of_blank], flat[~of_blank] = ids, others
     return flat, counts
+
+
+#: Words a worker remembers at most, with their ids. Others are encoded again in each batch, to the same ids.
+MEMO_WORDS = 400_000
+
+_MEMOS: dict[str, Memo] = {}
+WORKER_CACHES[__name__] = _MEMOS
+
+
+def byte_memo(path: str) -> Memo:
+    """Ids of texts by a byte-level tokenizer; a special token's string in a text is that token."""
+    if path not in _MEMOS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        specials = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
+        if any(" " in s for s in specials.values()):
+            raise ValueError("a special token with a blank inside cannot be found by parts")
+        names = [specials.get(i) or tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+        size = np.array([len(n.encode()) if i in specials else len(byte_level_bytes(n)) for i, n in enumerate(names)])
+
+        def whole(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+            return [flat_ids([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])]
+
+        _MEMOS[path] = Memo(lambda parts: [ids_of_parts(tokenizer, size, parts)], whole, [np.int32], MEMO_WORDS, finer=True)
+    return _MEMOS[path]

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sowmill.llm.packing import Packer, WordEncoder, pack, piece_digest
+from sowmill.llm.packing import Packer, pack, piece_digest
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -72,16 +72,6 @@ def test_empty_table_and_columns(nothing):
     assert out.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"] and out.count() == 0
 
 
-def test_memo_gives_the_tokenizers_ids(tokenizer):
-    draw = random.Random(1)
-    parts = ["the", "Éa", "x\ny", "a\n\nb", "\t", "don't", "12", "  ", " ", "<|endoftext|>", "日本", "", ".", "\0", "\x1c"]
-    texts = [" ".join(draw.choice(parts) for _ in range(draw.randint(0, 9))) for _ in range(400)]
-    encoder = WordEncoder(PATH, memo_words=5)
-    for at in range(0, 400, 50):
-        got = encoder.encode(texts[at:at + 50])
-        assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at:at + 50]]
-
-
 def test_level_adds_least_squares():
     draw = random.Random(2)
     for _ in range(300):

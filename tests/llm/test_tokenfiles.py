@@ -12,8 +12,9 @@ import pytest
 from llm.cases import similar_texts
 from tokenizers import Tokenizer
 
-from sowmill.llm import queries, tokenfiles
+from sowmill.llm import queries
 from sowmill.llm.tokenfiles import read_manifest, read_token_files, token_digest, write_token_files
+from sowmill.llm.words import byte_memo
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -98,7 +99,7 @@ def test_memo_gives_the_tokenizers_ids(tokenizer):
     draw = random.Random(1)
     parts = ["the", "Éa", "x\ny", "a\n\nb", "\t", "don't", "12", "  ", " ", "<|endoftext|>", "日本", "", ".", "\0", "\x1c", "\u0085", "　", "\n"]
     texts = [" ".join(draw.choice(parts) for _ in range(draw.randint(0, 9))) for _ in range(600)] + list(similar_texts().values())
-    memo = tokenfiles._memo(PATH)
+    memo = byte_memo(PATH)
     before, memo.most = memo.most, 5
     try:
         for at in range(0, len(texts), 50):
