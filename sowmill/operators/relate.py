@@ -72,7 +72,7 @@ def mentions_report(items: DataFrame, shown: int = 3) -> DataFrame:
 
     vocabulary = items.select("item")
     pairs = contains_pairs(vocabulary, vocabulary)
-    rows = (items.select("file_name", "ord", F.col("item").alias("text")).distinct()
+    rows = (items.select("file_name", "ord", F.col("item").alias("text"))
             .join(pairs, "text").select(F.col("phrase").alias("item"), "file_name", "ord").distinct())
     counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("sows"))
     first = (rows.withColumn("_n", F.row_number().over(W.partitionBy("item").orderBy("ord", "file_name")))
