@@ -56,27 +56,27 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     keys, reach = first_keys(data, 63 - PLACE_BITS)
     keys = np.sort((keys << place_bits) | np.arange(n, dtype=np.uint64))
     order = (keys & mask).astype(np.int32)
-    rank = np.empty(n, dtype=np.int32)
-    rank[order] = _group_ends(keys >> place_bits)
+    # Ranks from 1 on; past the end of the data stand zeros, which come before all.
+    rank = np.zeros(n + depth, dtype=np.int32)
+    rank[order] = _group_ends(keys >> place_bits) + 1
     places = np.arange(n, dtype=np.int32)
     while reach < depth:
-        group = rank[order[places]]
+        members = order[places]
+        group = rank[members]
         same = group[1:] == group[:-1]
         shared = np.zeros(len(places), dtype=bool)
         shared[1:] |= same
         shared[:-1] |= same
-        places, group = places[shared], group[shared]
+        places, group, members = places[shared], group[shared], members[shared]
         if not len(places):
             break
-        members = order[places]
-        further = members + np.int32(reach)
-        ahead = np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
+        ahead = rank[members + np.int32(reach)]
         keys = np.sort((((group.astype(np.uint64) << place_bits) | ahead.astype(np.uint64)) << place_bits) | members.astype(np.uint64))
         members = (keys & mask).astype(np.int32)
         order[places] = members
-        rank[members] = places[_group_ends(keys >> place_bits)]
+        rank[members] = places[_group_ends(keys >> place_bits)] + 1
         reach *= 2
-    return order, rank
+    return order, rank[:n] - 1
 
 
 def _group_ends(keys: np.ndarray) -> np.ndarray:
@@ -87,9 +87,12 @@ def _group_ends(keys: np.ndarray) -> np.ndarray:
     return np.repeat(ends, np.diff(np.append(-1, ends)))
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, most: int, places: np.ndarray | None = None) -> np.ndarray:
     """Kasai: bytes, up to ``most``, that each suffix in order shares with the one before.
 
+    With ``places`` only the first so many suffixes of each part are looked
+    at; the others get 0.
+
     A suffix shares at most one byte less than the one that starts a byte
     earlier did, if that one was told apart from its neighbour within the
     depth of the order; suffixes of one rank share ``most`` bytes anyway. The
@@ -101,7 +104,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, start
     place[order] = np.arange(n, dtype=np.int32)
     words = words_at(data)
     out = np.zeros(n, dtype=np.int32)
-    sizes = np.diff(np.append(starts, n))
+    sizes = np.diff(np.append(starts, n)) if places is None else places
     by_size = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[by_size], sizes[by_size]
     known = np.zeros(len(starts), dtype=np.int64)
@@ -132,10 +135,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, start
 def _leading_bytes(differ: np.ndarray) -> np.ndarray:
     """Zero bytes at the high end of numbers that are not 0."""
     out = np.zeros(len(differ), dtype=np.int64)
-    zero = np.ones(len(differ), dtype=bool)
-    for k in range(7, 0, -1):
-        zero &= (differ >> np.uint64(8 * k)) & np.uint64(0xFF) == 0
-        out += zero
+    for half in (4, 2, 1):
+        small = differ < np.uint64(1) << np.uint64(64 - 8 * half)
+        out += half * small
+        differ = np.where(small, differ << np.uint64(8 * half), differ)
     return out
 
 
@@ -173,7 +176,8 @@ class Shard:
         sizes = np.diff(np.append(self.starts, len(self.data))) - 1
         self.windows = np.maximum(sizes - width + 1, 0)
         order, rank = suffix_array(self.data, width)
-        shared = common_prefixes(self.data, order, rank, self.starts, width)
+        # A suffix that is no window runs into a separator within ``width`` bytes, so it shares less with any window.
+        shared = common_prefixes(self.data, order, rank, self.starts, width, self.windows)
         part = np.repeat(np.arange(len(parts)), sizes + 1)
         begins = (np.arange(len(self.data)) - self.starts[part]) < self.windows[part]
         group = np.cumsum(shared < width) - 1

@@ -99,6 +99,13 @@ def test_stretches_cover_all_windows_and_anchors_follow_content(monkeypatch):
     assert gram_hashes(flat, 8)[100] == gram_hashes(flat, 8)[700]
 
 
+def test_leading_bytes():
+    from sowmill.llm.suffixes import _leading_bytes
+
+    values = np.array([1 << k for k in range(64)] + [(1 << k) - 1 for k in range(1, 65)], dtype=np.uint64)
+    assert _leading_bytes(values).tolist() == [8 - (v.bit_length() + 7) // 8 for v in values.tolist()]
+
+
 def test_hashes_of_windows_tell_contents_apart():
     draw = random.Random(4)
     for width in (1, 7, 32, 50, 200):
