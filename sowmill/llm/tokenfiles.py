@@ -27,6 +27,8 @@ from sowmill.llm import words
 from sowmill.llm.common import chunks, keyed
 from sowmill.llm.words import as_list, byte_memo
 
+#: Words a worker remembers at most.
+MEMO_WORDS = 500_000
 #: Bytes of text of one file, about.
 FILE_BYTES = 32 << 20
 
@@ -57,7 +59,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     schema = file_schema(source.schema["id"].dataType, id_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, file, at = byte_memo(tokenizer_path), TaskContext.get().partitionId(), 0
+        memo, file, at = byte_memo(tokenizer_path, MEMO_WORDS), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=np.int32)
         for batch in chunks(batches, "text", 8 << 20, keep=words.__name__):
             ids = memo.of_texts(batch.column(1).fill_null(""))[0]

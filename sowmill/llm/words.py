@@ -161,13 +161,13 @@ def ids_of_parts(tokenizer, size: np.ndarray, parts: list[str]) -> tuple[np.ndar
 #: Words a worker remembers at most, with their ids. Others are encoded again in each batch, to the same ids.
 MEMO_WORDS = 400_000
 
-_MEMOS: dict[str, Memo] = {}
+_MEMOS: dict[tuple[str, int], Memo] = {}
 WORKER_CACHES[__name__] = _MEMOS
 
 
-def byte_memo(path: str) -> Memo:
+def byte_memo(path: str, most: int = MEMO_WORDS) -> Memo:
     """Ids of texts by a byte-level tokenizer; a special token's string in a text is that token."""
-    if path not in _MEMOS:
+    if (path, most) not in _MEMOS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -181,5 +181,5 @@ def byte_memo(path: str) -> Memo:
         def whole(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             return [flat_ids([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])]
 
-        _MEMOS[path] = Memo(lambda parts: [ids_of_parts(tokenizer, size, parts)], whole, [np.int32], MEMO_WORDS, finer=True)
-    return _MEMOS[path]
+        _MEMOS[path, most] = Memo(lambda parts: [ids_of_parts(tokenizer, size, parts)], whole, [np.int32], most, finer=True)
+    return _MEMOS[path, most]
