@@ -146,3 +146,17 @@ def test_upper_middle_of_many_values(spark):
     row = duration_stats(many).first()
     assert (row.min_weeks, row.max_weeks, row.median_weeks) == (7, 2_100_000, 150_001 * 7)
     assert duration_stats(many.limit(0)).first().median_weeks is None
+
+
+def test_small_files_are_written_by_many_tasks(spark, tmp_path):
+    tasks = S.FILE_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    rows = spark.range(10 * tasks, numPartitions=1).selectExpr("concat('t', id) AS t")
+
+    def writers(folder):
+        return {f.name.split("-")[1] for f in (tmp_path / folder).rglob("part-*")}
+
+    S.write_texts(rows, "t", str(tmp_path / "x"), per_file=1)
+    S.write_json(rows, str(tmp_path / "j"), per_file=1)
+    S.write_tables(rows.selectExpr("t AS file", "1 AS table_index", "0 AS row_index", "array(t) AS cells"), str(tmp_path / "c"))
+    assert len(writers("x")) >= tasks and len(writers("j")) >= tasks and len(writers("c")) > tasks // 2
+    assert sorted(r[0].strip() for r in S.read_texts(spark, str(tmp_path / "x")).select("text").collect()) == sorted(r.t for r in rows.collect())
