@@ -156,7 +156,20 @@ def test_small_files_are_written_by_many_tasks(spark, tmp_path):
         return {f.name.split("-")[1] for f in (tmp_path / folder).rglob("part-*")}
 
     S.write_texts(rows, "t", str(tmp_path / "x"), per_file=1)
-    S.write_json(rows, str(tmp_path / "j"), per_file=1)
+    S.write_json(rows, str(tmp_path / "j"), per_file=2)
     S.write_tables(rows.selectExpr("t AS file", "1 AS table_index", "0 AS row_index", "array(t) AS cells"), str(tmp_path / "c"))
     assert len(writers("x")) >= tasks and len(writers("j")) >= tasks and len(writers("c")) > tasks // 2
     assert sorted(r[0].strip() for r in S.read_texts(spark, str(tmp_path / "x")).select("text").collect()) == sorted(r.t for r in rows.collect())
+
+
+def test_files_of_their_own_hold_every_text(spark, tmp_path):
+    texts = ["a\nb", "", None, "ä€😀", "a\nb"]
+    S.write_texts(spark.createDataFrame([(t,) for t in texts], "t string"), "t", str(tmp_path / "x"), per_file=1)
+    made = [f for f in (tmp_path / "x").iterdir() if f.name != "_SUCCESS"]
+    assert sorted(f.read_bytes().decode() for f in made) == sorted((t or "") + "\n" for t in texts)
+    assert {f.suffix for f in made} == {".txt"} and not list((tmp_path / "x").glob(".*.crc"))
+    S.write_texts(spark.createDataFrame([("more",)], "t string"), "t", str(tmp_path / "x"), mode="append", per_file=1)
+    assert S.read_texts(spark, str(tmp_path / "x")).count() == len(texts) + 1
+    row = spark.sql("SELECT 1 AS id, CAST(NULL AS STRING) AS gone, struct(DATE '2025-01-02' AS day) AS s")
+    S.write_json(row, str(tmp_path / "j"), per_file=1)
+    assert [json.loads(f.read_text()) for f in (tmp_path / "j").glob("*.json")] == [{"id": 1, "s": {"day": "2025-01-02"}}]
