@@ -312,9 +312,8 @@ def staffing_rows(text: Column) -> Column:
     """Array of struct(name, role, primary_role, percentage, location), the first row of a name wins."""
     who = r"([A-Z][a-z]+\s+[A-Z][a-z]+)\s+"
     header = r"(?i)project\s+staffing\s+plan\s+name\s+role\s+primary\s+role\s+%\s+primary\s+location"
-    rest = F.get(F.split(text, header, 2), F.lit(1))
-    block = F.coalesce(F.get(F.split(rest, r"(?i)\n\n[A-Z][a-z]+\s+[A-Z]|Total\s+\$|Fee\s+In\s+consideration", 2), F.lit(0)),
-                       F.lit(""))
+    behind_block = r"(?i)\n\n[A-Z][a-z]+\s+[A-Z]|Total\s+\$|Fee\s+In\s+consideration"
+    block_of = lambda t: F.coalesce(F.get(F.split(F.get(F.split(t, header, 2), F.lit(1)), behind_block, 2), F.lit(0)), F.lit(""))
     tail = r"\s+([^%]+?)\s+(\d+%)\s+"
 
     names = ["name", "role", "primary_role", "percentage", "location"]
@@ -326,17 +325,21 @@ def staffing_rows(text: Column) -> Column:
             for i, n in enumerate(names)]))
         return F.when(source.rlike(r"\d%"), whole).otherwise(F.slice(whole, 1, 0))
 
-    # nothing after the word behind the last percent sign can belong to a row
-    behind = F.substring_index(text, "%", -1)
-    body = F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(behind)),
-                    F.regexp_extract(behind, r"^\s+\S+", 0))
-    lines = F.flatten(F.transform(F.split(block, "\n"), lambda ln: rows(
-        F.trim(ln), rf"(?i)^{who}([A-Z]{{1,4}}){tail}([^%]+?)", r"\z")))
-    found = F.concat(lines, rows(block, rf"(?i){who}([A-Z]{{1,4}}){tail}([^%]+?)", r"(?=\s+[A-Z][a-z]+\s+[A-Z]|\z)"),
-                     rows(body, rf"(?i){who}([A-Z]{{2,4}}){tail}([^%]+?)", r"(?=\s|\z)"),
-                     rows(body, rf"(?i){who}([A-Z]{{1,4}}){tail}([^%]+?)", r"(?=\s|\z)"))
+    def until_last(t: Column) -> Column:
+        # nothing after the word behind the last percent sign can belong to a row
+        return let(F.substring_index(t, "%", -1), lambda behind: F.concat(
+            F.substring(t, F.lit(1), F.length(t) - F.length(behind)), F.regexp_extract(behind, r"^\s+\S+", 0)))
+
+    def found(block: Column, body: Column) -> Column:
+        lines = F.flatten(F.transform(F.split(block, "\n"), lambda ln: let(F.trim(ln), lambda x: rows(
+            x, rf"(?i)^{who}([A-Z]{{1,4}}){tail}([^%]+?)", r"\z"))))
+        return F.concat(lines, rows(block, rf"(?i){who}([A-Z]{{1,4}}){tail}([^%]+?)", r"(?=\s+[A-Z][a-z]+\s+[A-Z]|\z)"),
+                        rows(body, rf"(?i){who}([A-Z]{{2,4}}){tail}([^%]+?)", r"(?=\s|\z)"),
+                        rows(body, rf"(?i){who}([A-Z]{{1,4}}){tail}([^%]+?)", r"(?=\s|\z)"))
+
+    every = let(text, lambda t: let(block_of(t), lambda block: let(until_last(t), lambda body: found(block, body))))
     first = lambda rs, keys: F.filter(rs, lambda r, i: F.array_position(keys, F.lower(r["name"])) == i + 1)
-    return let(found, lambda rs: let(F.transform(rs, lambda r: F.lower(r["name"])), lambda keys: first(rs, keys)))
+    return let(every, lambda rs: let(F.transform(rs, lambda r: F.lower(r["name"])), lambda keys: first(rs, keys)))
 
 
 def roles_hours_fte(text: Column) -> Column:

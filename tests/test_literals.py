@@ -168,3 +168,11 @@ def test_long_text_without_breaks(spark):
     row = df.select(X.deliverables(F.col("text")).alias("d"), X.role_values(F.col("text")).alias("v"),
                     X.staffing_rows(F.col("text")).alias("s")).first()
     assert row.d == [] and row.v == [] and row.s == []
+
+
+def _plan(spark, value):
+    return spark.range(1).selectExpr("cast(id AS string) AS t").select(value.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_staffing_rows_make_their_text_once(spark):
+    assert _plan(spark, X.staffing_rows(F.concat(F.col("t"), F.lit("only here")))).count("only here") == 1
