@@ -232,28 +232,40 @@ def _cells(line: Column) -> Column:
 def _entries(lines: Column, header: Column) -> Column:
     body = F.filter(F.slice(lines, F.lit(3), F.size(lines)),
                     lambda x: ~x.rlike(r"(?i)total\s+sow\s+amount|total\s+hours"))
+    wanted = {"title": "title|role", "name": "name|personnel", "hours": r"hours\b", "pct": r"%\s*time|percent|fte\s*allocation",
+              "level": "level", "location": "location"}
 
-    def at(row: Column, pattern: str) -> Column:
+    def first(pattern: str) -> Column:
         hits = F.filter(F.transform(header, lambda h, i: F.when(h.rlike(pattern), i)), lambda i: i.isNotNull())
-        return F.get(_cells(row), F.get(hits, F.lit(0)))
+        return F.get(hits, F.lit(0))
 
     whole = (r"^([A-Za-z][A-Za-z .,'’\-]+?)\s*\|.*?([A-Za-z][A-Za-z /&,'’\-]+?)\s*\|.*?(\d{2,4}(?:\.\d+)?)\b"
              r".*?(\d{1,3}(?:\.\d+)?)\s*%")
+    blank = F.lit("")
+
+    def read(cells: Column, places: Column) -> Column:
+        at = lambda key: F.get(cells, places[key])
+        hours = F.nullif(F.regexp_extract(drop_thousands(at("hours")), r"(\d{2,4}(?:\.\d+)?)", 1), blank).try_cast("double")
+        pct = F.nullif(F.regexp_extract(at("pct"), r"(\d{1,3}(?:\.\d+)?)\s*%", 1), blank).try_cast("double")
+        return F.struct(F.nullif(at("title"), blank).alias("title"), F.nullif(at("name"), blank).alias("name"), hours.alias("hours"), pct.alias("pct"),
+                        at("level").alias("level"), at("location").alias("location"))
 
-    def entry(row: Column) -> Column:
-        blank = F.lit("")
-        title, name = F.nullif(at(row, "title|role"), blank), F.nullif(at(row, "name|personnel"), blank)
-        hours = F.nullif(F.regexp_extract(drop_thousands(at(row, r"hours\b")), r"(\d{2,4}(?:\.\d+)?)", 1), blank).try_cast("double")
-        pct = F.nullif(F.regexp_extract(at(row, r"%\s*time|percent|fte\s*allocation"),
-                                        r"(\d{1,3}(?:\.\d+)?)\s*%", 1), blank).try_cast("double")
-        none = title.isNull() & name.isNull() & hours.isNull() & pct.isNull() & row.rlike(whole)
-        part = lambda g: F.when(none, F.trim(F.regexp_extract(row, whole, g)))
-        title, name = F.coalesce(title, part(2)), F.coalesce(name, part(1))
+    def entry(row: Column, r: Column) -> Column:
+        none = r["title"].isNull() & r["name"].isNull() & r["hours"].isNull() & r["pct"].isNull()
+        return let(none, lambda n: let(n & row.rlike(whole), lambda w: shown(row, r, w)))
+
+    def shown(row: Column, r: Column, by_line: Column) -> Column:
+        part = lambda g: F.when(by_line, F.trim(F.regexp_extract(row, whole, g)))
+        title, name = F.coalesce(r["title"], part(2)), F.coalesce(r["name"], part(1))
         joined = F.regexp_replace(F.concat_ws(" / ", name, F.coalesce(title, blank)), r"^[ /]+|[ /]+\z", "")
-        return F.struct(joined.alias("title"), at(row, "level").alias("level"), at(row, "location").alias("location"),
-                        F.coalesce(hours, part(3).try_cast("double")).alias("hours"),
-                        F.coalesce(pct, part(4).try_cast("double")).alias("pct_time"))
+        return F.struct(joined.alias("title"), r["level"].alias("level"), r["location"].alias("location"),
+                        F.coalesce(r["hours"], part(3).try_cast("double")).alias("hours"),
+                        F.coalesce(r["pct"], part(4).try_cast("double")).alias("pct_time"))
+
+    def parsed(places: Column) -> Column:
+        return F.transform(F.filter(body, lambda x: ~F.forall(_cells(x), lambda c: c == "---")),
+                           lambda row: let(_cells(row), lambda cells: let(read(cells, places), lambda r: entry(row, r))))
 
-    parsed = F.transform(F.filter(body, lambda x: ~F.forall(_cells(x), lambda c: c == "---")), entry)
-    kept = F.filter(parsed, lambda e: (e["title"] != "") & (e["hours"].isNotNull() | e["pct_time"].isNotNull()))
+    places = F.struct(*[first(pattern).alias(key) for key, pattern in wanted.items()])
+    kept = F.filter(let(places, parsed), lambda e: (e["title"] != "") & (e["hours"].isNotNull() | e["pct_time"].isNotNull()))
     return F.when(F.size(lines) >= 3, kept).otherwise(F.slice(kept, 1, 0))

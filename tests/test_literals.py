@@ -176,3 +176,15 @@ def _plan(spark, value):
 
 def test_staffing_rows_make_their_text_once(spark):
     assert _plan(spark, X.staffing_rows(F.concat(F.col("t"), F.lit("only here")))).count("only here") == 1
+
+
+def test_pipe_table_header_is_searched_once_per_column(spark):
+    from sowmill.sources.tables import markdown_to_entries
+
+    assert _plan(spark, markdown_to_entries(F.col("t"))).count("name|personnel") == 1
+    table = "Name | Role | # Hours | % Time | Level | Location\n--- | ---\nAnn Lee | Planner | 1,200 | 50% | 3 | Rome\nTotal hours | | 9 | |\nBob | | | | |"
+    other = "Who | What\n--- | ---\nAnn Lee | Planner | 1200 | 50% | x\nnothing | here"
+    rows = spark.createDataFrame([(table,), (other,), ("one line",), (None,)], "t string").select(markdown_to_entries(F.col("t")).alias("e")).collect()
+    assert [tuple(e) for e in rows[0].e] == [("Ann Lee / Planner", "3", "Rome", 1200.0, 50.0)]
+    assert [tuple(e) for e in rows[1].e] == [("Ann Lee / Planner", None, None, 1200.0, 50.0)]
+    assert not rows[2].e and not rows[3].e
