@@ -267,5 +267,4 @@ def _entries(lines: Column, header: Column) -> Column:
                            lambda row: let(_cells(row), lambda cells: let(read(cells, places), lambda r: entry(row, r))))
 
     places = F.struct(*[first(pattern).alias(key) for key, pattern in wanted.items()])
-    kept = F.filter(let(places, parsed), lambda e: (e["title"] != "") & (e["hours"].isNotNull() | e["pct_time"].isNotNull()))
-    return F.when(F.size(lines) >= 3, kept).otherwise(F.slice(kept, 1, 0))
+    return F.filter(let(places, parsed), lambda e: (e["title"] != "") & (e["hours"].isNotNull() | e["pct_time"].isNotNull()))
