@@ -38,3 +38,19 @@ def test_wording_hits(spark):
     # rows of a hit are numbers, not three words
     assert [f.dataType.simpleString() for f in df.schema] == ["string", "string", "string", "bigint"]
     assert "Aggregate [i#" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_term_profile(spark):
+    def every(ps, shape, flags, t):
+        return sorted({m[1] for p in ps for m in re.finditer(shape.format(p), t, flags)})
+
+    got = values(spark, X.term_profile(F.col("text")))
+    for t, g in zip(TEXTS, got):
+        if t is None:
+            assert g["sections"] is None and g["roles"] is None and g["timeline"] is None and g["budget"] is None and g["deliverables"] is None
+            continue
+        assert g["sections"] == every(K.SECTION_TERMS, r"^(?:\d+\.?\s*)?({})", re.I | re.M, t)
+        assert g["roles"] == every(K.ROLE_TERMS, r"\b({})\b", re.I, t)
+        assert g["budget"] == every(K.BUDGET_TERMS, "({})", re.I, t)
+        assert g["deliverables"] == [m[1].strip() for p in K.DELIVERABLE_TERMS for m in re.finditer(p, t, re.I)]
+    assert searches(spark, X.term_profile(F.col("text"))) < 15
