@@ -406,35 +406,44 @@ def extractive_summary(text: Column, project_lines: int | None = None, descripti
     return let(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda lines: _summary(text, lines, *limits))
 
 
+def _first_lines(lines: Column) -> Column:
+    """struct of the first line of each label, null without it."""
+    def places(lows: Column) -> Column:
+        first = lambda words: F.array_min(F.transform(lows, lambda x, i: F.when(any_word(x, words, lowered=True), i)))
+        return F.struct(first(["project:", "title of project:"]).alias("project"), first(["term of project:", "start date:"]).alias("term"),
+                        first(["description:", "scope of work:"]).alias("description"), first(["deliverables:"]).alias("items"))
+
+    return let(F.transform(lines, lambda x: F.lower(x)), places)
+
+
 def _shortened(text: Column, most: int | None) -> Column:
-    return text if most is None else F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+    return text if most is None else let(text, lambda t: F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t))
 
 
 def _summary(text: Column, lines: Column, project_lines: int | None, description_lines: int | None, description_chars: int | None, item_lines: int | None,
              most_items: int | None, sentences: int | None, opening_chars: int | None) -> Column:
-    def first(words: list[str]) -> Column:
-        return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(any_word(x, words), i)), lambda i: i.isNotNull()))
-
     def after(i: Column, n: int | None) -> Column:
         return F.slice(lines, i + 2, F.size(lines) if n is None else F.lit(n))
 
     def follow(i: Column, n: int | None, longer: int) -> Column:
         return F.array_join(F.concat(F.array(F.get(lines, i)), F.filter(after(i, n), lambda x: F.length(x) > longer)), " ")
 
-    p, t = first(["project:", "title of project:"]), first(["term of project:", "start date:"])
-    d, v = first(["description:", "scope of work:"]), first(["deliverables:"])
-    description = _shortened(follow(d, description_lines, 10), description_chars)
-    skip = lambda x: x.startswith("project") | x.startswith("term") | x.startswith("fee") | x.startswith("agreement")
-    items = _first_few(F.filter(after(v, item_lines), lambda x: (x != "") & ~skip(x)), most_items)
-    listed = F.concat(F.lit("**Key Deliverables:**\n\n"),
-                      F.array_join(F.transform(items, lambda x: F.concat(F.lit("• "), x)), "\n\n"))
-    parts = F.concat_ws("\n\n",
-                        F.concat(F.lit("**Project:** "), F.when(p.isNotNull(), follow(p, project_lines, 0))),
-                        F.concat(F.lit("**Term:** "), F.when(t.isNotNull(), F.get(lines, t))),
-                        F.concat(F.lit("**Description:** "), F.when(d.isNotNull(), description)),
-                        F.when(v.isNotNull() & (F.size(items) > 0), listed))
+    def listed(items: Column) -> Column:
+        return F.when(F.size(items) > 0, F.concat(F.lit("**Key Deliverables:**\n\n"), F.array_join(
+            F.transform(items, lambda x: F.concat(F.lit("• "), x)), "\n\n")))
+
+    def parts(at: Column) -> Column:
+        p, t, d, v = (at[k] for k in ("project", "term", "description", "items"))
+        skip = lambda x: x.startswith("project") | x.startswith("term") | x.startswith("fee") | x.startswith("agreement")
+        items = _first_few(F.filter(after(v, item_lines), lambda x: (x != "") & ~skip(x)), most_items)
+        return F.concat_ws("\n\n",
+                           F.concat(F.lit("**Project:** "), F.when(p.isNotNull(), follow(p, project_lines, 0))),
+                           F.concat(F.lit("**Term:** "), F.when(t.isNotNull(), F.get(lines, t))),
+                           F.concat(F.lit("**Description:** "), F.when(d.isNotNull(), _shortened(follow(d, description_lines, 10), description_chars))),
+                           F.when(v.isNotNull(), let(items, listed)))
+
     opening = _shortened(F.concat(F.array_join(_first_few(F.split(text, r"\."), sentences), ". "), F.lit(".")), opening_chars)
-    return F.when(parts != "", parts).otherwise(F.concat(F.lit("**Summary:** "), opening))
+    return let(let(_first_lines(lines), parts), lambda found: F.when(found != "", found).otherwise(F.concat(F.lit("**Summary:** "), opening)))
 
 
 # --- allocation records, layout text --------------------------------------------------------
