@@ -461,6 +461,8 @@ ROLE_VALUE_TERMS = [
     r"([A-Za-z\s]+)\s+(\d+)\s*hrs?",
     r"([A-Za-z\s]+)\s+(\d+(?:\.\d+)?)\s*%?\s*FTE",
 ]
+#: Number, unit and a word of the unit in lower case, of each of these.
+ROLE_VALUE_PARTS = [(r"\d+", r"\s*hours?", "hour"), (r"\d+", r"\s*hrs?", "hr"), (r"\d+(?:\.\d+)?", r"\s*%?\s*FTE", "fte")]
 
 # --- fixed values: extraction wording by field -------------------------------------
 LIST_MARKS = ["•", "▪", "○", "◦", "‣", "⁃", "-", "–", "—",

@@ -8,6 +8,7 @@ never decides about the depth of the matcher.
 from __future__ import annotations
 
 import re
+import string
 from functools import reduce
 from operator import and_
 
@@ -377,17 +378,25 @@ def roles_hours_fte(text: Column) -> Column:
 def role_values(text: Column) -> Column:
     """Array of struct(role, value, type) for wording such as 'Planner 40 hours'.
 
-    A run of letters is tried from its start only, so a long run without a
-    number costs one pass.
+    One search over the text goes from run of letters to run of letters and
+    takes each whole, with its number or without, so no character starts a
+    second try; the parts come from the short match itself.
     """
-    def pairs(pattern: str) -> Column:
-        p = r"(?i)(?:\G|(?<![A-Za-z\s]))" + pattern
-        whole, role, value = all_of(text, p, 0), all_of(text, p, 1), all_of(text, p, 2)
-        return F.transform(F.arrays_zip(whole.alias("w"), role.alias("r"), value.alias("v")), lambda z: F.struct(
-            F.regexp_replace(z["r"], r"^\s+|\s+\z", "").alias("role"), z["v"].try_cast("double").alias("value"),
-            F.when(F.lower(z["w"]).contains("fte") | z["w"].contains("%"), "fte").otherwise("hours").alias("type")))
-
-    return F.concat(*[pairs(p) for p in K.ROLE_VALUE_TERMS])
+    letters = string.ascii_letters + r"\x20\t\n\x0B\f\r"  # a class of single characters is a table look-up, ranges are not
+    run = f"[{letters}]"
+    none = F.array().cast("array<string>")
+
+    def pairs(number: str, unit: str, word: str) -> Column:
+        ends = rf"{number}{unit}"
+        whole = F.filter(all_of(text, rf"({run}{run}++(?<=\s)(?i:{ends}))|{run}++[^{letters}]*+|[^{letters}]++"), lambda w: w != "")
+        # without the word of its unit a text has no match
+        found = F.when(~F.lower(text).contains(word), none).otherwise(whole)
+        return F.transform(found, lambda w: F.struct(
+            F.btrim(F.regexp_extract(w, rf"^{run}+", 0), F.lit(SPACES)).alias("role"),
+            F.regexp_extract(w, rf"^{run}+({number})", 1).try_cast("double").alias("value"),
+            F.when(F.lower(w).contains("fte") | w.contains("%"), "fte").otherwise("hours").alias("type")))
+
+    return F.concat(*[pairs(*t) for t in K.ROLE_VALUE_PARTS])
 
 
 # --- summary ---------------------------------------------------------------------------------------

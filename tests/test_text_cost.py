@@ -61,3 +61,19 @@ def test_summary_lowers_lines_once(spark):
     assert values(spark, expr)[8] == "**Project:** Project: a long line of text\n\n**Term:** term of project: 3\n\n**Description:** Description: d term of project: 3\n\n" \
         "**Key Deliverables:**\n\n• - item one\n\n• Description: d"
     assert frame(spark).select(expr)._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+
+
+def test_role_values(spark):
+    want = []
+    for t in TEXTS:
+        found = [] if t is not None else None
+        for p in K.ROLE_VALUE_TERMS if t else []:
+            at = 0
+            while m := re.search(p, t[at:], re.I):  # a run starts where the match before ended, or at its first letter
+                whole = m[0]
+                found.append((m[1].strip(), float(m[2]), "fte" if "fte" in whole.lower() or "%" in whole else "hours"))
+                at += m.end()
+        want.append(found)
+    got = [g if g is None else [tuple(r) for r in g] for g in values(spark, X.role_values(F.col("text")))]
+    assert got == want
+    assert searches(spark, X.role_values(F.col("text"))) == len(K.ROLE_VALUE_TERMS)
