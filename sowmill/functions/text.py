@@ -53,7 +53,8 @@ def parse_fields(text: Column, most: int | None = None, most_dates: int | None =
                                  lambda r: F.struct(F.lower(r).alias("k"), r.alias("v")))), lambda x: x["v"])
     ints = lambda p: F.transform(_first_few(all_of(text, p), most), lambda x: x.try_cast("int"))
     rate = r"(?di)\b(rate|fee)s?\b.*?\b(hour|daily|monthly)\b"
-    hits = F.zip_with(all_of(text, rate, 1), all_of(text, rate, 2), lambda a, b: F.concat_ws(" ", a, b))
+    # one search over the text; the parts come from the short match itself
+    hits = F.transform(all_of(text, rate, 0), lambda m: F.concat_ws(" ", F.regexp_extract(m, rate, 1), F.regexp_extract(m, rate, 2)))
     return F.struct(
         find(text, r"(?di)(?:Scope of Work|Scope|Services)[:\-]\s*(.+?)(?=(?:Deliverables|Term|Timeline|$))").alias("scope"),
         find(text, r"(?di)(?:Deliverables?)[:\-]\s*(.+?)(?=(?:Term|Timeline|$))").alias("deliverable"),

@@ -77,3 +77,9 @@ def test_role_values(spark):
     got = [g if g is None else [tuple(r) for r in g] for g in values(spark, X.role_values(F.col("text")))]
     assert got == want
     assert searches(spark, X.role_values(F.col("text"))) == len(K.ROLE_VALUE_TERMS)
+
+
+def test_rates_take_one_search(spark):
+    got = values(spark, X.parse_fields(F.col("text")))
+    assert got[6]["rates"] == ["fee hour", "rate hour"] and got[0]["rates"] is None and got[1]["rates"] == []
+    assert searches(spark, X.parse_fields(F.col("text"))) == 5
