@@ -17,6 +17,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def if_any(value: Column) -> Column:
+    """The value, null when it is empty; evaluated once, where ``nullif`` inside a branch or a lambda evaluates it twice."""
+    return let(value, lambda v: F.when(v != "", v))
+
+
 def _any_of(low: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for word in words:
@@ -47,7 +52,7 @@ def first_group(text: Column, groups: list[tuple[str, list[str]]], default: str,
 
 def find(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of a group, null when the pattern does not occur."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return if_any(F.regexp_extract(text, pattern, group))
 
 
 def number(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Field extraction from document text, as Catalyst expressions over whole texts.
 
-Sections are cut with two splits (after the first header, before the first
-section end) and not with one backtracking pattern, so the length of a text
-never decides about the depth of the matcher.
+A section is taken line by line by possessive loops, which never go back and
+need no stack, so the length of a text never decides about the depth of the
+matcher.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from sowmill.functions.scalars import any_word, find, let, normalize_allocation,
 
 W = K.FIELD_WORDING
 SECTION_END = r"\n\s*\n|\n[A-Za-z][A-Za-z\s]+:"
+_SECTION_END_LINE = r"\s*\n|[A-Za-z][A-Za-z\s]++:"  # the same behind its newline
 SPACES = " \t\n\x0b\f\r"  # what \\s stands for
 STOP = r"(?=\n\n|\n[A-Z][a-z]+\s+[A-Z]|\z)"
 
@@ -147,10 +148,10 @@ def project_length_text(text: Column, low: Column | None = None) -> Column:
                             for w in wording["duration_indicators"]], low)
 
 
-def section_after(text: Column, header: str, end: str = SECTION_END) -> Column:
-    """Text between the first occurrence of a header and the next section end, null without the header."""
-    rest = F.get(F.split(text, rf"(?i){header}[:\s]*", 2), F.lit(1))
-    return F.nullif(F.get(F.split(rest, end, 2), F.lit(0)), F.lit(""))
+def section_after(text: Column, header: str, numbered: bool = False) -> Column:
+    """Text between the first occurrence of a header and the next section end, null without the header; a ``numbered`` line may end it, too."""
+    end = _SECTION_END_LINE + (r"|\d+\." if numbered else "")
+    return find(text, rf"(?i){header}[:\s]*+((?:[^\n]++|\n(?!{end}))*+)")
 
 
 def scope_summary(text: Column, longest: int | None = None, low: Column | None = None) -> Column:
@@ -159,7 +160,7 @@ def scope_summary(text: Column, longest: int | None = None, low: Column | None =
         def shown(s: Column) -> Column:
             return s if longest is None else F.when(F.length(s) > longest, F.concat(F.substring(s, 1, longest), F.lit("..."))).otherwise(s)
 
-        return let(F.trim(section_after(text, header, SECTION_END + r"|\n\d+\.")), lambda s: F.when(F.length(s) > 50, shown(s)))
+        return let(F.trim(section_after(text, header, numbered=True)), lambda s: F.when(F.length(s) > 50, shown(s)))
 
     return _first_of(text, [(h, guarded(h)) for h in W["scope_summary"]["section_headers"]], low)
 
@@ -172,9 +173,15 @@ def _sections(text: Column, headers: list[str], low: Column | None = None) -> Co
 def _list_items(text: Column, field: str, low: Column | None = None) -> Column:
     marks = W[field]["list_indicators"]
 
+    def marked(section: Column, has: Column) -> Column:
+        # most marks need a dot or a character beyond ASCII, which many sections lack
+        may = lambda m: has["wide"] if not m.isascii() else has["dot"] if "." in m else F.lit(True)
+        return F.flatten(F.array_compact(F.array(*[
+            F.when(may(m) & section.contains(m), all_of(section, re.escape(m) + r"\s*([^\n\r]+)")) for m in marks])))
+
     def items(section: Column) -> Column:
-        found = F.flatten(F.array_compact(F.array(*[
-            F.when(section.contains(m), all_of(section, re.escape(m) + r"\s*([^\n\r]+)")) for m in marks])))
+        has = F.struct(section.contains(".").alias("dot"), (F.octet_length(section) > F.length(section)).alias("wide"))
+        found = let(has, lambda h: marked(section, h))
         return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) > 10)
 
     return F.flatten(F.transform(_sections(text, W[field]["section_headers"], low), items))

@@ -83,3 +83,28 @@ def test_rates_take_one_search(spark):
     got = values(spark, X.parse_fields(F.col("text")))
     assert got[6]["rates"] == ["fee hour", "rate hour"] and got[0]["rates"] is None and got[1]["rates"] == []
     assert searches(spark, X.parse_fields(F.col("text"))) == 5
+
+
+SECTIONS = [*TEXTS, "Deliverables", "deliverables: \n", "DELIVERABLES:: one\n  \ntwo", "Deliverables a\nb c\nStaff Plan:\nd", "x deliverables\r\n a\n1. b\n\n", "Deliverables:\n\u2022 first long item\n- second one.\n3. third listed item\n\u212aey: x",
+            "deliverables\n- a\n\u00c9t\u00e9: b\n12. c\nA\n b:\n", "Deliverables: one Deliverables: two\nEnd\nof it\n:\n\n", "Deliverables:" + "\n- an item of a long list" * 20000 + "\nNext: x"]
+
+
+def test_sections_are_one_search(spark):
+    df = spark.createDataFrame(list(enumerate(SECTIONS)), "id int, text string").orderBy("id")
+
+    def cut(t, end):
+        rest = re.split(r"(?i)deliverables[:\s]*", t, maxsplit=1, flags=re.A)[1:] if t is not None else []
+        return (re.split(end, rest[0], maxsplit=1, flags=re.A)[0] or None) if rest else None
+
+    for numbered, end in ((False, X.SECTION_END), (True, X.SECTION_END + r"|\n\d+\.")):
+        got = [r[0] for r in df.select(X.section_after(F.col("text"), "deliverables", numbered)).collect()]
+        assert got == [cut(t, end) for t in SECTIONS]
+    items = [r[0] for r in df.select(X.deliverables(F.col("text"))).collect()]
+    assert items[15] == ["first long item", "second one.", "third listed item", "3. third listed item"] and len(items[18]) == 20000
+
+
+def test_a_value_of_a_branch_is_searched_once(spark):
+    # both functions name each of their patterns once a use, so a plan that repeats one evaluates it again
+    for expr in (X.deliverables(F.col("text")), X.start_date(F.col("text"))):
+        plan = frame(spark).select(expr.alias("x"))._jdf.queryExecution()
+        assert plan.optimizedPlan().toString().count("regexp_extract(") == plan.analyzed().toString().count("regexp_extract(") > 0
