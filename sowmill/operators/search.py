@@ -250,16 +250,22 @@ def _reciprocal_ranks(text_hits: DataFrame, vector_hits: DataFrame, key: str, k:
     weights = (K.TEXT_WEIGHT, K.VECTOR_WEIGHT)
     half = min(weights) / (60 + k) / 2
     order = [F.col("score").desc(), F.col(key)]
-    lists = [d.select(key, "score") for d in (text_hits, vector_hits)]
+    # Both lists are read several times; their shuffle is made once and used again.
+    lists = [d.select(key, "score").repartition(key) for d in (text_hits, vector_hits)]
     heads = [d.orderBy(*order).limit(int(w / half) - 59) for d, w in zip(lists, weights, strict=True)]
-    kept = heads[0].select(key).union(heads[1].select(key)).distinct()
+    kept = heads[0].select(key).union(heads[1].select(key)).distinct().select(F.col(key).alias("_kept")).where(F.col("_kept").isNotNull())
     ranked = []
     for d in lists:
-        asked = d.join(kept, key, "left_semi")
+        # a join that puts no filter of its own below the shuffle
+        asked = d.join(kept, F.col(key).eqNullSafe(F.col("_kept"))).drop("_kept")
         # Rows before a kept one: every row falls behind the kept rows that are better, and counts are added up over these places.
-        places = asked.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")))).alias("p")).scalar()
         own = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"))
-        behind = d.withColumn("_p", places).select(F.size(F.filter("_p", lambda x: x <= own)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
+        places = asked.agg(F.array_sort(F.collect_list(own)).alias("p"))
+        # A row's place is found by halving: steps of falling powers of two, as many as the list of kept rows needs.
+        steps = F.transform(F.sequence(F.ceil(F.log2(F.size("p") + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda x: F.call_function("shiftleft", F.lit(1), x))
+        known = d.withColumn("_p", places.select(F.struct("p", steps.alias("steps"))).scalar())
+        at_place = F.aggregate("_p.steps", F.lit(0), lambda at, step: F.when(F.get("_p.p", at + step - 1) <= own, at + step).otherwise(at))
+        behind = known.select(at_place.alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
         before = behind.withColumn("before", F.sum("rows").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)))
         at = asked.select(key, F.row_number().over(Window.orderBy(*order)).alias("n"))
         ranked.append(at.join(before, "n", "left").select(key, (1.0 / (61 + F.coalesce("before", F.lit(0)))).alias("score")))

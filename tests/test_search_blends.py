@@ -127,3 +127,13 @@ def test_first_strategy_owns_a_row_that_a_cut_would_have_given_away(spark):
     assert all(got[i] == "exact_match" for i in range(30)) and got[101] == "fuzzy_match" and got[100] == "term_match"
     assert E.term_search(df, "golf club", ["t"], "id").where("term = 'golf'").count() == 31
     assert E.term_search(df, "golf club", ["t"], "id", top=10).count() == 10
+
+
+def test_ranks_are_counted_by_halving(spark):
+    text = spark.createDataFrame([(i, float(i % 7)) for i in range(60)] + [(5, 5.0), (None, 6.5)], "id long, score double")
+    vector = spark.createDataFrame([(i, float(i % 11)) for i in range(30, 90)] + [(None, 3.5)], "id long, score double")
+    out = E.hybrid_text_vector(text, vector, "id", 4, fusion="rrf")
+    # no row is compared with every kept one, and the lists are shuffled for all their readers
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "RepartitionByExpression" in plan
+    assert [(r.id, r.score) for r in out.collect()] == [(32, 0.01509), (54, 0.014957), (43, 0.013993), (41, 0.013937)]
