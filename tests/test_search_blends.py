@@ -137,3 +137,10 @@ def test_ranks_are_counted_by_halving(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(" not in plan and "RepartitionByExpression" in plan
     assert [(r.id, r.score) for r in out.collect()] == [(32, 0.01509), (54, 0.014957), (43, 0.013993), (41, 0.013937)]
+
+
+def test_query_terms_are_looked_up_once_a_token(spark):
+    rows = spark.createDataFrame([(1, "alpha beta alpha"), (2, "Gamma, delta"), (3, "nothing"), (4, None), (5, "")], "id long, text string")
+    out = E.ranked_search(rows, "alpha beta gamma omega", "id", {"text": 1.0}, top=None)
+    assert [r.id for r in out.collect()] == [1, 2] and out.columns == ["id", "text", "score"]
+    assert "array_contains" not in out._jdf.queryExecution().analyzed().toString()
