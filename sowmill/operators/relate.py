@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sowmill import constants as K
 
 GRAM = 6
+#: Buckets in which grams are counted.
+BUCKETS = 1 << 20
+#: Bits that hold the place of a gram in its phrase.
+PLACE_BITS = 20
 
 
 def pair_by_base(parsed: DataFrame, texts: DataFrame, base: str = "base") -> tuple[DataFrame, DataFrame]:
@@ -35,21 +39,31 @@ def contains_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     text has is in none. Common beginnings such as file name prefixes thus bring
     no candidates. Phrases under ``GRAM`` characters are grams themselves, and
     texts are cut into grams of the lengths that the phrases have.
+
+    Grams are counted by bucket of their hash, in a table that does not grow
+    with the texts; a bucket's count is no less than that of each of its grams.
+    Of a text only the grams in buckets of a looked up one are sent, and they
+    meet the phrases without a sort.
     """
     t = texts.toDF("text").where(F.col("text").isNotNull()).distinct()
     p = phrases.toDF("phrase").where(F.length("phrase") > 0).distinct()
     low_t, low_p = F.lower("text"), F.lower("phrase")
     gram_length = F.least(F.length(low_p), F.lit(GRAM))
-    grams = p.select("phrase", F.explode(F.array_distinct(_grams(low_p, gram_length))).alias("_g"))
+    bucket = F.pmod(F.xxhash64("_g"), F.lit(BUCKETS))
     lengths = p.agg(F.collect_set(gram_length)).scalar()
-    wanted = grams.select("_g").distinct()
     cut = t.withColumn("_lengths", lengths).select("text", F.explode("_lengths").alias("_n"))
-    looked = cut.select("text", F.explode(F.array_distinct(_grams(low_t, F.col("_n")))).alias("_g")).join(wanted, "_g")
-    counts = looked.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = grams.join(counts, "_g", "left").groupBy("phrase").agg(
-        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r"))
-    keyed = rarest.where("_r.n > 0").select("phrase", F.col("_r.g").alias("_g"))
-    return looked.join(keyed, "_g").where(low_t.contains(low_p)).select("text", "phrase")
+    looked = cut.select("text", F.explode(F.array_distinct(_grams(low_t, F.col("_n")))).alias("_g")).withColumn("_b", bucket)
+    counts = F.broadcast(looked.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")))
+    # Count and place in one number, whose minimum needs no sort; any gram may stand for a phrase, so the first ones of an endless phrase do.
+    first = F.slice(_grams(low_p, gram_length), 1, 1 << PLACE_BITS)
+    grams = p.select("phrase", F.posexplode(first).alias("_at", "_g")).withColumn("_b", bucket)
+    ranked = F.shiftleft(F.least(F.coalesce("_n", F.lit(0)), F.lit(1 << 42)).cast("long"), PLACE_BITS) + F.col("_at")
+    rarest = grams.join(counts, "_b", "left").groupBy("phrase").agg(F.min(ranked).alias("_r"))
+    place = F.col("_r").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int") + 1
+    keyed = rarest.where(F.shiftright("_r", PLACE_BITS) > 0).select("phrase", F.substring(low_p, place, gram_length).alias("_g"))
+    wanted = F.broadcast(keyed.select(bucket.alias("_b")).distinct())
+    near = looked.join(wanted, "_b", "left_semi").select("text", "_g")
+    return near.join(keyed.hint("shuffle_hash"), "_g").where(low_t.contains(low_p)).select("text", "phrase")
 
 
 def first_correction(files: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -91,3 +91,21 @@ def test_numbered_items_keep_empty_lists(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "k int, xs array<string>")
     got = sorted((r.k, r.item, r.item_number) for r in N.numbered_items(df, ["k"], "xs", "none").collect())
     assert got == [(1, "a", 1), (1, "b", 2), (2, "none", None)]
+
+
+def test_contains_pairs_sends_few_grams_and_sorts_none(spark):
+    texts = spark.createDataFrame([(f"company_{i % 40}_sow_{i}.pdf",) for i in range(400)], "t string")
+    phrases = spark.createDataFrame([(f"company_{i}_",) for i in range(60)], "p string")
+    pairs = R.contains_pairs(texts, phrases)
+    assert {(r.text, r.phrase) for r in pairs.collect()} == {(f"company_{i % 40}_sow_{i}.pdf", f"company_{i % 40}_") for i in range(400)}
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    # texts meet phrases without a sort, and only grams in buckets of a looked up one get there
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "LeftSemi" in plan
+
+
+def test_contains_pairs_where_all_grams_share_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(R, "BUCKETS", 1)
+    texts, phrases = ["senior planner", "planning", "Plan B"], ["PLANN", "plan", "planner", "x"]
+    got = {(r.text, r.phrase) for r in R.contains_pairs(spark.createDataFrame([(t,) for t in texts], "t string"),
+                                                        spark.createDataFrame([(p,) for p in phrases], "p string")).collect()}
+    assert got == {(t, p) for t, p in itertools.product(texts, phrases) if p.lower() in t.lower()}
