@@ -155,20 +155,27 @@ def normalize_allocation(text: Column) -> Column:
     )
 
 
+def _where(text: Column, marks: str, value: Column) -> Column:
+    """The value where the text holds one of the characters that it needs."""
+    return F.when(_any_of(text, list(marks)), value)
+
+
 def extract_pct(text: Column) -> Column:
-    return F.coalesce(number(find(text, r"(\d{1,3}(?:\.\d+)?)\s*%")),
-                      number(find(text, r"(?i)(\d(?:\.\d+)?)\s*fte")) * 100.0)
+    return F.coalesce(_where(text, "%", number(find(text, r"(\d{1,3}(?:\.\d+)?)\s*%"))),
+                      _where(text, "fF", number(find(text, r"(?i)(\d(?:\.\d+)?)\s*fte")) * 100.0))
 
 
 def extract_hours(text: Column) -> Column:
-    return F.coalesce(number(find(text, r"(?i)(\d{1,4}(?:\.\d+)?)\s*(?:hours|hrs|hr)\b")),
+    return F.coalesce(_where(text, "hH", number(find(text, r"(?i)(\d{1,4}(?:\.\d+)?)\s*(?:hours|hrs|hr)\b"))),
                       number(find(F.trim(text), r"^(\d{1,4}(?:\.\d+)?)\z")))
 
 
 def clean_hours(text: Column) -> Column:
     """Drop thousands marks: commas always, points only in 1.800-like numbers."""
-    t = F.trim(F.regexp_replace(text, ",", ""))
-    return F.when(t.rlike(r"^\d{1,3}(?:\.\d{3})+\z"), F.regexp_replace(t, r"\.", "")).otherwise(t)
+    def whole(t: Column) -> Column:
+        return F.when(t.contains(".") & t.rlike(r"^\d{1,3}(?:\.\d{3})+\z"), F.replace(t, F.lit("."), F.lit(""))).otherwise(t)
+
+    return let(F.trim(F.replace(text, F.lit(","), F.lit(""))), whole)
 
 
 def allocation_columns(text: Column) -> Column:

@@ -107,36 +107,38 @@ def _has(c: Column, words: list[str]) -> Column:
 
 
 def _hours_only(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ #]+|[ #]+\z", "") == "hours"
+    return F.trim(c, F.lit(" #")) == "hours"
 
 
 def canonical_header(header: Column) -> Column:
     """Canonical column name of a header cell, or the cleaned cell itself."""
-    h = F.regexp_replace(F.lower(F.trim(F.coalesce(header, F.lit("")))), r"\s+", " ")
-    return (F.when(_has(h, K.NAME_WORDS), "name")
-            .when(_has(h, K.TITLE_WORDS), F.when(h.contains("primary role"), "primary_role").otherwise("role"))
-            .when(_has(h, ["%", "percent"]), "percentage")
-            .when(_hours_only(h) | h.contains("# hours"), "hours")
-            .when(h.contains("billable hours per annum"), "bhpa")
-            .when(h.contains("hour"), "hours")
-            .when(h.contains("location"), "location")
-            .when(h.contains("level"), "level")
-            .when(_has(h, K.WORKSTREAM_WORDS), "workstream")
-            .otherwise(h))
+    def name(h: Column) -> Column:
+        return (F.when(_has(h, K.NAME_WORDS), "name")
+                .when(_has(h, K.TITLE_WORDS), F.when(h.contains("primary role"), "primary_role").otherwise("role"))
+                .when(_has(h, ["%", "percent"]), "percentage")
+                .when(_hours_only(h) | h.contains("# hours"), "hours")
+                .when(h.contains("billable hours per annum"), "bhpa")
+                .when(h.contains("hour"), "hours")
+                .when(h.contains("location"), "location")
+                .when(h.contains("level"), "level")
+                .when(_has(h, K.WORKSTREAM_WORDS), "workstream")
+                .otherwise(h))
+
+    return let(F.regexp_replace(F.lower(F.trim(F.coalesce(header, F.lit("")))), r"\s+", " "), name)
 
 
 def header_score(cells: Column) -> Column:
     s = K.HEADER_SCORES
 
-    def one(cell: Column) -> Column:
-        t = F.lower(F.trim(F.coalesce(cell, F.lit(""))))
+    def one(t: Column) -> Column:
         return (F.when(_has(t, K.NAME_WORDS), s["name"]).otherwise(0)
                 + F.when(_has(t, K.TITLE_WORDS), s["title"]).otherwise(0)
                 + F.when(t.contains("level"), s["level"]).otherwise(0)
                 + F.when(_has(t, ["%", "percent"]), s["percent"]).otherwise(0)
                 + F.when(t.contains("# hours") | _hours_only(t), s["hours"]).otherwise(0))
 
-    return F.aggregate(F.transform(cells, one), F.lit(0), lambda a, x: a + x)
+    low = F.transform(cells, lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    return F.aggregate(low, F.lit(0), lambda a, t: a + one(t))
 
 
 def table_headers(rows: DataFrame, fill_blank: bool = True) -> DataFrame:
@@ -145,8 +147,13 @@ def table_headers(rows: DataFrame, fill_blank: bool = True) -> DataFrame:
     The best of the first three rows is the header, the first one on a tie.
     With ``fill_blank`` an empty header is named after up to five values below it.
     """
-    top = (rows.where(F.col("row_index") < K.HEADER_SEARCH_ROWS + K.HEADER_SAMPLE_ROWS)
-           .groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("row_index", "cells"))).alias("_top")))
+    top = rows.where(F.col("row_index") < K.HEADER_SEARCH_ROWS + K.HEADER_SAMPLE_ROWS)
+    return _headers(top.groupBy(*TABLE).agg(F.collect_list(F.struct("row_index", "cells")).alias("_top")), fill_blank)
+
+
+def _headers(tops: DataFrame, fill_blank: bool) -> DataFrame:
+    """``table_headers`` of tables whose first rows are listed in ``_top``, in any order."""
+    top = tops.withColumn("_top", F.sort_array("_top"))
     scored = F.transform(F.filter("_top", lambda r: r["row_index"] < K.HEADER_SEARCH_ROWS), lambda r: F.struct(
         header_score(r["cells"]).alias("score"), (-r["row_index"]).alias("minus"), r["cells"].alias("cells")))
     picked = (top.withColumn("_best", F.array_max(scored))
@@ -168,24 +175,34 @@ def table_headers(rows: DataFrame, fill_blank: bool = True) -> DataFrame:
     return picked.drop("_top")
 
 
+ENTRY_KEYS = ["name", "role", "primary_role", "level", "workstream", "location", "percentage", "hours"]
+
+
 def table_to_entries(rows: DataFrame, fill_blank: bool = True) -> DataFrame:
     """Staffing entries of all tables, one per data row that is neither blank nor a total."""
-    headed = rows.join(table_headers(rows, fill_blank), TABLE).where(F.col("row_index") > F.col("header_index"))
+    places = [F.array_position("header_keys", F.lit(k)).cast("int").alias(f"_{k}") for k in ENTRY_KEYS]
+    names = F.transform("header_cells", lambda h: F.trim(F.coalesce(h, F.lit(""))))
+    # What a table's header says is found once a table; of equal names the last one counts.
+    last = let(names, lambda ns: F.filter(F.transform(ns, lambda n, i: F.struct(n.alias("n"), i.alias("i"))),
+                                          lambda p: ~F.array_contains(F.slice(ns, p["i"] + 2, F.size(ns)), p["n"])))
+    # Rows are dealt by table once, for their header and for the join; both tests stand in one condition, so that neither moves below the dealing.
+    dealt = rows.repartition(*TABLE)
+    first = F.when(F.col("row_index") < K.HEADER_SEARCH_ROWS + K.HEADER_SAMPLE_ROWS, F.struct("row_index", "cells"))
+    tops = dealt.groupBy(*TABLE).agg(F.collect_list(first).alias("_top"))
+    heads = _headers(tops, fill_blank).select(*TABLE, "header_index", *places, last.alias("_names"))
     low = F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
-    data = headed.where(F.exists(low, lambda c: c != "") & ~F.exists(low, lambda c: c.startswith("total")))
+    filled = let(low, lambda cs: F.exists(cs, lambda c: c != "") & ~F.exists(cs, lambda c: c.startswith("total")))
+    data = dealt.join(heads, TABLE).where(F.when(F.col("row_index") > F.col("header_index"), filled))
 
     def cell(key: str) -> Column:
-        at = F.array_position("header_keys", F.lit(key)).cast("int")
+        at = F.col(f"_{key}")
         return F.when(at > 0, F.trim(F.coalesce(F.get("cells", at - 1), F.lit("")))).otherwise(F.lit(""))
 
-    pct_text, hours_text = F.col("_pct"), F.col("_hours")
-    names = F.transform("header_cells", lambda h: F.trim(F.coalesce(h, F.lit(""))))
-    last = F.filter(F.transform(names, lambda n, i: F.struct(n.alias("n"), i.alias("i"))),
-                    lambda p: ~F.array_contains(F.slice(names, p["i"] + 2, F.size(names)), p["n"]))
-    values = F.map_from_entries(F.transform(last, lambda p: F.struct(
+    pct_text, hours_text = F.col("_pct"), F.col("_hrs")
+    values = F.map_from_entries(F.transform("_names", lambda p: F.struct(
         p["n"].alias("k"), F.coalesce(F.get("cells", p["i"]), F.lit("")).alias("v"))))
     blank = F.lit("")
-    return (data.withColumn("_pct", cell("percentage")).withColumn("_hours", cell("hours"))
+    return (data.withColumn("_pct", cell("percentage")).withColumn("_hrs", cell("hours"))
             .select(
                 "file",
                 F.coalesce(F.nullif(cell("name"), blank), F.lit("N/A")).alias("name"),

@@ -88,3 +88,20 @@ def test_cells_and_markdown_round_trip(spark, rows):
     assert values(back, ["row_index", "cells"]) == values(table, ["row_index", "cells"])
     md = matrix_to_markdown(table).select(markdown_to_rows(F.col("markdown")).alias("r")).first()[0]
     assert md == [r.cells for r in table.orderBy("row_index").collect()]
+
+
+def test_entries_deal_the_rows_of_a_table_once(spark):
+    from pyspark.sql import functions as F
+
+    cells = [["Name", "", "Role", "Name", "% Time", "# Hours"], ["a", "n", "Planner", "b", "50%", "1,800"], ["", "", "", "", "", ""],
+             ["Total", "", "", "", "", ""], ["c", "x", "Lead", None, "2 FTE", "40 Hrs"], ["d", "y", "z", "e", "no", "1.800"]]
+    data = [(f, 1, 1, i, c) for f in ("f", "g") for i, c in enumerate(cells)] + [(None, 1, 1, 0, cells[0]), (None, 1, 1, 1, cells[1])]
+    rows = spark.createDataFrame(data, "file string, page_number int, table_index int, row_index int, cells array<string>")
+    made = rows.withColumn("cells", F.transform("cells", lambda c: F.concat(c, F.lit(" "))))
+    got = table_to_entries(made)
+    want = [("a", "Planner", 50.0, 1800.0, 1, "b "), ("c", "Lead", 200.0, 40.0, 4, ""), ("d", "z", None, 1800.0, 5, "e ")]
+    values = sorted(tuple(r) for r in got.select("file", "name", "role", "percentage", "hours", "row_index", F.col("column_values")["Name"]).collect())
+    assert values == [(f, *w) for f in ("f", "g") for w in want]
+    # cells are made once for the header and the entries, and equal names of a header are found once a table
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" in plan and "_names#" in plan
