@@ -33,7 +33,15 @@ def mentions(text: Column, words: list[str], marked: bool = True, lowered: bool
     No word is part of another, so one pass with alternatives counts the same as one pass per word.
     """
     end = r"s?[:\-]" if marked else "s?"
-    return F.regexp_count(text if lowered else F.lower(text), F.lit(f"(?:{'|'.join(words)}){end}"))
+    shape = F.lit(f"(?:{'|'.join(words)}){end}")
+
+    def count(low: Column) -> Column:
+        held = low.isNull()
+        for word in words:
+            held = held | low.contains(word)
+        return F.when(held, F.regexp_count(low, shape)).otherwise(0)
+
+    return count(text) if lowered else let(F.lower(text), count)
 
 
 def deliverable_mentions(text: Column, lowered: bool = False) -> Column:
@@ -79,8 +87,12 @@ def complexity_of(points: Column, bound: bool = False) -> Column:
 def duration_weeks(text: Column) -> Column:
     """Weeks from the first '<n> weeks' or '<n> months' in the text; a month counts four weeks."""
     shape = r"(?i)(\d+)\s*(week|month)s?"
-    count = find(text, shape, 1).try_cast("int")
-    return F.when(F.lower(find(text, shape, 2)) == "month", count * K.WEEKS_PER_MONTH).otherwise(count)
+
+    def weeks(hit: Column) -> Column:
+        count = find(hit, shape, 1).try_cast("int")
+        return F.when(F.lower(find(hit, shape, 2)) == "month", count * K.WEEKS_PER_MONTH).otherwise(count)
+
+    return let(F.regexp_extract(text, shape, 0), weeks)
 
 
 def budget_range(text: Column, lowered: bool = False) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sowmill import constants as K
@@ -38,13 +38,26 @@ def with_totals(df: DataFrame) -> DataFrame:
             .withColumn("department_allocation", F.map_from_entries(F.filter(entries, lambda e: e["v"] != 0))))
 
 
+def roles_by_kind(spark: SparkSession, strict_order: bool = True) -> DataFrame:
+    """Recommended roles after all rules, and their totals, for every project type and complexity: nothing else decides them."""
+    kinds = dict.fromkeys([K.DEFAULT_PROJECT_TYPE, *[kind for kind, _ in K.PROJECT_TYPE_WORDS]])
+    pairs = F.array(*[F.struct(F.lit(k).alias("project_type"), F.lit(c).alias("complexity")) for k in kinds for c in K.COMPLEXITIES])
+    rows = spark.range(1).select(F.inline(pairs))
+    planned = rows.withColumn("roles", P.synthesize_roles(F.col("project_type"), F.col("complexity")))
+    return with_totals(P.apply_rules(planned, strict_order))
+
+
 def recommend_plan(df: DataFrame, text: str, client: str, weeks: str | None = None, strict_order: bool = True) -> DataFrame:
-    """Staffing plan of every text: requirements, recommended roles, rules, money and totals. No shuffle."""
+    """Staffing plan of every text: requirements, recommended roles, rules, money and totals. No shuffle.
+
+    Roles and rules are worked out once for each project type and complexity.
+    """
     req = C.with_requirements(df, text, client, weeks)
     kind, level = F.col("project_type"), F.col("complexity")
-    planned = (req.withColumn("total_fte", P.total_fte(kind, level, F.col("events_count")))
-               .withColumn("roles", P.synthesize_roles(kind, level)))
-    done = with_totals(P.apply_rules(planned, strict_order))
+    planned = req.withColumn("total_fte", P.total_fte(kind, level, F.col("events_count")))
+    known = F.broadcast(roles_by_kind(df.sparkSession, strict_order))
+    done = planned.join(known, ["project_type", "complexity"], "left").select(
+        *planned.columns, "roles", "total_fte_percentage", "department_allocation")
     return (P.with_financials(done).withColumn("extraction_confidence", F.lit(K.PLAN_CONFIDENCE))
             .withColumn("completeness_score", F.lit(K.PLAN_COMPLETENESS)))
 
@@ -182,7 +195,7 @@ def combine_plans(extracted: DataFrame, recommended: DataFrame, key: str) -> Dat
     titles = F.transform("roles", lambda r: F.lower(r["title"]))
 
     def enhanced(r: Column) -> Column:
-        return let(C.map_role(r["title"]), lambda m: raised(r, m))
+        return let(F.when(r["department"].isNull(), C.map_role(r["title"])), lambda m: raised(r, m))
 
     def raised(r: Column, m: Column) -> Column:
         bare = r["department"].isNull()
@@ -193,10 +206,10 @@ def combine_plans(extracted: DataFrame, recommended: DataFrame, key: str) -> Dat
                 .withField("confidence", F.greatest(r["confidence"], F.col("extraction_confidence")))
                 .withField("audit", F.array_append(r["audit"], note.cast(P.AUDIT))))
 
-    rest = F.transform(F.filter("_e", lambda r: ~F.array_contains(F.col("_have"), F.lower(r["title"]))), enhanced)
-    out = both.withColumn("_have", titles).withColumn("roles", F.concat("roles", rest))
+    missing = let(titles, lambda have: F.filter("_e", lambda r: ~F.array_contains(have, F.lower(r["title"]))))
+    out = both.withColumn("roles", F.concat("roles", F.transform(missing, enhanced)))
     return (with_totals(out).withColumn("combined_confidence", (F.col("extraction_confidence") + F.col("_ec")) / 2)
-            .withColumn("combined_completeness", F.greatest("completeness_score", "_es")).drop("_e", "_have"))
+            .withColumn("combined_completeness", F.greatest("completeness_score", "_es")).drop("_e"))
 
 
 def assess_quality(df: DataFrame) -> DataFrame:

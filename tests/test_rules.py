@@ -87,3 +87,15 @@ def test_combine_keeps_recommended_first(spark, sow):
     both = P.combine_plans(ext, rec, "k").first()
     assert both.roles[-1].title == "Planner" and both.roles[-1].confidence == 0.85
     assert sum(r.title.lower() == "account manager" for r in both.roles) == 1
+
+
+def test_rules_run_once_for_each_type_and_complexity(spark, sow):
+    kinds = P.roles_by_kind(spark)
+    assert kinds.count() == 7 * 4 and kinds.where("roles IS NULL OR total_fte_percentage IS NULL").count() == 0
+    plans = P.recommend_plan(sow.unionByName(sow.withColumn("text", F.lit(None).cast("string"))), "text", "client", "weeks")
+    direct = P.with_totals(U.apply_rules(plans.select("project_type", "complexity").withColumn(
+        "roles", U.synthesize_roles(F.col("project_type"), F.col("complexity")))))
+    cut = lambda df: sorted(map(str, df.select("roles", "total_fte_percentage", "department_allocation").collect()))
+    assert cut(plans) == cut(direct)
+    # the rules stand in the small side of a broadcast join, not on every plan
+    assert "BroadcastHashJoin" in plans._jdf.queryExecution().sparkPlan().toString()
