@@ -10,7 +10,9 @@ one class, and classes are joined:
    shingles as it needs, to have replacements for hot ones; a class that runs
    out of them goes by the plain order, and meets all others in the lists of
    its hot shingles.
-   A list that holds no other class of like size is none.
+   A list that holds no other class of like size is none. Shingles that stand
+   in the same classes make the same list, and of these the first one is kept:
+   texts that share a long passage meet once, not at each of its shingles.
 2. Count vectors. Shingles fall into ``GROUPS`` groups by hash, and the counts
    per group are a point. Two sets share at most the sum of the smaller
    coordinates. Within a list, points are the leaves of an R-tree of boxes:
@@ -314,8 +316,23 @@ class Heads:
         starts = np.searchsorted(self.place[order], np.arange(len(self.distinct) + 1))
         return size[order][starts[:-1]], size[order][starts[1:] - 1]
 
-    def listed(self, totals: np.ndarray, hot: int) -> tuple[np.ndarray, ...]:
-        """Owner, shingle place, list length, and marks (plain, hot head, lacking) of the heads that other classes have too."""
+    def marks(self) -> np.ndarray:
+        """A number for each distinct head that tells in which of the block's classes it stands: their place if it is one, a hash of their places if more."""
+        owner = np.repeat(np.arange(len(self.n)), self.sent).astype(np.uint64)
+        order = np.argsort(self.place, kind="stable")
+        starts = np.searchsorted(self.place[order], np.arange(len(self.distinct)))
+        if not len(starts):
+            return np.zeros(0, dtype=np.uint64)
+        hashes = np.add.reduceat(_mixed(owner[order] + _MULTIPLIER), starts)
+        return np.where(self.counts() > 1, hashes, owner[order][starts])
+
+    def listed(self, totals: np.ndarray, lists: np.ndarray, hot: int) -> tuple[np.ndarray, ...]:
+        """Owner, shingle place, list length, and marks (plain, hot head, lacking) of the heads that other classes have too.
+
+        Of heads of an owner with equal ``lists``, the first one is given. All
+        members of such a list have the same heads in it, all hot or none, and
+        where a later one is plain or a hot head the first one is as well.
+        """
         df = totals[self.place]
         owner = np.repeat(np.arange(len(self.n)), self.sent)
         first = np.cumsum(self.sent) - self.sent
@@ -330,6 +347,11 @@ class Heads:
         plain = (~heated | whole[owner]) & (rank < self.need[owner])
         head = heated & (at < self.need[owner])
         some = np.flatnonzero((df > 1) & (plain | head))
+        same, whose = lists[self.place[some]], owner[some]
+        order = np.lexsort((same, whose))
+        new = np.ones(len(some), dtype=bool)
+        new[1:] = (same[order][1:] != same[order][:-1]) | (whose[order][1:] != whose[order][:-1])
+        some = np.sort(some[order[new]])
         return owner[some], self.place[some], df[some], plain[some], head[some], lacking[some]
 
 
@@ -351,7 +373,10 @@ def partnered(place: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.n
 
 
 def head_totals(blocks: DataFrame, level: int, threshold: Threshold) -> DataFrame:
-    """For each block and range, in how many blocks' classes each of its heads is, in their order; 1 where none of these is of like size."""
+    """For each block and range, in how many blocks' classes each of its heads is, in their order; 1 where none of these is of like size.
+
+    ``lists`` has a hash of these classes for each head that has more than one.
+    """
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -360,11 +385,11 @@ def head_totals(blocks: DataFrame, level: int, threshold: Threshold) -> DataFram
                 owner = (block.distinct >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(counts), dtype=np.int64)
                 cuts = np.searchsorted(owner, np.arange((1 << level) + 1))
                 some = np.flatnonzero(np.diff(cuts))
-                columns = [[packed(values[cuts[r]:cuts[r + 1]]) for r in some] for values in (counts, low, high - low)]
+                columns = [[packed(values[cuts[r]:cuts[r + 1]]) for r in some] for values in (counts, low, high - low, block.marks())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int64()), pa.array([row["block"]] * len(some), pa.int64()),
                      pa.array([packed_sorted(block.distinct[cuts[r]:cuts[r + 1]]) for r in some], pa.binary()),
-                     *[pa.array(c, pa.binary()) for c in columns]], names=["range", "block", "keys", "counts", "low", "span"])
+                     *[pa.array(c, pa.binary()) for c in columns]], names=["range", "block", "keys", "counts", "low", "span", "marks"])
 
     def add(table: pa.Table) -> pa.Table:
         keys = [unpacked_sorted(k) for k in table["keys"].to_pylist()]
@@ -372,11 +397,19 @@ def head_totals(blocks: DataFrame, level: int, threshold: Threshold) -> DataFram
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(known)).astype(np.uint32)
         told = np.where(partnered(place, counts, low, low + span, threshold.percent), total[place], 1).astype(np.uint32)
-        answers = np.split(told, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"range": table["range"], "block": table["block"], "totals": pa.array([packed(a) for a in answers], pa.binary())})
+        sizes = [len(k) for k in keys]
+        marks = np.concatenate([unpacked(m, np.uint64) for m in table["marks"].to_pylist()])
+        blocks = np.repeat(_mixed(table["block"].to_numpy().astype(np.int64).view(np.uint64)), sizes)
+        order = np.argsort(place, kind="stable")
+        met = np.add.reduceat(_mixed((marks + blocks) * _MULTIPLIER)[order], np.searchsorted(place[order], np.arange(len(known))))[place]
+        cuts = np.cumsum(sizes)[:-1]
+        answers = np.split(told, cuts)
+        lists = [m[a > 1] for m, a in zip(np.split(met, cuts), answers, strict=True)]
+        return pa.table({"range": table["range"], "block": table["block"], "totals": pa.array([packed(a) for a in answers], pa.binary()),
+                         "lists": pa.array([m.tobytes() for m in lists], pa.binary())})
 
-    return blocks.select("block", "members", "n", "heads").mapInArrow(send, "range long, block long, keys binary, counts binary, low binary, span binary") \
-        .groupBy("range").applyInArrow(add, "range long, block long, totals binary")
+    return blocks.select("block", "members", "n", "heads").mapInArrow(send, "range long, block long, keys binary, counts binary, low binary, span binary, marks binary") \
+        .groupBy("range").applyInArrow(add, "range long, block long, totals binary, lists binary")
 
 
 def meeting_lists(blocks: DataFrame, totals: DataFrame, threshold: Threshold, hot: int = HOT) -> DataFrame:
@@ -384,12 +417,14 @@ def meeting_lists(blocks: DataFrame, totals: DataFrame, threshold: Threshold, ho
     schema = "shingle long, df long, class long, n long, point binary, plain boolean, head boolean, lacking boolean"
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = sorted(zip(right["range"].to_pylist(), right["totals"].to_pylist(), strict=True))
-        known = np.concatenate([np.zeros(0, dtype=np.uint32), *[unpacked(data, np.uint32) for _, data in parts]]).astype(np.int64)
+        parts = sorted(zip(right["range"].to_pylist(), right["totals"].to_pylist(), right["lists"].to_pylist(), strict=True))
+        known = np.concatenate([np.zeros(0, dtype=np.uint32), *[unpacked(data, np.uint32) for _, data, _ in parts]]).astype(np.int64)
+        lists = np.zeros(len(known), dtype=np.uint64)
+        lists[known > 1] = np.frombuffer(b"".join(data for _, _, data in parts), dtype=np.uint64)
         out = []
         for row in left.to_pylist():
             block = Heads(row, threshold)
-            owner, place, df, plain, head, lacking = block.listed(known, hot)
+            owner, place, df, plain, head, lacking = block.listed(known, lists, hot)
             raw, at, points = zs.ZstdDecompressor().decompress(row["points"]), 0, []
             while at < len(raw):
                 size = int.from_bytes(raw[at:at + 4], "little")

@@ -156,3 +156,16 @@ def test_entries_without_partners_of_like_size():
         for i in range(len(place)):
             like = any(j != i and place[j] == place[i] and 100 * min(int(high[i]), int(high[j])) >= percent * max(int(low[i]), int(low[j])) for j in range(len(place)))
             assert got[i] == (counts[i] > 1 or many[i] > 8 or like)
+
+
+def test_shingles_of_the_same_classes_make_one_list(spark):
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(["start", *words[1:]]), " ".join(f"v{i}" for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string").repartition(2)
+    threshold = Threshold(85)
+    blocks = similar.sketch_blocks(docs, "doc_id", "text", 4, threshold).localCheckpoint()
+    rows = similar.meeting_lists(blocks, similar.head_totals(blocks, 3, threshold), threshold).collect()
+    # hundreds of shared shingles, but each class stands in one list for each set of classes
+    assert 0 < len(rows) <= 8 * 7
+    got = {r.doc_id: r.component_id for r in similar_components(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0, 5: 0, 6: 0, 7: 3}
