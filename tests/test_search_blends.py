@@ -144,3 +144,19 @@ def test_query_terms_are_looked_up_once_a_token(spark):
     out = E.ranked_search(rows, "alpha beta gamma omega", "id", {"text": 1.0}, top=None)
     assert [r.id for r in out.collect()] == [1, 2] and out.columns == ["id", "text", "score"]
     assert "array_contains" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_every_vector_asks_among_all(spark, tmp_path):
+    """jn11: ids and labels do not decide which vectors are queries."""
+    import duckdb
+    from sowmill.bind import registry
+
+    registry.load()
+    draw = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in draw.normal(size=6)], i % 4) for i in (1, 2, 3, 5, 8, 13, 99, 100, 101, 250)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in registry.QUERIES["jn11_queries_against_documents"](spark, str(tmp_path)).collect())
+    assert {q for q, _, _ in got} == {i for i, _, _ in rows} and sum(n for _, _, n in got) == 5 * len(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.ORACLE["jn11_queries_against_documents"]).fetchall())
