@@ -173,3 +173,28 @@ def test_files_of_their_own_hold_every_text(spark, tmp_path):
     row = spark.sql("SELECT 1 AS id, CAST(NULL AS STRING) AS gone, struct(DATE '2025-01-02' AS day) AS s")
     S.write_json(row, str(tmp_path / "j"), per_file=1)
     assert [json.loads(f.read_text()) for f in (tmp_path / "j").glob("*.json")] == [{"id": 1, "s": {"day": "2025-01-02"}}]
+
+
+def test_many_files_are_read_without_a_list_on_the_driver(spark, tmp_path):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    (tmp_path / "t").mkdir()
+    names = {f"f{i}.txt": f"line {i}\nä€😀\r\n".encode() for i in range(300)} | {"a b%20é.txt": b"\xef\xbb\xbfx", "bad.txt": b"\xff\xfe\x80", "none.txt": b"", "_hidden.txt": b"h", ".dot.txt": b"h", "other.json": b"{}"}
+    for name, data in names.items():
+        (tmp_path / "t" / name).write_bytes(data)
+    (tmp_path / "t" / "_temporary").mkdir()
+    of_spark = lambda path: spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select("_metadata.file_name", F.col("value").cast("binary"))
+    rows = lambda df: sorted((r[0], bytes(r[1])) for r in df.collect())
+    texts = S.read_texts(spark, str(tmp_path / "t"))
+    assert "FileScan" not in plan(texts)
+    assert rows(texts.select("file", F.col("text").cast("binary"))) == rows(of_spark(str(tmp_path / "t")))
+    assert S.read_texts(spark, f"file://{tmp_path}/t", "*.{json,none}").collect()[0].file == "other.json"
+    records = [S.read_sow_json(spark, str(tmp_path / "t"), corrupt=c, glob="*.{txt,json}") for c in (False, True)]
+    assert [("FileScan" in plan(r), r.count()) for r in records] == [(False, 1), (False, 302)]
+    # Folders of folders and wildcards stay with Spark's reader.
+    (tmp_path / "t" / "k=1").mkdir()
+    (tmp_path / "t" / "k=1" / "in.txt").write_text("in")
+    for path in (str(tmp_path / "t" / "k=1"), str(tmp_path / "t" / "k=*")):
+        assert [tuple(r) for r in S.read_texts(spark, path).collect()] == [("in.txt", "in")]
+    assert "FileScan" in plan(S.read_texts(spark, str(tmp_path / "t" / "k=*")))
