@@ -198,3 +198,27 @@ def test_many_files_are_read_without_a_list_on_the_driver(spark, tmp_path):
     for path in (str(tmp_path / "t" / "k=1"), str(tmp_path / "t" / "k=*")):
         assert [tuple(r) for r in S.read_texts(spark, path).collect()] == [("in.txt", "in")]
     assert "FileScan" in plan(S.read_texts(spark, str(tmp_path / "t" / "k=*")))
+
+
+def test_table_folders_are_those_of_spark(spark, tmp_path):
+    cols = "file string, page_number int, table_index int, row_index int, cells array<string>"
+    odd = ["a/b", "x=1", "50%", "q?", "ä b", "", None, "[c]{d}", "e'f\"", "007"]
+    rows = [(f, 1, t, i, ["f", f"r{i}", "" if i else None, 'say "x", y', "l1\rl2" if t == 2 else " b "]) for f in odd for t in (1, 2, None) for i in range(3)]
+    rows = [(f, 1, t, i + 3 * (f == ""), [f"r{i + 3 * (f == '')}", *c[1:]]) for f, _, t, i, c in rows]
+    df = spark.createDataFrame([*rows, ("blank", 1, 1, 0, [])], cols).repartition(4)
+    S.write_tables(df, str(tmp_path / "own"))
+    flat = df.select("file", "table_index", "row_index", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(5)])
+    flat = flat.withColumn("file", F.nullif("file", F.lit(""))).repartition("file", "table_index").sortWithinPartitions("file", "table_index", "row_index")
+    flat.drop("row_index").write.partitionBy("file", "table_index").csv(str(tmp_path / "spark"), emptyValue="")
+
+    def folders(name):
+        return {str(f.parent.relative_to(tmp_path / name)): f.read_bytes() for f in (tmp_path / name).rglob("*.csv")}
+
+    assert folders("own") == folders("spark") and (tmp_path / "own" / "_SUCCESS").exists() and not (tmp_path / "own" / "_temporary").exists()
+    kept = spark.read.schema("c0 string, c1 string, c2 string, c3 string, c4 string, file string, table_index int").csv(str(tmp_path / "spark"))
+    key = lambda r: [(v is not None, v) for v in r]
+    want = sorted((tuple(r) for r in kept.select("file", "table_index", "c0", "c1", "c2", "c3", "c4").collect()), key=key)
+    for name in ("own", "spark"):
+        back = S.read_tables(spark, str(tmp_path / name), 5)
+        assert "FileScan" not in back._jdf.queryExecution().executedPlan().toString()
+        assert sorted((tuple(r) for r in back.collect()), key=key) == want
