@@ -24,17 +24,21 @@ def cells_to_matrix(cells: DataFrame) -> DataFrame:
     size = ["row_count", "column_count"]
     inside = (F.col("row_index").between(0, F.col("row_count") - 1)
               & F.col("column_index").between(0, F.col("column_count") - 1))
-    found = (cells.where(inside)
-             .groupBy(*TABLE, "row_index")
-             .agg(F.collect_list(F.struct("column_index", F.trim(F.coalesce("content", F.lit(""))).alias("content")))
-                  .alias("_found")))
+    named = F.lit(True)
+    for c in TABLE:
+        named = named & F.col(c).isNotNull()
+    cell = F.struct("column_index", F.trim(F.coalesce("content", F.lit(""))).alias("content"))
     grid = (cells.select(*TABLE, *size).distinct().where((F.col("row_count") > 0) & (F.col("column_count") > 0))
             .withColumn("row_index", F.explode(F.sequence(F.lit(0), F.col("row_count") - 1))))
+    # Cells and sizes meet in one aggregate; a null never collects, and a table without a name finds no cells.
+    both = cells.where(inside).select(*TABLE, "row_index", F.when(named, cell).alias("_cell")).unionByName(
+        grid.select(*TABLE, "row_index", F.struct(*size).alias("_size")), allowMissingColumns=True)
+    found = both.groupBy(*TABLE, "row_index").agg(F.collect_list("_cell").alias("_found"), F.collect_list("_size").alias("_sizes"))
     value = lambda i: F.coalesce(
         F.try_element_at(F.filter("_found", lambda c: c["column_index"] == i), F.lit(-1))["content"], F.lit(""))
-    return (grid.join(found, [*TABLE, "row_index"], "left")
+    return (found.select(*TABLE, "row_index", "_found", F.explode("_sizes").alias("_size"))
             .select(*TABLE, "row_index",
-                    F.transform(F.sequence(F.lit(0), F.col("column_count") - 1), value).alias("cells")))
+                    F.transform(F.sequence(F.lit(0), F.col("_size.column_count") - 1), value).alias("cells")))
 
 
 def markdown_lines(rows: DataFrame, drop_empty: bool = False) -> DataFrame:

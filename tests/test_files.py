@@ -222,3 +222,16 @@ def test_table_folders_are_those_of_spark(spark, tmp_path):
         back = S.read_tables(spark, str(tmp_path / name), 5)
         assert "FileScan" not in back._jdf.queryExecution().executedPlan().toString()
         assert sorted((tuple(r) for r in back.collect()), key=key) == want
+
+
+def test_cells_are_dealt_once(spark):
+    """Sizes and cells meet in one aggregate; nulls in a table's name find no cells, and each declared size makes its rows."""
+    from sowmill.sources import tables as X
+
+    cols = "file string, page_number int, table_index int, row_index int, column_index int, content string, row_count int, column_count int"
+    rows = [("a", 1, 1, 0, 0, " x ", 3, 2), ("a", 1, 1, 2, 1, None, 3, 2), ("a", 1, 1, 2, 0, "y", 3, 2), ("a", 1, 1, 0, 9, "out", 3, 2),
+            ("b", 1, 1, 0, 0, "z", 1, 1), ("b", 1, 1, 0, 1, "w", 1, 2), ("c", 1, 1, 0, 0, "none", 0, 4), (None, 1, 1, 0, 0, "lost", 2, 1)]
+    out = X.cells_to_matrix(spark.createDataFrame(rows, cols).repartition(3))
+    assert sorted(((r.file or "~", r.row_index, r.cells) for r in out.collect())) == sorted([
+        ("a", 0, ["x", ""]), ("a", 1, ["", ""]), ("a", 2, ["y", ""]), ("b", 0, ["z"]), ("b", 0, ["z", "w"]), ("~", 0, [""]), ("~", 1, [""])])
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
