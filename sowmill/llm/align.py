@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sowmill.llm.blocks import merged, packed, unpacked
-from sowmill.llm.common import WORKER_CACHES, chunks, keyed
+from sowmill.llm.common import WORKER_CACHES, chunks, forget, keyed
 from sowmill.llm.words import Memo, byte_level_bytes, flat_ids, ids_of_parts
 
 #: Words a worker remembers at most.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 #: Bytes of text of one block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 WORKER_CACHES[__name__] = _ALIGNERS
@@ -212,6 +212,7 @@ def align(blocks: DataFrame) -> DataFrame:
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """Rows ``a``, ``b``, ``links``: how many links of all documents hold this pair of ids. A task sums its own first."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known, total = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
@@ -255,6 +256,7 @@ def alignment_digest(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField(key, kind), *[T.StructField(c, T.LongType()) for c in longs], T.StructField("groups_sha256", T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known, links, is_best = shared.value
         marks: list[str] = []
         for batch in batches:

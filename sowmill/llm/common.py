@@ -46,12 +46,17 @@ def release_memory() -> None:
         pass  # another C library, which has no such call
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = 16 << 20, keep: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that one holds about ``most`` bytes of text; a longer text is a batch of its own."""
+def forget(keep: str | None = None) -> None:
+    """Drop what operators but ``keep`` remember in this worker."""
     for module, cache in WORKER_CACHES.items():
         if module != keep:
             cache.clear()
     release_memory()
+
+
+def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = 16 << 20, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that one holds about ``most`` bytes of text; a longer text is a batch of its own."""
+    forget(keep)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -16,6 +16,8 @@ from sowmill.llm.common import WORKER_CACHES
 _ODD = r"[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]| $"
 #: New parts that are encoded at a time.
 STEP = 20_000
+#: Bytes of texts that are encoded whole at a time, but for a longer text.
+WHOLE_BYTES = 1 << 18
 #: A full stop or comma that may join what stands before it.
 _JOINED = r"[^\pL\pN][.,]"
 
@@ -117,10 +119,13 @@ class Memo:
                 for row, start, stop in zip(rows.tolist(), np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True):
                     found[row] = values[start:stop]
         rest = np.setdiff1d(np.arange(len(texts)), rows, assume_unique=True)
-        if len(rest):
-            for (values, lengths), found in zip(self.whole(texts.take(pa.array(rest)).to_pylist()), out, strict=True):
+        # A tokenizer keeps some 100 bytes a token while it encodes, so whole texts go in small groups.
+        sizes = pc.binary_length(texts.take(pa.array(rest))).fill_null(0).to_numpy(zero_copy_only=False)
+        groups = np.split(rest, np.flatnonzero(np.diff(np.cumsum(sizes) // WHOLE_BYTES)) + 1) if len(rest) else []
+        for group in groups:
+            for (values, lengths), found in zip(self.whole(texts.take(pa.array(group)).to_pylist()), out, strict=True):
                 stops = np.cumsum(lengths)
-                for row, start, stop in zip(rest.tolist(), (stops - lengths).tolist(), stops.tolist(), strict=True):
+                for row, start, stop in zip(group.tolist(), (stops - lengths).tolist(), stops.tolist(), strict=True):
                     found[row] = values[start:stop]
         return out
 

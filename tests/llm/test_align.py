@@ -140,3 +140,28 @@ def test_query_over_table(spark, sf_dir):
     for (_, j), n in count.items():
         best[j] = max(best.get(j, 0), n)
     assert [(r.n_links, r.n_best, r.count_sum) for r in rows] == [(len(o), sum(count[p] == best[p[1]] for p in o), sum(count[p] for p in o)) for o in own]
+
+
+def test_whole_texts_are_encoded_in_small_groups_and_memos_are_dropped():
+    import numpy as np
+    import pyarrow as pa
+    from sowmill.llm import common, words
+
+    seen = []
+
+    def whole(texts):
+        seen.append(sum(len(t) for t in texts))
+        return [(np.array([len(t) for t in texts]), np.ones(len(texts), dtype=np.int64))]
+
+    texts = ["a  b" + "c" * (k % 7) * 1000 for k in range(400)] + ["plain", "  " + "d" * (1 << 19)]
+    memo = words.Memo(lambda parts: [(np.array([len(p) for p in parts]), np.ones(len(parts), dtype=np.int64))], whole, [np.int64], 10)
+    assert [int(v.sum()) for v in memo.of_texts(pa.array(texts))[0]] == [len(t) for t in texts]
+    assert len(seen) > 4 and sum(n > 2 * words.WHOLE_BYTES for n in seen) == 1
+    common.WORKER_CACHES["tests"] = {"kept": 1}
+    try:
+        common.forget("tests")
+        assert common.WORKER_CACHES["tests"]
+        common.forget()
+        assert not any(common.WORKER_CACHES.values())
+    finally:
+        del common.WORKER_CACHES["tests"]
